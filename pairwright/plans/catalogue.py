@@ -1,0 +1,15 @@
+"""Registered queries over the driver's tables, and their SQL twins."""
+
+from __future__ import annotations
+
+
+def queries() -> dict:
+    return {}
+
+
+def oracle_sql() -> dict:
+    return {}
+
+
+def flagship(spark, sf_dir):
+    raise NotImplementedError

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from pairwright.llm import ngram_join
+from pairwright.llm import language_id, line_dedup, mixture, ngram_join
 from pairwright.llm.sql import ORACLES
 
 
@@ -19,8 +20,25 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(_table(spark, sf_dir, "documents"), width=3, percent=90)
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_lines, n_dropped, kept_sha256: lines whose key is in 10 documents or more go."""
+    done = line_dedup.drop_hot_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"), min_docs=10)
+    return done.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, lang_pred, score."""
+    return language_id.identify(_table(spark, sf_dir, "documents"), ["doc_id"])
+
+
+def op8_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, size, source_size, target, taken: weights 5, 2, 1, 150% of all words, each document twice at most."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return mixture.mix_to_targets(docs, keep_text=False).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_jaccard_join,)}
+    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_line_dedup, op4_language_id, op8_mixture)}
 
 
 def oracle_sql() -> dict[str, str]:

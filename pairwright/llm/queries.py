@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairwright.llm import language_id, line_dedup, mixture, ngram_join
+from pairwright.llm import ego_join, language_id, line_dedup, mixture, ngram_join, secret_scan
 from pairwright.llm.sql import ORACLES
 
 
@@ -31,14 +31,24 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(_table(spark, sf_dir, "documents"), ["doc_id"])
 
 
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_assign, n_access, n_hex, base_sha256, spans."""
+    return secret_scan.scan(_table(spark, sf_dir, "documents"))
+
+
 def op8_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, size, source_size, target, taken: weights 5, 2, 1, 150% of all words, each document twice at most."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return mixture.mix_to_targets(docs, keep_text=False).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """vec_id, n_links, component_id, kept: cosine of 0.98 or more among equal labels."""
+    return ego_join.near_vectors(_table(spark, sf_dir, "embeddings"), cosine=0.98)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_line_dedup, op4_language_id, op8_mixture)}
+    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_line_dedup, op4_language_id, op5_secret_scan, op8_mixture, op9_embedding_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairwright.llm import ego_join, language_id, line_dedup, mixture, ngram_join, secret_scan
+from pairwright.llm import ego_join, html_extract, language_id, line_dedup, mixture, ngram_join, pii, secret_scan
 from pairwright.llm.sql import ORACLES
 
 
@@ -36,6 +36,11 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(_table(spark, sf_dir, "documents"))
 
 
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, url, text, n_chars."""
+    return html_extract.extract(_table(spark, sf_dir, "pages"))
+
+
 def op8_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, size, source_size, target, taken: weights 5, 2, 1, 150% of all words, each document twice at most."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "text")
@@ -47,8 +52,23 @@ def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ego_join.near_vectors(_table(spark, sf_dir, "embeddings"), cosine=0.98)
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans."""
+    return pii.scan(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_line_dedup, op4_language_id, op5_secret_scan, op8_mixture, op9_embedding_near_dedup)}
+    every = (
+        op1_ngram_jaccard_join,
+        op2_line_dedup,
+        op4_language_id,
+        op5_secret_scan,
+        op6_html_extraction,
+        op8_mixture,
+        op9_embedding_near_dedup,
+        op10_pii,
+    )
+    return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairwright.llm import ego_join, html_extract, language_id, line_dedup, mixture, ngram_join, pii, secret_scan
+from pairwright.llm import ego_join, html_extract, language_id, line_dedup, mixture, ngram_join, pii, secret_scan, substring_dedup
 from pairwright.llm.sql import ORACLES
 
 
@@ -26,6 +26,11 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_spans, n_repeated, n_dropped, spans, partners of the documents with passages that others hold too."""
+    return substring_dedup.repeated_spans(_table(spark, sf_dir, "documents"))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, held_out, lang_pred, score."""
     return language_id.identify(_table(spark, sf_dir, "documents"), ["doc_id"])
@@ -61,6 +66,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
         op1_ngram_jaccard_join,
         op2_line_dedup,
+        op3_substring_dedup,
         op4_language_id,
         op5_secret_scan,
         op6_html_extraction,

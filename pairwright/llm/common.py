@@ -143,8 +143,11 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return mix(out), starts, ends, np.searchsorted(starts, offsets)
 
 
-def shingle_hashes(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, offsets per text) of word shingles, in text order and with repeats; fewer words make one shingle."""
+def shingle_hashes(data: np.ndarray, offsets: np.ndarray, width: int, word_rank: np.ndarray | None = None):
+    """(hashes, offsets per text) of word shingles, in text order and with repeats; fewer words make one shingle.
+
+    With word_rank (a number for each low part of a word's hash, its length a power of two) also the sum of a shingle's ranks.
+    """
     h, _, _, at = words(data, offsets)
     count = np.diff(at)
     made = np.where(count >= width, count - width + 1, np.minimum(count, 1))
@@ -156,7 +159,10 @@ def shingle_hashes(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[n
         has = size > k
         nxt = np.where(has, h[np.minimum(first + k, len(h) - 1)] if len(h) else np.zeros(len(first), np.uint64), np.uint64(0))
         x = mix(x * np.uint64(0x9FB21C651E98DF25) + nxt)
-    return x, to
+    if word_rank is None:
+        return x, to
+    total = np.concatenate([[0], np.cumsum(word_rank[(h & np.uint64(len(word_rank) - 1)).astype(np.int64)])]).astype(np.int64)
+    return x, to, total[first + size] - total[first]
 
 
 def map_arrow(df: DataFrame, function, schema: str) -> DataFrame:

@@ -3,7 +3,8 @@
 Documents become sets of word shingles (64-bit hashes). Equal sets form one class; classes that may link meet in
 blocks by prefix filtering: of two sets with Jaccard >= t, each has one of its n - ceil(t n) + 1 first shingles in
 common with the other, for any one order of all shingles. The order puts shingles of crowded sketch cells last (a
-fixed-size count of all shingles), so passages that many documents share are in few prefixes.
+fixed-size count of all shingles, so passages that many documents share are in few prefixes), and among the others
+those of rare words first (from a count of all words of the same kind), which unrelated documents hardly share.
 
 In a block, a signature tree is built over the classes in order of size: leaves hold token bitmaps, inner nodes the
 OR of their children's bitmaps and the range of sizes. Two trees are traversed together; a pair of nodes is left as
@@ -22,10 +23,10 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairwright.llm.common import bytes_of, connected_components, forget, map_arrow, mix, require, save, shingle_hashes
+from pairwright.llm.common import bytes_of, connected_components, forget, map_arrow, mix, require, save, shingle_hashes, words
 
 CELLS = 1 << 16
 #: Signature bits of a class: twice its size, as a power of two in these bounds.
@@ -43,26 +44,27 @@ def _prefix_size(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1 if n else 0
 
 
-def crowding(docs: DataFrame, width: int) -> np.ndarray:
-    """log2 steps above the mean of each sketch cell's shingle count, over all documents (CELLS numbers)."""
-
-    def count(batch):
-        x, _ = shingle_hashes(*bytes_of(batch.column(0)), width)
-        return np.bincount((x & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS)
+def crowding(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sketches of all documents, CELLS numbers each: rank of a shingle's cell (0 up to twice the mean count, then more
+    by half powers of two), and rank of a word's cell (quarter powers of two of its count)."""
 
     def run(batches):
-        total = np.zeros(CELLS, np.int64)
+        total = np.zeros(2 * CELLS, np.int64)
         for b in batches:
-            total += count(b)
+            data, at = bytes_of(b.column(0))
+            for k, x in enumerate((shingle_hashes(data, at, width)[0], words(data, at)[0])):
+                total[k * CELLS : (k + 1) * CELLS] += np.bincount((x & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS)
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["cell", "n"])
 
     rows = docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
-    total = np.zeros(CELLS)
-    for cell, n in rows.collect():  # CELLS rows at most, whatever the input
+    total = np.zeros(2 * CELLS)
+    for cell, n in rows.collect():  # 2 * CELLS rows at most, whatever the input
         total[cell] = n
-    mean = max(total.mean(), 1e-9)
-    return np.clip(np.ceil(2 * np.log2(np.maximum(total / mean, 1))), 0, 31).astype(np.uint64)
+    shingle, word = total[:CELLS], total[CELLS:]
+    crowd = np.ceil(2 * np.log2(np.maximum(shingle / max(shingle.mean(), 1e-9) / 2, 1)))
+    rare = np.ceil(4 * np.log2(np.maximum(word / max(word.mean(), 1e-9), 0.25) * 4))
+    return np.clip(crowd, 0, 31).astype(np.uint64), np.clip(rare, 0, 100).astype(np.int64)
 
 
 def signature(x: np.ndarray) -> bytes:
@@ -72,13 +74,13 @@ def signature(x: np.ndarray) -> bytes:
     return np.packbits(out, bitorder="little").tobytes()
 
 
-def describe(docs: DataFrame, width: int, percent: int, crowd: np.ndarray) -> DataFrame:
+def describe(docs: DataFrame, width: int, percent: int, crowd: np.ndarray, rare: np.ndarray) -> DataFrame:
     """doc_id, n, digest (d1, d2), signature, prefix shingles of each document."""
 
     def one(batch):
-        x, at = shingle_hashes(*bytes_of(batch.column(1)), width)
+        x, at, common = shingle_hashes(*bytes_of(batch.column(1)), width, rare)
         rank = crowd[(x & np.uint64(CELLS - 1)).astype(np.int64)]
-        order = (rank << np.uint64(59)) | (mix(x) >> np.uint64(5))
+        order = (rank << np.uint64(59)) | (np.minimum(common, 511).astype(np.uint64) << np.uint64(50)) | (mix(x) >> np.uint64(14))
         n, d1, d2, sigs, prefixes = [], [], [], [], []
         for i in range(batch.num_rows):
             s, first = np.unique(x[at[i] : at[i + 1]], return_index=True)
@@ -255,8 +257,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     An empty table gives an empty result.
     """
     docs = require(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
-    crowd = crowding(docs, width)
-    all_docs = save(describe(docs, width, percent, crowd))
+    all_docs = save(describe(docs, width, percent, *crowding(docs, width)))
     # a class: all documents with one set; its id is its smallest doc_id
     reps = all_docs.where("n > 0 and doc_id is not null").groupBy("d1", "d2", "n").agg(F.min(F.struct("doc_id", "sig", "prefix")).alias("r"))
     reps = save(reps.select(F.col("r.doc_id").alias("id"), "n", "d1", "d2", F.col("r.sig").alias("sig"), F.col("r.prefix").alias("prefix")))

@@ -17,6 +17,8 @@ SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 SPACE_CHARS = " \t\n\x0b\f\r"
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: White space and all ASCII characters but letters and digits.
+NOT_WORD = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 #: Rows of an Arrow batch; texts may be long, so batches are kept small.
 BATCH_ROWS = 512
 #: Bytes that the vectorised hashing handles at once; it takes about 40 times as much memory.
@@ -112,13 +114,13 @@ def _grow(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers, _inverse
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def words(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(hash, start, end of each word, word offsets per text). A-Z counts as a-z; a word never spans two texts."""
     n = len(data)
     if n == 0:
         none = np.zeros(0, np.int64)
         return np.zeros(0, np.uint64), none, none, np.zeros(len(offsets), np.int64)
-    solid = ~SPACE[data]
+    solid = ~space[data]
     edge = np.zeros(n + 1, bool)
     edge[offsets] = True
     before = np.empty(n, bool)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairwright.llm import ego_join, html_extract, language_id, line_dedup, mixture, ngram_join, pii, secret_scan, substring_dedup
+from pairwright.llm import decontaminate, ego_join, html_extract, language_id, line_dedup, mixture, ngram_join, pii, secret_scan, substring_dedup
 from pairwright.llm.sql import ORACLES
 
 
@@ -46,6 +46,11 @@ def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(_table(spark, sf_dir, "pages"))
 
 
+def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, item_id, cosine, subsequence, answered of the documents that hold benchmark passages."""
+    return decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op8_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, size, source_size, target, taken: weights 5, 2, 1, 150% of all words, each document twice at most."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "text")
@@ -70,6 +75,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op4_language_id,
         op5_secret_scan,
         op6_html_extraction,
+        op7_benchmark_decontamination,
         op8_mixture,
         op9_embedding_near_dedup,
         op10_pii,

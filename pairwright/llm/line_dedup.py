@@ -3,29 +3,37 @@
 A run is a table (key, docs) sorted by key in the shared folder: how many documents of its batches hold a line. New
 runs start at level 0; when a level has FANOUT runs they are merged into one run of the next level. A new batch is
 merge-anti-joined with the keys that the runs already hold often enough, as those need no more counting, and what
-remains becomes its run. Lines are never sent anywhere but as 16-byte keys; texts move once, to meet their own hot keys.
+remains becomes its run. Lines are never sent anywhere but as 16-byte keys. Up to BROADCAST hot keys go to every executor and
+texts stay where they are; beyond that each text is joined with the hot keys among its own.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import hashlib
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairwright.llm.common import SPACE_CHARS, ascii_lower, forget, require, save
+from pairwright.llm.common import bytes_of, forget, map_arrow, require, save
 
 FANOUT = 4
 #: Batches that a single table is ingested in.
 BATCHES = 4
 
 
-def lines_of(text: Column) -> Column:
-    return F.split(F.coalesce(text, F.lit("")), "\n", -1)
+#: Hot keys (16 bytes each) that are broadcast at most.
+BROADCAST = 200_000
+
+
+def line_key(line: bytes) -> bytes | None:
+    """16 bytes of the stripped line with A-Z lower-cased; None for a line of white space. bytes methods know ASCII only."""
+    bare = line.strip(b" \t\n\x0b\f\r").lower()
+    return hashlib.blake2b(bare, digest_size=16).digest() if bare else None
 
 
-def line_key(line: Column) -> Column:
-    """16 bytes of the stripped line with A-Z lower-cased; null for a line of white space."""
-    bare = ascii_lower(F.btrim(line, F.lit(SPACE_CHARS)))
-    return F.when(F.length(bare) >= 1, F.unhex(F.md5(bare)))
+def keys_of(text: bytes) -> set[bytes]:
+    return {k for line in text.split(b"\n") if (k := line_key(line))}
 
 
 class LineRuns:
@@ -70,7 +78,7 @@ class LineRuns:
             forget(*old)
 
 
-def drop_hot_lines(docs: DataFrame, min_docs: int = 10, batches: int = BATCHES) -> DataFrame:
+def drop_hot_lines(docs: DataFrame, min_docs: int = 10, batches: int = BATCHES, broadcast_limit: int = BROADCAST) -> DataFrame:
     """docs with the lines whose key is in at least min_docs documents taken out of text; adds n_lines and n_dropped.
 
     docs: text and any other columns; a row is a document, so repeated rows count each. Null and empty texts are one
@@ -79,23 +87,49 @@ def drop_hot_lines(docs: DataFrame, min_docs: int = 10, batches: int = BATCHES)
     an empty result.
     """
     spark = docs.sparkSession
-    # a row's batch and address depend on its text alone, so a task that runs again gives the same rows
+    # a row's batch depends on its text alone, so a task that runs again gives the same rows
     address = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
-    keys = require(docs, "text").select(
-        address.alias("row"), F.array_distinct(F.filter(F.transform(lines_of(F.col("text")), line_key), lambda k: k.isNotNull())).alias("keys")
-    )
-    per_row = save(keys.groupBy("row", "keys").agg(F.count("*").alias("docs")).where(F.size("keys") > 0))
-    exploded = per_row.select("row", "docs", F.explode("keys").alias("key"))
+
+    def keys(batch):
+        data, at = bytes_of(batch.column(1))
+        rows, found = [], []
+        for i in range(batch.num_rows):
+            own = keys_of(data[at[i] : at[i + 1]].tobytes())
+            rows += [i] * len(own)
+            found += own
+        return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int32())), pa.array(found, pa.binary())], ["row", "key"]) if rows else None
+
+    lines = map_arrow(require(docs, "text").select(address.alias("row"), F.col("text").cast("binary").alias("text")), keys, "row long, key binary")
     runs = LineRuns(spark, min_docs)
-    counted = save(exploded.groupBy(F.pmod("row", F.lit(batches)).cast("int").alias("batch"), "key").agg(F.sum("docs").alias("docs")))
+    counted = save(lines.groupBy(F.pmod("row", F.lit(batches)).cast("int").alias("batch"), "key").agg(F.count("*").alias("docs")))
     for i in range(batches):
         runs.add(counted.where(F.col("batch") == i).select("key", "docs"))
-    hot = runs.hot()
-    own = exploded.join(hot, "key", "left_semi").groupBy("row").agg(F.collect_set("key").alias("hot"))
-    temp = docs.drop("n_lines", "n_dropped").withColumn("_row", address)
-    met = temp.join(own.withColumnRenamed("hot", "_hot").withColumnRenamed("row", "_row"), "_row", "left")
-    lines = lines_of(F.col("text"))
-    kept = F.filter(lines, lambda x: F.col("_hot").isNull() | line_key(x).isNull() | ~F.array_contains("_hot", F.coalesce(line_key(x), F.lit(b""))))
-    out = met.withColumn("n_lines", F.size(lines).cast("long")).withColumn("_kept", kept)
-    out = out.withColumn("n_dropped", F.col("n_lines") - F.size("_kept")).withColumn("text", F.array_join("_kept", "\n"))
-    return out.drop("_row", "_hot", "_kept").select(*[c for c in docs.columns if c not in ("n_lines", "n_dropped")], "n_lines", "n_dropped")
+    hot = save(runs.hot())
+    forget(counted)
+    temp = docs.drop("n_lines", "n_dropped")
+    names = temp.columns
+    if hot.count() <= broadcast_limit:
+        everywhere = spark.sparkContext.broadcast(frozenset(bytes(r[0]) for r in hot.collect()))
+    else:
+        everywhere = None
+        own = lines.join(hot, "key", "left_semi").groupBy("row").agg(F.collect_set("key").alias("_hot")).withColumnRenamed("row", "_row")
+        temp = temp.withColumn("_row", address).join(own, "_row", "left").select(*[F.col(f"`{c}`") for c in names], "_hot")
+
+    def drop(batch):
+        where = names.index("text")
+        data, at = bytes_of(batch.column(where))
+        total, dropped, kept = [], [], []
+        for i in range(batch.num_rows):
+            text = data[at[i] : at[i + 1]].tobytes()
+            rows = text.split(b"\n")
+            known = everywhere.value if everywhere else frozenset(batch.column(len(names))[i].as_py() or ())
+            stay = [x for x in rows if line_key(x) not in known] if known else rows
+            total.append(len(rows))
+            dropped.append(len(rows) - len(stay))
+            kept.append(b"\n".join(stay))
+        columns = [pa.array(kept, pa.binary()).cast(pa.string()) if i == where else batch.column(i) for i in range(len(names))]
+        return pa.RecordBatch.from_arrays([*columns, pa.array(total, pa.int64()), pa.array(dropped, pa.int64())], [*names, "n_lines", "n_dropped"])
+
+    temp = temp.withColumn("text", F.col("text").cast("binary"))
+    fields = ", ".join(f"`{f.name}` {'string' if f.name == 'text' else f.dataType.simpleString()}" for f in temp.schema.fields if f.name != "_hot")
+    return map_arrow(temp, drop, f"{fields}, n_lines long, n_dropped long")

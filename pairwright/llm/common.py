@@ -179,6 +179,18 @@ def map_arrow(df: DataFrame, function, schema: str) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
+#: Ids that are broadcast at most.
+BROADCAST_IDS = 500_000
+
+
+def without_ids(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """rows but those whose doc_id is in ids (one column, doc_id). Few ids go to the rows, many meet them by a shuffle."""
+    ids = save(ids.where("doc_id is not null").distinct().withColumnRenamed("doc_id", "_id"))
+    if ids.count() <= BROADCAST_IDS:
+        ids = F.broadcast(ids)
+    return rows.join(ids, F.col("doc_id") == F.col("_id"), "left_anti")
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(id, component) of every end of the edges (a, b): component is the smallest id that can be reached.
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairwright.llm.common import NOT_WORD, bytes_of, forget, map_arrow, require, save, words
+from pairwright.llm.common import NOT_WORD, bytes_of, forget, map_arrow, require, save, without_ids, words
 
 PASSAGE, STEP, ITEM_STEP = 32, 8, 16
 CELLS = 1 << 18
@@ -280,5 +280,4 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def without(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without the documents that hold a benchmark passage."""
-    bad = contaminated(docs, benchmark).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, F.col("doc_id") == F.col("_bad"), "left_anti")
+    return without_ids(docs, contaminated(docs, benchmark).select("doc_id"))

@@ -147,7 +147,7 @@ def predict(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
             _models.clear()
             langs, symbol, cost = shared.value
             m = _models[token] = Model(langs, symbol, cost.astype(np.float32))
-        k = batch.schema.get_field_index("_text")
+        k = batch.schema.get_field_index(source)
         data, at = bytes_of(batch.column(k))
         bits = code_lengths(m, data, at) if m.langs else np.zeros((batch.num_rows, 0))
         lang, score = [], []
@@ -160,11 +160,13 @@ def predict(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
             best = int(np.argmin(bits[i]))
             lang.append(m.langs[best])
             score.append(float(1 / np.exp2(np.clip(bits[i][best] - bits[i], -1000, 0)).sum()))
-        columns = [batch.column(i) for i in range(batch.num_columns) if i != k]
-        return pa.RecordBatch.from_arrays([*columns, pa.array(lang), pa.array(score, pa.float64())], [*[n for n in batch.schema.names if n != "_text"], "lang_pred", "score"])
+        names = [n for n in batch.schema.names if n != "_text"]
+        columns = [batch.column(n) for n in names]
+        return pa.RecordBatch.from_arrays([*columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*names, "lang_pred", "score"])
 
-    wanted = docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").cast("binary").alias("_text"))
-    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in wanted.schema.fields[:-1])
+    source = "text" if "text" in keep else "_text"
+    wanted = docs.select(*[F.col(f"`{c}`") for c in keep], *([] if "text" in keep else [F.col("text").cast("binary").alias("_text")]))
+    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in wanted.schema.fields if f.name != "_text")
     return map_arrow(wanted, one, f"{fields}lang_pred string, score double")
 
 
@@ -183,5 +185,11 @@ def identify(docs: DataFrame, keep: list[str]) -> DataFrame:
     """
     keep = [c for c in keep if c not in ("held_out", "lang_pred", "score")]
     model = train(sample(docs.where(~held_out(F.col("doc_id")))))
-    base = docs.select(*[F.col(f"`{c}`") for c in keep], "text", held_out(F.col("doc_id")).alias("held_out")) if "text" not in keep else docs.select(*[F.col(f"`{c}`") for c in keep], held_out(F.col("doc_id")).alias("held_out"))
+    base = docs.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*keep, "text"])], held_out(F.col("doc_id")).alias("held_out"))
     return predict(base, model, [*keep, "held_out"])
+
+
+def known_language(docs: DataFrame, least: float = 0.5) -> DataFrame:
+    """docs without the documents that have no letters or no language with at least that score."""
+    names = [c for c in docs.columns if c not in ("held_out", "lang_pred", "score")]
+    return identify(docs, names).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select(*[F.col(f"`{c}`") for c in names])

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairwright.llm.common import bytes_of, connected_components, forget, map_arrow, mix, require, save, shingle_hashes, words
+from pairwright.llm.common import bytes_of, connected_components, forget, map_arrow, mix, require, save, shingle_hashes, without_ids, words
 
 CELLS = 1 << 16
 #: Signature bits of a class: twice its size, as a power of two in these bounds.
@@ -311,5 +311,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
 
 def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """docs without the near duplicates: of each component the row with the smallest doc_id stays, and every row that links with nothing. Rows with equal doc_id and text stay once."""
-    ids = near_duplicates(docs, width, percent).where("doc_id <=> component_id").select("doc_id")
-    return docs.join(ids.distinct().withColumnRenamed("doc_id", "_kept"), F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi").dropDuplicates(["doc_id", "text"])
+    found = save(near_duplicates(docs, width, percent))
+    rows, ids = found.where("doc_id is not null").agg(F.count("*"), F.count_distinct("doc_id")).first()
+    if ids < rows:
+        docs = docs.dropDuplicates(["doc_id", "text"])
+    return without_ids(docs, found.where("doc_id <> component_id").select("doc_id"))

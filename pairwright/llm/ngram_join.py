@@ -4,7 +4,9 @@ Documents become sets of word shingles (64-bit hashes). Equal sets form one clas
 blocks by prefix filtering: of two sets with Jaccard >= t, each has one of its n - ceil(t n) + 1 first shingles in
 common with the other, for any one order of all shingles. The order puts shingles of crowded sketch cells last (a
 fixed-size count of all shingles, so passages that many documents share are in few prefixes), and among the others
-those of rare words first (from a count of all words of the same kind), which unrelated documents hardly share.
+those of rare words first (from a count of all words of the same kind), which unrelated documents hardly share. At its
+place i in the order, a shingle of a set of n can only be the first common one of a pair if the other set has at most
+(n - i) (1 + t) / t - n shingles; pairs are left to the block of their first common shingle by that rule.
 
 In a block, a signature tree is built over the classes in order of size: leaves hold token bitmaps, inner nodes the
 OR of their children's bitmaps and the range of sizes. Two trees are traversed together; a pair of nodes is left as
@@ -91,8 +93,8 @@ def describe(docs: DataFrame, width: int, percent: int, crowd: np.ndarray, rare:
             sigs.append(signature(s) if k else b"")
             p = _prefix_size(k, percent)
             o = order[at[i] : at[i + 1]][first]
-            pick = np.argpartition(o, p - 1)[:p] if 0 < p < k else slice(0, k)
-            prefixes.append(s[pick].view(np.int64))
+            pick = np.argpartition(o, p - 1)[:p] if 0 < p < k else np.arange(k)
+            prefixes.append(s[pick[np.argsort(o[pick], kind="stable")]].view(np.int64))
         to = np.cumsum([0, *map(len, prefixes)]).astype(np.int32)
         flat = np.concatenate(prefixes) if prefixes else np.zeros(0, np.int64)
         return pa.RecordBatch.from_arrays(
@@ -118,12 +120,13 @@ def fold(sig: np.ndarray, words: int) -> np.ndarray:
 
 class Tree:
     """Signature tree over rows in order of size. Each level has, for every node: the OR and the AND of its rows' bitmaps,
-    smallest and largest size, the most tokens that any of its rows has beyond its bits, smallest and largest component."""
+    smallest and largest size, the most tokens that any of its rows has beyond its bits, smallest and largest component,
+    and the largest size that any of its rows may meet here."""
 
-    def __init__(self, size: np.ndarray, sig: np.ndarray, comp: np.ndarray):
-        self.size, self.sig, self.comp = size, sig, comp
-        node = (sig, sig, size, size, size - np.bitwise_count(sig).sum(-1, dtype=np.int64), comp, comp)
-        gather = (np.bitwise_or, np.bitwise_and, np.minimum, np.maximum, np.maximum, np.minimum, np.maximum)
+    def __init__(self, size: np.ndarray, sig: np.ndarray, comp: np.ndarray, reach: np.ndarray):
+        self.size, self.sig, self.comp, self.reach = size, sig, comp, reach
+        node = (sig, sig, size, size, size - np.bitwise_count(sig).sum(-1, dtype=np.int64), comp, comp, reach)
+        gather = (np.bitwise_or, np.bitwise_and, np.minimum, np.maximum, np.maximum, np.minimum, np.maximum, np.maximum)
         self.levels, step = [], LEAF
         while True:
             at = np.arange(0, len(node[0]), step)
@@ -136,9 +139,9 @@ class Tree:
 
 def may_link(a: tuple, i: int, b: tuple, j: int, percent: int) -> bool:
     """False if no row below node i of level a can link with one of another component below node j of level b."""
-    any_a, all_a, lo_a, hi_a, spare_a, c1, c2 = (x[i] for x in a)
-    any_b, all_b, lo_b, hi_b, spare_b, e1, e2 = (x[j] for x in b)
-    if c1 == c2 == e1 == e2 or 100 * hi_a < percent * lo_b or 100 * hi_b < percent * lo_a:
+    any_a, all_a, lo_a, hi_a, spare_a, c1, c2, reach_a = (x[i] for x in a)
+    any_b, all_b, lo_b, hi_b, spare_b, e1, e2, reach_b = (x[j] for x in b)
+    if c1 == c2 == e1 == e2 or reach_a < lo_b or reach_b < lo_a or 100 * hi_a < percent * lo_b or 100 * hi_b < percent * lo_a:
         return False
     bits = lambda x: int(np.bitwise_count(x).sum(dtype=np.int64))
     most = min(bits(any_a & any_b) + min(int(spare_a), int(spare_b)), int(hi_a) - bits(all_a & ~any_b), int(hi_b) - bits(all_b & ~any_a))
@@ -158,6 +161,7 @@ def joined(a: Tree, b: Tree, percent: int) -> list[tuple[int, int]]:
             na, nb = a.size[x][:, None], b.size[y][None, :]
             most = _most_common(a.sig[x][:, None, :], b.sig[y][None, :, :], na, nb)
             fits = (100 * most >= percent * (na + nb - most)) & (a.comp[x][:, None] != b.comp[y][None, :])
+            fits &= (nb <= a.reach[x][:, None]) & (na <= b.reach[y][None, :])
             u, v = np.nonzero(np.triu(fits, 1) if same and i == j else fits)
             found += zip((u + i * LEAF).tolist(), (v + j * LEAF).tolist(), strict=True)
             continue
@@ -172,32 +176,32 @@ def joined(a: Tree, b: Tree, percent: int) -> list[tuple[int, int]]:
 
 
 def link_blocks(members: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs (a, b) of rows (task, block, part, home, id, n, comp, sig): in each (block, part) two trees meet.
+    """Candidate pairs (a, b) of rows (task, block, part, home, id, n, reach, comp, sig): in each (block, part) two trees meet.
 
     home 0: rows of one part of the block; 1: rows of another part (if there are none, the first meets itself). task
     gathers many small (block, part) so that a task's rows are few and yet a batch has enough of them.
     """
 
-    def meet(n, comp, ids, home, sigs):
+    def meet(n, reach, comp, ids, home, sigs):
         width = min(map(len, sigs))
         sig = np.stack([fold(s, width) for s in sigs]).view(np.uint64)
         sides = []
         for h in (0, 1):
             rows = np.flatnonzero(home == h)
             rows = rows[np.lexsort((ids[rows], n[rows]))]
-            sides.append((ids[rows], Tree(n[rows], sig[rows], comp[rows])) if len(rows) else None)
+            sides.append((ids[rows], Tree(n[rows], sig[rows], comp[rows], reach[rows])) if len(rows) else None)
         a = sides[0]
         b = sides[1] or a
         return [(int(a[0][i]), int(b[0][j])) for i, j in joined(a[1], b[1], percent)] if a else []
 
     def search(table: pa.Table) -> pa.Table:
         table = table.sort_by([("block", "ascending"), ("part", "ascending")])
-        n, comp, ids, home, block, part = (table.column(c).to_numpy() for c in ("n", "comp", "id", "home", "block", "part"))
+        n, reach, comp, ids, home, block, part = (table.column(c).to_numpy() for c in ("n", "reach", "comp", "id", "home", "block", "part"))
         sigs = [np.frombuffer(s, np.uint8) for s in table.column("sig").to_pylist()]
         cut = np.flatnonzero((block[1:] != block[:-1]) | (part[1:] != part[:-1])) + 1
         found = set()
         for x, y in zip([0, *cut.tolist()], [*cut.tolist(), len(n)], strict=True):
-            found.update((min(p), max(p)) for p in meet(n[x:y], comp[x:y], ids[x:y], home[x:y], sigs[x:y]))
+            found.update((min(p), max(p)) for p in meet(n[x:y], reach[x:y], comp[x:y], ids[x:y], home[x:y], sigs[x:y]))
         pairs = np.array(sorted(found), np.int64).reshape(-1, 2)
         return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
 
@@ -261,13 +265,15 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     # a class: all documents with one set; its id is its smallest doc_id
     reps = all_docs.where("n > 0 and doc_id is not null").groupBy("d1", "d2", "n").agg(F.min(F.struct("doc_id", "sig", "prefix")).alias("r"))
     reps = save(reps.select(F.col("r.doc_id").alias("id"), "n", "d1", "d2", F.col("r.sig").alias("sig"), F.col("r.prefix").alias("prefix")))
-    entries = reps.select(F.explode("prefix").alias("key"), "id", "n")
+    entries = reps.select("id", "n", F.posexplode("prefix").alias("place", "key"))
     shared = entries.groupBy("key").agg(F.count("*").alias("df")).where("df > 1").select("key")
     # size classes: two sets that link are in one class or in adjacent ones
     step = math.log(100 / percent) if percent < 100 else 1.0
     home = F.floor(F.log("n") / F.lit(step) + F.lit(1e-9)).cast("long")
-    met = entries.join(shared, "key").select(F.explode(F.array(home, home + 1)).alias("size_class"), home.alias("own"), "key", "id", "n")
-    met = save(met.select(F.xxhash64("key", "size_class").alias("block"), "id", "n", (F.col("own") == F.col("size_class")).alias("own")))
+    reach = F.floor((F.col("n") - F.col("place")) * (100 + percent) / percent).cast("long") - F.col("n")
+    classes = F.when(reach + 1 >= F.exp((home + 1) * F.lit(step)), F.array(home, home + 1)).otherwise(F.array(home))
+    met = entries.join(shared, "key").select(F.explode(classes).alias("size_class"), reach.alias("reach"), "key", "id", "n")
+    met = save(met.select(F.xxhash64("key", "size_class").alias("block"), "id", "n", "reach"))
     # one edge a class, to the smallest class of its blocks
     hub = met.groupBy("block").agg(F.min("id").alias("hub"), F.max("id").alias("top")).where("hub < top").select("block", "hub")
     first = met.join(hub, "block").groupBy("id").agg(F.min("hub").alias("hub")).where("hub < id").select(F.col("hub").alias("a"), F.col("id").alias("b"))
@@ -276,7 +282,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     forget(pairs)
     comp = save(connected_components(links))
     # blocks with several components, searched in full between them
-    labelled = met.join(comp, "id", "left").select("block", "id", "n", F.coalesce("component", "id").alias("comp"))
+    labelled = met.join(comp, "id", "left").select("block", "id", "n", "reach", F.coalesce("component", "id").alias("comp"))
     labelled = save(labelled)
     forget(met)
     several = labelled.groupBy("block").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("rows")).where("low < high").select("block", "rows", F.ceil(F.col("rows") / PART).cast("int").alias("parts"))
@@ -285,7 +291,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     own = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
     # part i meets part j >= i in the task (i, j), where the rows of part j > i are not at home
     other = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.struct(F.least(j, F.col("own")).alias("i"), F.greatest(j, F.col("own")).alias("j")))
-    spread = members.withColumn("own", own).select("block", "own", "parts", "id", "n", "comp", "sig", F.explode(other).alias("t"))
+    spread = members.withColumn("own", own).select("block", "own", "parts", "id", "n", "reach", "comp", "sig", F.explode(other).alias("t"))
     load = several.agg(F.sum(F.col("rows") * F.col("parts"))).first()[0] or 0
     spread = spread.select(
         F.pmod(F.xxhash64("block", "t"), F.lit(max(1, -(-load // TASK_ROWS)))).alias("task"),
@@ -294,6 +300,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         (F.col("own") != F.col("t.i")).cast("int").alias("home"),
         "id",
         "n",
+        "reach",
         "comp",
         "sig",
     )

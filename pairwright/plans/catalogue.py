@@ -1,15 +1,681 @@
-"""Registered queries over the driver's tables, and their SQL twins."""
+"""Registered queries over the driver's tables, each with its SQL twin where SQL can express it."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
+from pairwright import config
+from pairwright.functions import attributes as A
+from pairwright.functions import money as M
+from pairwright.functions import text as T
+from pairwright.functions.similarity import blend, blend_with_numbers, jaccard, long_numbers
+from pairwright.operators import guards, leads, matching, pages
+from pairwright.plans import twins as S
+from pairwright.sources import captures, urls
+from pairwright.sources.listings import CTE, catalog, offers, table
+from pairwright.streaming import runs
 
-def oracle_sql() -> dict:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+_queries: dict[str, Query] = {}
+_oracles: dict[str, str] = {}
 
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+def query(sql: str | None = None):
+    def keep(f: Query) -> Query:
+        _queries[f.__name__] = f
+        if sql:
+            _oracles[f.__name__] = sql
+        return f
+
+    return keep
+
+
+def queries() -> dict[str, Query]:
+    return dict(_queries)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_oracles)
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return profitable_only(spark, sf_dir)
+
+
+# ---------------------------------------------------------------- economics
+
+
+def _sold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each offer with the catalogue row of its part."""
+    o = offers(spark, sf_dir).select("id", "part_id", F.col("price").alias("sell"), "shipping")
+    return o.join(catalog(spark, sf_dir).select(F.col("id").alias("part_id"), F.col("price").alias("buy"), "is_prime"), "part_id")
+
+
+_SOLD = f"{CTE}, sold as (select o.id, o.price as sell, o.shipping, c.price as buy, c.is_prime from offers o join catalog c on c.id = o.part_id)"
+
+
+def _economics_sql(fee: float = 13.25, fixed: float = 0.3, tax: float = 7, buffer: float = 0, source: str = "sold") -> str:
+    d = lambda v: f"{float(v)}::double"
+    net = "(revenue - sourcing - fees - buffer)"
+    return f"""select id, {S.rounded('revenue', 2)} as revenue, {S.rounded('sourcing', 2)} as sourcing, {S.rounded('fees', 2)} as fees, {S.rounded(net, 2)} as net_profit,
+      case when sourcing > 0 then {S.rounded(f'{net} / sourcing * 100', 1)} end as roi, case when revenue > 0 then {S.rounded(f'{net} / revenue * 100', 1)} end as margin_on_revenue,
+      {net} > 0 as profitable
+    from (select *, revenue * ({d(fee)} / 100.0::double) + {d(fixed)} as fees, {d(buffer)} as buffer from (select id,
+      coalesce(case when sell >= 0 then sell end, 0) + coalesce(case when shipping >= 0 then shipping end, 0) as revenue,
+      (coalesce(case when buy >= 0 then buy end, 0) + 0.0::double) * (1.0::double + {d(tax)} / 100.0::double) as sourcing from {source}))"""
+
+
+def _economics(df: DataFrame, s: M.Settings, *names: str) -> DataFrame:
+    e = M.economics(F.col("sell"), F.col("shipping"), F.col("buy"), F.lit(None).cast("double"), F.col("is_prime"), s)
+    return df.select("id", *[e[n].alias(n) for n in names])
+
+
+_ECON = ("revenue", "sourcing", "fees", "net_profit", "roi", "margin_on_revenue", "profitable")
+
+
+@query(f"{_SOLD} {_economics_sql()}")
+def econ_full(spark, sf_dir):
+    """E1-E3."""
+    return _economics(_sold(spark, sf_dir), M.Settings(), *_ECON)
+
+
+_WHATIF = ((10.0, 0.3, 0.0, 0.0), (13.25, 0.3, 7.0, 1.5), (999.0, -3.0, -4.0, 2.0))
+
+
+@query(f"{_SOLD} " + " union all ".join(f"select {i} as setting, * from ({_economics_sql(min(100.0, f), max(0.0, x), max(0.0, t), b)})" for i, (f, x, t, b) in enumerate(_WHATIF)))
+def econ_whatif(spark, sf_dir):
+    """The same pairs under three settings, the last one clamped."""
+    sold, out = _sold(spark, sf_dir), None
+    for i, s in enumerate(_WHATIF):
+        part = _economics(sold, M.Settings(*s), *_ECON).select(F.lit(i).alias("setting"), "id", *_ECON)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query(f"{_SOLD} select id, fees, sell - fees - buy as profit, case when buy > 0 then (sell - fees - buy) / buy else 0 end as return_on_buy from (select *, sell * 0.13::double as fees from sold)")
+def econ_table(spark, sf_dir):
+    """E5."""
+    e = M.table_economics(F.col("sell"), F.col("buy"))
+    return _sold(spark, sf_dir).select("id", *[c.alias(n) for n, c in e.items()])
+
+
+@query(
+    f"""{_SOLD} select id, concat_ws('; ', case when id % 7 = 0 then 'sell price missing, treated as $0' end, case when id % 5 = 0 or id % 13 = 0 then 'buy price missing, treated as $0' end,
+    case when not is_prime then 'buy shipping unknown and not prime, $0 assumed' end) as warnings from sold"""
+)
+def econ_warnings(spark, sf_dir):
+    """Missing and negative prices."""
+    df = _sold(spark, sf_dir).withColumn("sell", F.when(F.col("id") % 7 != 0, F.col("sell")))
+    df = df.withColumn("buy", F.when(F.col("id") % 13 == 0, -5.0).when(F.col("id") % 5 != 0, F.col("buy")))
+    return _economics(df, M.Settings(), "warnings").select("id", F.array_join("warnings", "; ").alias("warnings"))
+
+
+@query()
+def econ_breakdown(spark, sf_dir):
+    """Five lines of text."""
+    none = F.lit(None).cast("double")
+    return _sold(spark, sf_dir).select("id", M.breakdown_lines(F.col("sell"), F.col("shipping"), F.col("buy"), none, F.col("is_prime")).alias("lines"))
+
+
+@query(
+    f"""{_SOLD}, f as ({_economics_sql()}) select c.c_mktsegment as segment, n.n_name as nation, count(*) as pairs, {S.rounded('sum(f.net_profit)', 2)} as net_profit
+    from f join orders o on o.o_orderkey = f.id join customer c on c.c_custkey = o.o_custkey join nation n on n.n_nationkey = c.c_nationkey group by rollup (c.c_mktsegment, n.n_name)"""
+)
+def margin_rollup(spark, sf_dir):
+    """Beyond the reference: profit by segment and nation with subtotals."""
+    f = econ_full(spark, sf_dir).select("id", "net_profit")
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), "o_custkey")
+    customer = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_mktsegment").alias("segment"), "c_nationkey")
+    nation = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("nation"))
+    joined = f.join(orders, "id").join(customer, "o_custkey").join(nation, "c_nationkey")
+    return joined.rollup("segment", "nation").agg(F.count("*").alias("pairs"), M.rounded(F.sum("net_profit"), 2).alias("net_profit"))
+
+
+# ---------------------------------------------------------------- text
+
+
+@query(f"{CTE} select 'offer' as kind, id, md5({S.fold_key('title')}) as folded from offers union all select 'document', doc_id, md5({S.fold_key('text')}) from documents")
+def fold_title(spark, sf_dir):
+    """T1 over titles and whole documents in four languages."""
+    o = offers(spark, sf_dir).select(F.lit("offer").alias("kind"), "id", F.md5(T.fold_key(F.col("title"))).alias("folded"))
+    d = table(spark, sf_dir, "documents").select(F.lit("document").alias("kind"), F.col("doc_id").alias("id"), F.md5(T.fold_key(F.col("text"))).alias("folded"))
+    return o.unionByName(d)
+
+
+@query(f"{CTE} select id, {S.strip_spam('title')} as cleaned from offers")
+def strip_spam(spark, sf_dir):
+    """T5."""
+    return offers(spark, sf_dir).select("id", T.strip_spam(F.col("title")).alias("cleaned"))
+
+
+@query(f"{CTE} select id, {S.joined(S.title_tokens('title'))} as tokens from offers")
+def title_tokens(spark, sf_dir):
+    """T4."""
+    return offers(spark, sf_dir).select("id", F.array_join(F.array_sort(T.title_tokens(F.col("title"))), " ").alias("tokens"))
+
+
+@query(f"{CTE} select id, {S.strip_attr_noise('title')} as plain from catalog")
+def attr_noise(spark, sf_dir):
+    """T6."""
+    return catalog(spark, sf_dir).select("id", T.strip_attr_noise(F.col("title")).alias("plain"))
+
+
+@query(f"{CTE} select token, count(*) as titles from (select unnest({S.long_tokens(S.fold_key('title'))}) as token from offers) group by token")
+def token_df(spark, sf_dir):
+    """G3."""
+    return offers(spark, sf_dir).select(F.explode(T.long_tokens(T.fold_key(F.col("title")))).alias("token")).groupBy("token").agg(F.count("*").alias("titles"))
+
+
+_FIRST_POSITIONS = f"""{CTE}, t as (select id, string_split({S.fold_key('title')}, ' ') as w from offers),
+  e as (select id, token, min(pos) as pos from (select id, unnest(w) as token, generate_subscripts(w, 1) as pos from t) where length(token) > 1 group by id, token),
+  d as (select token, count(*) as n from e group by token)"""
+
+
+@query(
+    _FIRST_POSITIONS
+    + """, s as (select e.id, e.token, e.pos, round((0.5::double + 0.5::double * (least(length(e.token), 12) / 12.0::double) + case when regexp_matches(e.token, '[0-9]') then 0.25::double else 0 end) * (0.6::double + 0.4::double * (1.0::double / ln(1.0::double + d.n))), 9) as score from e join d using (token))
+    select id, string_agg(token, ' ' order by pos) as picked from (select *, row_number() over (partition by id order by score desc, pos) as r from s) where r <= 6 group by id"""
+)
+def token_rank_top6(spark, sf_dir):
+    """The six best tokens of a title, in its own order."""
+    t = offers(spark, sf_dir).select("id", F.posexplode(F.split(T.fold_key(F.col("title")), " ")).alias("pos", "token")).where(F.length("token") > 1).groupBy("id", "token").agg(F.min("pos").alias("pos"))
+    t = t.join(t.groupBy("token").agg(F.count("*").alias("n")), "token").withColumn("score", F.round(T.token_score(F.col("token"), F.col("n")), 9))
+    best = t.withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("score"), "pos"))).where("r <= 6")
+    return best.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("pos", "token"))).alias("p")).select("id", F.array_join(F.col("p.token"), " ").alias("picked"))
+
+
+@query()
+def query_exact(spark, sf_dir):
+    """T8."""
+    t = offers(spark, sf_dir).select("id", F.concat(F.lit(" - "), F.col("title"), F.when(F.col("id") % 3 == 0, " (").otherwise(" (Black)")).alias("title"))
+    return t.select("id", T.exact_title_query(F.col("title")).alias("query"))
+
+
+@query()
+def query_build(spark, sf_dir):
+    """Strategy, query and broader queries for each offer."""
+    from pairwright.operators.search import built_query
+
+    o = offers(spark, sf_dir).withColumns({"brand": F.lit(None).cast("string"), "mpn": F.when(F.col("id") % 17 == 0, F.lit("HRF-APP1")), "model": F.lit(None).cast("string")})
+    return built_query(o).select("id", "strategy", "query", F.array_join("fallbacks", " | ").alias("fallbacks"), "error")
+
+
+# ---------------------------------------------------------------- similarity
+
+_PAIRED = f"""{CTE}, paired as (select o.id as offer_id, c.id as part_id, o.title as a, c.title as b from offers o join catalog c on c.id = o.part_id)"""
+
+
+def _paired(spark, sf_dir) -> DataFrame:
+    o = offers(spark, sf_dir).select(F.col("id").alias("offer_id"), "part_id", F.col("title").alias("a"))
+    return o.join(catalog(spark, sf_dir).select(F.col("id").alias("part_id"), F.col("title").alias("b")), "part_id")
+
+
+@query(f"{_PAIRED} select offer_id, {S.jaccard('x', 'y')} as sim from (select offer_id, {S.long_tokens(S.strip_attr_noise('a'))} as x, {S.long_tokens(S.strip_attr_noise('b'))} as y from paired)")
+def sim_jaccard(spark, sf_dir):
+    """T12."""
+    t = lambda c: T.long_tokens(T.strip_attr_noise(F.col(c)))
+    return _paired(spark, sf_dir).select("offer_id", t("a").alias("x"), t("b").alias("y")).select("offer_id", jaccard(F.col("x"), F.col("y")).alias("sim"))
+
+
+@query(f"{_PAIRED} select offer_id, {S.blend('x', 'y')} as sim from (select offer_id, {S.long_tokens(S.fold_key('a'))} as x, {S.long_tokens(S.fold_key('b'))} as y from paired)")
+def sim_blend(spark, sf_dir):
+    """T10."""
+    t = lambda c: T.long_tokens(T.fold_key(F.col(c)))
+    return _paired(spark, sf_dir).select("offer_id", t("a").alias("x"), t("b").alias("y")).select("offer_id", blend(F.col("x"), F.col("y")).alias("sim"))
+
+
+@query(
+    f"{_PAIRED} select offer_id, {S.blend_with_numbers('x', 'y', 'm', 'n')} as sim from (select offer_id, {S.title_tokens('a')} as x, {S.title_tokens('b')} as y, {S.numbers('a')} as m, {S.numbers('b')} as n from paired)"
+)
+def sim_number_bonus(spark, sf_dir):
+    """T11."""
+    p = _paired(spark, sf_dir).select("offer_id", T.title_tokens(F.col("a")).alias("x"), T.title_tokens(F.col("b")).alias("y"), long_numbers(F.col("a")).alias("m"), long_numbers(F.col("b")).alias("n"))
+    return p.select("offer_id", blend_with_numbers(F.col("x"), F.col("y"), F.col("m"), F.col("n")).alias("sim"))
+
+
+# ---------------------------------------------------------------- keyword flow
+
+_TOKENED = f"""{CTE}, a as (select id, run, {S.title_tokens('title')} as t, {S.numbers('title')} as n from catalog), b as (select id, run, {S.title_tokens('title')} as t, {S.numbers('title')} as n from offers),
+  edges as (select * from (select a.run, a.id as a_id, b.id as b_id, {S.blend_with_numbers('a.t', 'b.t', 'a.n', 'b.n')} as sim from a join b on a.run = b.run) where sim >= {config.LEGACY_FLOOR})"""
+_GREEDY = f"""{_TOKENED.replace('with catalog', 'with recursive catalog', 1)},
+  ranked as materialized (select *, row_number() over (partition by run order by sim desc, a_id, b_id) as k from edges),
+  walk(run, k, used_a, used_b, a_id, b_id, sim, taken) as (
+    select run, 0::bigint, []::bigint[], []::bigint[], null::bigint, null::bigint, null::double, false from (select distinct run from ranked)
+    union all
+    select r.run, r.k, case when ok then list_append(used_a, r.a_id) else used_a end, case when ok then list_append(used_b, r.b_id) else used_b end, r.a_id, r.b_id, r.sim, ok
+    from (select w.used_a, w.used_b, r.*, not list_contains(w.used_a, r.a_id) and not list_contains(w.used_b, r.b_id) as ok from walk w join ranked r on r.run = w.run and r.k = w.k + 1) r),
+  pairs as (select run, a_id, b_id, sim from (select *, row_number() over (partition by run order by sim desc, a_id, b_id) as place from walk where taken) where place <= {config.MAX_PAIRS})"""
+
+
+def _edges(spark, sf_dir) -> DataFrame:
+    return matching.candidate_pairs(matching.with_tokens(catalog(spark, sf_dir)), matching.with_tokens(offers(spark, sf_dir)), ["run"])
+
+
+def _pairs(spark, sf_dir) -> DataFrame:
+    order = [F.desc("sim"), F.col("a_id"), F.col("b_id")]
+    return matching.capped(matching.greedy_pairs(_edges(spark, sf_dir), ["run"], order), ["run"], order)
+
+
+@query(f"{_TOKENED} select run, a_id, b_id, sim from edges")
+def candidates(spark, sf_dir):
+    """Catalogue against offers within each keyword run."""
+    return _edges(spark, sf_dir)
+
+
+@query(f"{_GREEDY} select run, a_id, b_id, cast({S.rounded('sim * 100', 0)} as integer) as sim from pairs")
+def greedy_pairs(spark, sf_dir):
+    """J3, O2, O4."""
+    return _pairs(spark, sf_dir).select("run", "a_id", "b_id", M.rounded(F.col("sim") * 100, 0).cast("int").alias("sim"))
+
+
+_SUMMARY = """, x as (select run, count(*) as a_total from catalog group by run), y as (select run, count(*) as b_total from offers group by run), z as (select run, count(*) as pairs from pairs group by run)
+  select run, coalesce(pairs, 0) as pairs, coalesce(a_total, 0) as a_total, coalesce(b_total, 0) as b_total, coalesce(b_total, 0) - coalesce(pairs, 0) as unpaired from x full join y using (run) left join z using (run)"""
+
+
+@query(_GREEDY + _SUMMARY)
+def pair_summary(spark, sf_dir):
+    """G1, G2."""
+    n = lambda df, name: df.groupBy("run").agg(F.count("*").alias(name))
+    out = n(catalog(spark, sf_dir), "a_total").join(n(offers(spark, sf_dir), "b_total"), "run", "full").join(n(_pairs(spark, sf_dir), "pairs"), "run", "left")
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    return out.select("run", zero("pairs").alias("pairs"), zero("a_total").alias("a_total"), zero("b_total").alias("b_total"), (zero(F.col("b_total")) - zero(F.col("pairs"))).alias("unpaired"))
+
+
+_PRICED = """, priced as (select p.run, p.a_id, p.b_id, c.title as product, o.price as sell, c.price as buy, o.price * 0.13::double as fees, o.price - o.price * 0.13::double - c.price as profit
+  from pairs p join catalog c on c.id = p.a_id join offers o on o.id = p.b_id)"""
+
+
+def _priced(spark, sf_dir) -> DataFrame:
+    c = catalog(spark, sf_dir).select(F.col("id").alias("a_id"), F.col("title").alias("product"), F.col("price").alias("buy"))
+    o = offers(spark, sf_dir).select(F.col("id").alias("b_id"), F.col("price").alias("sell"))
+    p = _pairs(spark, sf_dir).select("run", "a_id", "b_id").join(c, "a_id").join(o, "b_id")
+    e = M.table_economics(F.col("sell"), F.col("buy"))
+    return p.withColumns({"fees": e["fees"], "profit": e["profit"]})
+
+
+@query(f"{_GREEDY}{_PRICED} select run, a_id, b_id, sell, buy, fees, profit, row_number() over (order by profit desc, a_id, b_id) as place from priced where profit > 0")
+def profitable_only(spark, sf_dir):
+    """The keyword flow from end to end: J1, J3, E5, F1, O1. place is the row's rank in the table (initial sort, by profit)."""
+    return _ranked(_priced(spark, sf_dir).where("profit > 0").select("run", "a_id", "b_id", "sell", "buy", "fees", "profit"), "profit", True)
+
+
+def _ranked(df: DataFrame, key: str, descending: bool) -> DataFrame:
+    """O1: adds place, by key, then a_id, b_id, without bringing all rows to one task: rows are range-partitioned, and each
+    partition's places start after those of the partitions before it."""
+    order = [F.desc(key) if descending else F.col(key), F.col("a_id"), F.col("b_id")]
+    parts = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_n", F.monotonically_increasing_id())
+    from pairwright.session import persisted
+
+    parts = persisted(parts.withColumn("_p", F.shiftright("_n", 33)))
+    sizes = parts.groupBy("_p").agg(F.count("*").alias("_rows"))
+    ahead = sizes.withColumn("_ahead", F.coalesce(F.sum("_rows").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    out = parts.join(F.broadcast(ahead.select("_p", "_ahead")), "_p")  # one row for each partition
+    return out.withColumn("place", (F.col("_n").bitwiseAND((1 << 33) - 1) + F.col("_ahead") + 1).cast("long")).drop("_n", "_p", "_ahead")
+
+
+@query(f"{_GREEDY}{_PRICED} select a_id, b_id, product, row_number() over (order by lower(product), a_id, b_id) as place from priced")
+def sort_by_product(spark, sf_dir):
+    """O1: a text key, ascending, without regard to case."""
+    df = _priced(spark, sf_dir).select("a_id", "b_id", "product", F.lower("product").alias("key"))
+    return _ranked(df, "key", False).drop("key")
+
+
+@query(f"{_GREEDY} select run, a_id, b_id, case when sim >= 0.90 then 'high' when sim >= 0.75 then 'possible' else 'low' end as label, floor(sim * 100 + 0.5) < 75 as review from pairs")
+def confidence_bands(spark, sf_dir):
+    """F12, F13."""
+    p = _pairs(spark, sf_dir)
+    return p.select("run", "a_id", "b_id", leads.confidence_label(F.col("sim") * 100).alias("label"), leads.needs_review(F.lit(True), F.col("sim")).alias("review"))
+
+
+# ---------------------------------------------------------------- one to many
+
+
+def _sides(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    left = offers(spark, sf_dir).withColumn("total_price", F.col("price") + F.col("shipping"))
+    rank = F.row_number().over(Window.partitionBy("run").orderBy("id")) - 1
+    right = catalog(spark, sf_dir).withColumn("rank", rank).withColumn("quantity", F.lit(None).cast("int"))
+    return left, right
+
+
+def _scored(spark, sf_dir) -> DataFrame:
+    left, right = _sides(spark, sf_dir)
+    return matching.best_of_n(left, right, ["run"])
+
+
+def _best_sql() -> str:
+    lt, ra, rs = S.long_tokens(S.fold_key("clean")), S.long_tokens(S.fold_key("clean")), S.long_tokens(S.fold_key(f"left(clean, {config.TITLE_PREFIX})"))
+    weights = config.BEST_WEIGHTS
+    top = " + ".join(f"coalesce({w}::double * {k}, 0)" for k, w in weights.items())
+    base = " + ".join(f"case when {k} is not null then {w}::double else 0 end" for k, w in weights.items())
+    low = S.words(T.LOW_VALUE_WORDS)
+    return f"""{CTE}, lc as (select *, price + shipping as total_price, {S.strip_spam('title')} as clean from offers),
+    rc as (select * from (select *, {S.strip_spam('title')} as clean, row_number() over (partition by run order by id) - 1 as rank from catalog) where rank < {config.SCREENED}),
+    l as materialized (select run, id as l_id, gtin, total_price, {lt} as ls, {S.models('clean', True)} as lm, {S.brand('clean', True)} as lb, {S.quantity('title', True)} as lp from lc),
+    r as materialized (select run, id as r_id, price, rank, {rs} as rs, {ra} as ra, {S.models('clean', True)} as rm, {S.brand(f'left(clean, {config.TITLE_PREFIX})', True)} as rb, {S.quantity('title', True)} as rp, {S.fold_key('title')} as folded from rc),
+    p0 as (select l.*, r.* exclude (run), {S.blend('ls', 'ra')} as screen from l join r using (run)),
+    p1 as (select *, bool_or(screen >= {config.SCREEN_FLOOR} or gtin is not null) over (partition by run, l_id) as any_hit from p0),
+    p2 as (select * exclude (screen), case when any_hit then screen else 0 end as screen from p1 where screen >= {config.SCREEN_FLOOR} or gtin is not null or (not any_hit and rank < 3)),
+    p3 as (select * from (select *, row_number() over (partition by run, l_id order by screen desc, rank) as n from p2) where n <= {config.SCORED}),
+    f as (select *, {S.blend('ls', 'rs')} as title, case when gtin is not null and contains(folded, gtin) then 1.0::double else cast({S.same_models('lm', 'rm')} as double) end as identifier,
+      case when lb is not null and rb is not null then cast(lb = rb as double) end as brand,
+      len(list_filter(list_intersect(ls, ra), lambda w: not list_contains({low}, w))) / nullif(len(list_distinct(list_concat(ls, ra))), 0) as category,
+      case when lp is not null and rp is not null then cast(lp = rp as double) when lp is null and rp = 1 then 0.9::double end as bundle,
+      lp is not null and rp is not null and lp <> rp as mismatch, total_price > 0 and price > 0 as priced from p3),
+    s as (select *, case when {base} > 0 then ({top}) / ({base}) else 0 end - case when mismatch then 0.45::double else 0 end
+      - case when brand = 0 and identifier = 0 then 0.2::double when brand = 0 then 0.1::double else 0 end
+      + case when priced and not mismatch then least(total_price, price) / greatest(total_price, price) * 0.05::double else 0 end
+      + case when priced and price < total_price then 0.08::double else 0 end
+      + case when identifier = 1 and brand = 1 then 0.1::double when identifier = 1 then 0.08::double else 0 end as raw from f),
+    t as (select *, {S.rounded('least(1.0::double, greatest(0.0::double, raw))', 4)} as score from s),
+    u as (select *, row_number() over (partition by run, l_id order by score desc, rank) as place,
+      case when identifier = 1 and (coalesce(brand = 1, false) or gtin is not null) then {config.LOCKED_FLOOR} else {config.BEST_FLOOR} end as floor from t),
+    scored as materialized (select *, place = 1 and score >= floor as accepted from u)"""
+
+
+_BEST = _best_sql()
+
+
+@query(f"{_BEST} select run, l_id, r_id, score, place, accepted from scored")
+def best_of_n(spark, sf_dir):
+    """Scored candidates of each offer."""
+    return _scored(spark, sf_dir).select("run", "l_id", "r_id", "score", "place", "accepted")
+
+
+@query(f"{_BEST} select * from (select l_id, r_id, score, row_number() over (partition by run, l_id order by place) as shown from scored where score >= {config.LIST_FLOOR} and not accepted) where shown <= 9")
+def alternatives(spark, sf_dir):
+    """F3, F4."""
+    return matching.alternatives(_scored(spark, sf_dir), ["run"]).select("l_id", "r_id", "score", "shown")
+
+
+@query(f"{_BEST} select l_id, r_id, score, accepted, case when accepted then null when mismatch then 'QUANTITY_MISMATCH' else 'LOW_CONFIDENCE' end as error_code from scored where place = 1")
+def no_match_reasons(spark, sf_dir):
+    """G10, W12."""
+    return matching.outcome(_scored(spark, sf_dir), ["run"]).select("l_id", "r_id", "score", "accepted", "error_code")
+
+
+@query()
+def manual_override(spark, sf_dir):
+    """Runs with a pinned candidate (their catalogue row with the largest id) have only that one."""
+    left, right = _sides(spark, sf_dir)
+    pins = right.groupBy("run").agg(F.max("id").alias("pinned_id"))
+    return matching.best_of_n(left, matching.with_overrides(right, pins, ["run"]), ["run"]).where("place = 1").select("run", "l_id", "r_id", "score", "accepted")
+
+
+# ---------------------------------------------------------------- pair matcher
+
+
+def _pair_scores(spark, sf_dir) -> DataFrame:
+    return matching.score_pairs(matching.pair_features(catalog(spark, sf_dir)), matching.pair_features(offers(spark, sf_dir)), ["run"])
+
+
+@query()
+def pair_score(spark, sf_dir):
+    """J2, C5, C6, C8, C9."""
+    return _pair_scores(spark, sf_dir).select("run", "a_id", "b_id", "score", "confidence", "blocked", "category", "same_family", "same_variant", F.array_join("reasons", "; ").alias("reasons"))
+
+
+@query()
+def conflicts(spark, sf_dir):
+    """Known differences of each pair."""
+    return _pair_scores(spark, sf_dir).select("a_id", "b_id", F.inline("conflicts"))
+
+
+@query()
+def greedy_confident(spark, sf_dir):
+    """J4."""
+    return matching.confident_pairs(_pair_scores(spark, sf_dir), ["run"]).select("run", "a_id", "b_id", "score", "confidence")
+
+
+# ---------------------------------------------------------------- attributes
+
+_INLINE = (
+    "Crucial 128GB DDR4 RAM memory 2 Pack", "Kindle Gen II 8gb wifi only", "Desk pad 900x400 mm black", "31.5 x 11.8 in mat, jet black", "Rug 2 x 3 m rose gold", "T-Shirt x-large navy blue", "Bottle 500ml one",
+    "Flask 1.5 l pair", "Refurbished iPhone Series 3 gps + cellular", "Open box mouse Model: G502-X", "Pack of 12 wipes", "Stanley 2 Pack 40 oz", "64 count dozen eggs", "mouse + keyboard starter kit", "unbranded 2tb hard drive used like new",
+    "Pre-owned LTE watch mk iv", "512 mb sd card", "WH-1000XM5 headphones various colors", "small red toy lego figure x4", "", "One size hoodie brand new",
+)
+_TITLES = f"{CTE}, titles as (select id, title from offers union all select -i, title from (values " + ", ".join(f"({i + 1}, {S.q(t)})" for i, t in enumerate(_INLINE)) + ") v(i, title))"
+
+
+def _titles(spark, sf_dir) -> DataFrame:
+    inline = spark.createDataFrame([(-(i + 1), t) for i, t in enumerate(_INLINE)], "id long, title string")
+    return offers(spark, sf_dir).select("id", "title").unionByName(inline)
+
+
+def _extract(name: str, doc: str, columns: dict[str, tuple]) -> None:
+    def run(spark, sf_dir):
+        return _titles(spark, sf_dir).select("id", *[f(F.col("title")).alias(c) for c, (f, _) in columns.items()])
+
+    run.__name__, run.__doc__ = name, doc
+    query(f"{_TITLES} select id, " + ", ".join(f"{sql('title')} as {c}" for c, (_, sql) in columns.items()) + " from titles")(run)
+
+
+_list = lambda f: lambda t: F.array_join(F.array_sort(f(t)), " ")
+_extract("extract_quantity", "A1-A4.", {"quantity": (A.quantity, S.quantity), "bundle": (lambda t: A.quantity(t, True), lambda t: S.quantity(t, True)), "guard": (A.guard_quantity, S.guard_quantity), "is_bundle": (A.is_bundle, S.is_bundle)})
+_extract("extract_color", "A5.", {"color": (A.color, S.color)})
+_extract("extract_storage", "A6, A7.", {"storage": (A.storage_gb, S.storage_gb), "ram": (A.ram_gb, S.ram_gb)})
+_extract("extract_dims", "A8.", {"w_in": (lambda t: A.dimensions(t)["w_in"], lambda t: S.dimension(t, "least")), "h_in": (lambda t: A.dimensions(t)["h_in"], lambda t: S.dimension(t, "greatest"))})
+_extract("extract_capacity", "A17.", {"capacity": (A.capacity_ml, S.capacity_ml)})
+_extract("extract_size", "A16.", {"size_name": (A.size_name, S.size_name)})
+_extract("extract_condition", "A13.", {"condition": (A.condition, S.condition)})
+_extract("extract_connectivity", "A14.", {"connectivity": (A.connectivity, S.connectivity)})
+_extract("extract_generation", "A15.", {"generation": (A.generation, S.generation)})
+_extract("extract_brand", "A11, A12.", {"brand": (A.brand, S.brand), "brand_best": (lambda t: A.brand(t, True), lambda t: S.brand(t, True))})
+_extract("extract_models", "A9, A10.", {"models": (_list(A.models), lambda t: S.joined(S.models(t))), "models_best": (_list(lambda t: A.models(t, True)), lambda t: S.joined(S.models(t, True)))})
+_extract("extract_category", "A18.", {"category": (A.category, S.category)})
+_extract("variation_tokens", "A21.", {"tokens": (_list(A.variation_tokens), lambda t: S.joined(S.variation_tokens(t)))})
+
+_MONEY = "concat(case p_partkey % 6 when 0 then 'US $' when 1 then '$' when 2 then 'free ' when 3 then 'EUR ' when 4 then '$1,' else 'was $' end, case p_partkey % 4 when 0 then '12,99' when 1 then '899.50 to $950.25' when 2 then '0.00' else '45' end)"
+
+
+@query(
+    f"""select p_partkey as id, {S.number("replace(t, ',', '')")} as edge, case when {S.number("replace(t, ',', '')")} > 0 then {S.number("replace(t, ',', '')")} end as card,
+    {S.number(f"case when {S.rl('t', r'^[^0-9]*[0-9]{1,3}(?:[.][0-9]{3})*,[0-9]{2}[^0-9]*$')} then replace(replace({S.rr('t', '[^0-9.,]', '')}, '.', ''), ',', '.') else replace({S.rr('t', '[^0-9.,]', '')}, ',', '') end")} as item,
+    list_min(list_transform(regexp_extract_all(replace(t, ',', ''), '\\$\\s*([0-9]+(?:[.][0-9]{{1,2}})?)', 1), lambda x: cast(x as double))) as low
+    from (select p_partkey, {_MONEY} as t from part)"""
+)
+def parse_money(spark, sf_dir):
+    """The four readings of a price text."""
+    t = F.expr(_MONEY)
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), M.edge_money(t).alias("edge"), M.card_money(t).alias("card"), M.item_money(t).alias("item"), M.range_money(t).alias("low"))
+
+
+# ---------------------------------------------------------------- guards and leads
+
+_GUARDED = f"{_PAIRED}, g as (select offer_id, a, b, {S.variation_tokens('a')} as tokens, {S.fold_variation('b')} as fb from paired)"
+_MISSING = "list_filter(tokens, lambda t: not contains(fb || ' ' || replace(fb, ' ', ''), t))"
+
+
+@query(f"{_GUARDED} select offer_id, len(tokens) > 0 as has_variation, {S.joined(_MISSING)} as missing, len({_MISSING}) > 0 or (len(tokens) > 0 and {S.rl('fb', guards.GENERIC_PARENT)}) as conflict from g")
+def guard_variation(spark, sf_dir):
+    """Q1."""
+    v = guards.variation(F.col("a"), F.col("b"))
+    return _paired(spark, sf_dir).select("offer_id", v.alias("v")).select("offer_id", "v.has_variation", F.array_join(F.array_sort("v.missing"), " ").alias("missing"), "v.conflict")
+
+
+@query(f"{_PAIRED} select offer_id, l as left_quantity, r as right_quantity, case when l = r then 'ok' else 'warning' end as level from (select offer_id, coalesce({S.quantity('a', True)}, 1) as l, {S.guard_quantity('b')} as r from paired)")
+def guard_quantity(spark, sf_dir):
+    """Q2."""
+    g = guards.quantities(A.quantity(F.col("a"), True), F.lit(None).cast("int"), F.col("b"))
+    return _paired(spark, sf_dir).select("offer_id", g.alias("g")).select("offer_id", "g.*")
+
+
+@query(
+    f"""{_GUARDED} select offer_id, (case when c then 1 else 0 end) + (case when h then 1 else 0 end) as alerts, h as hard from (select offer_id,
+    len({_MISSING}) > 0 or (len(tokens) > 0 and {S.rl('fb', guards.GENERIC_PARENT)}) as c, coalesce({S.quantity('a', True)}, 1) <> {S.guard_quantity('b')} as h from g)"""
+)
+def guard_assess(spark, sf_dir):
+    """Q3, G9."""
+    p = _paired(spark, sf_dir).select("offer_id", guards.variation(F.col("a"), F.col("b")).alias("v"), guards.quantities(A.quantity(F.col("a"), True), F.lit(None).cast("int"), F.col("b")).alias("q"))
+    alerts = guards.assess(F.col("v"), F.col("q"))
+    return p.select("offer_id", F.size(alerts).alias("alerts"), guards.hard(alerts).alias("hard"))
+
+
+def _lead_rows(spark, sf_dir) -> DataFrame:
+    left, right = _sides(spark, sf_dir)
+    best = matching.best_of_n(left, right, ["run"]).where("accepted").select(F.col("l_id"), F.col("r_id"), "l_title", "r_title", "score", "l_pack")
+    o = left.select(F.col("id").alias("l_id"), F.col("price").alias("sell_price"), F.col("shipping").alias("sell_shipping"), F.concat(F.lit("https://www.ebay.com/itm/"), F.col("id").cast("string")).alias("sell_url"))
+    c = right.select(F.col("id").alias("r_id"), F.col("price").alias("buy_price"), F.col("is_prime").alias("prime"), F.concat(F.lit("https://www.amazon.com/dp/"), F.col("id").cast("string")).alias("buy_url"))
+    t = best.join(o, "l_id").join(c, "r_id")
+    e = M.economics(F.col("sell_price"), F.col("sell_shipping"), F.col("buy_price"), F.lit(None).cast("double"), F.col("prime"))
+    alerts = guards.assess(guards.variation(F.col("l_title"), F.col("r_title")), guards.quantities(F.col("l_pack"), F.lit(None).cast("int"), F.col("r_title")))
+    t = t.withColumns(e).withColumns({"alerts": F.transform(alerts, lambda a: a["message"]), "margin": F.col("margin_on_revenue"), "confidence": F.col("score"), "sell_title": F.col("l_title"), "buy_title": F.col("r_title"), "buy_id": F.col("r_id")})
+    return leads.lead_rows(t.withColumn("margin", F.col("margin")), "2024-01-31T00:00:00.000Z")
+
+
+@query()
+def lead_rows(spark, sf_dir):
+    """K1: accepted matches with economics and alerts."""
+    return _lead_rows(spark, sf_dir)
+
+
+@query()
+def lead_csv(spark, sf_dir):
+    """K2, K3."""
+    rows = _lead_rows(spark, sf_dir)
+    return rows.select("sell_url", leads.csv_line(rows).alias("line"))
+
+
+@query()
+def lead_text(spark, sf_dir):
+    """K4."""
+    return _lead_rows(spark, sf_dir).select("sell_url", leads.breakdown_text().alias("text"))
+
+
+_CELLS = "concat(o_orderpriority, case o_orderkey % 4 when 0 then ', \"x\"' when 1 then chr(10) || 'y' when 2 then '\"' else '' end)"
+
+
+@query(f"select o_orderkey as id, case when regexp_matches(c, '[\",\\n\\r]') then '\"' || replace(c, '\"', '\"\"') || '\"' else c end as cell from (select o_orderkey, {_CELLS} as c from orders)")
+def csv_cells(spark, sf_dir):
+    """K3 on texts with quotes, commas and line breaks."""
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), leads.csv_cell(F.expr(_CELLS)).alias("cell"))
+
+
+# ---------------------------------------------------------------- pages of results
+
+_REPEATED = f"{CTE}, rows as (select run, 1 as page, id, title, price from offers union all select run, 2, case when id % 5 = 0 then null else id end, title, price from offers where id % 2 = 0)"
+
+
+def _repeated(spark, sf_dir) -> DataFrame:
+    o = offers(spark, sf_dir).select("run", F.lit(1).alias("page"), "id", "title", "price", F.lit("").alias("url"), F.lit("b").alias("site"))
+    return o.unionByName(o.where("id % 2 = 0").withColumn("page", F.lit(2)).withColumn("id", F.when(F.col("id") % 5 != 0, F.col("id"))))
+
+
+@query(f"{_REPEATED} select run, count(*) as rows, sum(case when page = 2 then 1 else 0 end) as from_page_2, count(id) as with_id from (select *, row_number() over (partition by run, coalesce(cast(id as varchar), 'b:' || title || ':' || cast(price as varchar)) order by page, id) as r from rows) where r = 1 group by run")
+def dedupe_pages(spark, sf_dir):
+    """Rows left of each run after first-wins dedupe by key."""
+    d = pages.first_of_each(_repeated(spark, sf_dir), ["run"], [F.col("page"), F.col("id")])
+    return d.groupBy("run").agg(F.count("*").alias("rows"), F.sum((F.col("page") == 2).cast("int")).alias("from_page_2"), F.count("id").alias("with_id"))
+
+
+@query(f"{_REPEATED} select run, count(*) as rows, count(id) as with_id from (select *, row_number() over (partition by run, id order by page) as r from rows) where id is null or r = 1 group by run")
+def merge_capped(spark, sf_dir):
+    """Rows of each run (the cap of 1000 rows of a run is the operator's own)."""
+    m = pages.merged(_repeated(spark, sf_dir), ["run"], [F.col("page"), F.col("id"), F.col("title")])
+    return m.groupBy("run").agg(F.count("*").alias("rows"), F.count("id").alias("with_id"))
+
+
+_HOST, _PATH = r"^[a-z]+://([^/?#:]+)", r"^[a-z]+://[^/?#]+([^?#]*)"
+
+
+@query("select page_id, " + S.rx("url", _HOST) + " as host, coalesce(" + S.rx("url", _PATH) + ", '') as path, " + S.rx("url", r"[?&]page=([0-9]+)") + " as echo, greatest(1, coalesce(try_cast(" + S.rx("url", r"[?&]page=([0-9]{1,6})") + " as integer), 1)) as page, "
+       "url like 'https://%' and (" + S.rx("url", _HOST) + " like '%.example.com') as on_site from pages")
+def url_query_echo(spark, sf_dir):
+    """F5, A26."""
+    u = F.col("url")
+    p = urls.parts(u)
+    return table(spark, sf_dir, "pages").select("page_id", F.nullif(p["host"], F.lit("")).alias("host"), p["path"].alias("path"), urls.query_value(u, "page").alias("echo"), urls.page_number(u).alias("page"), urls.is_site(u, "example.com").alias("on_site"))
+
+
+_ITEM = "concat(case o_orderkey % 6 when 0 then 'https://www.ebay.com/itm/' when 1 then 'http://m.ebay.co.uk/itm/some-slug/' when 2 then '' when 3 then 'https://example.org/itm/' when 4 then 'javascript:' else 'https://www.ebay.de/sch/' end, cast(100000000 + o_orderkey as varchar(20)), case when o_orderkey % 6 < 2 then '?hash=1' else '' end)"
+
+
+@query(
+    f"""select o_orderkey as id, case o_orderkey % 6 when 0 then i when 1 then i when 2 then i end as item_id, case when o_orderkey % 6 < 3 then 'https://www.ebay.com/itm/' || i end as canonical_url,
+    case o_orderkey % 6 when 3 then 'NOT_EBAY_ITEM' when 4 then 'INVALID_URL' when 5 then 'NOT_EBAY_ITEM' end as error from (select o_orderkey, cast(100000000 + o_orderkey as varchar) as i from orders)"""
+)
+def url_validate(spark, sf_dir):
+    """F6 on item URLs of six forms."""
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), urls.item_url(F.expr(_ITEM)).alias("u")).select("id", "u.*")
+
+
+@query(f"{CTE} select id, 'https://www.amazon.com/s?k=' || replace(title, ' ', '%20') || '&page=' || cast(1 + id % 3 as varchar) || '&ref=sr_pg_' || cast(1 + id % 3 as varchar) as url from catalog")
+def search_url(spark, sf_dir):
+    """F9."""
+    return catalog(spark, sf_dir).select("id", urls.search_url(F.col("title"), (F.lit(1) + F.col("id") % 3).cast("int")).alias("url"))
+
+
+_TITLE = "regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)"
+
+
+@query(f"select page_id, {S.squeeze(_TITLE.join(['replace(' * 5, ''.join(f', {S.q(a)}, {S.q(b)})' for a, b in (('&lt;', '<'), ('&gt;', '>'), ('&quot;', chr(34)), ('&#39;', chr(39)), ('&amp;', '&')))]))} as title from pages")
+def page_title(spark, sf_dir):
+    """S8."""
+    return table(spark, sf_dir, "pages").select("page_id", captures.page_title(F.col("html")).alias("title"))
+
+
+@query(f"select page_id, {S.rl('url', urls.BLOCKED)} or {S.rl('html', urls.BLOCKED)} as blocked from pages")
+def blocked_pages(spark, sf_dir):
+    """S16."""
+    return table(spark, sf_dir, "pages").select("page_id", urls.is_blocked(F.col("url"), F.col("html")).alias("blocked"))
+
+
+@query()
+def item_pages(spark, sf_dir):
+    """Every page read as an item page."""
+    return captures.item_pages(table(spark, sf_dir, "pages")).select("page_id", "item.title", "item.price", "item.status")
+
+
+# ---------------------------------------------------------------- events
+
+_EVENTS = "with e as (select *, cast(json_extract_string(props, '$.k') as integer) % 20 + 1 as page from events)"
+
+
+def _events(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "events").withColumn("page", F.get_json_object("props", "$.k").cast("int") % 20 + 1)
+
+
+@query(f"{_EVENTS} select event_id, page > coalesce(max(page) over (partition by user_id order by ts, event_id rows between unbounded preceding and 1 preceding), 0) as accepted from e")
+def event_align(spark, sf_dir):
+    """Stale and repeated payloads."""
+    return pages.aligned(_events(spark, sf_dir), ["user_id"], [F.col("ts"), F.col("event_id")]).select("event_id", "accepted")
+
+
+@query("""with g as (select event_id, user_id, ts, epoch_us(ts) - epoch_us(lag(ts) over (partition by user_id order by ts, event_id)) as gap from events)
+select event_id, coalesce(gap > 14400000000, false) as timed_out, sum(case when gap > 14400000000 then 1 else 0 end) over (partition by user_id order by ts, event_id) as stage from g""")
+def stage_timeout(spark, sf_dir):
+    """Gaps above four hours."""
+    return pages.timeouts(table(spark, sf_dir, "events"), ["user_id"], 4 * 3600).select("event_id", "timed_out", "stage")
+
+
+@query("select user_id, min(tier) as tier, arg_min(n, tier) as rows from (select user_id, case event_type when 'purchase' then 1 when 'signup' then 2 when 'click' then 3 else 4 end as tier, count(*) as n from events group by 1, 2) group by user_id")
+def tier_fallback(spark, sf_dir):
+    """The first kind of event that a user has, of four tiers."""
+    tier = F.when(F.col("event_type") == "purchase", 1).when(F.col("event_type") == "signup", 2).when(F.col("event_type") == "click", 3).otherwise(4)
+    n = table(spark, sf_dir, "events").groupBy("user_id", tier.alias("tier")).agg(F.count("*").alias("rows"))
+    return pages.first_tier_with_rows(n, ["user_id"])
+
+
+@query("""with g as (select event_id, user_id, ts, event_type = 'error' as bad, sum(case when event_type = 'error' then 0 else 1 end) over (partition by user_id order by ts, event_id rows unbounded preceding) as good from events),
+h as (select event_id, sum(case when bad then 1 else 0 end) over (partition by user_id, good order by ts, event_id rows unbounded preceding) as errors_in_row from g) select event_id, errors_in_row, errors_in_row >= 4 as exhausted from h""")
+def retry_budget(spark, sf_dir):
+    """W7."""
+    e = table(spark, sf_dir, "events").withColumn("is_error", F.col("event_type") == "error")
+    return pages.retries(e, ["user_id"]).select("event_id", "errors_in_row", "exhausted")
+
+
+@query("select distinct user_id from events where user_id not in (select user_id from events where event_type = 'purchase' and value > 10)")
+def orphans(spark, sf_dir):
+    """W10."""
+    e = table(spark, sf_dir, "events")
+    return pages.orphans(e.select("user_id").distinct(), e.where("event_type = 'purchase' and value > 10"), "user_id")
+
+
+@query()
+def run_states(spark, sf_dir):
+    """Events replayed as page payloads, the last state of each run (the batch twin of the stream)."""
+    e = _events(spark, sf_dir)
+    p = e.select(F.col("user_id").cast("string").alias("run"), F.when(F.col("event_type").isin("view", "click"), "b").otherwise("a").alias("site"), "page", "ts", F.col("value").cast("int").cast("long").alias("items"), F.when(F.col("event_type") == "error", "parse").alias("error"))
+    return runs.run_states_batch(p)

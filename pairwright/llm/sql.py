@@ -1,3 +1,34 @@
 """DuckDB SQL for the queries that SQL can express on whole tables."""
 
-ORACLES: dict[str, str] = {}
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_SPACE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+OP1 = f"""
+with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\\x20\\x09-\\x0D]+') as w from documents),
+s as materialized (select distinct doc_id, unnest(list_transform(range(1, greatest(2, len(w) - 1)), lambda i: array_to_string(w[i:i + 2], ' '))) as g from w where len(w) > 0),
+n as materialized (select doc_id, count(*) as n from s group by doc_id),
+c as (select a.doc_id as a, b.doc_id as b, count(*) as k from s a join s b on a.g = b.g and a.doc_id < b.doc_id group by 1, 2),
+l as materialized (select a, b from c join n x on x.doc_id = a join n y on y.doc_id = b where 100 * k >= 90 * (x.n + y.n - k)),
+e as materialized (select a, b from l union all select b, a from l),
+r(id, reached) as (select doc_id, doc_id from documents union select r.id, e.b from r join e on e.a = r.reached)
+select d.doc_id, coalesce(n.n, 0) as n_shingles, m.component_id from documents d left join n using (doc_id) join (select id, min(reached) as component_id from r group by id) m on m.id = d.doc_id
+"""
+
+OP2 = f"""
+with t as (select doc_id, string_split(coalesce(text, ''), chr(10)) as lines from documents),
+l as (select doc_id, unnest(lines) as line, generate_subscripts(lines, 1) as pos from t),
+k as materialized (select *, nullif(translate(trim(line, {_SPACE}), '{_UPPER}', '{_LOWER}'), '') as key from l),
+h as (select key from (select distinct doc_id, key from k where key is not null) group by key having count(*) >= 10)
+select doc_id, count(*) as n_lines, count(h.key) as n_dropped, sha256(coalesce(string_agg(line, chr(10) order by pos) filter (where h.key is null), '')) as kept_sha256
+from k left join h on h.key = k.key group by doc_id
+"""
+
+OP9 = """
+with recursive v as materialized (select vec_id, label, embedding::double[] as e from embeddings),
+l as materialized (select a.vec_id as a, b.vec_id as b from v a join v b on a.label = b.label and a.vec_id <> b.vec_id where list_cosine_similarity(a.e, b.e) >= 0.98),
+r(id, reached) as (select vec_id, vec_id from v union select r.id, l.b from r join l on l.a = r.reached),
+m as (select id, min(reached) as component_id from r group by id), n as (select a, count(*) as n from l group by a)
+select v.vec_id, coalesce(n.n, 0) as n_links, m.component_id, v.vec_id = m.component_id as kept from v join m on m.id = v.vec_id left join n on n.a = v.vec_id
+"""
+
+ORACLES: dict[str, str] = {"op1_ngram_jaccard_join": OP1, "op2_line_dedup": OP2, "op9_embedding_near_dedup": OP9}

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from pairwright.functions.text import fold_key, fold_variation, text_or_empty
+from pairwright.functions.text import fold_key, fold_variation, let, text_or_empty
 
 # Pack sizes, tried in order.
 PACK_COUNT = r"(?:^|[^a-z0-9])(\d{1,3})\s*[-\s]?\s*(?:pack|pk|pcs|pieces?|ct|count|units?|bottles?|cans?|tubs?|bars?|rolls?|wipes?)\b"
@@ -135,23 +135,21 @@ def found(c: Column, pattern: str, group: int = 1) -> Column:
 
 
 def mapped(c: Column, values: dict) -> Column:
-    out = F.when(F.lit(False), F.lit(None))
-    for k, v in values.items():
-        out = out.when(c == k, F.lit(v))
-    return out
+    """The value for c, null if there is none."""
+    return F.try_element_at(F.create_map(*[F.lit(x) for pair in values.items() for x in pair]), c)
 
 
-def _numbers(t: Column, patterns: Sequence[str], most: int) -> list[Column]:
-    each = [found(t, p).cast("int") for p in patterns]
-    return [F.when((n >= 1) & (n <= most), n) for n in each]
+def _first_number(t: Column, patterns: Sequence[str], most: int) -> Column:
+    """The number that the first of the patterns finds with one from 1 to most."""
+    each = F.array(*[found(t, p).cast("int") for p in patterns])
+    return F.get(F.filter(each, lambda n: (n >= 1) & (n <= most)), F.lit(0))
 
 
 def quantity(title: Column, bundle_first: bool = False) -> Column:
     """A1, and A2 with bundle_first ('pack of N' is tried first): pack size, or null."""
     t = lowered(title)
-    word = found(t, MULTI_WORDS)
-    words = F.coalesce(mapped(word, MULTI_MAP), F.when(word.isNotNull(), F.lit(2)))
-    return F.coalesce(*_numbers(t, BUNDLE_QUANTITY if bundle_first else QUANTITY, 999), words, F.when(t.rlike(SINGLE_WORDS), F.lit(1)))
+    words = let(found(t, MULTI_WORDS), lambda w: F.coalesce(mapped(w, MULTI_MAP), F.when(w.isNotNull(), F.lit(2))))
+    return F.coalesce(_first_number(t, BUNDLE_QUANTITY if bundle_first else QUANTITY, 999), words, F.when(t.rlike(SINGLE_WORDS), F.lit(1)))
 
 
 def is_bundle(title: Column) -> Column:
@@ -162,7 +160,7 @@ def is_bundle(title: Column) -> Column:
 
 def guard_quantity(title: Column) -> Column:
     """A3: pack size on the buying side, 1 if the title has none."""
-    return F.coalesce(*_numbers(lowered(title), GUARD_QUANTITY, 9999), F.lit(1))
+    return F.coalesce(_first_number(lowered(title), GUARD_QUANTITY, 9999), F.lit(1))
 
 
 def color(title: Column) -> Column:
@@ -190,10 +188,15 @@ def ram_gb(title: Column) -> Column:
 def dimensions(title: Column, strict: bool = False) -> Column:
     """Struct of the smaller and the larger side in inches, to one digit; mm without a unit. strict reads metres as centimetres."""
     t = lowered(title)
-    w, h, unit = found(t, DIMENSIONS).cast("double"), found(t, DIMENSIONS, 2).cast("double"), F.regexp_extract(t, DIMENSIONS, 3)
-    factor = F.when(unit.startswith("in") | (unit == '"'), 1.0).when(unit == "cm", 2.54).when(unit == "m", 2.54 if strict else 0.0254).otherwise(25.4)
-    inches = lambda x: F.floor(x / factor * 10 + 0.5) / 10
-    return F.when((w > 0) & (h > 0), F.struct(inches(F.least(w, h)).alias("w_in"), inches(F.greatest(w, h)).alias("h_in")))
+    parts = F.struct(found(t, DIMENSIONS).cast("double").alias("w"), found(t, DIMENSIONS, 2).cast("double").alias("h"), F.regexp_extract(t, DIMENSIONS, 3).alias("unit"))
+
+    def inches(p: Column) -> Column:
+        unit = p["unit"]
+        factor = F.when(unit.startswith("in") | (unit == '"'), 1.0).when(unit == "cm", 2.54).when(unit == "m", 2.54 if strict else 0.0254).otherwise(25.4)
+        side = lambda x: F.floor(x / factor * 10 + 0.5) / 10
+        return F.when((p["w"] > 0) & (p["h"] > 0), F.struct(side(F.least(p["w"], p["h"])).alias("w_in"), side(F.greatest(p["w"], p["h"])).alias("h_in")))
+
+    return let(parts, inches)
 
 
 def models(title: Column, best_of_n: bool = False) -> Column:
@@ -218,7 +221,7 @@ def brand(title: Column, best_of_n: bool = False) -> Column:
     for k in keys:
         by_length.setdefault(len(k), []).append(k)
     name = F.coalesce(*[found(padded, f" ({'|'.join(ks)}) ") for _, ks in sorted(by_length.items(), reverse=True)])
-    name = F.coalesce(mapped(name, {k: v for k, v in aliases.items() if k in keys}), name)
+    name = let(name, lambda n: F.coalesce(mapped(n, aliases), n))
     if best_of_n:
         name = F.when(~t.rlike("|".join(UNBRANDED)), name)
     return name
@@ -226,10 +229,12 @@ def brand(title: Column, best_of_n: bool = False) -> Column:
 
 def condition(title: Column) -> Column:
     """A13."""
-    w = found(lowered(title), CONDITION)
-    return (
-        F.when(w.rlike("^(?:refurb|renewed)"), "refurbished").when(w.rlike("open[ -]box"), "open-box").when(w.rlike("pre-?owned|^used|for parts|not working"), "used").when(w.rlike("new"), "new").otherwise(w)
-    )
+
+    def name(w: Column) -> Column:
+        kinds = F.when(w.rlike("^(?:refurb|renewed)"), "refurbished").when(w.rlike("open[ -]box"), "open-box").when(w.rlike("pre-?owned|^used|for parts|not working"), "used")
+        return kinds.when(w.rlike("new"), "new").otherwise(w)
+
+    return let(found(lowered(title), CONDITION), name)
 
 
 def condition_of(field: Column, title: Column) -> Column:
@@ -239,20 +244,18 @@ def condition_of(field: Column, title: Column) -> Column:
 
 def connectivity(title: Column) -> Column:
     """A14."""
-    w = F.regexp_replace(found(lowered(title), CONNECTIVITY), r"[\s-]", "")
-    return F.when(w.isin("wifi", "wifionly", "wlan"), "wifi").when(w.isNotNull(), "cellular")
+    word = F.regexp_replace(found(lowered(title), CONNECTIVITY), r"[\s-]", "")
+    return let(word, lambda w: F.when(w.isin("wifi", "wifionly", "wlan"), "wifi").when(w.isNotNull(), "cellular"))
 
 
 def generation(title: Column) -> Column:
     """Digits; Roman numerals I to X are read."""
-    v = F.upper(found(lowered(title), GENERATION))
-    return F.coalesce(mapped(v, {k: str(n) for k, n in ROMAN.items()}), v)
+    return let(F.upper(found(lowered(title), GENERATION)), lambda v: F.coalesce(mapped(v, {k: str(n) for k, n in ROMAN.items()}), v))
 
 
 def size_name(title: Column) -> Column:
     """A16."""
-    w = found(lowered(title), SIZE)
-    return F.coalesce(mapped(w, SIZE_NAMES), w)
+    return let(found(lowered(title), SIZE), lambda w: F.coalesce(mapped(w, SIZE_NAMES), w))
 
 
 def capacity_ml(title: Column) -> Column:

@@ -96,6 +96,11 @@ ATTR_NOISE = (
 )
 
 
+def let(value: Column, use) -> Column:
+    """use(value) with value computed once, however often use refers to it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def text_or_empty(c: Column) -> Column:
     return F.coalesce(c, F.lit(""))
 

@@ -23,12 +23,15 @@ from pyspark.sql import functions as F
 
 from pairwright.llm.common import NOT_WORD, bytes_of, forget, map_arrow, require, save, without_ids, words
 
-PASSAGE, STEP, ITEM_STEP = 32, 8, 16
+PASSAGE, ITEM_STEP = 32, 16
+#: Words of a passage, step, and least share of its squared weight on benchmark terms. The second kind is read only if
+#: the block has items of under SHORT words, which fill too little of a passage of the first kind.
+WIDE, NARROW, SHORT = (PASSAGE, 8, 0.40), (PASSAGE // 2, 4, 0.54), 24
 CELLS = 1 << 18
 ITEMS = 256
-RANK, OVER, SEED = 384, 16, 5
-#: Least share of a passage's squared weight on benchmark terms, and least cosine of a candidate.
-SHARE, NEAR = 0.2, 0.42
+RANK, OVER, SEED = 256, 16, 5
+#: Least cosine of a candidate in the latent space.
+NEAR = 0.6
 #: Common subsequence, of the words of an item's passage, that decides alone, and that decides if the answer is there too.
 CLEAR, LOOSE, ANSWERED = 0.75, 0.5, 0.8
 #: Words of context on both sides of a passage in which the subsequence is sought.
@@ -70,6 +73,7 @@ class Items:
         self.terms = np.unique(h)
         self.term_idf = idf[(self.terms & np.uint64(CELLS - 1)).astype(np.int64)]
         self.ids, self.words, self.answers, vectors = [], [], [], []
+        self.short = bool((np.diff(at) < SHORT).any())
         for k, (item, text) in enumerate(rows):
             w = h[at[k] : at[k + 1]]
             if len(w) < 4:
@@ -114,9 +118,9 @@ def common_subsequence(a: list, b: list) -> int:
 
 
 def relevant(docs: DataFrame, items: Items, idf: np.ndarray) -> DataFrame:
-    """The passages with enough weight on the items' terms: doc_id, terms, values (rows of A), context, its start."""
+    """The passages with enough weight on the items' terms: doc_id, wide, terms, values (rows of A), context."""
     terms, spark = items.terms, docs.sparkSession
-    shared = spark.sparkContext.broadcast((terms, idf))
+    shared, kinds = spark.sparkContext.broadcast((terms, idf)), (WIDE, NARROW) if items.short else (WIDE,)
 
     def one(batch):
         terms, idf = shared.value
@@ -129,33 +133,34 @@ def relevant(docs: DataFrame, items: Items, idf: np.ndarray) -> DataFrame:
         known = terms[slot] == h
         full, own = (np.concatenate([[0], np.cumsum(x)]) for x in (weight, weight * known))
         n = np.diff(at)
-        last = np.maximum(n - PASSAGE, 0)
-        made = np.where(n > 0, -(-last // STEP) + 1, 0)
-        to = np.concatenate([[0], np.cumsum(made)]).astype(np.int64)
-        doc = np.repeat(np.arange(len(n)), made)
-        begin = at[doc] + np.minimum((np.arange(to[-1]) - to[doc]) * STEP, last[doc])
-        end = np.minimum(begin + PASSAGE, at[doc + 1])
-        pick = np.flatnonzero(own[end] - own[begin] >= SHARE * (full[end] - full[begin]))
-        if len(pick) == 0:
+        out = {"doc": [], "wide": [], "terms": [], "values": [], "context": []}
+        for length, step, share in kinds:
+            last = np.maximum(n - length, 0)
+            made = np.where(n > 0, -(-last // step) + 1, 0)
+            to = np.concatenate([[0], np.cumsum(made)]).astype(np.int64)
+            doc = np.repeat(np.arange(len(n)), made)
+            begin = at[doc] + np.minimum((np.arange(to[-1]) - to[doc]) * step, last[doc])
+            end = np.minimum(begin + length, at[doc + 1])
+            for k in np.flatnonzero(own[end] - own[begin] >= share * (full[end] - full[begin])).tolist():
+                s, e = begin[k], end[k]
+                distinct, counts = np.unique(h[s:e], return_counts=True)
+                values = counts * idf[(distinct & np.uint64(CELLS - 1)).astype(np.int64)]
+                where = np.minimum(np.searchsorted(terms, distinct), len(terms) - 1)
+                have = terms[where] == distinct
+                out["doc"].append(doc[k])
+                out["wide"].append(length == PASSAGE)
+                out["terms"].append(where[have].astype(np.int32))
+                out["values"].append((values[have] / np.linalg.norm(values)).astype(np.float32))
+                out["context"].append(h[max(at[doc[k]], s - MARGIN) : min(at[doc[k] + 1], e + MARGIN)].view(np.int64))
+        if not out["doc"]:
             return None
-        out = {"doc": [], "terms": [], "values": [], "context": []}
-        for k in pick.tolist():
-            s, e = begin[k], end[k]
-            distinct, counts = np.unique(h[s:e], return_counts=True)
-            values = counts * idf[(distinct & np.uint64(CELLS - 1)).astype(np.int64)]
-            where = np.minimum(np.searchsorted(terms, distinct), len(terms) - 1)
-            have = terms[where] == distinct
-            out["doc"].append(doc[k])
-            out["terms"].append(where[have].astype(np.int32))
-            out["values"].append((values[have] / np.linalg.norm(values)).astype(np.float32))
-            out["context"].append(h[max(at[doc[k]], s - MARGIN) : min(at[doc[k] + 1], e + MARGIN)].view(np.int64))
         lists = []
         for name, kind in (("terms", pa.int32()), ("values", pa.float32()), ("context", pa.int64())):
             cut = np.cumsum([0, *map(len, out[name])]).astype(np.int32)
             lists.append(pa.ListArray.from_arrays(pa.array(cut), pa.array(np.concatenate(out[name]), kind)))
-        return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(out["doc"])), *lists], ["doc_id", "terms", "values", "context"])
+        return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(out["doc"])), pa.array(out["wide"]), *lists], ["doc_id", "wide", "terms", "values", "context"])
 
-    return map_arrow(docs.select("doc_id", F.col("text").cast("binary").alias("text")), one, "doc_id long, terms array<int>, values array<float>, context array<long>")
+    return map_arrow(docs.select("doc_id", F.col("text").cast("binary").alias("text")), one, "doc_id long, wide boolean, terms array<int>, values array<float>, context array<long>")
 
 
 def _lists(batch, *names):
@@ -196,7 +201,7 @@ def gram_times(rows: DataFrame, w: np.ndarray) -> np.ndarray:
 
 def latent_space(rows: DataFrame, items: Items) -> np.ndarray:
     """Right singular vectors (terms, rank) of the rows and the items' passages, by a randomised range finder and a Rayleigh-Ritz step."""
-    q = items.vectors.astype(np.float64)
+    q, rows = items.vectors.astype(np.float64), rows.where("wide").select("terms", "values")
     width = min(RANK + OVER, len(items.terms))
     w = np.random.default_rng(SEED).normal(size=(len(items.terms), width))
     basis = np.linalg.qr(gram_times(rows, w) + q.T @ (q @ w))[0]
@@ -219,6 +224,7 @@ def matches(rows: DataFrame, items: Items, space: np.ndarray) -> DataFrame:
         if len(full) == 0:
             return None
         latent = np.add.reduceat(space[terms] * values[:, None], off[:-1][full], axis=0)
+        latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-9)
         cosine = latent @ near.T
         r, c = np.nonzero(cosine >= NEAR)
         docs, context = batch.column(0).to_pylist(), batch.column(batch.schema.get_field_index("context"))

@@ -39,13 +39,26 @@ MARGIN = 16
 ROWS = 256
 
 
+def lower_latin(data: np.ndarray) -> np.ndarray:
+    """UTF-8 with the capitals from A grave to thorn in lower case (their second byte after C3); A-Z are left to words()."""
+    out = data.copy()
+    at = np.flatnonzero(data[:-1] == 0xC3) + 1
+    up = at[(data[at] >= 0x80) & (data[at] <= 0x9E) & (data[at] != 0x97)]
+    out[up] += 0x20
+    return out
+
+
+def words_of(data: np.ndarray, offsets: np.ndarray):
+    return words(lower_latin(data), offsets, NOT_WORD)
+
+
 def frequencies(docs: DataFrame) -> np.ndarray:
     """How often the words of each sketch cell occur, over all documents, and their number at last: CELLS + 1 numbers."""
 
     def run(batches):
         total = np.zeros(CELLS, np.int64)
         for b in batches:
-            h = words(*bytes_of(b.column(0)), NOT_WORD)[0]
+            h = words_of(*bytes_of(b.column(0)))[0]
             total += np.bincount((h & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS)
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["cell", "n"])
@@ -69,7 +82,7 @@ class Items:
 
     def __init__(self, rows: list[tuple[int, str]], idf: np.ndarray):
         texts = [(t or "").encode("utf-8", "replace") for _, t in rows]
-        h, _, _, at = words(np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)]), NOT_WORD)
+        h, _, _, at = words_of(np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)]))
         self.terms = np.unique(h)
         self.term_idf = idf[(self.terms & np.uint64(CELLS - 1)).astype(np.int64)]
         self.ids, self.words, self.answers, vectors = [], [], [], []
@@ -98,7 +111,7 @@ def answer_of(text: str, w: np.ndarray) -> np.ndarray:
     m = re.search(r"(?is)(?:answer\s*:|\?)([^?]*)$", text or "")
     if m and (tail := m[1].strip()):
         b = tail.encode("utf-8", "replace")
-        found = words(np.frombuffer(b, np.uint8), np.array([0, len(b)]), NOT_WORD)[0]
+        found = words_of(np.frombuffer(b, np.uint8), np.array([0, len(b)]))[0]
         if len(found):
             return found
     return w[-max(1, len(w) // 4) :]
@@ -125,7 +138,7 @@ def relevant(docs: DataFrame, items: Items, idf: np.ndarray) -> DataFrame:
     def one(batch):
         terms, idf = shared.value
         data, off = bytes_of(batch.column(1))
-        h, _, _, at = words(data, off, NOT_WORD)
+        h, _, _, at = words_of(data, off)
         if len(h) == 0:
             return None
         weight = idf[(h & np.uint64(CELLS - 1)).astype(np.int64)].astype(np.float64) ** 2
@@ -259,7 +272,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, cosine, subsequence, answered: one row for each document and item that it holds a passage of.
 
     docs: doc_id, text; benchmark: item_id, text; other columns are ignored, whatever their names. Words are runs of
-    letters and digits (any character beyond ASCII counts as one), A-Z as a-z. Null and empty texts hold nothing; items
+    letters and digits (any character beyond ASCII counts as one), A-Z and Latin-1 capitals as small letters. Null and empty texts hold nothing; items
     of under 4 words are not sought. Rows with a null doc_id are left aside, as nothing could name them; rows with equal
     doc_id are one document. Texts are read whole. Empty tables give an empty result. The benchmark's texts go to the
     driver and from there in blocks of ITEMS items; each block reads the documents once.

@@ -24,6 +24,7 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")
 LEAST = {"assign": 12, "access": 18, "hex": 16}
 SENSITIVE = re.compile(r"(?i:pass(?:word|wd|phrase)?|secret|token|api[_ -]?key|auth|bearer|credential|private|signature|access[_ -]?key)[^\n]{0,48}?([A-Za-z0-9+/_=-]{20,})", re.ASCII)
+LONG = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 #: Hints without which no sensitive word can be there.
 _HINT = re.compile(r"(?i:pass|secret|token|key|auth|bearer|credential|private|signature)", re.ASCII)
 #: A novel string adds at least so many compressed bytes for each of its characters, and has letters and digits.
@@ -96,7 +97,8 @@ def scan(docs: DataFrame) -> DataFrame:
     Repeated rows are scanned each; other columns are ignored, whatever their names. An empty table gives an empty result.
     """
     first = docs.where("text is not null and text <> ''").select(F.xxhash64("doc_id", "text").alias("place"), F.substring("text", 1, SAMPLE_BYTES // SAMPLE_DOCS).alias("text"))
-    sample = "\n".join(r["text"] for r in first.orderBy("place", "text").limit(SAMPLE_DOCS).collect()).encode("utf-8", "replace")
+    # long strings of key characters are left out of the dictionary, as each of them may be what is sought
+    sample = "\n".join(LONG.sub(" ", r["text"]) for r in first.orderBy("place", "text").limit(SAMPLE_DOCS).collect()).encode("utf-8", "replace")
     coder: list[Coder] = []
 
     def one(batch):

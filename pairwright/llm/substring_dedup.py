@@ -98,6 +98,8 @@ def chunks(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     solid = ~SPACE[data]
     begin = solid.copy()
     begin[1:] &= ~solid[:-1]
+    first = offsets[:-1][offsets[:-1] < len(data)]
+    begin[first] = solid[first]
     counts = np.concatenate([[0], np.cumsum(begin)])
     text = np.searchsorted(offsets, starts, "right") - 1
     return text, starts - offsets[text], ends - offsets[text], mix(digest), counts[ends] - counts[starts]

@@ -47,7 +47,7 @@ def _row(run: str, s: tuple) -> pd.DataFrame:
     return pd.DataFrame([{"run": run, "phase": s[5], "side": SIDES[s[0]], "page": s[1], "errors": s[2], "items_b": s[3], "items_a": s[4]}])
 
 
-def _update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+def _update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState, timeout_s: int) -> Iterator[pd.DataFrame]:
     s = tuple(state.get) if state.exists else fresh()
     if state.hasTimedOut:
         s = (*s[:5], "timeout") if s[5] == "searching" else s
@@ -58,19 +58,23 @@ def _update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> It
     for site, page, items, error in zip(rows.site, rows.page, rows["items"], rows.error, strict=True):
         s = step(s, site, int(page), int(items), None if pd.isna(error) else error)
     state.update(s)
-    state.setTimeoutDuration(TIMEOUT_S * 1000)
+    state.setTimeoutDuration(timeout_s * 1000)
     yield _row(key[0], s)
 
 
-def run_states(payloads: DataFrame) -> DataFrame:
+def run_states(payloads: DataFrame, timeout_s: int = TIMEOUT_S) -> DataFrame:
     """W1, W3-W8 over a stream of payloads: the state of each run that a batch touched or that timed out. update mode."""
-    return payloads.groupBy("run").applyInPandasWithState(_update, OUTPUT, STATE, "update", GroupStateTimeout.ProcessingTimeTimeout)
+
+    def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        return _update(key, frames, state, timeout_s)
+
+    return payloads.groupBy("run").applyInPandasWithState(update, OUTPUT, STATE, "update", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def run_states_batch(payloads: DataFrame) -> DataFrame:
     """The same over a table: the last state of each run. A run's payloads are as many as its pages and retries."""
 
-    def fold(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def fold(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         s = fresh()
         rows = pdf.sort_values(["ts", "page"], kind="stable")
         for site, page, items, error in zip(rows.site, rows.page, rows["items"], rows.error, strict=True):

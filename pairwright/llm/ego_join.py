@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairwright.llm.common import connected_components, map_arrow, save
+from pairwright.llm.common import connected_components, map_arrow, save, tune
 
 AXES = 4
 #: Rows of a run; pairs of runs are the unit of work and a run is sent once for each partner.
@@ -245,6 +245,7 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.98) -> DataFrame:
     spark = vectors.sparkSession
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 4)
     found = save(work.mapInArrow(search, "id long, links long, other long"))
+    tune(spark)
     comp = connected_components(found.where("other is not null").select(F.col("id").alias("a"), F.col("other").alias("b")))
     links = found.where("other is null").groupBy("id").agg(F.sum("links").alias("links"))
     known = classes.join(links, "id", "left").join(comp, "id", "left").select("label", "d1", "d2", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id"))

@@ -29,7 +29,7 @@ PASSAGE, ITEM_STEP = 32, 16
 WIDE, NARROW, SHORT = (PASSAGE, 8, 0.40), (PASSAGE // 2, 4, 0.54), 24
 CELLS = 1 << 18
 ITEMS = 256
-RANK, OVER, SEED = 256, 16, 5
+RANK, OVER, SEED = 192, 16, 5
 #: Least cosine of a candidate in the latent space.
 NEAR = 0.6
 #: Common subsequence, of the words of an item's passage, that decides alone, and that decides if the answer is there too.

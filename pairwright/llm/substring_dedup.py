@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairwright.llm.common import PIECE, SPACE, _grow, bytes_of, map_arrow, mix, require
+from pairwright.llm.common import PIECE, SPACE, _grow, bytes_of, map_arrow, mix, require, save
 
 #: A cut is made where (hash >> SHIFT) & MASK is 0: every 32 bytes on average, by the last SHIFT + 5 = 12 bytes.
 SHIFT, MASK = 7, 31
@@ -126,6 +126,7 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
     pieces = map_arrow(docs.select("doc_id", F.col("text").cast("binary").alias("text")), one, "digest long, doc_id long, start int, size int, words int")
     several = pieces.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("digest", "first")
+    several = save(several)  # a join can be split at a frequent chunk only if both its sides come straight from a shuffle
     shared = pieces.join(several, "digest").select("doc_id", "start", "size", "words", "first")
     # chunks that follow each other make a run; a document's chunks are as many as its text has
     per_doc = shared.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("start", "size", "words", "first"))).alias("c"))

@@ -33,6 +33,8 @@ from pairwright.llm.common import bytes_of, connected_components, forget, map_ar
 CELLS = 1 << 16
 #: Signature bits of a class: twice its size, as a power of two in these bounds.
 SIG_BITS = (256, 1 << 15)
+#: How many times as many bits signatures have in blocks of more than PART classes.
+FINE = 8
 #: Classes of one block that one task holds; larger blocks are cut into parts.
 PART = 512
 LEAF, FANOUT = 8, 4
@@ -69,8 +71,8 @@ def crowding(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
     return np.clip(crowd, 0, 31).astype(np.uint64), np.clip(rare, 0, 100).astype(np.int64)
 
 
-def signature(x: np.ndarray) -> bytes:
-    bits = min(max(1 << max(2 * len(x) - 1, 1).bit_length(), SIG_BITS[0]), SIG_BITS[1])
+def signature(x: np.ndarray, finer: int = 1) -> bytes:
+    bits = min(max(1 << max(2 * len(x) - 1, 1).bit_length(), SIG_BITS[0]), SIG_BITS[1]) * finer
     out = np.zeros(bits, np.uint8)
     out[(mix(x) & np.uint64(bits - 1)).astype(np.int64)] = 1
     return np.packbits(out, bitorder="little").tobytes()
@@ -229,10 +231,9 @@ def bounded(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     return map_arrow(both.select("a", "b", "na", "nb", "sa", "sb"), keep, "a long, b long")
 
 
-def linked(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """Of pairs (a, b) of doc_id, those whose exact sets reach the threshold. Only their documents are shingled again."""
+def sets_of(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
+    """(id, set) of the documents whose doc_id is in ids; only documents that may be among them are shingled again."""
     cell = lambda c: F.pmod(F.xxhash64(c), F.lit(ID_CELLS))
-    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
     cells = ids.select(cell("id").alias("cell")).distinct()  # ID_CELLS rows at most
     some = docs.withColumn("cell", cell("doc_id")).join(F.broadcast(cells), "cell", "left_semi")
 
@@ -243,7 +244,13 @@ def linked(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataF
         return pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(to), pa.array(np.concatenate(parts)))], ["id", "set"])
 
     s = map_arrow(some.select("doc_id", F.col("text").cast("binary").alias("text")), sets, "id long, set array<long>")
-    s = save(s.join(ids, "id", "left_semi").dropDuplicates(["id"]))
+    return s.join(ids, "id", "left_semi").dropDuplicates(["id"])
+
+
+def linked(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """Of pairs (a, b) of doc_id, those whose exact sets reach the threshold."""
+    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+    s = save(sets_of(docs, ids, width))
     both = pairs.join(s.select(F.col("id").alias("a"), F.col("set").alias("sa")), "a").join(s.select(F.col("id").alias("b"), F.col("set").alias("sb")), "b")
     both = both.select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), F.size(F.array_intersect("sa", "sb")).alias("n"))
     out = save(both.where(F.lit(100) * F.col("n") >= F.lit(percent) * (F.col("na") + F.col("nb") - F.col("n"))).select("a", "b"))
@@ -251,6 +258,18 @@ def linked(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataF
     return out
 
 
+def fine_signatures(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
+    """(id, sig) with FINE times the bits, for the members of large blocks, where many pairs are near the threshold."""
+
+    def fine(batch):
+        column = batch.column(1)
+        off, values = column.offsets.to_numpy(), column.values.to_numpy().view(np.uint64)
+        sigs = [signature(values[off[i] : off[i + 1]], FINE) for i in range(batch.num_rows)]
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(sigs, pa.binary())], ["id", "sig"])
+
+    return map_arrow(sets_of(docs, ids, width), fine, "id long, sig binary")
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """Components of documents by Jaccard similarity of their word shingles: doc_id, n_shingles, component_id.
 
@@ -287,7 +306,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     forget(met)
     several = labelled.groupBy("block").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("rows")).where("low < high").select("block", "rows", F.ceil(F.col("rows") / PART).cast("int").alias("parts"))
     several = save(several)
-    members = labelled.join(several, "block").join(reps.select("id", "sig"), "id")
+    members = labelled.join(several.where("parts = 1"), "block").join(reps.select("id", "sig"), "id")
+    large = several.where("parts > 1")
+    if not large.isEmpty():
+        held = save(labelled.join(large, "block"))
+        fine = save(fine_signatures(docs, held.select("id").distinct(), width))
+        members = members.unionByName(held.join(fine, "id").select(*members.columns))
     own = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
     # part i meets part j >= i in the task (i, j), where the rows of part j > i are not at home
     other = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.struct(F.least(j, F.col("own")).alias("i"), F.greatest(j, F.col("own")).alias("j")))

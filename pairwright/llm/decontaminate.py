@@ -1,12 +1,15 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-Documents are read as overlapping passages of PASSAGE words, items as passages of the same length. Passages are TF-IDF
-vectors; document frequencies are counted over all passages of all documents in a sketch of fixed size. A dot product
-with an item only sees the item's terms, so the matrix is taken over the benchmark's terms, its rows scaled by their
-full length: a passage with too little of its weight on benchmark terms cannot come near an item and goes no further.
-A distributed randomised SVD of the remaining rows, items included, gives the latent space: each partition adds up
-its part of A'(A W), which is of fixed size. Passages near an item by cosine there are candidates; the longest common
-subsequence of words with the item's passage, and for looser matches the item's answer, decide.
+Documents are read as overlapping passages of PASSAGE words with MARGIN words of context on both sides, items as pieces
+of up to PASSAGE words. A match needs a common subsequence of LOOSE of a piece's words within a context, and both gates
+follow from that number alone, so neither can drop a match. Of the piece's n words all but the n - need + k most common
+ones can be left aside: k of the rest have to be in the context (HITS), which is sought first; then all words that the
+decision asks for, in any order. Passages that no piece reaches in this way go no further. The others are TF-IDF vectors over the benchmark's terms; document frequencies are counted over all passages of
+all documents in a sketch of fixed size. A distributed randomised SVD of these rows, items included, gives the latent
+space: each partition adds up its part of A'(A W), which is of fixed size. A product of two vectors is at most that of
+their latent images and that of the lengths of what the space leaves out; pairs whose product cannot reach the weight of
+the piece's lightest words that make up LOOSE are dropped. The longest common subsequence of words with the item's
+piece, and for looser matches the item's answer, decide.
 
 Items are taken in blocks, each with its own terms and latent space; a block is of fixed size and is all that is sent
 to the executors.
@@ -23,20 +26,21 @@ from pyspark.sql import functions as F
 
 from pairwright.llm.common import NOT_WORD, bytes_of, forget, map_arrow, require, save, without_ids, words
 
-PASSAGE, ITEM_STEP = 32, 16
-#: Words of a passage, step, and least share of its squared weight on benchmark terms. The second kind is read only if
-#: the block has items of under SHORT words, which fill too little of a passage of the first kind.
-WIDE, NARROW, SHORT = (PASSAGE, 8, 0.40), (PASSAGE // 2, 4, 0.54), 24
+PASSAGE, STEP, ITEM_STEP = 32, 8, 16
+#: Words of a piece's rarer part that have to be in a context; any number drops no match, fewer let more pairs through.
+HITS = 4
 CELLS = 1 << 18
 ITEMS = 256
 RANK, OVER, SEED = 192, 16, 5
-#: Least cosine of a candidate in the latent space.
-NEAR = 0.6
+#: For the rounding of single precision in the bound on a product.
+SLACK = 1e-3
 #: Common subsequence, of the words of an item's passage, that decides alone, and that decides if the answer is there too.
 CLEAR, LOOSE, ANSWERED = 0.75, 0.5, 0.8
 #: Words of context on both sides of a passage in which the subsequence is sought.
 MARGIN = 16
 ROWS = 256
+#: Words of documents whose meetings with the pieces are listed at once, but for longer documents.
+GROUP = 1 << 19
 
 
 def lower_latin(data: np.ndarray) -> np.ndarray:
@@ -86,7 +90,6 @@ class Items:
         self.terms = np.unique(h)
         self.term_idf = idf[(self.terms & np.uint64(CELLS - 1)).astype(np.int64)]
         self.ids, self.words, self.answers, vectors = [], [], [], []
-        self.short = bool((np.diff(at) < SHORT).any())
         for k, (item, text) in enumerate(rows):
             w = h[at[k] : at[k + 1]]
             if len(w) < 4:
@@ -101,11 +104,38 @@ class Items:
         self.vectors = np.array(vectors, np.float32).reshape(len(vectors), len(self.terms))
         norm = np.linalg.norm(self.vectors, axis=1, keepdims=True)
         self.vectors /= np.maximum(norm, 1e-9)
+        self.hits, self.least, rare = np.zeros(len(self.words), np.int64), np.zeros(len(self.words)), []
+        for j, piece in enumerate(self.words):
+            slot = np.searchsorted(self.terms, piece)
+            slot = slot[np.argsort(self.term_idf[slot], kind="stable")]  # the common ones first
+            need = needed(len(piece))
+            self.hits[j] = min(HITS, need)
+            self.least[j] = (self.term_idf[slot[:need]].astype(np.float64) ** 2).sum() / max(norm[j, 0], 1e-9)
+            rare.append(np.unique(slot[need - self.hits[j] :]))
+        slots = np.concatenate(rare) if rare else np.zeros(0, np.int64)
+        order = np.argsort(slots, kind="stable")
+        #: Pieces by the terms of their rarer parts: those of term t are pieces[first[t] : first[t + 1]].
+        self.pieces = np.repeat(np.arange(len(rare)), list(map(len, rare)))[order]
+        self.first = np.searchsorted(slots[order], np.arange(len(self.terms) + 1))
+        self.bags, self.answer_bags = self.padded(self.words), self.padded(self.answers)
+
+    def padded(self, lists: list[np.ndarray]) -> np.ndarray:
+        """Slots of each list's words; len(terms) after its end, len(terms) + 1 for words that are no term."""
+        out = np.full((len(lists), max(map(len, lists), default=0)), len(self.terms))
+        for row, w in zip(out, lists, strict=True):
+            at = np.minimum(np.searchsorted(self.terms, w), len(self.terms) - 1)
+            row[: len(w)] = np.where(self.terms[at] == w, at, len(self.terms) + 1)
+        return out
 
     def vector(self, w: np.ndarray) -> np.ndarray:
         return np.bincount(np.searchsorted(self.terms, w), minlength=len(self.terms)) * self.term_idf
 
 
+def needed(n: int) -> int:
+    """Words that a common subsequence with a piece of n words has at least, if it decides."""
+    return next(k for k in range(n + 1) if k / n >= LOOSE)
+
+
 def answer_of(text: str, w: np.ndarray) -> np.ndarray:
     """Words of the item's answer: what follows 'Answer:' or the last question mark, or else its last quarter."""
     m = re.search(r"(?is)(?:answer\s*:|\?)([^?]*)$", text or "")
@@ -130,50 +160,104 @@ def common_subsequence(a: list, b: list) -> int:
     return len(a) - v.bit_count()
 
 
+def reached(slot: np.ndarray, known: np.ndarray, at: np.ndarray, first: np.ndarray, pieces: np.ndarray, hits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, number of passage, piece): the passages whose context holds enough of a piece's rarer part.
+
+    slot and known: term of each word; at: word offsets of the documents.
+    """
+    where = np.flatnonzero(known)
+    times = first[slot[where] + 1] - first[slot[where]]
+    to = np.concatenate([[0], np.cumsum(times)])
+    piece = pieces[np.repeat(first[slot[where]] - to[:-1], times) + np.arange(to[-1])]
+    n = len(slot) + 1
+    key = np.sort(piece * n + np.repeat(where, times))
+    piece, place = key // n, key % n
+    end = np.arange(len(key)) + hits[piece] - 1
+    ok = end < len(key)
+    i, end = np.flatnonzero(ok), end[ok]
+    ok = (piece[i] == piece[end]) & (place[end] - place[i] < PASSAGE + 2 * MARGIN)
+    i, end = i[ok], end[ok]
+    doc = np.searchsorted(at, place[i], "right") - 1
+    ok = place[end] < at[doc + 1]
+    i, end, doc = i[ok], end[ok], doc[ok]
+    # passages whose context covers both places; the last one may begin earlier than its number says
+    final = -(-np.maximum(at[doc + 1] - at[doc] - PASSAGE, 0) // STEP)
+    low = np.clip(-(-(place[end] + 1 - at[doc] - PASSAGE - MARGIN) // STEP), 0, final)
+    high = np.minimum((place[i] - at[doc] + MARGIN) // STEP, final)
+    high = np.where(high >= final - 1, final, high)
+    made = high - low + 1
+    to = np.concatenate([[0], np.cumsum(made)])
+    number = np.repeat(low - to[:-1], made) + np.arange(to[-1])
+    # one number for the three; the pieces of a block are few
+    all_numbers = int(final.max(initial=0)) + 1
+    code = np.unique((np.repeat(doc, made) * all_numbers + number) * len(hits) + np.repeat(piece[i], made))
+    passage = code // len(hits)
+    return passage // all_numbers, passage % all_numbers, code % len(hits)
+
+
+def decidable(slot: np.ndarray, known: np.ndarray, begin: np.ndarray, end: np.ndarray, piece: np.ndarray, terms: int, bags: np.ndarray, answers: np.ndarray) -> np.ndarray:
+    """Which of the contexts (words begin to end) and pieces have the words that matches() asks for, in any order."""
+    out = np.zeros(len(piece), bool)
+    for k in range(0, len(piece), ROWS):
+        s, e, j = begin[k : k + ROWS], end[k : k + ROWS], piece[k : k + ROWS]
+        has = np.zeros((len(j), terms + 2), bool)
+        to = np.concatenate([[0], np.cumsum(e - s)])
+        at = np.repeat(s - to[:-1], e - s) + np.arange(to[-1])
+        row = np.repeat(np.arange(len(j)), e - s)
+        has[row[known[at]], slot[at[known[at]]]] = True
+        has[:, terms + 1] = True
+        share, answer = (np.take_along_axis(has, x[j], 1).sum(1) for x in (bags, answers))
+        size, asked = ((x[j] != terms).sum(1) for x in (bags, answers))
+        out[k : k + ROWS] = (share / size >= LOOSE) & ((share / size >= CLEAR) | (answer >= ANSWERED * asked))
+    return out
+
+
 def relevant(docs: DataFrame, items: Items, idf: np.ndarray) -> DataFrame:
-    """The passages with enough weight on the items' terms: doc_id, wide, terms, values (rows of A), context."""
-    terms, spark = items.terms, docs.sparkSession
-    shared, kinds = spark.sparkContext.broadcast((terms, idf)), (WIDE, NARROW) if items.short else (WIDE,)
+    """The passages that a piece of the items can match: doc_id, terms, values (rows of A), norm, pieces, context."""
+    spark = docs.sparkSession
+    shared = spark.sparkContext.broadcast((items.terms, idf, items.first, items.pieces, items.hits, items.bags, items.answer_bags))
 
     def one(batch):
-        terms, idf = shared.value
+        terms, idf, first, pieces, hits, bags, answers = shared.value
         data, off = bytes_of(batch.column(1))
         h, _, _, at = words_of(data, off)
         if len(h) == 0:
             return None
-        weight = idf[(h & np.uint64(CELLS - 1)).astype(np.int64)].astype(np.float64) ** 2
         slot = np.minimum(np.searchsorted(terms, h), len(terms) - 1)
         known = terms[slot] == h
-        full, own = (np.concatenate([[0], np.cumsum(x)]) for x in (weight, weight * known))
-        n = np.diff(at)
-        out = {"doc": [], "wide": [], "terms": [], "values": [], "context": []}
-        for length, step, share in kinds:
-            last = np.maximum(n - length, 0)
-            made = np.where(n > 0, -(-last // step) + 1, 0)
-            to = np.concatenate([[0], np.cumsum(made)]).astype(np.int64)
-            doc = np.repeat(np.arange(len(n)), made)
-            begin = at[doc] + np.minimum((np.arange(to[-1]) - to[doc]) * step, last[doc])
-            end = np.minimum(begin + length, at[doc + 1])
-            for k in np.flatnonzero(own[end] - own[begin] >= share * (full[end] - full[begin])).tolist():
-                s, e = begin[k], end[k]
-                distinct, counts = np.unique(h[s:e], return_counts=True)
-                values = counts * idf[(distinct & np.uint64(CELLS - 1)).astype(np.int64)]
-                where = np.minimum(np.searchsorted(terms, distinct), len(terms) - 1)
-                have = terms[where] == distinct
-                out["doc"].append(doc[k])
-                out["wide"].append(length == PASSAGE)
-                out["terms"].append(where[have].astype(np.int32))
-                out["values"].append((values[have] / np.linalg.norm(values)).astype(np.float32))
-                out["context"].append(h[max(at[doc[k]], s - MARGIN) : min(at[doc[k] + 1], e + MARGIN)].view(np.int64))
+        out = {"doc": [], "norm": [], "terms": [], "values": [], "pieces": [], "context": []}
+        begin_doc = 0
+        while begin_doc < len(at) - 1:
+            end_doc = max(begin_doc + 1, int(np.searchsorted(at, at[begin_doc] + GROUP, "right")) - 1)
+            a, b = at[begin_doc], at[end_doc]
+            doc, number, piece = reached(slot[a:b], known[a:b], at[begin_doc : end_doc + 1] - a, first, pieces, hits)
+            doc = doc + begin_doc
+            begin = at[doc] + np.minimum(number * STEP, np.maximum(0, at[doc + 1] - at[doc] - PASSAGE))
+            begin, end = np.maximum(at[doc], begin - MARGIN), np.minimum(at[doc + 1], begin + PASSAGE + MARGIN)
+            ok = decidable(slot, known, begin, end, piece, len(terms), bags, answers)
+            doc, number, piece, begin, end = (x[ok] for x in (doc, number, piece, begin, end))
+            cut = [0, *(np.flatnonzero(np.diff(doc) | np.diff(number)) + 1), len(doc)] if len(doc) else [0]
+            for i, j in zip(cut[:-1], cut[1:], strict=True):
+                s, e = begin[i], end[i]
+                where, counts = np.unique(slot[s:e][known[s:e]], return_counts=True)
+                values = counts * idf[(terms[where] & np.uint64(CELLS - 1)).astype(np.int64)]
+                norm = float(np.linalg.norm(values))
+                out["doc"].append(doc[i])
+                out["norm"].append(norm)
+                out["terms"].append(where.astype(np.int32))
+                out["values"].append((values / max(norm, 1e-9)).astype(np.float32))
+                out["pieces"].append(piece[i:j].astype(np.int32))
+                out["context"].append(h[s:e].view(np.int64))
+            begin_doc = end_doc
         if not out["doc"]:
             return None
         lists = []
-        for name, kind in (("terms", pa.int32()), ("values", pa.float32()), ("context", pa.int64())):
+        for name, kind in (("terms", pa.int32()), ("values", pa.float32()), ("pieces", pa.int32()), ("context", pa.int64())):
             cut = np.cumsum([0, *map(len, out[name])]).astype(np.int32)
             lists.append(pa.ListArray.from_arrays(pa.array(cut), pa.array(np.concatenate(out[name]), kind)))
-        return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(out["doc"])), pa.array(out["wide"]), *lists], ["doc_id", "wide", "terms", "values", "context"])
+        return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(out["doc"])), pa.array(out["norm"], pa.float64()), *lists], ["doc_id", "norm", "terms", "values", "pieces", "context"])
 
-    return map_arrow(docs.select("doc_id", F.col("text").cast("binary").alias("text")), one, "doc_id long, wide boolean, terms array<int>, values array<float>, context array<long>")
+    return map_arrow(docs.select("doc_id", F.col("text").cast("binary").alias("text")), one, "doc_id long, norm double, terms array<int>, values array<float>, pieces array<int>, context array<long>")
 
 
 def _lists(batch, *names):
@@ -214,7 +298,7 @@ def gram_times(rows: DataFrame, w: np.ndarray) -> np.ndarray:
 
 def latent_space(rows: DataFrame, items: Items) -> np.ndarray:
     """Right singular vectors (terms, rank) of the rows and the items' passages, by a randomised range finder and a Rayleigh-Ritz step."""
-    q, rows = items.vectors.astype(np.float64), rows.where("wide").select("terms", "values")
+    q, rows = items.vectors.astype(np.float64), rows.select("terms", "values")
     width = min(RANK + OVER, len(items.terms))
     w = np.random.default_rng(SEED).normal(size=(len(items.terms), width))
     basis = np.linalg.qr(gram_times(rows, w) + q.T @ (q @ w))[0]
@@ -226,38 +310,40 @@ def latent_space(rows: DataFrame, items: Items) -> np.ndarray:
 def matches(rows: DataFrame, items: Items, space: np.ndarray) -> DataFrame:
     """doc_id, item_id, cosine, subsequence, answered of the rows that are decided to hold an item's passage."""
     near = items.vectors @ space
-    near /= np.maximum(np.linalg.norm(near, axis=1, keepdims=True), 1e-9)
-    shared = rows.sparkSession.sparkContext.broadcast((space, near.astype(np.float32), items.ids, [w.view(np.int64).tolist() for w in items.words], [a.view(np.int64).tolist() for a in items.answers]))
+    left = np.sqrt(np.maximum(0, (items.vectors**2).sum(1) - (near**2).sum(1)))
+    texts = [w.view(np.int64).tolist() for w in items.words]
+    shared = rows.sparkSession.sparkContext.broadcast((space, near.astype(np.float32), left, items.least, items.ids, texts, [a.view(np.int64).tolist() for a in items.answers]))
 
     def one(batch):
-        space, near, ids, texts, answers = shared.value
+        space, near, left, least, ids, texts, answers = shared.value
         off, (terms, values) = _lists(batch, "terms", "values")
         off = off - off[0]
         full = np.flatnonzero(np.diff(off))
         if len(full) == 0:
             return None
         latent = np.add.reduceat(space[terms] * values[:, None], off[:-1][full], axis=0)
-        latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-9)
-        cosine = latent @ near.T
-        r, c = np.nonzero(cosine >= NEAR)
+        rest = np.sqrt(np.maximum(0, 1 - (latent**2).sum(1)))
+        cut, (piece,) = _lists(batch, "pieces")
+        norm = batch.column(batch.schema.get_field_index("norm")).to_numpy()[full]
+        r, c = np.repeat(np.arange(len(full)), np.diff(cut)[full]), piece
+        product = (latent[r] * near[c]).sum(1)
+        cosine = product / np.maximum(np.linalg.norm(latent, axis=1)[r] * np.linalg.norm(near, axis=1)[c], 1e-9)
+        may = product + rest[r] * left[c] + SLACK >= least[c] / norm[r]
+        r, c, cosine = r[may], c[may], cosine[may]
         docs, context = batch.column(0).to_pylist(), batch.column(batch.schema.get_field_index("context"))
         found: dict[tuple, tuple] = {}
-        bags: dict[int, tuple] = {}
-        for i, j in zip(r.tolist(), c.tolist(), strict=True):
+        contexts: dict[int, list] = {}
+        for i, j, near_by in zip(r.tolist(), c.tolist(), cosine.tolist(), strict=True):
             row = int(full[i])
-            if row not in bags:
-                words_here = context[row].as_py()
-                bags[row] = (words_here, set(words_here))
-            here, bag = bags[row]
-            text = texts[j]
-            if sum(x in bag for x in text) < LOOSE * len(text):  # no subsequence is longer than that
-                continue
+            if row not in contexts:
+                contexts[row] = context[row].as_py()
+            here, text = contexts[row], texts[j]
             share = common_subsequence(text, here) / len(text)
             if share < LOOSE:
                 continue
             answered = common_subsequence(answers[j], here) >= ANSWERED * len(answers[j])
             if share >= CLEAR or answered:
-                key, got = (docs[row], ids[j]), (share, float(cosine[i, j]), answered)
+                key, got = (docs[row], ids[j]), (share, near_by, answered)
                 found[key] = max(found.get(key, got), got)
         if not found:
             return None

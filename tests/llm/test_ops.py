@@ -309,6 +309,36 @@ def test_decontamination(spark):
     assert decontaminate.contaminated(docs(spark, rows), b.limit(0)).count() == 0 and decontaminate.contaminated(docs(spark, []), b).count() == 0
 
 
+def test_decontamination_finds_all_paraphrases(spark):
+    """All that the decision rule can reach: words before the answer replaced by others, rarer ones kept or not, items of any length."""
+    r = random.Random(5)
+    common = [f"c{i}" for i in range(60)]
+    items = [(i, " ".join(r.choice(common) if r.random() < 0.6 else f"i{r.randrange(3000)}" for _ in range(r.choice((8, 12, 15, 20, 26, 32))))) for i in range(60)]
+    rows = [(d, " ".join(r.choice(common) if r.random() < 0.5 else f"x{r.randrange(5000)}" for _ in range(150))) for d in range(40)]
+    for i, text in items:
+        w = text.split()
+        last = max(1, len(w) // 4)
+        for k in r.sample(range(len(w) - last), int(0.45 * len(w))):
+            w[k] = f"z{r.randrange(10**6)}"
+        filler = [" ".join(f"y{r.randrange(10**6)}" for _ in range(r.randrange(90))) for _ in range(2)]
+        rows.append((1000 + i, f"{filler[0]} {' '.join(w)} {filler[1]}"))
+    b = spark.createDataFrame(items, "item_id long, text string")
+    got = {(x.doc_id, x.item_id) for x in decontaminate.contaminated(docs(spark, rows), b).collect()}
+    assert {(1000 + i, i) for i, _ in items} <= got
+    want = set()
+    for d, text in rows:
+        words = text.split()
+        final = -(-max(0, len(words) - 32) // 8)
+        for s in {min(k * 8, max(0, len(words) - 32)) for k in range(final + 1)}:
+            here = words[max(0, s - 16) : s + 48]
+            for i, item in items:
+                w = item.split()
+                share, answer = decontaminate.common_subsequence(w, here) / len(w), w[-max(1, len(w) // 4) :]
+                if share >= 0.75 or share >= 0.5 and decontaminate.common_subsequence(answer, here) >= 0.8 * len(answer):
+                    want.add((d, i))
+    assert got == want
+
+
 def test_common_subsequence():
     def slow(a, b):
         t = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]

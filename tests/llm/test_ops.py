@@ -233,6 +233,26 @@ def test_pii(spark):
     assert pii.scan(docs(spark, [])).count() == 0
 
 
+def test_pii_without_base_spans(spark):
+    r = random.Random(2)
+    n = lambda k: "".join(r.choice("0123456789") for _ in range(k))
+    some = lambda: " ".join(r.choice(("alpha", "beta", "gamma", "delta", "ring", "or", "now")) for _ in range(6))
+    rows = [(i, f"{some()} year {1900 + i} and {n(2)} {some()} call +1 ({n(3)}) {n(3)}-{n(4)} {some()} mail a{n(2)}@site.org {some()} ring +44 {n(3)} {n(3)}-{n(4)} {some()}") for i in range(150)]
+    rows += [(900, "call 743 555-3824 now"), (901, "we call 212-555-0187 or come"), (902, "the year 1999 and 23 items"), (903, "no numbers at all")]
+    got = {x.doc_id: x for x in pii.scan(docs(spark, rows)).collect()}
+    assert all(pii.base_spans(dict(rows)[d]) == [] for d in (900, 901, 902, 903))
+    assert got[900].spans == "crf-phone:5:17" and got[901].spans.startswith("crf-phone:8:") and got[900].n_phone == 0
+    assert got[902].spans == got[903].spans == ""
+
+
+def test_pii_rewritten_spans():
+    text = "a +1 (743) 555-3824 b 4111 1111 1111 1111, c@d.org 10.0.0.255 end"
+    for seed in range(20):
+        out, spans = pii.rewritten(text, pii.base_spans(text), random.Random(seed))
+        assert [k for k, _, _ in spans] == [k for k, _, _ in pii.base_spans(text)]
+        assert [out[s:e].strip() == out[s:e] for _, s, e in spans] == [True] * 4 and out.startswith("a ") and out.endswith(" end")
+
+
 def test_pii_patterns_match_plain_ones():
     r = random.Random(6)
     for _ in range(400):

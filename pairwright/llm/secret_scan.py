@@ -1,6 +1,7 @@
 """Secret scans: fixed patterns, and strings that a primed zstandard coder finds new.
 
-A candidate is a long run of key characters after a sensitive word on its line. It is compressed together with the
+Candidates are all runs of 12 key characters and more within CONTEXT characters of a sensitive word, before or after it
+and on any line, or right after a novel run (the lines of a key). Each is compressed together with the
 text around it by a coder whose dictionary holds identifiers and sample text; the bytes that it adds to the compressed
 context, against its length, are its novelty. Identifiers, paths and prose compress, random strings do not.
 """
@@ -23,8 +24,13 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 #: The maximal runs of [0-9a-f]+ that have 16 characters or more.
 HEX = re.compile(r"[0-9a-f]{16,}")
 LEAST = {"assign": 12, "access": 18, "hex": 16}
-SENSITIVE = re.compile(r"(?i:pass(?:word|wd|phrase)?|secret|token|api[_ -]?key|auth|bearer|credential|private|signature|access[_ -]?key)[^\n]{0,48}?([A-Za-z0-9+/_=-]{20,})", re.ASCII)
-LONG = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+SENSITIVE = re.compile(r"(?i:pass(?:word|wd|phrase)?|secret|token|api[_ -]?key|auth|bearer|credential|private|signature|access[_ -]?key)", re.ASCII)
+RUN = re.compile(r"[A-Za-z0-9+/_-]{12,}(?:={1,2}(?![A-Za-z0-9+/_-]))?")
+#: After the name of a value; names are no candidates if they hold a sensitive word.
+NAMES = re.compile(r"[\"']?\x20*[:=]")
+#: Between a novel run and one that goes on with it.
+GAP = re.compile(r"[\s\"'\\,]{1,16}")
+LONG = re.compile(r"[A-Za-z0-9+/_=-]{20,}|(?=[A-Za-z+/_=-]*[0-9])(?=[0-9+/_=-]*[A-Za-z])[A-Za-z0-9+/_=-]{12,}")
 #: Hints without which no sensitive word can be there.
 _HINT = re.compile(r"(?i:pass|secret|token|key|auth|bearer|credential|private|signature)", re.ASCII)
 #: A novel string adds at least so many compressed bytes for each of its characters, and has letters and digits.
@@ -73,14 +79,27 @@ def novel_spans(text: str, coder: Coder, base: list[tuple[str, int, int]]) -> li
     """Spans of kind novel: incompressible candidates in sensitive context that no base span touches."""
     if not _HINT.search(text):
         return []
-    found = []
-    for m in SENSITIVE.finditer(text):
-        s, e = m.span(1)
-        word = m[1]
-        if any(s < be and bs < e for _, bs, be in base) or not re.search(r"[0-9]", word) or not re.search(r"[A-Za-z]", word):
+    found, k, end, last = [], 0, -CONTEXT - 1, -1
+    hints, spans = [m.span() for m in SENSITIVE.finditer(text)], sorted((bs, be) for _, bs, be in base)
+    i = covered = 0
+    for m in RUN.finditer(text):
+        s, e = m.span()
+        while k < len(hints) and hints[k][0] <= e + CONTEXT:
+            end = hints[k][1]
+            k += 1
+        while i < len(spans) and spans[i][0] < e:
+            covered = max(covered, spans[i][1])
+            i += 1
+        word = m[0]
+        if end < s - CONTEXT and not (last >= 0 and GAP.fullmatch(text, last, s)):
+            continue
+        if covered > s or not re.search(r"[0-9]", word) or not re.search(r"[A-Za-z]", word):
+            continue
+        if NAMES.match(text, e) and SENSITIVE.search(word):
             continue
         if coder.novelty(text[max(0, s - CONTEXT) : s], word, text[e : e + CONTEXT]) >= NOVELTY:
             found.append(("novel", s, e))
+            last = e
     return found
 
 

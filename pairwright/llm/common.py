@@ -19,10 +19,10 @@ WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: White space and all ASCII characters but letters and digits.
 NOT_WORD = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
-#: Rows of an Arrow batch; texts may be long, so batches are kept small.
-BATCH_ROWS = 512
+#: Bytes from which an Arrow batch ends; texts may be long, so a number of rows is no bound.
+BATCH_BYTES = 2 << 20
 #: Bytes that the vectorised hashing handles at once; it takes about 40 times as much memory.
-PIECE = 4 << 20
+PIECE = 1 << 18
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -60,8 +60,8 @@ def forget(*tables: DataFrame) -> None:
 
 
 def tune(spark: SparkSession) -> None:
-    """Arrow batches of few rows, for texts of any length."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    """Arrow batches bounded by bytes, for texts of any length. The setting stays with the session; no result depends on it."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
 def require(df: DataFrame, *names: str) -> DataFrame:
@@ -72,6 +72,14 @@ def require(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(f"`{n}`") for n in names])
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """name, with as many underscores before it as make it no column of df (in any case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 
@@ -97,21 +105,42 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 _BASE = np.uint64(0x5851F42D4C957F2D)
 _VALUE = mix(np.where((np.arange(256) >= 65) & (np.arange(256) <= 90), np.arange(256) + 32, np.arange(256)).astype(np.uint64) + np.uint64(0x1234567))
-_powers = np.ones(1, np.uint64)
-_inverse = np.ones(1, np.uint64)
 
 
-def _grow(n: int) -> tuple[np.ndarray, np.ndarray]:
-    n = int(n)
-    global _powers, _inverse
-    if len(_powers) < n:
-        size = 1 << max(16, (n - 1).bit_length())
-        inv = np.uint64(pow(int(_BASE), -1, 1 << 64))
-        for name, step in (("_powers", _BASE), ("_inverse", inv)):
-            x = np.full(size, step, np.uint64)
-            x[0] = 1
-            globals()[name] = np.multiply.accumulate(x)
-    return _powers, _inverse
+@functools.cache
+def _powers() -> tuple[np.ndarray, np.ndarray]:
+    """The powers of the base and of its inverse modulo 2^64 that a piece needs: 4 MB."""
+    out = []
+    for step in (int(_BASE), pow(int(_BASE), -1, 1 << 64)):
+        x = np.full(PIECE + 1, step, np.uint64)
+        x[0] = 1
+        out.append(np.multiply.accumulate(x))
+    return out[0], out[1]
+
+
+def stretch_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """A polynomial hash modulo 2^64 of the bytes (as value says) of each stretch; stretches ascend and do not overlap."""
+    power, inverse = _powers()
+    out = np.empty(len(starts), np.uint64)
+    i = 0
+    while i < len(starts):
+        at = int(starts[i])
+        if int(ends[i]) - at > PIECE:  # a stretch of several pieces
+            total = 0
+            for k, x in enumerate(range(at, int(ends[i]), PIECE)):
+                part = value[data[x : min(x + PIECE, int(ends[i]))]]
+                total += int((part * power[: len(part)]).sum(dtype=np.uint64)) * pow(int(_BASE), k * PIECE, 1 << 64)
+            out[i] = (total + int(ends[i]) - at) & 0xFFFFFFFFFFFFFFFF
+            i += 1
+            continue
+        j = int(np.searchsorted(ends, at + PIECE, "right"))
+        to = int(ends[j - 1])
+        total = np.zeros(to - at + 1, np.uint64)
+        np.cumsum(value[data[at:to]] * power[: to - at], out=total[1:])
+        s, e = starts[i:j] - at, ends[i:j] - at
+        out[i:j] = (total[e] - total[s]) * inverse[s] + (e - s).astype(np.uint64)
+        i = j
+    return out
 
 
 def words(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -129,20 +158,7 @@ def words(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = SPACE) -> t
     after = np.empty(n, bool)
     after[-1], after[:-1] = False, solid[1:]
     ends = np.flatnonzero(solid & (~after | edge[1:])) + 1
-    out = np.empty(len(starts), np.uint64)
-    i = 0
-    while i < len(starts):
-        at = starts[i]
-        j = max(i + 1, int(np.searchsorted(ends, at + PIECE, "right")))
-        to = int(ends[j - 1])
-        power, inverse = _grow(to - at + 1)
-        total = np.empty(to - at + 1, np.uint64)
-        total[0] = 0
-        np.cumsum(_VALUE[data[at:to]] * power[: to - at], out=total[1:])
-        s, e = starts[i:j] - at, ends[i:j] - at
-        out[i:j] = (total[e] - total[s]) * inverse[s] + (e - s).astype(np.uint64)
-        i = j
-    return mix(out), starts, ends, np.searchsorted(starts, offsets)
+    return mix(stretch_hashes(data, starts, ends, _VALUE)), starts, ends, np.searchsorted(starts, offsets)
 
 
 def shingle_hashes(data: np.ndarray, offsets: np.ndarray, width: int, word_rank: np.ndarray | None = None):
@@ -185,17 +201,23 @@ BROADCAST_IDS = 500_000
 
 def without_ids(rows: DataFrame, ids: DataFrame) -> DataFrame:
     """rows but those whose doc_id is in ids (one column, doc_id). Few ids go to the rows, many meet them by a shuffle."""
-    ids = save(ids.where("doc_id is not null").distinct().withColumnRenamed("doc_id", "_id"))
-    if ids.count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
-    return rows.join(ids, F.col("doc_id") == F.col("_id"), "left_anti")
+    name = free_name(rows, "id")
+    ids = save(ids.where("doc_id is not null").distinct().withColumnRenamed("doc_id", name))
+    return rows.join(small(ids), F.col("doc_id") == F.col(name), "left_anti")
+
+
+def small(table: DataFrame) -> DataFrame:
+    """A table of save() of few numbers a row, marked for broadcast if it has BROADCAST_IDS rows at most."""
+    return F.broadcast(table) if table.count() <= BROADCAST_IDS else table
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
     """(id, component) of every end of the edges (a, b): component is the smallest id that can be reached.
 
-    Alternates large-star and small-star (Kiveris et al. 2014); each round is a grouped minimum and an equi-join
-    on a table in the shared folder, so neither a hub nor a component meets in one task.
+    Alternates large-star and small-star (Kiveris et al. 2014); each round is grouped minima and joins with the few nodes
+    that have something to pass on (inner nodes of paths, and nodes with several smaller neighbours), broadcast if
+    their count allows it, so a hub's edges are nowhere brought together; beyond that count the join is by a shuffle,
+    which adaptive execution can split at a hub. Every round leaves a table in the shared folder.
     """
     e = save(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
 
@@ -204,14 +226,16 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     seen = mark(e)
     while seen[0]:
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
-        new = save(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+        # large star: the larger neighbours of v go to the smallest neighbour of v, or to v itself
+        inner = save(e.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "v").join(e.select("v").distinct(), "v"))
+        large = save(e.join(small(inner), "v", "left").select("u", F.coalesce("m", "v").alias("v")).distinct())
+        # small star: the smaller neighbours of u, and u, go to the smallest of them
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        forks = save(low.where("n > 1").select("u", "m"))
+        moved = large.join(small(forks), "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        new = save(moved.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
         now = mark(new)
-        forget(e)
+        forget(e, inner, large, forks)
         e = new
         if now == seen:
             break

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairwright.llm.common import bytes_of, forget, map_arrow, require, save
+from pairwright.llm.common import bytes_of, forget, free_name, map_arrow, require, save
 
 FANOUT = 4
 #: Batches that a single table is ingested in.
@@ -108,12 +108,13 @@ def drop_hot_lines(docs: DataFrame, min_docs: int = 10, batches: int = BATCHES,
     forget(counted)
     temp = docs.drop("n_lines", "n_dropped")
     names = temp.columns
+    hot_name, row_name = free_name(temp, "hot"), free_name(temp, "row")
     if hot.count() <= broadcast_limit:
         everywhere = spark.sparkContext.broadcast(frozenset(bytes(r[0]) for r in hot.collect()))
     else:
         everywhere = None
-        own = lines.join(hot, "key", "left_semi").groupBy("row").agg(F.collect_set("key").alias("_hot")).withColumnRenamed("row", "_row")
-        temp = temp.withColumn("_row", address).join(own, "_row", "left").select(*[F.col(f"`{c}`") for c in names], "_hot")
+        own = lines.join(hot, "key", "left_semi").groupBy("row").agg(F.collect_set("key").alias(hot_name)).withColumnRenamed("row", row_name)
+        temp = temp.withColumn(row_name, address).join(own, row_name, "left").select(*[F.col(f"`{c}`") for c in names], hot_name)
 
     def drop(batch):
         where = names.index("text")
@@ -131,5 +132,5 @@ def drop_hot_lines(docs: DataFrame, min_docs: int = 10, batches: int = BATCHES,
         return pa.RecordBatch.from_arrays([*columns, pa.array(total, pa.int64()), pa.array(dropped, pa.int64())], [*names, "n_lines", "n_dropped"])
 
     temp = temp.withColumn("text", F.col("text").cast("binary"))
-    fields = ", ".join(f"`{f.name}` {'string' if f.name == 'text' else f.dataType.simpleString()}" for f in temp.schema.fields if f.name != "_hot")
+    fields = ", ".join(f"`{f.name}` {'string' if f.name == 'text' else f.dataType.simpleString()}" for f in temp.schema.fields if f.name in names)
     return map_arrow(temp, drop, f"{fields}, n_lines long, n_dropped long")

@@ -15,8 +15,10 @@ against the exact sets. One tree over the whole corpus would have saturated bitm
 so the prefix shingles are the top of the hierarchy and each block has a tree of its own.
 
 Blocks are contracted first: one edge a class, to the smallest class of its blocks, is checked and links are joined
-to components; only blocks with several components are searched in full, and only between components. A large block
-is cut into parts, whose trees meet in pairs of parts.
+to components; only blocks with several components are searched in full, and only between components. The blocks of one
+family share most members and are searched in one task, which gets each signature once. In a large block, the component
+with most rows need not meet itself: its rows are cut into parts that go nowhere else, and the other components' rows
+meet each of these parts and one another.
 """
 
 from __future__ import annotations
@@ -25,10 +27,10 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pairwright.llm.common import bytes_of, connected_components, forget, map_arrow, mix, require, save, shingle_hashes, without_ids, words
+from pairwright.llm.common import bytes_of, connected_components, forget, free_name, map_arrow, mix, require, save, shingle_hashes, small, words
 
 CELLS = 1 << 16
 #: Signature bits of a class: twice its size, as a power of two in these bounds.
@@ -38,8 +40,8 @@ FINE = 8
 #: Classes of one block that one task holds; larger blocks are cut into parts.
 PART = 512
 LEAF, FANOUT = 8, 4
-#: Rows that share one task of the search, about.
-TASK_ROWS = 8192
+#: Rows that share one task of the search, about, and large blocks of one component that do.
+TASK_ROWS, TASK_BLOCKS = 8192, 16
 #: Cells of the filter on document ids ahead of exact checks; it is the most that is ever broadcast.
 ID_CELLS = 1 << 18
 
@@ -78,20 +80,27 @@ def signature(x: np.ndarray, finer: int = 1) -> bytes:
     return np.packbits(out, bitorder="little").tobytes()
 
 
+def digest_of(s: np.ndarray) -> tuple[int, int]:
+    """Two numbers that tell sets of shingles apart."""
+    if len(s) == 0:
+        return 0, 0
+    return int(mix(s).sum(dtype=np.uint64).view(np.int64)), int(np.bitwise_xor.reduce(mix(s + np.uint64(77))).view(np.int64))
+
+
 def describe(docs: DataFrame, width: int, percent: int, crowd: np.ndarray, rare: np.ndarray) -> DataFrame:
-    """doc_id, n, digest (d1, d2), signature, prefix shingles of each document."""
+    """doc_id, digest of the text, n, digest of the set (d1, d2), signature, prefix shingles of each document."""
 
     def one(batch):
-        x, at, common = shingle_hashes(*bytes_of(batch.column(1)), width, rare)
-        rank = crowd[(x & np.uint64(CELLS - 1)).astype(np.int64)]
-        order = (rank << np.uint64(59)) | (np.minimum(common, 511).astype(np.uint64) << np.uint64(50)) | (mix(x) >> np.uint64(14))
+        every, at, common = shingle_hashes(*bytes_of(batch.column(2)), width, rare)
+        rank = crowd[(every & np.uint64(CELLS - 1)).astype(np.int64)]
+        order = (rank << np.uint64(59)) | (np.minimum(common, 511).astype(np.uint64) << np.uint64(50)) | (mix(every) >> np.uint64(14))
         n, d1, d2, sigs, prefixes = [], [], [], [], []
         for i in range(batch.num_rows):
-            s, first = np.unique(x[at[i] : at[i + 1]], return_index=True)
+            s, first = np.unique(every[at[i] : at[i + 1]], return_index=True)
             k = len(s)
             n.append(k)
-            d1.append(int(mix(s).sum(dtype=np.uint64).view(np.int64)) if k else 0)
-            d2.append(int(np.bitwise_xor.reduce(mix(s + np.uint64(77))).view(np.int64)) if k else 0)
+            for d, x in zip((d1, d2), digest_of(s), strict=True):
+                d.append(x)
             sigs.append(signature(s) if k else b"")
             p = _prefix_size(k, percent)
             o = order[at[i] : at[i + 1]][first]
@@ -100,11 +109,16 @@ def describe(docs: DataFrame, width: int, percent: int, crowd: np.ndarray, rare:
         to = np.cumsum([0, *map(len, prefixes)]).astype(np.int32)
         flat = np.concatenate(prefixes) if prefixes else np.zeros(0, np.int64)
         return pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(sigs, pa.binary()), pa.ListArray.from_arrays(pa.array(to), pa.array(flat))],
-            ["doc_id", "n", "d1", "d2", "sig", "prefix"],
+            [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(sigs, pa.binary()), pa.ListArray.from_arrays(pa.array(to), pa.array(flat))],
+            ["doc_id", "t", "n", "d1", "d2", "sig", "prefix"],
         )
 
-    return map_arrow(docs.select("doc_id", F.col("text").cast("binary").alias("text")), one, "doc_id long, n long, d1 long, d2 long, sig binary, prefix array<long>")
+    return map_arrow(docs.select("doc_id", text_digest().alias("t"), F.col("text").cast("binary").alias("text")), one, "doc_id long, t long, n long, d1 long, d2 long, sig binary, prefix array<long>")
+
+
+def text_digest() -> Column:
+    """Tells apart the texts of rows with one doc_id."""
+    return F.xxhash64(F.col("text").isNull(), F.col("text"))
 
 
 def _most_common(a: np.ndarray, b: np.ndarray, na, nb) -> np.ndarray:
@@ -177,11 +191,11 @@ def joined(a: Tree, b: Tree, percent: int) -> list[tuple[int, int]]:
     return found
 
 
-def link_blocks(members: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs (a, b) of rows (task, block, part, home, id, n, reach, comp, sig): in each (block, part) two trees meet.
+def link_blocks(members: DataFrame, sigs: DataFrame, percent: int) -> DataFrame:
+    """Candidate pairs (a, b) of rows (task, block, part, home, id, n, reach, comp): in each (block, part) two trees meet.
 
-    home 0: rows of one part of the block; 1: rows of another part (if there are none, the first meets itself). task
-    gathers many small (block, part) so that a task's rows are few and yet a batch has enough of them.
+    home 0: rows of one part of the block; 1: rows of another part (if there are none, the first meets itself). sigs:
+    (at, sig_id, sig), the signatures of a task's rows, each once.
     """
 
     def meet(n, reach, comp, ids, home, sigs):
@@ -196,18 +210,54 @@ def link_blocks(members: DataFrame, percent: int) -> DataFrame:
         b = sides[1] or a
         return [(int(a[0][i]), int(b[0][j])) for i, j in joined(a[1], b[1], percent)] if a else []
 
-    def search(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("block", "ascending"), ("part", "ascending")])
-        n, reach, comp, ids, home, block, part = (table.column(c).to_numpy() for c in ("n", "reach", "comp", "id", "home", "block", "part"))
-        sigs = [np.frombuffer(s, np.uint8) for s in table.column("sig").to_pylist()]
-        cut = np.flatnonzero((block[1:] != block[:-1]) | (part[1:] != part[:-1])) + 1
+    def search(rows: pa.Table, own: pa.Table) -> pa.Table:
         found = set()
-        for x, y in zip([0, *cut.tolist()], [*cut.tolist(), len(n)], strict=True):
-            found.update((min(p), max(p)) for p in meet(n[x:y], reach[x:y], comp[x:y], ids[x:y], home[x:y], sigs[x:y]))
+        if rows.num_rows:
+            rows = rows.sort_by([("block", "ascending"), ("part", "ascending")])
+            n, reach, comp, ids, home, block, part = (rows.column(c).to_numpy() for c in ("n", "reach", "comp", "id", "home", "block", "part"))
+            sig_of = {i: np.frombuffer(s, np.uint8) for i, s in zip(own.column("sig_id").to_pylist(), own.column("sig").to_pylist(), strict=True)}
+            cut = np.flatnonzero((block[1:] != block[:-1]) | (part[1:] != part[:-1])) + 1
+            for x, y in zip([0, *cut.tolist()], [*cut.tolist(), len(n)], strict=True):
+                if y - x > 1:
+                    found.update((min(p), max(p)) for p in meet(n[x:y], reach[x:y], comp[x:y], ids[x:y], home[x:y], [sig_of[i] for i in ids[x:y].tolist()]))
         pairs = np.array(sorted(found), np.int64).reshape(-1, 2)
         return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
 
-    return members.groupBy("task").applyInArrow(search, "a long, b long")
+    return members.groupBy("task").cogroup(sigs.groupBy("at")).applyInArrow(search, "a long, b long")
+
+
+def small_blocks(labelled: DataFrame, several: DataFrame) -> DataFrame:
+    """Rows of link_blocks for blocks of PART rows at most, dealt by their smallest component (and by block, if it has many)."""
+    some = several.where(F.col("rows") <= PART)
+    load = some.groupBy("low").agg(F.ceil(F.sum("rows") / TASK_ROWS).alias("salts"))
+    some = some.join(load, "low").select("block", F.xxhash64("low", F.pmod(F.xxhash64("block"), "salts")).alias("task"))
+    return labelled.join(some, "block").select("task", "block", F.lit(0).cast("long").alias("part"), F.lit(0).alias("home"), "id", "n", "reach", "comp")
+
+
+def large_blocks(labelled: DataFrame, several: DataFrame) -> DataFrame:
+    """Rows of link_blocks for larger blocks: the rows of the main component once for each part of the others, those of
+    the others once for each part of the main component and of the others."""
+    held = labelled.join(several.where(F.col("rows") > PART).select("block", "rows"), "block")
+    each = held.groupBy("block", "comp").agg(F.count("*").alias("k"), F.first("rows").alias("rows"))
+    main = each.groupBy("block").agg(F.max(F.struct("k", "comp")).alias("m"), F.first("rows").alias("rows"))
+    parts = lambda n: F.lit(1).cast("long") * F.pow(F.lit(2), F.ceil(F.log2(F.greatest(n / F.lit(PART), F.lit(1.0))))).cast("long")
+    main = main.select("block", F.col("m.comp").alias("main"), parts(F.col("m.k")).alias("mains"), parts(F.col("rows") - F.col("m.k")).alias("others"))
+    salts = main.groupBy("main").agg(F.ceil(F.count("*") / TASK_BLOCKS).alias("salts"))
+    rows = held.drop("rows").join(main.join(salts, "main"), "block")
+    own = lambda n: F.pmod(F.xxhash64("id"), n)
+    upto = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
+    # a meeting: part i of the others with part j of the main component (kind 0) or of the others (kind 1, i <= j)
+    meeting = lambda kind, i, j, home: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"), home.alias("home"))
+    of_main = F.transform(upto(F.col("others")), lambda i: meeting(0, i, own(F.col("mains")), F.lit(1)))
+    me = own(F.col("others"))
+    of_others = F.concat(
+        F.transform(upto(F.col("mains")), lambda j: meeting(0, me, j, F.lit(0))),
+        F.transform(upto(F.col("others")), lambda j: meeting(1, F.least(me, j), F.greatest(me, j), (me > j).cast("int"))),
+    )
+    rows = rows.withColumn("t", F.explode(F.when(F.col("comp") == F.col("main"), of_main).otherwise(of_others)))
+    task = F.xxhash64("main", "t.kind", "t.i", "t.j", F.pmod(F.xxhash64("block"), "salts"))
+    part = (F.col("t.i") * F.greatest("mains", "others") + F.col("t.j")) * 2 + F.col("t.kind")
+    return rows.select(task.alias("task"), "block", part.alias("part"), F.col("t.home").alias("home"), "id", "n", "reach", "comp")
 
 
 def bounded(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
@@ -231,34 +281,38 @@ def bounded(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     return map_arrow(both.select("a", "b", "na", "nb", "sa", "sb"), keep, "a long, b long")
 
 
-def sets_of(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
-    """(id, set) of the documents whose doc_id is in ids; only documents that may be among them are shingled again."""
+def sets_of(docs: DataFrame, classes: DataFrame, width: int) -> DataFrame:
+    """(id, set) of classes (id, doc_id, d1, d2); only documents whose doc_id may be among them are shingled again."""
     cell = lambda c: F.pmod(F.xxhash64(c), F.lit(ID_CELLS))
-    cells = ids.select(cell("id").alias("cell")).distinct()  # ID_CELLS rows at most
+    cells = classes.select(cell("doc_id").alias("cell")).distinct()  # ID_CELLS rows at most
     some = docs.withColumn("cell", cell("doc_id")).join(F.broadcast(cells), "cell", "left_semi")
 
     def sets(batch):
         x, at = shingle_hashes(*bytes_of(batch.column(1)), width)
-        parts = [np.unique(x[at[i] : at[i + 1]]).view(np.int64) for i in range(batch.num_rows)]
+        parts = [np.unique(x[at[i] : at[i + 1]]) for i in range(batch.num_rows)]
+        digests = np.array([digest_of(s) for s in parts], np.int64).reshape(-1, 2)
         to = np.cumsum([0, *map(len, parts)]).astype(np.int32)
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(to), pa.array(np.concatenate(parts)))], ["id", "set"])
+        flat = pa.ListArray.from_arrays(pa.array(to), pa.array(np.concatenate(parts).view(np.int64)))
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests[:, 0]), pa.array(digests[:, 1]), flat], ["doc_id", "d1", "d2", "set"])
 
-    s = map_arrow(some.select("doc_id", F.col("text").cast("binary").alias("text")), sets, "id long, set array<long>")
-    return s.join(ids, "id", "left_semi").dropDuplicates(["id"])
+    s = map_arrow(some.select("doc_id", F.col("text").cast("binary").alias("text")), sets, "doc_id long, d1 long, d2 long, set array<long>")
+    return s.join(classes, ["doc_id", "d1", "d2"]).select("id", "set").dropDuplicates(["id"])
 
 
-def linked(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """Of pairs (a, b) of doc_id, those whose exact sets reach the threshold."""
+def linked(pairs: DataFrame, reps: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """Of pairs (a, b) of classes, those whose exact sets reach the threshold."""
     ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    s = save(sets_of(docs, ids, width))
-    both = pairs.join(s.select(F.col("id").alias("a"), F.col("set").alias("sa")), "a").join(s.select(F.col("id").alias("b"), F.col("set").alias("sb")), "b")
+    classes = save(reps.select("id", "doc_id", "d1", "d2").join(ids, "id", "left_semi"))
+    s = save(sets_of(docs, classes, width))
+    # b first: a hub is an a, and its many pairs then meet its set straight from a shuffle, which can be split there
+    both = pairs.join(s.select(F.col("id").alias("b"), F.col("set").alias("sb")), "b").join(s.select(F.col("id").alias("a"), F.col("set").alias("sa")), "a")
     both = both.select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), F.size(F.array_intersect("sa", "sb")).alias("n"))
     out = save(both.where(F.lit(100) * F.col("n") >= F.lit(percent) * (F.col("na") + F.col("nb") - F.col("n"))).select("a", "b"))
-    forget(s)
+    forget(s, classes)
     return out
 
 
-def fine_signatures(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
+def fine_signatures(docs: DataFrame, classes: DataFrame, width: int) -> DataFrame:
     """(id, sig) with FINE times the bits, for the members of large blocks, where many pairs are near the threshold."""
 
     def fine(batch):
@@ -267,23 +321,15 @@ def fine_signatures(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
         sigs = [signature(values[off[i] : off[i + 1]], FINE) for i in range(batch.num_rows)]
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(sigs, pa.binary())], ["id", "sig"])
 
-    return map_arrow(sets_of(docs, ids, width), fine, "id long, sig binary")
-
+    return map_arrow(sets_of(docs, classes, width), fine, "id long, sig binary")
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """Components of documents by Jaccard similarity of their word shingles: doc_id, n_shingles, component_id.
 
-    docs: doc_id, text; other columns are ignored, whatever their names. One row is returned for each row of docs.
-    A-Z counts as a-z; words are split at [\\x20\\x09-\\x0D]. Null, empty and blank texts have no shingle, link with
-    nothing and are their own component. Rows with equal doc_id count as copies of one another only if their sets are
-    equal or link. A null doc_id is never a component's id: such a row gets the smallest id that it reaches, or null.
-    An empty table gives an empty result.
-    """
-    docs = require(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
+def grouped(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """doc_id, t (text_digest), n, component (a number of this run's, null for empty sets), component_id of every row of docs (doc_id long, text)."""
     all_docs = save(describe(docs, width, percent, *crowding(docs, width)))
-    # a class: all documents with one set; its id is its smallest doc_id
+    # a class: all documents with one set; its id is a number of this run's, unlike doc_id never shared by two sets
     reps = all_docs.where("n > 0 and doc_id is not null").groupBy("d1", "d2", "n").agg(F.min(F.struct("doc_id", "sig", "prefix")).alias("r"))
-    reps = save(reps.select(F.col("r.doc_id").alias("id"), "n", "d1", "d2", F.col("r.sig").alias("sig"), F.col("r.prefix").alias("prefix")))
+    reps = save(reps.select(F.monotonically_increasing_id().alias("id"), "r.doc_id", "n", "d1", "d2", "r.sig", "r.prefix"))
     entries = reps.select("id", "n", F.posexplode("prefix").alias("place", "key"))
     shared = entries.groupBy("key").agg(F.count("*").alias("df")).where("df > 1").select("key")
     # size classes: two sets that link are in one class or in adjacent ones
@@ -297,53 +343,64 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     hub = met.groupBy("block").agg(F.min("id").alias("hub"), F.max("id").alias("top")).where("hub < top").select("block", "hub")
     first = met.join(hub, "block").groupBy("id").agg(F.min("hub").alias("hub")).where("hub < id").select(F.col("hub").alias("a"), F.col("id").alias("b"))
     pairs = save(bounded(first, reps, percent))
-    links = linked(pairs, docs, width, percent)
+    links = linked(pairs, reps, docs, width, percent)
     forget(pairs)
     comp = save(connected_components(links))
     # blocks with several components, searched in full between them
-    labelled = met.join(comp, "id", "left").select("block", "id", "n", "reach", F.coalesce("component", "id").alias("comp"))
-    labelled = save(labelled)
-    forget(met)
-    several = labelled.groupBy("block").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("rows")).where("low < high").select("block", "rows", F.ceil(F.col("rows") / PART).cast("int").alias("parts"))
-    several = save(several)
-    members = labelled.join(several.where("parts = 1"), "block").join(reps.select("id", "sig"), "id")
-    large = several.where("parts > 1")
-    if not large.isEmpty():
-        held = save(labelled.join(large, "block"))
-        fine = save(fine_signatures(docs, held.select("id").distinct(), width))
-        members = members.unionByName(held.join(fine, "id").select(*members.columns))
-    own = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
-    # part i meets part j >= i in the task (i, j), where the rows of part j > i are not at home
-    other = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.struct(F.least(j, F.col("own")).alias("i"), F.greatest(j, F.col("own")).alias("j")))
-    spread = members.withColumn("own", own).select("block", "own", "parts", "id", "n", "reach", "comp", "sig", F.explode(other).alias("t"))
-    load = several.agg(F.sum(F.col("rows") * F.col("parts"))).first()[0] or 0
-    spread = spread.select(
-        F.pmod(F.xxhash64("block", "t"), F.lit(max(1, -(-load // TASK_ROWS)))).alias("task"),
-        "block",
-        (F.col("t.i").cast("long") * F.col("parts") + F.col("t.j")).alias("part"),
-        (F.col("own") != F.col("t.i")).cast("int").alias("home"),
-        "id",
-        "n",
-        "reach",
-        "comp",
-        "sig",
-    )
-    found = save(link_blocks(spread, percent).distinct())
-    more = linked(found, docs, width, percent)
-    forget(found, labelled)
-    comp2 = connected_components(links.unionByName(more))
-    classes = reps.join(comp2, "id", "left").select("d1", "d2", "n", F.coalesce("component", "id").alias("component_id"))
-    return (
-        all_docs.select("doc_id", "n", "d1", "d2")
-        .join(classes, ["d1", "d2", "n"], "left")
-        .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
-    )
+    labelled = save(met.join(comp, "id", "left").select("block", "id", "n", "reach", F.coalesce("component", "id").alias("comp")))
+    forget(met, comp)
+    several = labelled.groupBy("block").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("rows")).where("low < high")
+    several = save(several.select("block", "low", "rows"))
+    members = save(small_blocks(labelled, several))
+    of_task = lambda rows: rows.select(F.col("task").alias("at"), F.col("id").alias("sig_id")).distinct()
+    sigs = of_task(members).join(reps.select(F.col("id").alias("sig_id"), "sig"), "sig_id").select("at", "sig_id", "sig")
+    large = None
+    if not several.where(F.col("rows") > PART).isEmpty():
+        large = save(large_blocks(labelled, several))
+        fine = fine_signatures(docs, reps.select("id", "doc_id", "d1", "d2").join(large.select("id").distinct(), "id", "left_semi"), width)
+        sigs = sigs.unionByName(of_task(large).join(fine.withColumnRenamed("id", "sig_id"), "sig_id").select("at", "sig_id", "sig"))
+    every = members if large is None else members.unionByName(large)
+    found = save(link_blocks(every, sigs, percent).distinct())
+    more = linked(found, reps, docs, width, percent)
+    forget(found, labelled, several, members, *([] if large is None else [large]))
+    comp = connected_components(links.unionByName(more))
+    classes = save(reps.join(comp, "id", "left").select("doc_id", "d1", "d2", "n", F.coalesce("component", "id").alias("component")))
+    least = classes.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    classes = classes.drop("doc_id").join(least, "component")
+    return all_docs.select("doc_id", "t", "n", "d1", "d2").join(classes, ["d1", "d2", "n"], "left").select("doc_id", "t", "n", "component", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """Components of documents by Jaccard similarity of their word shingles: doc_id, n_shingles, component_id.
+
+    docs: doc_id, text; other columns are ignored, whatever their names. One row is returned for each row of docs.
+    A-Z counts as a-z; words are split at [\\x20\\x09-\\x0D]. Null, empty and blank texts have no shingle, link with
+    nothing and are their own component. Rows with equal doc_id count as copies of one another only if their sets are
+    equal or link. A null doc_id is never a component's id: such a row gets the smallest id that it reaches, or null.
+    An empty table gives an empty result.
+    """
+    docs = require(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
+    return grouped(docs, width, percent).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
 
 
 def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """docs without the near duplicates: of each component the row with the smallest doc_id stays, and every row that links with nothing. Rows with equal doc_id and text stay once."""
-    found = save(near_duplicates(docs, width, percent))
-    rows, ids = found.where("doc_id is not null").agg(F.count("*"), F.count_distinct("doc_id")).first()
-    if ids < rows:
+    """docs without the near duplicates: of each component the row with the smallest doc_id stays, and every row that links with nothing.
+
+    Rows are told apart by doc_id and text: of several rows with that smallest doc_id in one component one stays, while a
+    row of that doc_id in another component, or in none, is not touched. Rows with equal doc_id and text stay once. Rows
+    with a null doc_id stay, as nothing could name them. Null, empty and blank texts link with nothing and stay. Columns
+    keep their names and order, whatever they are. An empty table gives an empty result.
+    """
+    base = require(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
+    found = save(grouped(base, width, percent).where("doc_id is not null"))
+    keys = save(found.groupBy("doc_id", "t").agg(F.first("component").alias("component"), F.first("component_id").alias("component_id"), F.count("*").alias("k")))
+    if not keys.where("k > 1").isEmpty():
         docs = docs.dropDuplicates(["doc_id", "text"])
-    return without_ids(docs, found.where("doc_id <> component_id").select("doc_id"))
+    linked_rows = keys.where("component is not null")
+    # one doc_id several times in a component: the text with the smallest digest stays
+    heads = linked_rows.where("doc_id = component_id")
+    twice = save(heads.groupBy("component").agg(F.min("t").alias("least"), F.count("*").alias("texts")).where("texts > 1").select("component", "least"))
+    gone = linked_rows.where("doc_id <> component_id").select("doc_id", "t").unionByName(heads.join(small(twice), "component").where("t <> least").select("doc_id", "t"))
+    i, t = free_name(docs, "id"), free_name(docs, "t")
+    gone = save(gone.select(F.col("doc_id").alias(i), F.col("t").alias(t)))
+    return docs.join(small(gone), (F.col("doc_id") == F.col(i)) & (text_digest() == F.col(t)), "left_anti")

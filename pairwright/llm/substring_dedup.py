@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairwright.llm.common import PIECE, SPACE, _grow, bytes_of, map_arrow, mix, require, save
+from pairwright.llm.common import PIECE, SPACE, bytes_of, map_arrow, mix, require, save, stretch_hashes
 
 #: A cut is made where (hash >> SHIFT) & MASK is 0: every 32 bytes on average, by the last SHIFT + 5 = 12 bytes.
 SHIFT, MASK = 7, 31
@@ -83,18 +83,7 @@ def chunks(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     """(text number, start and end within the text, digest, words that begin in it) of every chunk, in order."""
     ends = cut_points(data, offsets)
     starts = np.concatenate([[0], ends[:-1]]).astype(np.int64) if len(ends) else ends
-    digest = np.empty(len(ends), np.uint64)
-    i = 0
-    while i < len(ends):
-        at = starts[i]
-        j = max(i + 1, int(np.searchsorted(ends, at + PIECE, "right")))
-        to = int(ends[j - 1])
-        power, inverse = _grow(to - at + 1)
-        total = np.zeros(to - at + 1, np.uint64)
-        np.cumsum(_VALUES[data[at:to]] * power[: to - at], out=total[1:])
-        s, e = starts[i:j] - at, ends[i:j] - at
-        digest[i:j] = (total[e] - total[s]) * inverse[s] + (e - s).astype(np.uint64)
-        i = j
+    digest = stretch_hashes(data, starts, ends, _VALUES)
     solid = ~SPACE[data]
     begin = solid.copy()
     begin[1:] &= ~solid[:-1]

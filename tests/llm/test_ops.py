@@ -107,6 +107,15 @@ def test_keep_one_and_edge_tables(spark):
     assert ids[None] == 1
 
 
+def test_keep_one_tells_rows_apart_by_text(spark):
+    a, b = "one two three four five six seven eight nine ten", "completely different words that have nothing at all in common here"
+    rows = [(3, a), (5, a), (5, b), (7, a.upper()), (7, a), (8, b + " x"), (8, "q w e r t y u i o p"), (8, "z x c v b n m l k j")]
+    kept = ngram_join.keep_one(docs(spark, rows), 3, 70).collect()
+    assert sorted((x.doc_id, x.text) for x in kept) == sorted([(3, a), (5, b), (8, "q w e r t y u i o p"), (8, "z x c v b n m l k j")])
+    kept = ngram_join.keep_one(docs(spark, [(1, a), (1, a.upper()), (1, a)]).withColumn("t", F.lit(1)).withColumn("_id", F.lit(2))).collect()
+    assert len(kept) == 1
+
+
 def line_brute(rows, least):
     low = bytes.maketrans(common.UPPER.encode(), common.LOWER.encode())
     key = lambda s: s.strip(common.SPACE_CHARS).encode().translate(low)
@@ -184,31 +193,46 @@ def test_language_id(spark):
 
 
 def test_code_length_is_that_of_the_tree():
-    model = language_id.train({"a": [b"abracadabra abracadabra"], "b": [b"zzzz yyyy"]})
-    text = b"abra zy"
-    symbols = [model.symbol[10]] * 3 + [int(model.symbol[c]) for c in text]
-    bits = np.zeros(2)
-    for i, lang in enumerate((b"abracadabra abracadabra", b"zzzz yyyy")):
-        s = model.symbol[np.frombuffer(lang, np.uint8)]
-        levels = language_id.context_tree(s)
-        for k in range(3, len(symbols)):
+    """Against a walk down plain count tables, on bytes of any kind, texts of any length and any number of texts."""
+    r = random.Random(3)
+    samples = {"a": "abracadabra abracadabra".encode(), "b": b"zzzz yyyy", "c": "привет как дела ёжик".encode()}
+    model = language_id.train({k: [v] for k, v in samples.items()})
+    texts = [b"", b"abra zy", b"x", "ёлка привет ABRA".encode(), b"", b"ab", *["".join(r.choice("abrzyжд к") for _ in range(r.randrange(9))).encode() for _ in range(40)]]
+
+    def bits(sample, text):
+        follows = defaultdict(Counter)
+        for k, c in enumerate(sample):
+            for order in range(min(3, k) + 1):
+                follows[sample[k - order : k]][c] += 1
+        total, padded = 0.0, b"\n\n\n" + text.lower()
+        for k in range(3, len(padded)):
             for order in range(3, -2, -1):
                 if order < 0:
-                    bits[i] += np.log2(language_id.SYMBOLS)
+                    total += 8
                     break
-                context = 0
-                for c in symbols[k - order : k]:
-                    context = context * language_id.SYMBOLS + int(c)
-                follows = levels[order].get(context)
-                if follows is None:
+                f = follows.get(padded[k - order : k])
+                if f is None:
                     continue
-                total, kinds = sum(follows.values()), len(follows)
-                if symbols[k] in follows:
-                    bits[i] += np.log2((total + kinds) / follows[symbols[k]])
+                n, kinds = sum(f.values()), len(f)
+                if f[padded[k]]:
+                    total += np.log2((n + kinds) / f[padded[k]])
                     break
-                bits[i] += np.log2((total + kinds) / kinds)
-    got = language_id.code_lengths(model, np.frombuffer(text + b"xyz", np.uint8), np.array([0, 0, len(text), len(text) + 3]))
-    assert np.allclose(got[1], bits, rtol=1e-5) and (got[0] == 0).all()
+                total += np.log2((n + kinds) / kinds)
+        return total
+
+    for piece in (1 << 18, 7):
+        language_id.PIECE, kept = piece, language_id.PIECE
+        got = language_id.code_lengths(model, np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)]))
+        language_id.PIECE = kept
+        assert np.allclose(got, [[bits(samples[k], t) for k in model.langs] for t in texts], rtol=1e-5)
+
+
+def test_texts_without_letters_are_und(spark):
+    rows = [(d, "the and of to " * 5, "xx") for d in range(20)] + [(100, "² ½ ① Ⅷ 12", None), (101, "жж", None), (102, "ª", None)]
+    df = docs(spark, rows, ", lang string").withColumn("_text", F.lit("q"))
+    got = {x.doc_id: x.lang_pred for x in language_id.identify(df, ["doc_id"]).collect()}
+    assert got[100] == "und" and got[101] == got[102] == "xx"
+    assert language_id.known_language(df).columns == df.columns and "_text" in language_id.known_language(df).columns
 
 
 def test_secrets(spark):

@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pairwright.llm.common import WORD, save
+from pairwright.llm.common import WORD, free_name, save
 
 #: Hex digits of a document's place in the order that make its bin; running sums are taken over bins first.
 DIGITS = 3
@@ -21,21 +21,53 @@ DIGITS = 3
 MOST_SOURCES = 10_000
 
 
-def water_filled(sizes: Sequence[int], weights: Sequence[float], share: float = 1.5, most: float = 2.0) -> list[float]:
-    """Targets of share x all sizes by weight; none is above most x its size, and what that leaves is dealt again by weight."""
-    out, rest = [0.0] * len(sizes), share * sum(sizes)
-    free = list(range(len(sizes)))
-    while free:
-        total = sum(weights[i] for i in free)
-        full = [i for i in free if rest * weights[i] / total > most * sizes[i]]
-        if not full:
-            for i in free:
-                out[i] = rest * weights[i] / total
+def water_filled(sizes: Sequence[int], weights: Sequence[float], share: float = 1.5, most: float = 2.0, total: float | None = None) -> list[float]:
+    """Targets of share x total (all sizes, unless given) by weight; none is above most x its size, and what that leaves is dealt again by weight."""
+    out, rest = [0.0] * len(sizes), share * (sum(sizes) if total is None else total)
+    # the sources that fill up first have the least room for their weight
+    order = sorted(range(len(sizes)), key=lambda i: (most * sizes[i] / weights[i], i))
+    weight = float(sum(weights))
+    for k, i in enumerate(order):
+        if rest * weights[i] / weight <= most * sizes[i]:
+            for j in order[k:]:
+                out[j] = rest * weights[j] / weight
             break
-        for i in full:
-            out[i] = float(most * sizes[i])
-        rest -= sum(out[i] for i in full)
-        free = [i for i in free if i not in full]
+        out[i] = float(most * sizes[i])
+        rest -= out[i]
+        weight -= weights[i]
+    return out
+
+
+def together(allowed: Sequence[Sequence[int]], n: int) -> list[tuple[list[int], list[int]]]:
+    """Patterns and sources (of 0 .. n - 1) that hang together by the patterns' sources."""
+    parent = list(range(n))
+
+    def find(x):
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for own in allowed:
+        for s in own[1:]:
+            parent[find(s)] = find(own[0])
+    groups: dict[int, tuple[list[int], list[int]]] = {}
+    for s in range(n):
+        groups.setdefault(find(s), ([], []))[1].append(s)
+    for p, own in enumerate(allowed):
+        if own:
+            groups[find(own[0])][0].append(p)
+    return list(groups.values())
+
+
+def routed(supply: Sequence[int], demand: Sequence[int], allowed: Sequence[Sequence[int]], repeats: int = 2) -> list[dict[int, int]]:
+    """min_cost_flow, solved for each group of sources that share patterns."""
+    out: list[dict[int, int]] = [{} for _ in supply]
+    for patterns, sources in together(allowed, len(demand)):
+        place = {s: k for k, s in enumerate(sources)}
+        flows = min_cost_flow([supply[p] for p in patterns], [demand[s] for s in sources], [[place[s] for s in allowed[p]] for p in patterns], repeats)
+        for p, f in zip(patterns, flows, strict=True):
+            out[p] = {sources[k]: v for k, v in f.items()}
     return out
 
 
@@ -91,50 +123,82 @@ def min_cost_flow(supply: Sequence[int], demand: Sequence[int], allowed: Sequenc
     return out
 
 
-def mix_to_targets(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most: int = 2, seed: str = "mix", keep_text: bool = True) -> DataFrame:
+OUT = ("size", "source_size", "target", "taken")
+
+
+def mix_to_targets(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most: int = 2, seed: str = "mix", keep_text: bool = True, membership: str | None = None) -> DataFrame:
     """docs with size, source_size, target and taken.
 
-    docs: doc_id, text, source; its other columns pass through, save those four, which are replaced. size counts the
-    words [^\\x20\\x09-\\x0D]+ of the text (null: 0). Sources are ordered by code point, null last (a source of its
-    own); weights repeat along them. A document is taken 0 to `most` times, in an order given by md5 of seed and
-    doc_id; at the end of a source's share one document is taken in part. Repeated rows are documents of their own. An empty
-    table gives an empty result; a source without words has target 0. Reruns and other partitionings give the same.
+    docs: doc_id, text, source; its other columns pass through whatever their names, save those four, which are replaced.
+    size counts the words [^\\x20\\x09-\\x0D]+ of the text (null: 0). Sources are ordered by code point, null last (a
+    source of its own); weights repeat along them. A document is taken 0 to `most` times, in an order given by md5 of seed
+    and doc_id; at the end of a source's share one document is taken in part. Repeated rows are documents of their own.
+    Texts are counted whole. An empty table gives an empty result; a source without words has target 0. Reruns and other
+    partitionings give the same.
+
+    membership names an array<string> column with all sources of a document in place of its one source; documents with
+    the same sources make a pattern, and the flow says how many words each pattern gives to each of its sources.
+    source_size and target are then the pattern's words and the words that the flow takes of it; an empty or null array
+    gives nothing. Patterns (without membership: sources) are held to be few, as in a mixture's configuration: one row for
+    each goes to the driver.
 
-    The number of sources is held to be small, as in a mixture's configuration: one row for each goes to the driver.
     keep_text=False leaves text out of the result, so that texts are read once only.
     """
-    sized = docs.drop("size", "source_size", "target", "taken").withColumn("size", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"))
+    base = docs.drop(*OUT)
+    h = free_name(base, "mix")
+    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+    place = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+    own = F.array_sort(F.array_distinct(F.coalesce(F.col(f"`{membership}`"), F.array().cast("array<string>")))) if membership else F.array(F.col("source").cast("string"))
+    sized = base.withColumn(h, F.struct(size.alias("size"), place.alias("place"), own.alias("pattern")))
     if not keep_text:
         sized = save(sized.drop("text"))
-    place = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    bins = sized.groupBy("source", F.substring(place, 1, DIGITS).alias("bin")).agg(F.sum("size").alias("words"))
-    rows = bins.groupBy("source").agg(F.sum("words").alias("words")).collect()
-    rows.sort(key=lambda r: (r["source"] is None, r["source"] or ""))
-    sizes = [r["words"] for r in rows]
-    targets = water_filled(sizes, [weights[i % len(weights)] for i in range(len(rows))], share, most)
-    # each document has one source here, so patterns and sources are the same; the flow takes any membership
-    flow = min_cost_flow(sizes, [round(t) for t in targets], [[i] for i in range(len(rows))], most)
-    small = F.broadcast if len(rows) <= MOST_SOURCES else lambda t: t
-    plan = [(r["source"], r["words"], float(t), sum(f.values())) for r, t, f in zip(rows, targets, flow, strict=True)]
-    plan = docs.sparkSession.createDataFrame(plan, "p_source string, source_size long, target double, flow long")
-    plan = plan.withColumn("rounds", F.when(F.col("source_size") > 0, F.floor(F.col("flow") / F.col("source_size"))).otherwise(0).cast("long"))
-    plan = plan.withColumn("tail", F.col("flow") - F.col("rounds") * F.col("source_size"))
-    # bins before the one where the tail ends are taken once more as a whole
-    ahead = F.sum("words").over(Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1))
-    bins = bins.withColumn("before", F.coalesce(ahead, F.lit(0))).join(small(plan.select("p_source", "tail")), F.col("source").eqNullSafe(F.col("p_source")))
-    last = bins.where("before < tail and tail < before + words").select(F.col("p_source").alias("l_source"), F.col("bin").alias("l_bin"), "before")
-    here = sized.withColumn("_place", place).join(small(plan), F.col("source").eqNullSafe(F.col("p_source")))
-    here = here.join(small(last), F.col("source").eqNullSafe(F.col("l_source")), "left")  # a row a source at most
-    whole = F.col("l_bin").isNull() & (F.col("tail") > 0) | (F.substring("_place", 1, DIGITS) < F.col("l_bin"))
-    cut = F.coalesce(F.substring("_place", 1, DIGITS) == F.col("l_bin"), F.lit(False))
-    names = [c for c in docs.columns if (keep_text or c != "text") and c not in ("size", "source_size", "target", "taken")]
-    done = here.where(~cut).withColumn("extra", F.when(F.coalesce(whole, F.lit(False)), F.col("size")).otherwise(0))
-    run = F.sum("size").over(Window.partitionBy("source").orderBy("_place", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1))
-    part = here.where(cut).withColumn("extra", F.greatest(F.lit(0), F.least(F.col("size"), F.col("tail") - F.col("before") - F.coalesce(run, F.lit(0)))))
+    col = lambda name: F.col(f"`{h}`.{name}")
+    bin_of = lambda k: F.substring(col("place"), 1 + (k - 1) * DIGITS, DIGITS)
+    bins = save(sized.groupBy(col("pattern").alias("pattern"), bin_of(1).alias("bin")).agg(F.sum(col("size")).alias("words")))
+    rows = [(r["pattern"], r["words"]) for r in bins.groupBy("pattern").agg(F.sum("words").alias("words")).collect()]
+    order = lambda x: (x is None, x or "")
+    rows.sort(key=lambda r: [order(x) for x in r[0]])
+    sources = sorted({x for pattern, _ in rows for x in pattern}, key=order)
+    place_of = {x: i for i, x in enumerate(sources)}
+    sizes = [0] * len(sources)
+    for pattern, words in rows:
+        for x in pattern:
+            sizes[place_of[x]] += words
+    targets = water_filled(sizes, [weights[i % len(weights)] for i in range(len(sources))], share, most, sum(words for _, words in rows))
+    flow = routed([words for _, words in rows], [round(t) for t in targets], [[place_of[x] for x in pattern] for pattern, _ in rows], most)
+    little = F.broadcast if len(rows) <= MOST_SOURCES else lambda t: t
+    plan = []
+    for (pattern, words), f in zip(rows, flow, strict=True):
+        given = sum(f.values())
+        rounds, tail = divmod(given, words) if words else (0, 0)
+        plan.append((pattern, words, float(given) if membership else targets[place_of[pattern[0]]], rounds, tail))
+    plan = docs.sparkSession.createDataFrame(plan, "pattern array<string>, source_size long, target double, rounds long, tail long")
+
+    def end(bins: DataFrame, *before: str) -> DataFrame:
+        """The bin of each pattern in which what is left of its tail ends: the bins ahead of it are taken once more as a whole."""
+        ahead = F.sum("words").over(Window.partitionBy("pattern").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1))
+        found = bins.withColumn("ahead", F.coalesce(ahead, F.lit(0))).where("ahead < rest and rest <= ahead + words")
+        return found.select("pattern", F.concat(*before, "bin").alias("bin"), (F.col("rest") - F.col("ahead")).alias("rest"))
+
+    # bins of bins, so that the rows of the last one are few: one in 16 million of a pattern
+    last = save(end(bins.join(little(plan.select("pattern", F.col("tail").alias("rest"))), "pattern")))
+    inner = sized.select(col("pattern").alias("pattern"), bin_of(1).alias("first"), bin_of(2).alias("bin"), col("size").alias("size"))
+    inner = inner.join(little(last.withColumnRenamed("bin", "first")), ["pattern", "first"]).groupBy("pattern", "first", "bin", "rest").agg(F.sum("size").alias("words"))
+    last = save(end(inner, "first"))
+    plan = plan.join(last, "pattern", "left").select("pattern", F.struct("source_size", "target", "rounds", "tail", "bin", "rest").alias("plan"))
+    p, q = free_name(base, "plan"), free_name(base, "pattern")
+    here = sized.join(little(plan.select(F.col("pattern").alias(q), F.col("plan").alias(p))), col("pattern") == F.col(q))
+    got = lambda name: F.col(f"`{p}`.{name}")
+    at = F.substring(col("place"), 1, 2 * DIGITS)
+    extra = free_name(base, "extra")
+    done = here.where(got("bin").isNull() | (at != got("bin"))).withColumn(extra, F.when(at < got("bin"), col("size")).otherwise(0))
+    run = F.sum(col("size")).over(Window.partitionBy(q).orderBy(col("place"), "doc_id", col("size")).rowsBetween(Window.unboundedPreceding, -1))
+    part = here.where(at == got("bin")).withColumn(extra, F.greatest(F.lit(0), F.least(col("size"), got("rest") - F.coalesce(run, F.lit(0)))))
+    names = [F.col(f"`{c}`") for c in base.columns if keep_text or c != "text"]
     out = done.unionByName(part)
-    return out.select(*names, "size", "source_size", "target", (F.col("rounds") * F.col("size") + F.col("extra")).cast("long").alias("taken"))
+    return out.select(*names, col("size").alias("size"), got("source_size").alias("source_size"), got("target").alias("target"), (got("rounds") * col("size") + F.col(extra)).cast("long").alias("taken"))
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
-    """The documents that mix_to_targets takes words of, with its columns."""
+    """The documents that mix_to_targets takes words of, with its columns; nulls, ties, empty tables and names as there."""
     return mix_to_targets(docs, **options).where("taken > 0")

@@ -445,6 +445,63 @@ def test_mixture(spark):
     assert mixture.mix_to_targets(df.limit(0)).count() == 0
 
 
+def test_mixture_keeps_columns_of_any_name_and_ends_tails_at_borders(spark):
+    rows = [(d, "a b c d", "s") for d in range(9)] + [(50, "a b c d", "t"), (51, "a " * 50, "u"), (52, "w " * 200_000, "v")]
+    df = docs(spark, rows, ", source string")
+    for c in ("tail", "rounds", "before", "l_bin", "p_source", "mix", "_mix", "plan", "pattern", "extra", "bin", "rest", "words"):
+        df = df.withColumn(c, F.lit(c))
+    got = mixture.mix_to_targets(df, weights=(1,), share=1.0).collect()
+    assert len(got) == len(rows) and got[0].tail == "tail" and got[0]._mix == "_mix"
+    for k in "stuv":
+        own = [x for x in got if x.source == k]
+        assert abs(sum(x.taken for x in own) - own[0].target) <= 0.5 and all(x.taken <= 2 * x["size"] for x in own)
+
+
+def test_mixture_of_overlapping_sources(spark):
+    """The flow routes shared documents to the source that lacks words: neither source alone nor an even split meets the targets."""
+    text = lambda n: " ".join(["w"] * n)
+    rows = [(d, text(10), ["a"]) for d in range(30)] + [(100 + d, text(10), ["a", "b"]) for d in range(20)] + [(200 + d, text(10), ["b"]) for d in range(2)] + [(300, text(5), []), (301, text(5), None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, member array<string>").withColumn("source", F.lit("x"))
+    got = mixture.mix_to_targets(df, weights=(1, 1), share=1.0, membership="member").collect()
+    by = defaultdict(int)
+    for x in got:
+        by[tuple(x.member or ())] += x.taken
+    # 530 words in all, 265 for each source; b has 20 of its own, so 200 or more of the shared 200 go to b before anything repeats
+    assert by[()] == 0 and sum(by.values()) == 530 and by[("b",)] + by[("a", "b")] >= 265 and by[("a",)] <= 300
+    want = best_flow([300, 200, 20], [265, 265], [[0], [0, 1], [1]], 2)
+    cost = lambda taken, size: max(0, taken - size)
+    assert sum(cost(by[k], n) for k, n in ((("a",), 300), (("a", "b"), 200), (("b",), 20))) == want
+    assert any(x.taken > x["size"] for x in got if x.member == ["b"] or x.member == ["a", "b"]) == (want > 0)
+
+
+def best_flow(supply, demand, allowed, repeats):
+    """Least cost of meeting all demand, by dynamic programming over what each pattern gives, in units of 5."""
+    unit = 5
+    states = {tuple(0 for _ in demand): 0}
+    for n, own in zip(supply, allowed, strict=True):
+        new = {}
+        for got, c in states.items():
+            splits = [[0] * len(demand)]
+            for s in own:
+                splits = [x[:s] + [v] + x[s + 1 :] for x in splits for v in range(0, min(demand[s] - got[s], n * repeats - sum(x)) // unit * unit + 1, unit)]
+            for x in splits:
+                total = sum(x)
+                key, price = tuple(a + b for a, b in zip(got, x, strict=True)), c + max(0, total - n)
+                new[key] = min(new.get(key, price), price)
+        states = new
+    return states[tuple(demand)]
+
+
+def test_flow_over_groups_equals_the_whole_flow():
+    r = random.Random(4)
+    for _ in range(30):
+        n = r.randint(1, 5)
+        allowed = [sorted(r.sample(range(n), r.randint(1, min(2, n)))) for _ in range(r.randint(1, 6))]
+        supply, demand = [r.randint(0, 20) for _ in allowed], [r.randint(0, 30) for _ in range(n)]
+        cost = lambda flows: (-sum(sum(f.values()) for f in flows), sum(max(0, sum(f.values()) - s) for f, s in zip(flows, supply, strict=True)))  # noqa: B023, E731
+        assert cost(mixture.routed(supply, demand, allowed)) == cost(mixture.min_cost_flow(supply, demand, allowed))
+
+
 def near_vectors_brute(rows, cosine):
     good = [(i, np.array(v, float), k) for i, v, k in rows if i is not None and v is not None and k is not None and len(v) and all(x is not None and np.isfinite(x) for x in v) and any(v)]
     links, u = Counter(), Sets([i for i, *_ in rows if i is not None])

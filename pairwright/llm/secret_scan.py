@@ -2,8 +2,9 @@
 
 Candidates are all runs of 12 key characters and more within CONTEXT characters of a sensitive word, before or after it
 and on any line, or right after a novel run (the lines of a key). Each is compressed together with the
-text around it by a coder whose dictionary holds identifiers and sample text; the bytes that it adds to the compressed
-context, against its length, are its novelty. Identifiers, paths and prose compress, random strings do not.
+text around it by a coder whose dictionary holds identifiers and the most frequent words of all texts; the bytes that it
+adds to the compressed context, against its length, are its novelty. Identifiers, paths and prose compress, random
+strings do not.
 """
 
 from __future__ import annotations
@@ -11,12 +12,13 @@ from __future__ import annotations
 import hashlib
 import re
 
+import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairwright.llm.common import map_arrow
+from pairwright.llm.common import NOT_WORD, bytes_of, map_arrow, words
 
 KINDS = ("assign", "access", "hex", "novel")
 ASSIGN = re.compile(r"(?i:(password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.ASCII)
@@ -30,11 +32,12 @@ RUN = re.compile(r"[A-Za-z0-9+/_-]{12,}(?:={1,2}(?![A-Za-z0-9+/_-]))?")
 NAMES = re.compile(r"[\"']?\x20*[:=]")
 #: Between a novel run and one that goes on with it.
 GAP = re.compile(r"[\s\"'\\,]{1,16}")
-LONG = re.compile(r"[A-Za-z0-9+/_=-]{20,}|(?=[A-Za-z+/_=-]*[0-9])(?=[0-9+/_=-]*[A-Za-z])[A-Za-z0-9+/_=-]{12,}")
 #: Hints without which no sensitive word can be there.
 _HINT = re.compile(r"(?i:pass|secret|token|key|auth|bearer|credential|private|signature)", re.ASCII)
-#: A novel string adds at least so many compressed bytes for each of its characters, and has letters and digits.
-NOVELTY = 0.62
+#: A novel string of letters and digits adds at least so many compressed bytes for each of its characters; one of letters
+#: alone has ALPHABETIC characters at least, changes between capitals and small letters as often as CHANGES says (random
+#: ones do after every second letter, names after every third or fourth), and adds a little more. Digits alone are never a secret here.
+NOVELTY, ALPHABETIC, CHANGES, NOVELTY_ALPHABETIC = 0.62, 16, 0.3, 0.7
 CONTEXT = 256
 #: Identifiers that programs and configurations are full of: the dictionary's fixed part.
 IDENTIFIERS = (
@@ -44,8 +47,9 @@ IDENTIFIERS = (
     "public static private protected final void string integer boolean import from class def self None True False null undefined const let var "
     "export default async await ABCDEFGHIJKLMNOPQRSTUVWXYZ abcdefghijklmnopqrstuvwxyz 0123456789 00000000 11111111 ffffffff deadbeef"
 )
-#: Documents whose text completes the dictionary, and its bytes at most.
-SAMPLE_DOCS, SAMPLE_BYTES = 32, 48_000
+#: The dictionary's bytes for frequent words, its words and their length at most, the cells that words are counted in
+#: first, how many of the fullest of them are looked into, and how often a word must occur.
+DICTIONARY, DICTIONARY_WORDS, WORD_LENGTHS, CELLS, FULLEST, FREQUENT = 48_000, 6_000, (4, 15), 1 << 18, 1 << 13, 8
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
@@ -59,11 +63,47 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return sorted(found, key=lambda s: (s[1], KINDS.index(s[0])))
 
 
+def frequent_words(docs: DataFrame) -> list[str]:
+    """The most frequent words (runs of letters and digits) of all texts, most frequent first.
+
+    All words are counted in a sketch of fixed size; then those of its fullest cells are counted one by one. Words that
+    could be a secret themselves (long or rare ones, and ones with digits) are left out.
+    """
+    texts = docs.select(F.col("text").cast("binary").alias("text"))
+
+    def sketch(batches):
+        total = np.zeros(CELLS, np.int64)
+        for b in batches:
+            h = words(*bytes_of(b.column(0)), NOT_WORD)[0]
+            total += np.bincount((h & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS)
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["cell", "n"])
+
+    cells = texts.mapInArrow(sketch, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+    full = np.zeros(CELLS, bool)
+    full[[r["cell"] for r in cells.orderBy(F.desc("n"), "cell").limit(FULLEST).collect()]] = True
+    shared = docs.sparkSession.sparkContext.broadcast(full)
+    low, high = WORD_LENGTHS
+
+    def count(batch):
+        data, at = bytes_of(batch.column(0))
+        h, start, end, _ = words(data, at, NOT_WORD)
+        some = np.flatnonzero(shared.value[(h & np.uint64(CELLS - 1)).astype(np.int64)] & (end - start >= low) & (end - start <= high))
+        _, first, n = np.unique(h[some], return_index=True, return_counts=True)
+        found = [data[start[i] : end[i]].tobytes().decode("utf-8", "replace") for i in some[first].tolist()]
+        return pa.RecordBatch.from_arrays([pa.array(found, pa.string()), pa.array(n)], ["word", "n"])
+
+    counted = map_arrow(texts, count, "word string, n long").where(~F.col("word").rlike("[0-9]")).groupBy("word").agg(F.sum("n").alias("n"))
+    return [r["word"] for r in counted.where(F.col("n") >= FREQUENT).orderBy(F.desc("n"), "word").limit(DICTIONARY_WORDS).collect()]
+
+
 class Coder:
-    """Marginal bytes under a dictionary of identifiers and sample text."""
+    """Marginal bytes under a dictionary of identifiers and frequent words (the most frequent last, where they cost least)."""
 
-    def __init__(self, sample: bytes):
-        primed = zstandard.ZstdCompressionDict(sample[:SAMPLE_BYTES] + IDENTIFIERS.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    def __init__(self, frequent: list[str]):
+        text = " ".join(reversed(frequent)).encode("utf-8", "replace")
+        primed = zstandard.ZstdCompressionDict(text[-DICTIONARY:] + b" " + IDENTIFIERS.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        primed.precompute_compress(level=12)
         self.coder = zstandard.ZstdCompressor(level=12, dict_data=primed, write_checksum=False, write_content_size=False)
 
     def size(self, data: bytes) -> int:
@@ -75,6 +115,10 @@ class Coder:
         return (self.size((before + candidate + after).encode("utf-8", "surrogatepass")) - around) / len(candidate)
 
 
+def case_changes(word: str) -> int:
+    return sum(a.islower() != b.islower() for a, b in zip(word, word[1:], strict=False) if a.isalpha() and b.isalpha())
+
+
 def novel_spans(text: str, coder: Coder, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
     """Spans of kind novel: incompressible candidates in sensitive context that no base span touches."""
     if not _HINT.search(text):
@@ -93,11 +137,12 @@ def novel_spans(text: str, coder: Coder, base: list[tuple[str, int, int]]) -> li
         word = m[0]
         if end < s - CONTEXT and not (last >= 0 and GAP.fullmatch(text, last, s)):
             continue
-        if covered > s or not re.search(r"[0-9]", word) or not re.search(r"[A-Za-z]", word):
+        digits, letters = re.search(r"[0-9]", word), re.search(r"[A-Za-z]", word)
+        if covered > s or not letters or not digits and (len(word) < ALPHABETIC or case_changes(word) < CHANGES * (len(word) - 1)):
             continue
         if NAMES.match(text, e) and SENSITIVE.search(word):
             continue
-        if coder.novelty(text[max(0, s - CONTEXT) : s], word, text[e : e + CONTEXT]) >= NOVELTY:
+        if coder.novelty(text[max(0, s - CONTEXT) : s], word, text[e : e + CONTEXT]) >= (NOVELTY if digits else NOVELTY_ALPHABETIC):
             found.append(("novel", s, e))
             last = e
     return found
@@ -114,15 +159,15 @@ def scan(docs: DataFrame) -> DataFrame:
     are the fixed patterns' matches, of which a match below its kind's length is dropped; novel ones are added and
     never touch a base span. Null and empty texts have none (n 0, spans ''; base_sha256 of ''). Texts are read whole.
     Repeated rows are scanned each; other columns are ignored, whatever their names. An empty table gives an empty result.
+    The dictionary is made of the most frequent words of all whole texts: equal strings are judged alike in one call, but
+    a string may be judged differently in another corpus.
     """
-    first = docs.where("text is not null and text <> ''").select(F.xxhash64("doc_id", "text").alias("place"), F.substring("text", 1, SAMPLE_BYTES // SAMPLE_DOCS).alias("text"))
-    # long strings of key characters are left out of the dictionary, as each of them may be what is sought
-    sample = "\n".join(LONG.sub(" ", r["text"]) for r in first.orderBy("place", "text").limit(SAMPLE_DOCS).collect()).encode("utf-8", "replace")
+    frequent = frequent_words(docs)
     coder: list[Coder] = []
 
     def one(batch):
         if not coder:
-            coder.append(Coder(sample))
+            coder.append(Coder(frequent))
         n = {k: [] for k in KINDS[:3]}
         digests, spans = [], []
         for text in batch.column(1).to_pylist():

@@ -266,6 +266,34 @@ def test_secrets_in_any_place_of_sensitive_context(spark):
         assert [t[int(a) : int(b)] for k, a, b in (x.split(":") for x in got[i].split(",") if x) if k == "novel"] == want, t
 
 
+def test_planted_secrets_are_found(spark):
+    """Recall of random strings in sensitive context, and few spans elsewhere."""
+    r = random.Random(3)
+    letters, digits = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", "0123456789"
+    vocabulary = ["".join(r.choice(("the", "ing", "ble", "con", "tion", "er", "qua")) for _ in range(r.randint(1, 5))) for _ in range(800)]
+    say = lambda n: " ".join(r.choice(vocabulary) for _ in range(n))
+    forms = ["secret for /usr/local/lib/python3.11/site-packages is {}", "private key id 2024 value {}", "bearer\n  {}\n", "the passphrase was {} then", "{} was my api key"]
+    rows, want = [(d, f"{say(60)} the secret of the authorization {say(60)}") for d in range(200)], {}
+    for d in range(1000, 1200):
+        value = "".join(r.choice(letters + ("" if d % 4 == 0 else digits)) for _ in range(r.choice((20, 32, 48))))
+        rows.append((d, f"{say(80)} {r.choice(forms).format(value)} {say(80)}"))
+        want[d] = (rows[-1][1].index(value), len(value))
+    got = {x.doc_id: [y.split(":") for y in x.spans.split(",") if y] for x in secret_scan.scan(docs(spark, rows)).collect()}
+    hit = sum(any(int(s) <= at and int(e) >= at + n for _, s, e in got[d]) for d, (at, n) in want.items())
+    assert hit / len(want) >= 0.9 and sum(map(len, (got[d] for d in range(200)))) <= 4
+    assert secret_scan.frequent_words(docs(spark, [(1, "Alpha alpha beta x " * 9 + "k9Zt4Lm2Xw8R " * 9), (2, None)]))[0] in ("Alpha", "alpha")
+
+
+def test_base_secrets_match_plain_patterns():
+    r = random.Random(8)
+    for _ in range(300):
+        t = "".join(r.choice(["password", "API_key", "token", "=", ": ", '"', "AKIA", "A1B2C3D4", "abcdef0123456789", "x", " ", "é", "\n", "Secret", "f00d"]) for _ in range(30))
+        s = [("assign", *m.span()) for m in re.finditer(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", t) if len(m[2]) >= 12]
+        s += [("access", *m.span()) for m in re.finditer(r"AKIA[A-Z0-9]+", t) if len(m[0]) >= 18]
+        s += [("hex", *m.span()) for m in re.finditer(r"[0-9a-f]+", t) if len(m[0]) >= 16]
+        assert secret_scan.base_spans(t) == sorted(s, key=lambda x: (x[1], secret_scan.KINDS.index(x[0])))
+
+
 def test_pii(spark):
     text = "mail a.b@c.example.com_d@e.org and 10.0.0.255 or 10.0.0.256; card 4111 1111 1111 1111, call +1 (743) 555-3824"
     rows = [(1, text), (2, None), (3, ""), (4, "1" * 50_000 + " x@y"), (5, "call +1 (743) 555-3824 now. Later: 743 555-3824 again"), (6, "plain words only")]

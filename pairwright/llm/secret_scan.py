@@ -105,14 +105,18 @@ class Coder:
         primed = zstandard.ZstdCompressionDict(text[-DICTIONARY:] + b" " + IDENTIFIERS.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
         primed.precompute_compress(level=12)
         self.coder = zstandard.ZstdCompressor(level=12, dict_data=primed, write_checksum=False, write_content_size=False)
+        self.nothing = self.size(b"")
 
     def size(self, data: bytes) -> int:
         return len(self.coder.compress(data))
 
     def novelty(self, before: str, candidate: str, after: str) -> float:
-        """Compressed bytes that the candidate adds to its surroundings, for each of its characters."""
-        around = self.size((before + after).encode("utf-8", "surrogatepass"))
-        return (self.size((before + candidate + after).encode("utf-8", "surrogatepass")) - around) / len(candidate)
+        """Compressed bytes that the candidate adds, for each of its characters: the median of what it adds to the text
+        around it, to the text before it, and to the dictionary alone. A coder stores few literals as they are and
+        codes more of them, so that a single difference can be off by many bytes."""
+        pack = lambda *parts: self.size("".join(parts).encode("utf-8", "surrogatepass"))
+        added = (pack(before, candidate, after) - pack(before, after), pack(before, candidate) - pack(before), pack(candidate) - self.nothing)
+        return sorted(added)[1] / len(candidate)
 
 
 def case_changes(word: str) -> int:

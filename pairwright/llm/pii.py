@@ -4,8 +4,10 @@ Nodes are the token runs with a digit or @. A linear chain joins neighbours; ski
 before it that has the same digits or the same letters-and-digits (repeated mentions), however distant, and with the
 last one of the same shape. Edge potentials reward equal labels; loopy message passing spreads what is known of one
 mention to the others. Nodes that a fixed pattern covers are evidence where there are any; other nodes that end up with a
-label become spans, in documents without evidence too. So that the features alone can tell, training also reads the
-sample with its personal data written in forms that the fixed patterns miss.
+label become spans, in documents without evidence too. Weights of features and of edges are learned together by
+pseudo-likelihood; features are left out at random there, so that edges learn what they can tell on their own. So that
+features can tell without evidence, training also reads the sample with its personal data written in forms that the
+fixed patterns miss, some of it mentioned again in another form.
 """
 
 from __future__ import annotations
@@ -36,14 +38,17 @@ NODE = re.compile(r"[A-Za-z0-9._%+@()-]*[0-9@][A-Za-z0-9._%+@()-]*(?: [A-Za-z0-9
 
 LABELS = ("other", *KINDS)
 FEATURES = 1 << 11
-#: Documents that the field is trained on (those with the smallest hash of doc_id and text) and characters of them all.
-SAMPLE_DOCS, SAMPLE_CHARS = 300, 3_000_000
-#: Copies of a training text with its personal data in other forms.
-REWRITTEN = 6
+#: Documents that the field is trained on, about, of those that may have base spans and of the others with digits or @ (the
+#: ones with the smallest hash of doc_id and text), and the characters that such a document has at most.
+SAMPLE_DOCS, SAMPLE_CHARS = 200, 30_000
+#: What texts with base spans have.
+LIKELY = r"[A-Za-z0-9._%+-]@[A-Za-z0-9-]+\.[A-Za-z0-9-]|[0-9]\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]|\+[0-9][\x20().0-9-]{8}|[0-9](?:[\x20-]?[0-9]){13}"
+#: Copies of a training text with its personal data in other forms, and the share of features that an update leaves out.
+REWRITTEN, DROPPED = 6, 0.3
 #: Probability from which a node becomes a span.
-SURE = 0.9
+SURE = 0.75
 ROUNDS, DAMPING = 12, 0.3
-EPOCHS, RATE = 8, 0.2
+EPOCHS, RATE, BATCH = 24, 0.3, 32
 
 
 def luhn(digits: str) -> bool:
@@ -73,6 +78,11 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return sorted(found, key=lambda s: (s[1], KINDS.index(s[0])))
 
 
+def at_sign(word: str) -> str:
+    """Where a word has its @: none, alone, at its start, end, or inside."""
+    return "none" if "@" not in word else "alone" if word == "@" else "start" if word[0] == "@" else "end" if word[-1] == "@" else "inside"
+
+
 class Document:
     """Nodes, their features, known labels and edges."""
 
@@ -93,7 +103,7 @@ class Document:
             shape = re.sub(r"[a-z]+", "a", re.sub(r"[A-Z]+", "A", re.sub(r"[0-9]", "0", word)))[:24]
             digits = re.sub(r"[^0-9]", "", word)
             before, after = text[max(0, s - 24) : s].lower().split()[-1:], text[e : e + 24].lower().split()[:1]
-            names = [f"s{shape}", f"S{re.sub(r'0+', '0', shape)}", f"n{min(len(digits), 20)}", f"@{'@' in word}", f".{word.count('.')}", f"+{word.startswith('+')}", f"l{luhn(digits) if len(digits) > 9 else 0}", "b" + "".join(before), "a" + "".join(after), "bias"]
+            names = [f"s{shape}", f"S{re.sub(r'0+', '0', shape)}", f"n{min(len(digits), 20)}", f"@{at_sign(word)}{'.' in ''.join(after).strip('.,;:')}", f".{word.count('.')}", f"+{word.startswith('+')}", f"l{luhn(digits) if len(digits) > 9 else 0}", "b" + "".join(before), "a" + "".join(after), "bias"]
             self.features.append([zlib.crc32(x.encode("utf-8", "replace")) % FEATURES for x in names])
             if i:
                 self.edges.append((i - 1, i, 0))
@@ -160,7 +170,10 @@ def rewritten(text: str, base: list[tuple[str, int, int]], r: random.Random) ->
             digits = re.sub(r"[^0-9]", "", form)
             form = mark.join(digits[k : k + 4] for k in range(0, len(digits), 4))
         elif kind == "email":
-            form = r.choice((form.rsplit(".", 1)[0], form.replace("@", "@ "), form.replace("@", " @ ")))
+            if r.random() < 0.7:  # other names and hosts than the sample's
+                part = lambda: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(2, 9)))
+                form = f"{part()}{r.choice(('', '.' + part(), '_' + part(), str(r.randint(1, 99))))}@{part()}.{r.choice(('com', 'org', 'net', part()))}"
+            form = r.choice((form.split("@")[0] + "@" + form.split("@")[1].split(".")[0], form.replace("@", "@ "), form.replace("@", " @ ")))
         else:
             form = form.replace(".", mark if mark != "." else "-")
         out += [text[at:s], form]
@@ -170,59 +183,97 @@ def rewritten(text: str, base: list[tuple[str, int, int]], r: random.Random) ->
     return "".join(out) + text[at:], spans
 
 
-def train(texts: list[str]) -> Field:
-    """Unary weights by pseudo-likelihood of the fixed patterns' labels, agreement weights by how often edges agree.
+def ordinary(r: random.Random) -> str:
+    """A number that is no personal data: a date, time, amount, version, measure, range or order number."""
+    n = lambda k: "".join(r.choice("0123456789") for _ in range(k))
+    year, month, day = f"{r.choice(('19', '20'))}{n(2)}", f"{r.randint(1, 12):02}", f"{r.randint(1, 31):02}"
+    return r.choice((
+        f"{year}-{month}-{day}", f"{day}.{month}.{year}", f"{month}/{day}/{year}", f"{r.randint(0, 23)}:{n(2)}", f"${n(2)}.{n(2)}", f"{n(1)},{n(3)},{n(3)}", f"v{n(1)}.{n(2)}.{n(1)}", f"{n(1)}.{n(1)}",
+        f"{n(2)}kg", f"{year}-{n(2)}", f"#{n(5)}", f"{n(1)}-{n(1)}-{n(1)}", f"{n(3)}x{n(3)}", year, n(r.randint(1, 6)), f"@{r.choice('abcdefgh')}{n(2)}", f"{n(2)}%", f"ISBN {n(3)}-{n(1)}-{n(4)}-{n(4)}-{n(1)}",
+    ))
+
+
+def mentioned_again(text: str, spans: list[tuple[str, int, int]], r: random.Random) -> tuple[str, list[tuple[str, int, int]]]:
+    """The text with some of its spans once more at its end, with other marks and a few words of the text around them, and
+    as many ordinary numbers."""
+    out, found, plain = text, list(spans), [w for w in text.split() if w.isalpha()] or ["and"]
+    for kind, s, e in spans:
+        if r.random() < 0.5:
+            form = text[s:e]
+            digits = re.sub(r"[^0-9]", "", form)
+            if kind != "email" and len(digits) >= 7:
+                form = r.choice((digits, re.sub(r"[^0-9A-Za-z]+", r.choice(" .-"), form).strip(" .-")))
+            out += " " + " ".join(r.choice(plain) for _ in range(r.randint(1, 4))) + " "
+            found.append((kind, len(out), len(out) + len(form)))
+            out += form + " " + r.choice(plain)
+        out += f" {r.choice(plain)} {ordinary(r)} {r.choice(plain)}"
+    return out, found
 
-    The rewritten texts are examples for the unary weights alone.
 
-    A node without a label that repeats a labelled one is no example of `other`: its label counts as missing.
+def train(texts: list[str]) -> Field:
+    """Weights of features and edges by pseudo-likelihood: each node's label, given its features and its neighbours' labels.
+
+    A node without a label that repeats a labelled one is no example of `other`: its label counts as missing, for its
+    neighbours too. Nothing to learn from leaves all weights 0.
     """
-    docs = [d for t in texts if (d := Document(t, base_spans(t))).spans]
-    originals, r = len(docs), random.Random(7)
-    docs += [d for t in texts if (base := base_spans(t)) for _ in range(REWRITTEN) if (d := Document(*rewritten(t, base, r))).spans]
-    unary, agree = np.zeros((FEATURES, len(LABELS))), np.zeros((3, 2))
-    for n, d in enumerate(docs):
+    r, docs = random.Random(7), [d for t in texts if (d := Document(t, base_spans(t))).spans]
+    for t in texts:
+        if base := base_spans(t):
+            docs += [d for _ in range(REWRITTEN) if (d := Document(*mentioned_again(*rewritten(t, base, r), r))).spans]
+    unary, agree = np.zeros((FEATURES, len(LABELS))), np.zeros(3)
+    features, labels, near = [], [], []
+    for d in docs:
         for i, j, kind in d.edges:
             if kind == 1 and (d.known[i] == 0) != (d.known[j] == 0):
-                d.missing |= {i if d.known[i] == 0 else j}
-            elif n < originals and (d.known[i] or d.known[j]):
-                agree[kind, int(d.known[i] == d.known[j])] += 1
-    weights = np.clip(np.log((agree[:, 1] + 1) / (agree[:, 0] + 1)), [0.0, 5.0, 0.0], [0.5, 8.0, 1.5])
-    if docs:
-        x = np.array([f for d in docs for i, f in enumerate(d.features) if i not in d.missing])
-        y = np.array([k for d in docs for i, k in enumerate(d.known.tolist()) if i not in d.missing])
-        order = np.random.default_rng(7)
+                d.missing.add(i if d.known[i] == 0 else j)
+        around = np.zeros((len(d.spans), 3, len(LABELS)))
+        for i, j, kind in d.edges:
+            for one, other in ((i, j), (j, i)):
+                if other not in d.missing:
+                    around[one, kind, d.known[other]] += 1
+        some = [i for i in range(len(d.spans)) if i not in d.missing]
+        features += [d.features[i] for i in some]
+        labels += d.known[some].tolist()
+        near.append(around[some])
+    if labels:
+        x, y, c = np.array(features), np.array(labels), np.concatenate(near)
+        order, step = np.random.default_rng(7), RATE / np.sqrt(x.shape[1])
         for _ in range(EPOCHS):
-            for rows in np.array_split(order.permutation(len(y)), max(1, len(y) // 32)):
-                score = unary[x[rows]].sum(1)
+            for rows in np.array_split(order.permutation(len(y)), max(1, len(y) // BATCH)):
+                used = (order.random(x[rows].shape) >= DROPPED) / (1 - DROPPED)
+                score = (unary[x[rows]] * used[:, :, None]).sum(1) + np.einsum("k,nky->ny", agree, c[rows])
                 p = np.exp(score - score.max(1, keepdims=True))
                 p /= p.sum(1, keepdims=True)
                 p[np.arange(len(rows)), y[rows]] -= 1
-                np.add.at(unary, x[rows], -RATE * p[:, None, :] / np.sqrt(x.shape[1]))
+                np.add.at(unary, x[rows], -step * p[:, None, :] * used[:, :, None])
+                agree -= step * np.einsum("ny,nky->k", p, c[rows]) / len(rows)
             unary *= 0.999
-    return Field(unary, weights)
+    return Field(unary, agree)
 
 
 def joined(spans) -> str:
     return ",".join(f"{k}:{s}:{e}" for k, s, e in spans)
 
 
+def sample(docs: DataFrame) -> list[str]:
+    """Texts to train on: about SAMPLE_DOCS of those with LIKELY and as many of the others with a digit or @, by hash."""
+    some = docs.where(F.col("text").rlike("[0-9@]") & (F.length("text") <= SAMPLE_CHARS)).select("text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40)).alias("place"), F.col("text").rlike(LIKELY).alias("likely"))
+    counts = {r["likely"]: r["n"] for r in some.groupBy("likely").agg(F.count("*").alias("n")).collect()}
+    limit = {k: int((1 << 40) * min(1.0, SAMPLE_DOCS / max(1, counts.get(k, 0)))) for k in (True, False)}
+    rows = some.where(F.col("place") < F.when(F.col("likely"), F.lit(limit[True])).otherwise(F.lit(limit[False])))
+    return [r["text"] for r in sorted(rows.collect(), key=lambda r: (r["place"], r["text"]))]
+
+
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id with n_email, n_ip, n_card, n_phone, base_sha256, spans of every row of docs (doc_id, text).
 
     Spans are kind:start:end, code points, end exclusive, by start, then kind as in KINDS, joined by commas. The counts
     and base_sha256 are of the fixed patterns' matches; the field's own spans (crf- and the kind) never touch those.
     Null and empty texts have none (counts 0, spans ''; base_sha256 of ''). Texts are read whole. Repeated rows are
-    scanned each; other columns are ignored, whatever their names. An empty table gives an empty result.
+    scanned each; other columns are ignored, whatever their names. An empty table gives an empty result. The field is
+    trained at each call on a bounded sample of the rows, labelled by the fixed patterns: see SAMPLE_DOCS.
     """
-    place = F.xxhash64("doc_id", "text")
-    first = docs.where(F.col("text").rlike("[0-9@]")).select(place.alias("place"), "text").orderBy("place", "text").limit(SAMPLE_DOCS)
-    texts, room = [], SAMPLE_CHARS
-    for r in first.collect():
-        if len(r["text"]) <= room:
-            texts.append(r["text"])
-            room -= len(r["text"])
-    field = train(texts)
+    field = train(sample(docs))
     kinds = (*KINDS, *(f"crf-{k}" for k in KINDS))
 
     def one(batch):

@@ -318,6 +318,46 @@ def test_pii_without_base_spans(spark):
     assert got[902].spans == got[903].spans == ""
 
 
+def test_pii_recall_on_near_misses_and_learned_edges():
+    r = random.Random(5)
+    n = lambda k: "".join(r.choice("0123456789") for _ in range(k))
+    some = lambda k: " ".join(r.choice(("alpha", "beta", "gamma", "delta", "ring", "or", "now", "river", "stone")) for _ in range(k))
+
+    def card():
+        while not pii.luhn(c := "4" + n(15)):
+            pass
+        return c
+
+    full = lambda: r.choice((f"+1 ({n(3)}) {n(3)}-{n(4)}", card(), f"{some(1)}.{n(2)}@mail{n(1)}.example.com", ".".join(str(r.randrange(256)) for _ in range(4))))
+    texts = [f"{some(9)} {full()} {some(5)} {full()} {some(9)} {n(2)} {some(3)}" for _ in range(200)] + [f"{some(20)} {pii.ordinary(r)} {some(5)}" for _ in range(100)]
+    field = pii.train(texts)
+    assert field.agree[1] > 1  # a repeated mention speaks for its label; learned, not set
+    near = {
+        "phone": lambda: r.choice((f"{n(3)} {n(3)}-{n(4)}", f"({n(3)}) {n(3)}-{n(4)}")),
+        "card": lambda: (lambda c: ".".join(c[i : i + 4] for i in range(0, 16, 4)))(card()),
+        "email": lambda: r.choice((f"{some(1)}@{some(1)}", f"{some(1)}.x @ {some(1)}.com", f"{some(1)}@ {some(1)}.org")),
+        "ip": lambda: "-".join(str(r.randrange(10, 256)) for _ in range(4)),
+    }
+    for kind, make in near.items():
+        hit = 0
+        for _ in range(100):
+            value, before = make(), some(6) + " "
+            text = f"{before}{value} {some(6)}"
+            if pii.base_spans(text):
+                hit += 1
+                continue
+            hit += any(k == f"crf-{kind}" and s < len(before) + len(value) and e > len(before) for k, s, e in field.spans(text, []))
+        assert hit >= 90, kind
+    wrong = [x for _ in range(200) if (x := field.spans(f"{some(6)} {pii.ordinary(r)} {some(6)}", []))]
+    assert len(wrong) <= 10
+    # a distant mention without any shape of its kind is labelled through its skip edge alone
+    text = f"{some(4)} +1 (743) 555-3824 {some(40)} 17435553824 {some(4)}"
+    with_edges = field.spans(text, pii.base_spans(text))
+    without = pii.Field(field.unary, np.zeros(3)).marginals(pii.Document(text, pii.base_spans(text)))[1]
+    with_edge = field.marginals(pii.Document(text, pii.base_spans(text)))[1]
+    assert [k for k, _, _ in with_edges] == ["crf-phone"] and with_edge[4] > without[4]
+
+
 def test_pii_rewritten_spans():
     text = "a +1 (743) 555-3824 b 4111 1111 1111 1111, c@d.org 10.0.0.255 end"
     for seed in range(20):

@@ -40,11 +40,11 @@ def _own_dir() -> str:
     return "file://" + tempfile.mkdtemp(prefix="pairwright-")
 
 
-def save(df: DataFrame) -> DataFrame:
-    """Writes df to the shared folder and reads it again: lineage ends here, and a lost executor costs no recomputing."""
+def save(df: DataFrame, *by: str) -> DataFrame:
+    """Writes df to the shared folder (in folders by some columns) and reads it again: lineage ends here, and a lost executor costs no recomputing."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/pairwright/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.partitionBy(*by).parquet(path) if by else df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._pairwright_path = path
     return out

@@ -11,8 +11,10 @@ their latent images and that of the lengths of what the space leaves out; pairs
 the piece's lightest words that make up LOOSE are dropped. The longest common subsequence of words with the item's
 piece, and for looser matches the item's answer, decide.
 
-Items are taken in blocks, each with its own terms and latent space; a block is of fixed size and is all that is sent
-to the executors.
+An item of under SHORT words is sought as a phrase: all its words, one after the other.
+
+Pieces are taken in blocks, each with its own terms and latent space. A block has a bounded number of pieces of bounded
+length; one reading of the documents serves SCAN blocks.
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,7 +33,10 @@ PASSAGE, STEP, ITEM_STEP = 32, 8, 16
 #: Words of a piece's rarer part that have to be in a context; any number drops no match, fewer let more pairs through.
 HITS = 4
 CELLS = 1 << 18
-ITEMS = 256
+#: Pieces of a block, and blocks that one reading of the documents serves.
+PIECES, SCAN = 512, 16
+#: Items of fewer words are sought as a phrase.
+SHORT = 4
 RANK, OVER, SEED = 192, 16, 5
 #: For the rounding of single precision in the bound on a product.
 SLACK = 1e-3
@@ -39,6 +45,8 @@ CLEAR, LOOSE, ANSWERED = 0.75, 0.5, 0.8
 #: Words of context on both sides of a passage in which the subsequence is sought.
 MARGIN = 16
 ROWS = 256
+#: Contexts whose words are marked at once, and partial sums that one task adds up.
+CONTEXTS, SUMS = 1024, 64
 #: Words of documents whose meetings with the pieces are listed at once, but for longer documents.
 GROUP = 1 << 19
 
@@ -81,59 +89,66 @@ def weights(total: np.ndarray) -> np.ndarray:
     return np.log(1 + passages / (1 + total[:-1])).astype(np.float32)
 
 
+def pieces_of(rows: list[tuple[int, str]]) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    """(item, words of a piece, words of the item's answer) of all items; items without words have none."""
+    texts = [(t or "").encode("utf-8", "replace") for _, t in rows]
+    h, _, _, at = words_of(np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)]))
+    out = []
+    for k, (item, text) in enumerate(rows):
+        w = h[at[k] : at[k + 1]]
+        if len(w):
+            last, answer = max(0, len(w) - PASSAGE), answer_of(text, w)
+            out += [(item, w[s : s + PASSAGE], answer) for s in sorted({*range(0, last + 1, ITEM_STEP), last})]
+    return out
+
+
 class Items:
-    """One block of benchmark items: terms, passages as vectors, and answers."""
+    """One block of pieces of benchmark items: terms, the pieces as sparse vectors, and answers."""
 
-    def __init__(self, rows: list[tuple[int, str]], idf: np.ndarray):
-        texts = [(t or "").encode("utf-8", "replace") for _, t in rows]
-        h, _, _, at = words_of(np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)]))
-        self.terms = np.unique(h)
+    def __init__(self, pieces: list[tuple[int, np.ndarray, np.ndarray]], idf: np.ndarray):
+        self.ids, self.words, self.answers = map(list, zip(*pieces, strict=True))
+        self.terms = np.unique(np.concatenate(self.words))
         self.term_idf = idf[(self.terms & np.uint64(CELLS - 1)).astype(np.int64)]
-        self.ids, self.words, self.answers, vectors = [], [], [], []
-        for k, (item, text) in enumerate(rows):
-            w = h[at[k] : at[k + 1]]
-            if len(w) < 4:
-                continue
-            last = max(0, len(w) - PASSAGE)
-            for s in sorted({*range(0, last + 1, ITEM_STEP), last}):
-                piece = w[s : s + PASSAGE]
-                self.ids.append(item)
-                self.words.append(piece)
-                self.answers.append(answer_of(text, w))
-                vectors.append(self.vector(piece))
-        self.vectors = np.array(vectors, np.float32).reshape(len(vectors), len(self.terms))
-        norm = np.linalg.norm(self.vectors, axis=1, keepdims=True)
-        self.vectors /= np.maximum(norm, 1e-9)
+        rows = [np.unique(np.searchsorted(self.terms, piece), return_counts=True) for piece in self.words]
+        self.off = np.cumsum([0, *(len(k) for k, _ in rows)])
+        self.slots, self.values = np.concatenate([k for k, _ in rows]), np.concatenate([n * self.term_idf[k] for k, n in rows]).astype(np.float64)
+        norm = np.maximum(np.sqrt(np.add.reduceat(self.values**2, self.off[:-1])), 1e-9)
+        self.values /= np.repeat(norm, np.diff(self.off))
         self.hits, self.least, rare = np.zeros(len(self.words), np.int64), np.zeros(len(self.words)), []
         for j, piece in enumerate(self.words):
             slot = np.searchsorted(self.terms, piece)
             slot = slot[np.argsort(self.term_idf[slot], kind="stable")]  # the common ones first
             need = needed(len(piece))
             self.hits[j] = min(HITS, need)
-            self.least[j] = (self.term_idf[slot[:need]].astype(np.float64) ** 2).sum() / max(norm[j, 0], 1e-9)
+            self.least[j] = (self.term_idf[slot[:need]].astype(np.float64) ** 2).sum() / norm[j]
             rare.append(np.unique(slot[need - self.hits[j] :]))
-        slots = np.concatenate(rare) if rare else np.zeros(0, np.int64)
+            # a word that is there several times counts once among the rarer ones
+            self.hits[j] = min(self.hits[j], len(rare[-1]))
+        slots = np.concatenate(rare)
         order = np.argsort(slots, kind="stable")
         #: Pieces by the terms of their rarer parts: those of term t are pieces[first[t] : first[t + 1]].
         self.pieces = np.repeat(np.arange(len(rare)), list(map(len, rare)))[order]
         self.first = np.searchsorted(slots[order], np.arange(len(self.terms) + 1))
         self.bags, self.answer_bags = self.padded(self.words), self.padded(self.answers)
 
+    def index(self, all_terms: np.ndarray) -> tuple:
+        """What relevant() needs of the block; its terms by their place in all_terms."""
+        slot_of = np.full(len(all_terms), -1, np.int32)
+        slot_of[np.searchsorted(all_terms, self.terms)] = np.arange(len(self.terms))
+        return slot_of, self.term_idf, self.first, self.pieces, self.hits, self.bags, self.answer_bags
+
     def padded(self, lists: list[np.ndarray]) -> np.ndarray:
         """Slots of each list's words; len(terms) after its end, len(terms) + 1 for words that are no term."""
-        out = np.full((len(lists), max(map(len, lists), default=0)), len(self.terms))
+        out = np.full((len(lists), max(map(len, lists), default=0)), len(self.terms), np.int32)
         for row, w in zip(out, lists, strict=True):
             at = np.minimum(np.searchsorted(self.terms, w), len(self.terms) - 1)
             row[: len(w)] = np.where(self.terms[at] == w, at, len(self.terms) + 1)
         return out
 
-    def vector(self, w: np.ndarray) -> np.ndarray:
-        return np.bincount(np.searchsorted(self.terms, w), minlength=len(self.terms)) * self.term_idf
-
 
 def needed(n: int) -> int:
     """Words that a common subsequence with a piece of n words has at least, if it decides."""
-    return next(k for k in range(n + 1) if k / n >= LOOSE)
+    return n if n < SHORT else next(k for k in range(n + 1) if k / n >= LOOSE)
 
 
 def answer_of(text: str, w: np.ndarray) -> np.ndarray:
@@ -195,59 +210,74 @@ def reached(slot: np.ndarray, known: np.ndarray, at: np.ndarray, first: np.ndarr
     return passage // all_numbers, passage % all_numbers, code % len(hits)
 
 
-def decidable(slot: np.ndarray, known: np.ndarray, begin: np.ndarray, end: np.ndarray, piece: np.ndarray, terms: int, bags: np.ndarray, answers: np.ndarray) -> np.ndarray:
-    """Which of the contexts (words begin to end) and pieces have the words that matches() asks for, in any order."""
+def decidable(slot: np.ndarray, known: np.ndarray, begin: np.ndarray, end: np.ndarray, context: np.ndarray, piece: np.ndarray, terms: int, bags: np.ndarray, answers: np.ndarray) -> np.ndarray:
+    """Which of the contexts (their number, ascending; words begin to end) and pieces have the words that matches() asks for, in any order."""
     out = np.zeros(len(piece), bool)
-    for k in range(0, len(piece), ROWS):
-        s, e, j = begin[k : k + ROWS], end[k : k + ROWS], piece[k : k + ROWS]
-        has = np.zeros((len(j), terms + 2), bool)
+    new = np.flatnonzero(np.diff(context, prepend=-1))
+    which = np.repeat(np.arange(len(new)), np.diff(np.append(new, len(piece))))
+    size, asked = (bags != terms).sum(1), (answers != terms).sum(1)
+    for k in range(0, len(new), CONTEXTS):
+        some = new[k : k + CONTEXTS]
+        s, e = begin[some], end[some]
+        has = np.zeros((len(some), terms + 2), np.uint8)
+        has[:, terms + 1] = 1
         to = np.concatenate([[0], np.cumsum(e - s)])
         at = np.repeat(s - to[:-1], e - s) + np.arange(to[-1])
-        row = np.repeat(np.arange(len(j)), e - s)
-        has[row[known[at]], slot[at[known[at]]]] = True
-        has[:, terms + 1] = True
-        share, answer = (np.take_along_axis(has, x[j], 1).sum(1) for x in (bags, answers))
-        size, asked = ((x[j] != terms).sum(1) for x in (bags, answers))
-        out[k : k + ROWS] = (share / size >= LOOSE) & ((share / size >= CLEAR) | (answer >= ANSWERED * asked))
+        row = np.repeat(np.arange(len(some)), e - s)
+        has[row[known[at]], slot[at[known[at]]]] = 1
+        flat = has.ravel()
+        a, b = int(some[0]), int(new[k + CONTEXTS]) if k + CONTEXTS < len(new) else len(piece)
+        j, base = piece[a:b], (which[a:b] - k) * (terms + 2)
+        share = flat[base[:, None] + bags[j]].sum(1, dtype=np.int64) / size[j]
+        out[a:b] = share >= CLEAR
+        loose = np.flatnonzero((share >= LOOSE) & (share < CLEAR))
+        there = flat[base[loose][:, None] + answers[j[loose]]].sum(1, dtype=np.int64)
+        out[a + loose] = there >= ANSWERED * asked[j[loose]]
     return out
 
 
-def relevant(docs: DataFrame, items: Items, idf: np.ndarray) -> DataFrame:
-    """The passages that a piece of the items can match: doc_id, terms, values (rows of A), norm, pieces, context."""
+def relevant(docs: DataFrame, blocks: list[Items]) -> DataFrame:
+    """The passages that a piece of a block can match: block, doc_id, terms, values (rows of A), norm, pieces, context."""
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast((items.terms, idf, items.first, items.pieces, items.hits, items.bags, items.answer_bags))
+    all_terms = np.unique(np.concatenate([b.terms for b in blocks]))
+    shared = spark.sparkContext.broadcast((all_terms, [b.index(all_terms) for b in blocks]))
 
     def one(batch):
-        terms, idf, first, pieces, hits, bags, answers = shared.value
+        all_terms, indexes = shared.value
         data, off = bytes_of(batch.column(1))
         h, _, _, at = words_of(data, off)
         if len(h) == 0:
             return None
-        slot = np.minimum(np.searchsorted(terms, h), len(terms) - 1)
-        known = terms[slot] == h
-        out = {"doc": [], "norm": [], "terms": [], "values": [], "pieces": [], "context": []}
+        place = np.minimum(np.searchsorted(all_terms, h), len(all_terms) - 1)
+        place[all_terms[place] != h] = -1
+        out = {"block": [], "doc": [], "norm": [], "terms": [], "values": [], "pieces": [], "context": []}
         begin_doc = 0
         while begin_doc < len(at) - 1:
             end_doc = max(begin_doc + 1, int(np.searchsorted(at, at[begin_doc] + GROUP, "right")) - 1)
-            a, b = at[begin_doc], at[end_doc]
-            doc, number, piece = reached(slot[a:b], known[a:b], at[begin_doc : end_doc + 1] - a, first, pieces, hits)
-            doc = doc + begin_doc
-            begin = at[doc] + np.minimum(number * STEP, np.maximum(0, at[doc + 1] - at[doc] - PASSAGE))
-            begin, end = np.maximum(at[doc], begin - MARGIN), np.minimum(at[doc + 1], begin + PASSAGE + MARGIN)
-            ok = decidable(slot, known, begin, end, piece, len(terms), bags, answers)
-            doc, number, piece, begin, end = (x[ok] for x in (doc, number, piece, begin, end))
-            cut = [0, *(np.flatnonzero(np.diff(doc) | np.diff(number)) + 1), len(doc)] if len(doc) else [0]
-            for i, j in zip(cut[:-1], cut[1:], strict=True):
-                s, e = begin[i], end[i]
-                where, counts = np.unique(slot[s:e][known[s:e]], return_counts=True)
-                values = counts * idf[(terms[where] & np.uint64(CELLS - 1)).astype(np.int64)]
-                norm = float(np.linalg.norm(values))
-                out["doc"].append(doc[i])
-                out["norm"].append(norm)
-                out["terms"].append(where.astype(np.int32))
-                out["values"].append((values / max(norm, 1e-9)).astype(np.float32))
-                out["pieces"].append(piece[i:j].astype(np.int32))
-                out["context"].append(h[s:e].view(np.int64))
+            for k, (slot_of, idf, first, pieces, hits, bags, answers) in enumerate(indexes):
+                a, b = at[begin_doc], at[end_doc]
+                slot = np.where(place[a:b] >= 0, slot_of[place[a:b]], -1)
+                known = slot >= 0
+                doc, number, piece = reached(slot, known, at[begin_doc : end_doc + 1] - a, first, pieces, hits)
+                doc = doc + begin_doc
+                begin = at[doc] + np.minimum(number * STEP, np.maximum(0, at[doc + 1] - at[doc] - PASSAGE))
+                begin, end = np.maximum(at[doc], begin - MARGIN), np.minimum(at[doc + 1], begin + PASSAGE + MARGIN)
+                ok = decidable(slot, known, begin - a, end - a, doc * (int(number.max(initial=0)) + 1) + number, piece, len(idf), bags, answers)
+                doc, number, piece, begin, end = (x[ok] for x in (doc, number, piece, begin, end))
+                cut = [0, *(np.flatnonzero(np.diff(doc) | np.diff(number)) + 1), len(doc)] if len(doc) else [0]
+                for i, j in zip(cut[:-1], cut[1:], strict=True):
+                    s, e = begin[i], end[i]
+                    here = slot[s - a : e - a]
+                    where, counts = np.unique(here[here >= 0], return_counts=True)
+                    values = counts * idf[where]
+                    norm = float(np.linalg.norm(values))
+                    out["block"].append(k)
+                    out["doc"].append(doc[i])
+                    out["norm"].append(norm)
+                    out["terms"].append(where.astype(np.int32))
+                    out["values"].append((values / max(norm, 1e-9)).astype(np.float32))
+                    out["pieces"].append(piece[i:j].astype(np.int32))
+                    out["context"].append(h[s:e].view(np.int64))
             begin_doc = end_doc
         if not out["doc"]:
             return None
@@ -255,9 +285,22 @@ def relevant(docs: DataFrame, items: Items, idf: np.ndarray) -> DataFrame:
         for name, kind in (("terms", pa.int32()), ("values", pa.float32()), ("pieces", pa.int32()), ("context", pa.int64())):
             cut = np.cumsum([0, *map(len, out[name])]).astype(np.int32)
             lists.append(pa.ListArray.from_arrays(pa.array(cut), pa.array(np.concatenate(out[name]), kind)))
-        return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(out["doc"])), pa.array(out["norm"], pa.float64()), *lists], ["doc_id", "norm", "terms", "values", "pieces", "context"])
+        return pa.RecordBatch.from_arrays([pa.array(out["block"], pa.int32()), batch.column(0).take(pa.array(out["doc"])), pa.array(out["norm"], pa.float64()), *lists], ["block", "doc_id", "norm", "terms", "values", "pieces", "context"])
+
+    return map_arrow(docs.select("doc_id", F.col("text").cast("binary").alias("text")), one, "block int, doc_id long, norm double, terms array<int>, values array<float>, pieces array<int>, context array<long>")
+
 
-    return map_arrow(docs.select("doc_id", F.col("text").cast("binary").alias("text")), one, "doc_id long, norm double, terms array<int>, values array<float>, pieces array<int>, context array<long>")
+def images(off: np.ndarray, terms: np.ndarray, values: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Products of sparse rows, none of them empty, with w."""
+    return np.add.reduceat(w[terms] * values[:, None], off[:-1], axis=0)
+
+
+def gram(off: np.ndarray, terms: np.ndarray, values: np.ndarray, w: np.ndarray, total: np.ndarray) -> None:
+    """Adds A'(A w) of sparse rows, none of them empty, to total."""
+    each = np.repeat(images(off, terms, values, w), np.diff(off), axis=0) * values[:, None]
+    order = np.argsort(terms, kind="stable")
+    kinds, first = np.unique(terms[order], return_index=True)
+    total[kinds] += np.add.reduceat(each[order], first, axis=0)
 
 
 def _lists(batch, *names):
@@ -266,7 +309,8 @@ def _lists(batch, *names):
 
 
 def gram_times(rows: DataFrame, w: np.ndarray) -> np.ndarray:
-    """A'(A w) over all rows; every partition sends a matrix of w's shape, in pieces that are added up before they are collected."""
+    """A'(A w) over all rows. Every partition gives a matrix of w's shape, cut into pieces that are added up in a tree of
+    SUMS branches, so that no task reads more than about SUMS^2 partial sums before one matrix reaches the driver."""
     shared = rows.sparkSession.sparkContext.broadcast(w.astype(np.float32))
 
     def run(batches):
@@ -275,42 +319,48 @@ def gram_times(rows: DataFrame, w: np.ndarray) -> np.ndarray:
         for b in batches:
             off, (terms, values) = _lists(b, "terms", "values")
             off = off - off[0]
-            full = np.flatnonzero(np.diff(off))
-            if len(full) == 0:
-                continue
-            y = np.add.reduceat(w[terms] * values[:, None], off[:-1][full], axis=0)
-            each = np.repeat(y, np.diff(off)[full], axis=0) * values[:, None]
-            order = np.argsort(terms, kind="stable")
-            kinds, first = np.unique(terms[order], return_index=True)
-            total[kinds] += np.add.reduceat(each[order], first, axis=0)
+            if len(terms):
+                gram(off[np.append(True, np.diff(off) > 0)], terms, values, w, total)
+        here = TaskContext.get().partitionId()
         for k in range(0, len(total), ROWS):
-            yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([total[k : k + ROWS].tobytes()], pa.binary())], ["k", "part"])
+            yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([here], pa.int64()), pa.array([total[k : k + ROWS].tobytes()], pa.binary())], ["k", "node", "part"])
 
     def add(table: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(x) for x in table.column("part").to_pylist())
-        return pa.table({"k": pa.array([table.column("k")[0].as_py()]), "part": pa.array([total.tobytes()], pa.binary())})
-
+        total = 0
+        for x in table.column("part"):
+            total = total + np.frombuffer(x.as_buffer())
+        return pa.table({"k": pa.array([table.column("k")[0].as_py()]), "node": pa.array([table.column("node")[0].as_py()]), "part": pa.array([total.tobytes()], pa.binary())})
+
+    sums = rows.mapInArrow(run, "k long, node long, part binary")
+    for _ in range(2):
+        sums = sums.withColumn("node", F.floor(F.col("node") / SUMS)).groupBy("k", "node").applyInArrow(add, "k long, node long, part binary")
     out = np.zeros(w.shape)
-    for k, part in rows.mapInArrow(run, "k long, part binary").groupBy("k").applyInArrow(add, "k long, part binary").collect():
+    for k, _, part in sums.groupBy("k").applyInArrow(add, "k long, node long, part binary").collect():
         out[k : k + ROWS] = np.frombuffer(part).reshape(-1, w.shape[1])
     return out
 
 
 def latent_space(rows: DataFrame, items: Items) -> np.ndarray:
-    """Right singular vectors (terms, rank) of the rows and the items' passages, by a randomised range finder and a Rayleigh-Ritz step."""
-    q, rows = items.vectors.astype(np.float64), rows.select("terms", "values")
+    """Right singular vectors (terms, rank) of the rows and the items' pieces, by a randomised range finder and a Rayleigh-Ritz step."""
+    rows = rows.select("terms", "values")
+
+    def both(w):
+        total = gram_times(rows, w)
+        gram(items.off, items.slots, items.values, w, total)
+        return total
+
     width = min(RANK + OVER, len(items.terms))
     w = np.random.default_rng(SEED).normal(size=(len(items.terms), width))
-    basis = np.linalg.qr(gram_times(rows, w) + q.T @ (q @ w))[0]
-    small = basis.T @ (gram_times(rows, basis) + q.T @ (q @ basis))
+    basis = np.linalg.qr(both(w))[0]
+    small = basis.T @ both(basis)
     turn = np.linalg.eigh((small + small.T) / 2)[1][:, ::-1][:, :RANK]
     return (basis @ turn).astype(np.float32)
 
 
 def matches(rows: DataFrame, items: Items, space: np.ndarray) -> DataFrame:
     """doc_id, item_id, cosine, subsequence, answered of the rows that are decided to hold an item's passage."""
-    near = items.vectors @ space
-    left = np.sqrt(np.maximum(0, (items.vectors**2).sum(1) - (near**2).sum(1)))
+    near = images(items.off, items.slots, items.values, space.astype(np.float64))
+    left = np.sqrt(np.maximum(0, 1 - (near**2).sum(1)))
     texts = [w.view(np.int64).tolist() for w in items.words]
     shared = rows.sparkSession.sparkContext.broadcast((space, near.astype(np.float32), left, items.least, items.ids, texts, [a.view(np.int64).tolist() for a in items.answers]))
 
@@ -338,6 +388,10 @@ def matches(rows: DataFrame, items: Items, space: np.ndarray) -> DataFrame:
             if row not in contexts:
                 contexts[row] = context[row].as_py()
             here, text = contexts[row], texts[j]
+            if len(text) < SHORT:
+                if any(here[k : k + len(text)] == text for k in range(len(here))):
+                    found[docs[row], ids[j]] = (1.0, near_by, True)
+                continue
             share = common_subsequence(text, here) / len(text)
             if share < LOOSE:
                 continue
@@ -358,10 +412,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, cosine, subsequence, answered: one row for each document and item that it holds a passage of.
 
     docs: doc_id, text; benchmark: item_id, text; other columns are ignored, whatever their names. Words are runs of
-    letters and digits (any character beyond ASCII counts as one), A-Z and Latin-1 capitals as small letters. Null and empty texts hold nothing; items
-    of under 4 words are not sought. Rows with a null doc_id are left aside, as nothing could name them; rows with equal
-    doc_id are one document. Texts are read whole. Empty tables give an empty result. The benchmark's texts go to the
-    driver and from there in blocks of ITEMS items; each block reads the documents once.
+    letters and digits (any character beyond ASCII counts as one), A-Z and Latin-1 capitals as small letters. Null and
+    empty texts hold nothing, null and wordless items are held by nothing; items of under SHORT words are sought as
+    phrases. Rows with a null doc_id are left aside, as nothing could name them; rows with equal doc_id are one document,
+    repeated rows and items count once. Texts are read whole. Empty tables give an empty result. The benchmark goes to
+    the driver (it is held to be far smaller than the documents) and from there in blocks of PIECES pieces; SCAN blocks
+    share one reading of the documents. What is found of an item does not depend on the other items.
     """
     docs = require(docs, "doc_id", "text").where("doc_id is not null").withColumn("doc_id", F.col("doc_id").cast("long"))
     items = [(r["item_id"], r["text"]) for r in require(benchmark, "item_id", "text").where("text is not null and item_id is not null").orderBy("item_id", "text").collect()]
@@ -370,12 +426,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         return found
     idf = weights(frequencies(docs))
     parts = []
-    for k in range(0, len(items), ITEMS):
-        block = Items(items[k : k + ITEMS], idf)
-        if not block.ids:
-            continue
-        rows = save(relevant(docs, block, idf))
-        parts.append(save(matches(rows, block, latent_space(rows, block))))
+    pieces = pieces_of(items)
+    blocks = [Items(pieces[k : k + PIECES], idf) for k in range(0, len(pieces), PIECES)]
+    for k in range(0, len(blocks), SCAN):
+        some = blocks[k : k + SCAN]
+        rows = save(relevant(docs, some), *(["block"] if len(some) > 1 else []))
+        for i, block in enumerate(some):
+            own = rows.where(F.col("block") == i).drop("block")
+            parts.append(save(matches(own, block, latent_space(own, block))))
         forget(rows)
     for p in parts:
         found = found.unionByName(p)
@@ -384,5 +442,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def without(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs without the documents that hold a benchmark passage."""
+    """docs without the documents that hold a benchmark passage; their columns stay as they are, whatever their names.
+
+    All rows of a doc_id go if one of them holds a passage; rows with a null doc_id, null and empty texts stay. An empty
+    table or benchmark leaves docs as they are.
+    """
     return without_ids(docs, contaminated(docs, benchmark).select("doc_id"))

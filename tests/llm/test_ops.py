@@ -472,6 +472,21 @@ def test_decontamination_finds_all_paraphrases(spark):
     assert got == want
 
 
+def test_decontamination_of_short_items_and_in_many_blocks(spark, monkeypatch):
+    r = random.Random(6)
+    items = [(i, " ".join(f"i{r.randrange(900)}" for _ in range(r.choice((8, 20, 40))))) for i in range(30)] + [(100, "zeta"), (101, "omega Pi"), (102, "one two three"), (103, "!?"), (104, "rho rho")]
+    rows = [(d, " ".join(f"x{r.randrange(5000)}" for _ in range(150))) for d in range(30)]
+    rows += [(1000 + i, f"{' '.join(f'y{r.randrange(10**6)}' for _ in range(60))} {t} end") for i, t in items[:30]]
+    rows += [(2000, "before zeta after"), (2001, "an omega, PI"), (2002, "pi omega"), (2003, "one two, x three"), (2004, "so one two three go"), (2005, "rho x rho"), (2006, "rho. Rho"), (2007, items[3][1] * 2000)]
+    b = spark.createDataFrame(items, "item_id long, text string")
+    find = lambda: {(x.doc_id, x.item_id) for x in decontaminate.contaminated(docs(spark, rows * 2), b).collect()}
+    whole = find()
+    assert {(1000 + i, i) for i in range(30)} <= whole and {x for x in whole if x[0] >= 2000} == {(2000, 100), (2001, 101), (2004, 102), (2006, 104), (2007, 3)}
+    monkeypatch.setattr(decontaminate, "PIECES", 7)
+    monkeypatch.setattr(decontaminate, "SCAN", 3)
+    assert find() == whole
+
+
 def test_common_subsequence():
     def slow(a, b):
         t = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import functools
 import tempfile
 import uuid
@@ -20,7 +21,7 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: White space and all ASCII characters but letters and digits.
 NOT_WORD = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 #: Bytes from which an Arrow batch ends; texts may be long, so a number of rows is no bound.
-BATCH_BYTES = 2 << 20
+BATCH_BYTES = 1 << 20
 #: Bytes that the vectorised hashing handles at once; it takes about 40 times as much memory.
 PIECE = 1 << 18
 
@@ -183,14 +184,24 @@ def shingle_hashes(data: np.ndarray, offsets: np.ndarray, width: int, word_rank:
     return x, to, total[first + size] - total[first]
 
 
-def map_arrow(df: DataFrame, function, schema: str) -> DataFrame:
-    """mapInArrow with small batches. function: RecordBatch -> RecordBatch or None."""
+def give_back() -> None:
+    """Returns freed memory of this Python worker to the system; workers are used again by later stages, and an allocator
+    keeps what is freed between blocks in use."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
+def map_arrow(df: DataFrame, function, schema: str, rows: int | None = None) -> DataFrame:
+    """mapInArrow with small batches (of at most so many rows, if given). function: RecordBatch -> RecordBatch or None."""
     tune(df.sparkSession)
 
     def run(batches):
-        for b in batches:
-            if b.num_rows and (out := function(b)) is not None:
-                yield out
+        for whole in batches:
+            for k in range(0, whole.num_rows, rows or max(1, whole.num_rows)):
+                if (out := function(whole.slice(k, rows))) is not None:
+                    yield out
+        give_back()
 
     return df.mapInArrow(run, schema)
 

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairwright.llm.common import NOT_WORD, bytes_of, forget, map_arrow, require, save, without_ids, words
+from pairwright.llm.common import NOT_WORD, bytes_of, forget, give_back, map_arrow, require, save, without_ids, words
 
 PASSAGE, STEP, ITEM_STEP = 32, 8, 16
 #: Words of a piece's rarer part that have to be in a context; any number drops no match, fewer let more pairs through.
@@ -47,8 +47,9 @@ MARGIN = 16
 ROWS = 256
 #: Contexts whose words are marked at once, and partial sums that one task adds up.
 CONTEXTS, SUMS = 1024, 64
-#: Words of documents whose meetings with the pieces are listed at once, but for longer documents.
-GROUP = 1 << 19
+#: Words whose meetings with the pieces are listed at once: of several documents, or a stretch of a longer one. Stretches
+#: overlap by more than a context.
+GROUP, OVERLAP = 1 << 16, PASSAGE + 2 * MARGIN + 2 * STEP
 
 
 def lower_latin(data: np.ndarray) -> np.ndarray:
@@ -74,6 +75,7 @@ def frequencies(docs: DataFrame) -> np.ndarray:
             total += np.bincount((h & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS)
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["cell", "n"])
+        give_back()
 
     rows = docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
     total = np.zeros(CELLS + 1)
@@ -236,6 +238,19 @@ def decidable(slot: np.ndarray, known: np.ndarray, begin: np.ndarray, end: np.nd
     return out
 
 
+def stretches(at: np.ndarray):
+    """(first document, word bounds) of about GROUP words: bounds of whole documents, or of a stretch of one document."""
+    i, n = 0, len(at) - 1
+    while i < n:
+        j = max(i + 1, int(np.searchsorted(at, at[i] + GROUP, "right")) - 1)
+        if at[j] - at[i] <= GROUP:
+            yield i, at[i : j + 1]
+        else:
+            for s in range(int(at[i]), int(at[j]) - OVERLAP, GROUP - OVERLAP):
+                yield i, np.array([s, min(s + GROUP, int(at[j]))])
+        i = j
+
+
 def relevant(docs: DataFrame, blocks: list[Items]) -> DataFrame:
     """The passages that a piece of a block can match: block, doc_id, terms, values (rows of A), norm, pieces, context."""
     spark = docs.sparkSession
@@ -251,41 +266,42 @@ def relevant(docs: DataFrame, blocks: list[Items]) -> DataFrame:
         place = np.minimum(np.searchsorted(all_terms, h), len(all_terms) - 1)
         place[all_terms[place] != h] = -1
         out = {"block": [], "doc": [], "norm": [], "terms": [], "values": [], "pieces": [], "context": []}
-        begin_doc = 0
-        while begin_doc < len(at) - 1:
-            end_doc = max(begin_doc + 1, int(np.searchsorted(at, at[begin_doc] + GROUP, "right")) - 1)
+        for first_doc, bounds in stretches(at):
+            a, b = bounds[0], bounds[-1]
             for k, (slot_of, idf, first, pieces, hits, bags, answers) in enumerate(indexes):
-                a, b = at[begin_doc], at[end_doc]
                 slot = np.where(place[a:b] >= 0, slot_of[place[a:b]], -1)
                 known = slot >= 0
-                doc, number, piece = reached(slot, known, at[begin_doc : end_doc + 1] - a, first, pieces, hits)
-                doc = doc + begin_doc
-                begin = at[doc] + np.minimum(number * STEP, np.maximum(0, at[doc + 1] - at[doc] - PASSAGE))
-                begin, end = np.maximum(at[doc], begin - MARGIN), np.minimum(at[doc + 1], begin + PASSAGE + MARGIN)
+                doc, number, piece = reached(slot, known, bounds - a, first, pieces, hits)
+                begin = bounds[doc] + np.minimum(number * STEP, np.maximum(0, bounds[doc + 1] - bounds[doc] - PASSAGE))
+                begin, end = np.maximum(bounds[doc], begin - MARGIN), np.minimum(bounds[doc + 1], begin + PASSAGE + MARGIN)
                 ok = decidable(slot, known, begin - a, end - a, doc * (int(number.max(initial=0)) + 1) + number, piece, len(idf), bags, answers)
                 doc, number, piece, begin, end = (x[ok] for x in (doc, number, piece, begin, end))
-                cut = [0, *(np.flatnonzero(np.diff(doc) | np.diff(number)) + 1), len(doc)] if len(doc) else [0]
-                for i, j in zip(cut[:-1], cut[1:], strict=True):
-                    s, e = begin[i], end[i]
-                    here = slot[s - a : e - a]
-                    where, counts = np.unique(here[here >= 0], return_counts=True)
-                    values = counts * idf[where]
-                    norm = float(np.linalg.norm(values))
-                    out["block"].append(k)
-                    out["doc"].append(doc[i])
-                    out["norm"].append(norm)
-                    out["terms"].append(where.astype(np.int32))
-                    out["values"].append((values / max(norm, 1e-9)).astype(np.float32))
-                    out["pieces"].append(piece[i:j].astype(np.int32))
-                    out["context"].append(h[s:e].view(np.int64))
-            begin_doc = end_doc
+                if len(doc) == 0:
+                    continue
+                new = np.flatnonzero(np.append(True, (np.diff(doc) != 0) | (np.diff(number) != 0)))
+                s, n = begin[new], end[new] - begin[new]
+                to = np.concatenate([[0], np.cumsum(n)])
+                words_at = np.repeat(s - to[:-1], n) + np.arange(to[-1])
+                row, here = np.repeat(np.arange(len(new)), n), slot[words_at - a]
+                code, counts = np.unique((row * (len(idf) + 1) + here)[here >= 0], return_counts=True)
+                row, where = code // (len(idf) + 1), code % (len(idf) + 1)
+                values = counts * idf[where]
+                norm = np.maximum(np.sqrt(np.bincount(row, values.astype(np.float64) ** 2, len(new))), 1e-9)
+                out["block"].append(np.full(len(new), k, np.int32))
+                out["doc"].append(first_doc + doc[new])
+                out["norm"].append(norm)
+                out["terms"].append((np.bincount(row, minlength=len(new)), where.astype(np.int32)))
+                out["values"].append((np.bincount(row, minlength=len(new)), (values / norm[row]).astype(np.float32)))
+                out["pieces"].append((np.diff(np.append(new, len(doc))), piece.astype(np.int32)))
+                out["context"].append((n, h[words_at].view(np.int64)))
         if not out["doc"]:
             return None
         lists = []
         for name, kind in (("terms", pa.int32()), ("values", pa.float32()), ("pieces", pa.int32()), ("context", pa.int64())):
-            cut = np.cumsum([0, *map(len, out[name])]).astype(np.int32)
-            lists.append(pa.ListArray.from_arrays(pa.array(cut), pa.array(np.concatenate(out[name]), kind)))
-        return pa.RecordBatch.from_arrays([pa.array(out["block"], pa.int32()), batch.column(0).take(pa.array(out["doc"])), pa.array(out["norm"], pa.float64()), *lists], ["block", "doc_id", "norm", "terms", "values", "pieces", "context"])
+            cut = np.concatenate([[0], np.cumsum(np.concatenate([n for n, _ in out[name]]))]).astype(np.int32)
+            lists.append(pa.ListArray.from_arrays(pa.array(cut), pa.array(np.concatenate([x for _, x in out[name]]), kind)))
+        first_three = [pa.array(np.concatenate(out["block"])), batch.column(0).take(pa.array(np.concatenate(out["doc"]))), pa.array(np.concatenate(out["norm"]))]
+        return pa.RecordBatch.from_arrays([*first_three, *lists], ["block", "doc_id", "norm", "terms", "values", "pieces", "context"])
 
     return map_arrow(docs.select("doc_id", F.col("text").cast("binary").alias("text")), one, "block int, doc_id long, norm double, terms array<int>, values array<float>, pieces array<int>, context array<long>")
 
@@ -316,11 +332,12 @@ def gram_times(rows: DataFrame, w: np.ndarray) -> np.ndarray:
     def run(batches):
         w = shared.value
         total = np.zeros(w.shape, np.float64)
-        for b in batches:
+        for b in (whole.slice(k, ROWS) for whole in batches for k in range(0, whole.num_rows, ROWS)):
             off, (terms, values) = _lists(b, "terms", "values")
             off = off - off[0]
             if len(terms):
                 gram(off[np.append(True, np.diff(off) > 0)], terms, values, w, total)
+        give_back()
         here = TaskContext.get().partitionId()
         for k in range(0, len(total), ROWS):
             yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([here], pa.int64()), pa.array([total[k : k + ROWS].tobytes()], pa.binary())], ["k", "node", "part"])
@@ -405,7 +422,7 @@ def matches(rows: DataFrame, items: Items, space: np.ndarray) -> DataFrame:
             [pa.array([k[0] for k in found], pa.int64()), pa.array([k[1] for k in found], pa.int64()), *[pa.array([v[n] for v in found.values()]) for n in (1, 0, 2)]], ["doc_id", "item_id", "cosine", "subsequence", "answered"]
         )
 
-    return map_arrow(rows, one, "doc_id long, item_id long, cosine double, subsequence double, answered boolean")
+    return map_arrow(rows, one, "doc_id long, item_id long, cosine double, subsequence double, answered boolean", ROWS)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pairwright.llm.common import bytes_of, connected_components, forget, free_name, map_arrow, mix, require, save, shingle_hashes, small, words
+from pairwright.llm.common import bytes_of, connected_components, forget, free_name, give_back, map_arrow, mix, require, save, shingle_hashes, small, words
 
 CELLS = 1 << 16
 #: Signature bits of a class: twice its size, as a power of two in these bounds.
@@ -62,6 +62,7 @@ def crowding(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
                 total[k * CELLS : (k + 1) * CELLS] += np.bincount((x & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS)
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["cell", "n"])
+        give_back()
 
     rows = docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
     total = np.zeros(2 * CELLS)
@@ -221,6 +222,7 @@ def link_blocks(members: DataFrame, sigs: DataFrame, percent: int) -> DataFrame:
                 if y - x > 1:
                     found.update((min(p), max(p)) for p in meet(n[x:y], reach[x:y], comp[x:y], ids[x:y], home[x:y], [sig_of[i] for i in ids[x:y].tolist()]))
         pairs = np.array(sorted(found), np.int64).reshape(-1, 2)
+        give_back()
         return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
 
     return members.groupBy("task").cogroup(sigs.groupBy("at")).applyInArrow(search, "a long, b long")

@@ -18,7 +18,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairwright.llm.common import NOT_WORD, bytes_of, map_arrow, words
+from pairwright.llm.common import NOT_WORD, bytes_of, give_back, map_arrow, words
 
 KINDS = ("assign", "access", "hex", "novel")
 ASSIGN = re.compile(r"(?i:(password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.ASCII)
@@ -78,6 +78,7 @@ def frequent_words(docs: DataFrame) -> list[str]:
             total += np.bincount((h & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS)
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["cell", "n"])
+        give_back()
 
     cells = texts.mapInArrow(sketch, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
     full = np.zeros(CELLS, bool)

@@ -483,6 +483,7 @@ def test_decontamination_of_short_items_and_in_many_blocks(spark, monkeypatch):
     whole = find()
     assert {(1000 + i, i) for i in range(30)} <= whole and {x for x in whole if x[0] >= 2000} == {(2000, 100), (2001, 101), (2004, 102), (2006, 104), (2007, 3)}
     monkeypatch.setattr(decontaminate, "PIECES", 7)
+    monkeypatch.setattr(decontaminate, "GROUP", 120)
     monkeypatch.setattr(decontaminate, "SCAN", 3)
     assert find() == whole
 

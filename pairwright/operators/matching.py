@@ -13,7 +13,7 @@ from pairwright.functions import compare as C
 from pairwright.functions.money import rounded
 from pairwright.functions.similarity import blend, blend_with_numbers, jaccard, long_numbers, weighted_mean
 from pairwright.functions.text import LOW_VALUE_WORDS, fold_key, long_tokens, strip_attr_noise, strip_spam, title_tokens
-from pairwright.session import persisted
+from pairwright.session import dropped, persisted
 
 
 def with_tokens(listings: DataFrame) -> DataFrame:
@@ -54,25 +54,25 @@ def candidate_pairs_by_token(a: DataFrame, b: DataFrame, floor: float = config.L
     return pairs.withColumn("sim", sim).where(F.col("sim") >= floor).select("a_id", "b_id", "sim")
 
 
-def greedy_pairs(edges: DataFrame, keys: Sequence[str], order: Sequence[Column], rounds: int = 100) -> DataFrame:
+def greedy_pairs(edges: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """One-to-one assignment within groups, the same as taking edges in `order` while both ends are free.
 
-    Repeats: edges that are the first of both their ends are taken, and edges at taken ends go. Each round is two
-    windows and two anti-joins and leaves a table; an edge that is first overall is always taken, so rounds end.
+    Repeats until no edge is left: edges that are the first of both their ends are taken, and edges at taken ends go. Each
+    round is two windows and two anti-joins and leaves a table; an edge that is first overall is always taken, so rounds
+    end, after as many as the longest chain of edges that wait for one another has.
     """
     left, taken = persisted(edges), None
-    for _ in range(rounds):
+    while True:
         wa, wb = (Window.partitionBy(*keys, c).orderBy(*order) for c in ("a_id", "b_id"))
         best = left.withColumn("_ra", F.row_number().over(wa)).withColumn("_rb", F.row_number().over(wb))
         now = persisted(best.where("_ra = 1 and _rb = 1").drop("_ra", "_rb"))
         if now.isEmpty():
-            break
-        taken = now if taken is None else taken.unionByName(now)
+            return edges.limit(0) if taken is None else taken
+        # one table holds all that was taken, so that plans do not grow with the rounds
+        before, taken = taken, now if taken is None else persisted(taken.unionByName(now))
+        gone = left
         left = persisted(left.join(now.select(*keys, "a_id"), [*keys, "a_id"], "left_anti").join(now.select(*keys, "b_id"), [*keys, "b_id"], "left_anti"))
-    else:
-        if not left.isEmpty():
-            raise RuntimeError(f"edges are left after {rounds} rounds")
-    return edges.limit(0) if taken is None else taken
+        dropped(gone, *([before, now] if before is not None else []))
 
 
 def capped(pairs: DataFrame, keys: Sequence[str], order: Sequence[Column], most: int = config.MAX_PAIRS) -> DataFrame:

@@ -30,4 +30,15 @@ def persisted(df: DataFrame) -> DataFrame:
         where = _own_dir()
     path = f"{where.rstrip('/')}/pairwright/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._pairwright_path = path
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Deletes tables of persisted() that nothing reads any more."""
+    for df in tables:
+        if path := getattr(df, "_pairwright_path", None):
+            spark = df.sparkSession
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)

@@ -93,13 +93,18 @@ def card_price(card: _Node) -> float | None:
     """The first of: hidden exact price, split whole and fraction, data attribute, text; prices that are struck out never count."""
 
     def struck(n):
-        while n:
-            if n.name in ("s", "del", "strike") or n.has("strike", "list-price", "was-price", "text-price"):
-                return True
-            n = n.parent
-        return False
+        return n.name in ("s", "del", "strike") or n.has("strike", "list-price", "was-price", "text-price")
 
-    nodes = [n for n in card.walk() if not struck(n)]
+    above = card
+    while above:
+        if struck(above):
+            return None
+        above = above.parent
+    nodes, todo = [], [card]
+    while todo:  # in page order, without what is struck out and all below it
+        n = todo.pop()
+        nodes.append(n)
+        todo += [c for c in reversed(n.children) if isinstance(c, _Node) and not struck(c)]
     for n in nodes:
         if n.has("offscreen", "s-item__price", "price-current") and (v := usd(n.inner())):
             return v
@@ -156,7 +161,7 @@ def product_node(page: str) -> dict | None:
         if n.name == "script" and "ld+json" in n.attrs.get("type", ""):
             try:
                 data = json.loads("".join(c for c in n.children if isinstance(c, str)))
-            except ValueError:
+            except (ValueError, RecursionError):
                 continue
             todo = [data]
             while todo:
@@ -167,7 +172,8 @@ def product_node(page: str) -> dict | None:
                     kind = x.get("@type")
                     if kind == "Product" or isinstance(kind, list) and "Product" in kind:
                         return x
-                    todo += x.get("@graph") or []
+                    graph = x.get("@graph")
+                    todo += graph if isinstance(graph, list) else [graph] if isinstance(graph, dict) else []
     return None
 
 
@@ -204,7 +210,8 @@ def item_page(page: str) -> dict:
         if label and value:
             specifics.setdefault(SPECIFICS.get(label, label), value)
 
-    for p in ld.get("additionalProperty") or []:
+    more = ld.get("additionalProperty")
+    for p in more if isinstance(more, list) else [more]:
         if isinstance(p, dict):
             put(p.get("name", ""), p.get("value", ""))
     nodes = list(root.walk())

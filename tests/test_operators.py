@@ -192,3 +192,37 @@ def test_error_budget():
         s = runs.step(s, "b", page, 0, "parse")
     assert s[0] == 1 and s[2] == 0
     assert runs.step(s, "b", 9, 5, None) == s
+
+
+def test_greedy_pairs_of_a_long_chain(spark):
+    """Edges that wait for one another, more rounds than any fixed number: the same as the sequential choice."""
+    from pyspark.sql import functions as F
+
+    from pairwright.operators.matching import greedy_pairs
+
+    n = 70  # edge k joins a(k // 2) and b((k + 1) // 2) and is better than edge k - 1
+    rows = [("g", k // 2, (k + 1) // 2, float(k)) for k in range(n)]
+    edges = spark.createDataFrame(rows, "g string, a_id long, b_id long, sim double")
+    got = {(x.a_id, x.b_id) for x in greedy_pairs(edges, ["g"], [F.desc("sim"), "a_id", "b_id"]).collect()}
+    want, free_a, free_b = set(), set(), set()
+    for _, a, b, _ in sorted(rows, key=lambda r: -r[3]):
+        if a not in free_a and b not in free_b:
+            want.add((a, b))
+            free_a.add(a)
+            free_b.add(b)
+    assert got == want
+    assert greedy_pairs(edges.limit(0), ["g"], [F.desc("sim")]).count() == 0
+
+
+def test_odd_json_does_not_stop_a_page():
+    from pairwright.sources import captures
+
+    page = lambda data: f'<script type="application/ld+json">{data}</script><h1>Some title</h1>'
+    for data in ('{"@graph": 1}', '{"@graph": "x"}', "[" * 100_000, '{"@type": "Product", "name": "N", "additionalProperty": 5}', '{"@type": "Product", "name": "N", "additionalProperty": "x"}', "{", "3", '{"@graph": [1, null]}'):
+        assert captures.item_page(page(data))["title"] in ("Some title", "N")
+    assert captures.product_node(page('{"@graph": {"@type": "Product", "name": "P"}}'))["name"] == "P"
+    one = captures.item_page(page('{"@type": "Product", "name": "N", "additionalProperty": {"name": "UPC", "value": "012345678905"}}'))
+    assert one["gtin"] == "012345678905"
+    deep = "<div>" * 3000 + "<span class=price>$5.00</span>"
+    assert captures.card_price(captures.parse(deep)) == 5.0
+    assert captures.card_price(captures.parse("<s><b class=price>$5.00</b></s>")) is None

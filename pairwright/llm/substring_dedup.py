@@ -1,9 +1,10 @@
 """Substring dedup by content-defined chunking.
 
-A gear hash rolls over the bytes; where some of its bits are zero a chunk ends. The bits depend on the last WINDOW
-bytes only, so an insertion moves at most the chunks around it. Chunks are deduplicated by digest: the document with
-the smallest id that holds a chunk is its first, every other occurrence is a repeat. Consecutive chunks that other
-documents hold too make a span.
+A gear hash rolls over the bytes; a chunk ends where the hash is the least of SPAN in a row. The choice depends on the
+bytes nearby only, so an insertion moves at most the chunks around it, and of any SPAN places in a row one is a cut, so
+no passage, however its bytes fall, loses more than EDGE bytes at each end. Chunks are deduplicated by digest: the
+document with the smallest id that holds a chunk is its first, every other occurrence is a repeat. Consecutive chunks
+that other documents hold too make a span.
 """
 
 from __future__ import annotations
@@ -15,14 +16,15 @@ from pyspark.sql import functions as F
 
 from pairwright.llm.common import PIECE, SPACE, bytes_of, map_arrow, mix, require, save, stretch_hashes
 
-#: A cut is made where (hash >> SHIFT) & MASK is 0: every 32 bytes on average, by the last SHIFT + 5 = 12 bytes.
-SHIFT, MASK = 7, 31
-WINDOW = 12
-#: Longer chunks (in bytes), as in text of one repeated word, are cut where their hash is largest, SPACING apart at least.
-LONGEST, SPACING = 256, 16
-#: Words that a span of repeated chunks has at least. Up to two chunks of a repeated passage, at its ends, are not seen
-#: as repeated, so it must be well below the length of the passages to be found.
-MIN_WORDS = 16
+#: Bytes that a hash depends on, and places of which the one with the least hash is a cut.
+WINDOW, SPAN = 12, 48
+#: Bytes at each end of a repeated passage that may lie in chunks reaching beyond it; also the longest chunk.
+EDGE = WINDOW + SPAN - 1
+#: Places of the same hash that are nearer than this, as in text of one repeated word, are cut once.
+SPACING = 16
+#: Words that a span of repeated chunks has at least. Passages of 51 words keep as many without the EDGE bytes at both ends
+#: if a word and its space take 5.4 bytes on average; few passages lose that much.
+MIN_WORDS = 28
 GEAR = (mix(np.arange(256, dtype=np.uint64) + np.uint64(0xC0FFEE)) >> np.uint64(32)).astype(np.uint32)
 _VALUES = mix(np.arange(256, dtype=np.uint64) + np.uint64(0xABCDEF))
 
@@ -30,23 +32,32 @@ _VALUES = mix(np.arange(256, dtype=np.uint64) + np.uint64(0xABCDEF))
 def cut_points(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Ends of all chunks (exclusive) of the texts in data, ascending; every text's end is among them."""
     n = len(data)
-    ends = [offsets[1:]]
+    # rows of SPAN hashes, each of WINDOW bytes, that lie in one text, by the place of their first hash
+    change = np.zeros(n + 1, np.int32)
+    first, last = offsets[:-1] + WINDOW - 1, offsets[1:] - SPAN + 1
+    some = last > first
+    change[first[some]] += 1
+    np.subtract.at(change, last[some], 1)
+    inside = np.cumsum(change[:n]) > 0
+    places, hashes = [], []
     for at in range(0, n, PIECE):
-        lead = max(0, at - WINDOW + 1)
-        h = _gear(data[lead : min(at + PIECE, n)])
-        hit = np.flatnonzero(((h >> np.uint32(SHIFT)) & np.uint32(MASK)) == 0) + lead
-        hit = hit[hit >= at]
-        # a text's first bytes have no full window
-        text = np.searchsorted(offsets, hit, "right") - 1
-        ends.append(hit[hit - offsets[text] >= WINDOW - 1] + 1)
-    cuts = np.unique(np.concatenate(ends))
-    cuts = cuts[cuts > 0]
-    size = np.diff(cuts, prepend=0)
-    if len(size) and size.max() > LONGEST:
-        long = np.flatnonzero(size > LONGEST)
-        more = [_cut_again(data, int(cuts[i] - size[i]), int(cuts[i])) for i in long]
-        cuts = np.unique(np.concatenate([cuts, *more]))
-    return cuts
+        to = min(at + PIECE, n)
+        lead = max(0, at - SPAN - WINDOW + 2)
+        h = np.maximum(_gear(data[lead : min(to + SPAN - 1, n)]), np.uint32(1))
+        if len(h) < SPAN:
+            continue
+        least = np.where(inside[lead : lead + len(h) - SPAN + 1], _sliding(h, np.minimum), np.uint32(0))
+        edge = np.zeros(SPAN - 1, np.uint32)
+        # a place is a cut if one of the rows that hold it has no smaller hash
+        hit = np.flatnonzero(_sliding(np.concatenate([edge, least, edge]), np.maximum) == h)
+        hit = hit[(hit >= at - lead) & (hit < to - lead)]
+        places.append(hit + lead)
+        hashes.append(h[hit])
+    if not places:
+        return np.unique(offsets[1:][offsets[1:] > 0])
+    place, value = np.concatenate(places), np.concatenate(hashes)
+    cuts = np.unique(np.concatenate([_thin(place, value, offsets) + 1, offsets[1:]]))
+    return cuts[cuts > 0]
 
 
 def _gear(data: np.ndarray) -> np.ndarray:
@@ -57,26 +68,33 @@ def _gear(data: np.ndarray) -> np.ndarray:
     return h
 
 
-def _cut_again(data: np.ndarray, start: int, end: int) -> np.ndarray:
-    """Cuts in a stretch without any: at all places of the largest hash, until no part is longer than LONGEST.
+def _sliding(x: np.ndarray, extreme: np.ufunc) -> np.ndarray:
+    """The extreme of each SPAN values in a row, by doubling."""
+    size = 1
+    while size < SPAN:
+        step = min(size, SPAN - size)
+        x = extreme(x[:-step], x[step:])
+        size += step
+    return x
 
-    In periodic text those places are a period apart, whatever the stretch's ends, so its parts are the same elsewhere."""
-    h, out, todo = _gear(data[start:end]), [], [(0, end - start)]
-    while todo:
-        a, b = todo.pop()
-        if b - a <= LONGEST:
-            continue
-        inner = h[a + WINDOW - 1 : b - 1]
-        hits = (np.flatnonzero(inner == inner.max()) + a + WINDOW).tolist()
-        kept = [a]
-        for x in hits:
-            if x - kept[-1] >= SPACING:
-                kept.append(x)
-        if len(kept) == 1:
-            kept.append(hits[0])
-        out += kept[1:]
-        todo += zip(kept, [*kept[1:], b], strict=True)
-    return np.array(out, np.int64) + start
+
+def _thin(place: np.ndarray, value: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Places but those that follow one of the same hash in the same text by less than SPACING.
+
+    In periodic text they are a period apart, so its chunks are the same wherever it begins."""
+    text = np.searchsorted(offsets, place, "right")
+    near = (value[1:] == value[:-1]) & (np.diff(place) < SPACING) & (text[1:] == text[:-1])
+    if not near.any():
+        return place
+    begins = np.flatnonzero(np.concatenate([[True], ~near]))
+    keep = np.zeros(len(place), bool)
+    keep[begins] = True
+    for a, b in zip(begins, np.append(begins[1:], len(place)), strict=True):
+        if b - a > 1:
+            k = a
+            while (k := int(np.searchsorted(place[a:b], place[k] + SPACING)) + a) < b:
+                keep[k] = True
+    return place[keep]
 
 
 def chunks(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -100,7 +118,8 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     docs: doc_id, text; other columns are ignored, whatever their names. Result, one row for each such doc_id: doc_id,
     n_spans, n_repeated (bytes in the spans), n_dropped (bytes of them whose first document is another one), spans
     (array of start, end in UTF-8 bytes, end exclusive, and dropped: bytes to drop of it), partners (first documents of
-    its chunks, itself left out, distinct). Null, empty and blank texts have no passages. Rows with a null doc_id are
+    its chunks, itself left out, distinct). Every passage of which min_words words are left without EDGE bytes at each end
+    is found. Digests have 64 bits and are not compared as texts: a false span needs several false chunks in a row. Null, empty and blank texts have no passages. Rows with a null doc_id are
     left aside, as nothing could name them; rows with equal doc_id are one document, whose repeats of itself do not
     count. Texts are chunked whole. An empty table gives an empty result.
     """

@@ -155,7 +155,30 @@ def test_chunks_resist_shifts_and_cover_texts():
         assert b"".join(t[s:e] for s, e in zip(start[k], end[k], strict=True)) == t and words[k].sum() == len(t.split())
         sets[i] = set(digest[k].tolist())
     assert len(sets[0] & sets[1]) >= len(sets[0]) - 2 and len(sets[0] & sets[2]) >= len(sets[0]) - 3
-    assert sets[5] & sets[6] and (end - start).max() <= substring_dedup.LONGEST
+    assert sets[5] & sets[6] and (end - start).max() <= substring_dedup.EDGE
+
+
+def test_cuts_are_the_least_hashes():
+    r = random.Random(18)
+    for text in (prose(r, 300).encode(), "été 中文 и ".encode() * 40, b"x" * 59, b"y" * 58, b"abcab" * 100):
+        data, off = np.frombuffer(b"z" * 90 + text + b"q" * 70, np.uint8), np.cumsum([0, 90, len(text), 70])
+        own = np.frombuffer(text, np.uint8)
+        h, want = np.maximum(substring_dedup._gear(own), 1), set()
+        for j in range(substring_dedup.WINDOW - 1, len(text) - substring_dedup.SPAN + 1):
+            row = h[j : j + substring_dedup.SPAN]
+            want.update((np.flatnonzero(row == row.min()) + j + 1).tolist())
+        got = {int(x) - 90 for x in substring_dedup.cut_points(data, off)} & set(range(1, len(text)))
+        assert got <= want and (got == want or len(set(text)) < 6)
+
+
+def test_passages_of_51_words_are_found_wherever_they_lie(spark):
+    r = random.Random(19)
+    rows = []
+    for k in range(150):
+        passage = prose(r, 51, 10_000)
+        rows += [(3 * k, f"{prose(r, r.randint(0, 40), 10**6)} {passage} {prose(r, 30, 10**6)}"), (3 * k + 1, f"{prose(r, r.randint(0, 40), 10**6)}\n{passage}"), (3 * k + 2, prose(r, 60, 10**6))]
+    found = {x.doc_id for x in substring_dedup.repeated_spans(docs(spark, rows)).collect()}
+    assert found == {d for d, _ in rows if d % 3 < 2}
 
 
 def test_repeated_passages(spark):

@@ -44,36 +44,72 @@ CELLS = 16_384
 
 
 class Block:
-    __slots__ = ("path", "text", "linked")
+    """A block's text, the characters of it in links, and of the names above it the hashed slots (as bits) and their number."""
 
-    def __init__(self, path: tuple[str, ...], text: str, linked: int):
-        self.path, self.text, self.linked = path, text, linked
+    __slots__ = ("slots", "depth", "text", "linked")
+
+    def __init__(self, slots: int, depth: int, text: str, linked: int):
+        self.slots, self.depth, self.text, self.linked = slots, depth, text, linked
+
+
+class _Open:
+    """The open elements: each knows the sum of its path, and where the last of a name is takes no search."""
+
+    def __init__(self):
+        self.names: list[str] = []
+        self.paths: list[tuple[int, int]] = [(0, 0)]
+        self.places: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
+        self.silent = self.links = 0
+
+    def push(self, name: str, steps: list[str]) -> None:
+        slots, depth = self.paths[-1]
+        for step in steps:
+            slots |= 1 << zlib.crc32(step.encode("utf-8", "replace")) % PATH
+        self.places.setdefault(name, []).append(len(self.names))
+        if name not in INLINE:
+            self.blocks.append(len(self.names))
+        self.names.append(name)
+        self.paths.append((slots, depth + len(steps)))
+        self.silent += name in SILENT
+        self.links += name == "a"
+
+    def close(self, place: int) -> None:
+        """Closes the element at place and all in it."""
+        while len(self.names) > place:
+            name = self.names.pop()
+            self.paths.pop()
+            self.places[name].pop()
+            if name not in INLINE:
+                self.blocks.pop()
+            self.silent -= name in SILENT
+            self.links -= name == "a"
+
+    def last(self, *names: str) -> int:
+        """The place of the innermost element of these names, or -1."""
+        return max((found[-1] for name in names if (found := self.places.get(name))), default=-1)
 
 
 def blocks_of(page: str) -> list[Block]:
-    """The page's leaf blocks in order; white space in a block is one space, blocks without text are left out."""
+    """The page's leaf blocks in order; white space in a block is one space, blocks without text are left out.
+
+    References are decoded in each piece of text between two tags, so a tag in the middle of one leaves it as it is.
+    Time and memory grow with the page's length, however deep it is."""
     out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    open_ = _Open()
     pieces: list[str] = []
-    link_chars, in_link, silent = 0, 0, 0
+    link_chars = 0
     at, size = 0, len(page)
 
     def flush():
         nonlocal link_chars
         if pieces:
-            text = " ".join(html.unescape("".join(pieces)).split())
+            text = " ".join("".join(pieces).split())
             if text:
-                out.append(Block(tuple(s for _, steps in stack for s in steps), text, link_chars))
+                out.append(Block(*open_.paths[-1], text, link_chars))
             pieces.clear()
         link_chars = 0
 
-    def close(k: int):
-        nonlocal silent, in_link
-        for name, _ in stack[k:]:
-            silent -= name in SILENT
-            in_link -= name == "a"
-        del stack[k:]
-
     while at < size:
         m = _TOKEN.match(page, at)
         at = m.end()
@@ -81,27 +117,22 @@ def blocks_of(page: str) -> list[Block]:
         if name is None:
             token = m[0]
             if token[0] != "<" or token == "<":
-                if not silent:
-                    pieces.append(token)
-                    if in_link:
+                if not open_.silent:
+                    pieces.append(html.unescape(token))
+                    if open_.links:
                         link_chars += len(token)
             continue
         name = name.lower()
         if m[1]:
             if name not in INLINE:
-                flush_after = True
                 flush()
-            else:
-                flush_after = False
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    # an inline end tag never closes the blocks around it
-                    if flush_after or all(n in INLINE for n, _ in stack[k:]):
-                        close(k)
-                    break
+            place = open_.last(name)
+            # an inline end tag never closes the blocks around it
+            if place >= 0 and (name not in INLINE or not open_.blocks or place > open_.blocks[-1]):
+                open_.close(place)
             continue
         if name in VOID:
-            if name in ("br", "wbr", "hr", "img", "input") and not silent:
+            if name in ("br", "wbr", "hr", "img", "input") and not open_.silent:
                 if name == "hr":
                     flush()
                 elif name != "wbr":
@@ -109,63 +140,50 @@ def blocks_of(page: str) -> list[Block]:
             continue
         if name not in INLINE:
             flush()
-            if name in ENDS_PARAGRAPH:
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] == "p":
-                        close(k)
-                        break
-                    if stack[k][0] not in INLINE:
-                        break
+            if name in ENDS_PARAGRAPH and open_.blocks and open_.names[open_.blocks[-1]] == "p":
+                open_.close(open_.blocks[-1])
             if name in SIBLINGS:
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] in SIBLINGS[name]:
-                        close(k)
-                        break
-                    if stack[k][0] in SCOPE[name]:
-                        break
+                place = open_.last(*SIBLINGS[name])
+                if place > open_.last(*SCOPE[name]):
+                    open_.close(place)
         if m[3].endswith("/") and name in ("svg", "path", "circle"):
             continue
         steps = [name] if name not in INLINE else []
         for found in _NAMES.finditer(m[3]):
             steps += [w.lower() for w in re.split(r"[\s_-]+", next(filter(None, found.groups()), "")) if w]
-        stack.append((name, tuple(steps)))
-        silent += name in SILENT
-        in_link += name == "a"
+        open_.push(name, steps)
         if name in RAW:
             end = re.compile(rf"</{name}\s*>", re.I).search(page, at)
             at = end.end() if end else size
-            close(len(stack) - 1)
+            open_.close(len(open_.names) - 1)
     flush()
     return out
 
 
-#: Words of a block that its vector counts; its other measures are of the whole block.
-SEEN = 24
-
-
 @functools.lru_cache(1 << 16)
 def _slot(word: str) -> int:
     return PATH + zlib.crc32(word.encode("utf-8", "replace")) % WORDS
 
 
 @functools.lru_cache(1 << 12)
-def _path_slots(path: tuple[str, ...]) -> list[int]:
-    return list({zlib.crc32(s.encode("utf-8", "replace")) % PATH for s in path})
+def _path_slots(slots: int) -> list[int]:
+    return [k for k in range(PATH) if slots >> k & 1]
 
 
 def vectors(blocks: list[Block]) -> np.ndarray:
+    """One row for each block: the slots of its path, the shares of its words' slots (of all its words), measures."""
     slots, values, measures = [], [], []
     for i, b in enumerate(blocks):
         at, text = i * (PATH + WORDS), b.text
-        path = _path_slots(b.path)
+        path = _path_slots(b.slots)
         slots += [at + k for k in path]
         values += [1.0] * len(path)
-        n, words = len(text), text.count(" ") + 1
-        some = (text if n < 400 else text[:400]).lower().split(" ", SEEN)[:SEEN]
-        slots += [at + _slot(w) for w in some]
-        values += [1 / (1 + len(some))] * len(some)
+        words = text.lower().split(" ")
+        n = len(text)
+        slots += [at + _slot(w) for w in words]
+        values += [1 / (1 + len(words))] * len(words)
         stops = text.count(".") + text.count(",") + text.count(";") + text.count(":") + text.count("!") + text.count("?")
-        measures.append((log1p(n) / 8, min(1.0, b.linked / n), log1p(words) / 6, min(2.0, stops / (1 + words)), i / len(blocks), len(b.path) / 16, 1.0, float(words < 8)))
+        measures.append((log1p(n) / 8, min(1.0, b.linked / n), log1p(len(words)) / 6, min(2.0, stops / (1 + len(words))), i / len(blocks), b.depth / 16, 1.0, float(len(words) < 8)))
     x = np.zeros((len(blocks), WIDTH), np.float32)
     x[:, : PATH + WORDS] = np.bincount(slots, values, len(blocks) * (PATH + WORDS)).reshape(len(blocks), -1) if blocks else 0
     x[:, PATH + WORDS :] = np.array(measures, np.float32).reshape(-1, MEASURES)
@@ -343,6 +361,7 @@ def generated(r: random.Random) -> tuple[str, list[bool]]:
     return f"<html><head><title>{word()}</title><style>p{{}}</style></head><body><script>x='</p>'</script>{page}</body></html>", labels
 
 
+@functools.cache
 def train(pages: int = PAGES, epochs: int = EPOCHS, seed: int = SEED) -> Network:
     """A network trained on generated pages; the same for the same arguments."""
     r, rng = random.Random(seed), np.random.default_rng(seed)

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -419,7 +420,23 @@ def test_html_labeller_on_held_out_layouts(net):
 def test_html_blocks():
     page = "<body><p>a &amp; <b>b<br>c</b>\n d<p>e<script>var x='</p>'</script><!-- no --><ul><li>one<li>two</ul><div>x<p>y</div>z &eacute"
     assert [b.text for b in html_extract.blocks_of(page)] == ["a & b c d", "e", "one", "two", "x", "y", "z é"]
-    assert html_extract.blocks_of("") == [] and html_extract.blocks_of("<div <p") == [] or True
+    assert html_extract.blocks_of("") == []
+    # a tag within a reference leaves it undecoded; what an end tag may close
+    assert [b.text for b in html_extract.blocks_of("<p>&am<b>p;</b> &lt;</p>x</i></p></b><i>y<div>z</i>w</div></i>v")] == ["&amp; <", "x", "y", "zw", "v"]
+    assert [b.text for b in html_extract.blocks_of("<table><tr><td>a<td>b<table><tr><td>c</table>d<tr><td>e</table>f")] == ["a", "b", "c", "d", "e", "f"]
+
+
+def test_html_deep_pages_take_linear_time():
+    began = time.monotonic()
+    for part in ("<div>x", "<b>x", "<i><p>x</b>"):
+        found = html_extract.blocks_of(part * 100_000)
+        assert sum(b.text.count("x") for b in found) == 100_000
+    assert time.monotonic() - began < 30
+
+
+def test_html_words_of_whole_blocks_count():
+    a, b = (html_extract.vectors(html_extract.blocks_of(f"<p>{'w ' * 500}{tail}</p>")) for tail in ("sponsored", "elsewhere"))
+    assert (a != b).any()
 
 
 def test_html_extract(spark):

@@ -15,7 +15,7 @@ from pairwright.functions.similarity import blend, blend_with_numbers, jaccard,
 from pairwright.operators import guards, leads, matching, pages
 from pairwright.plans import twins as S
 from pairwright.sources import captures, urls
-from pairwright.sources.listings import CTE, catalog, offers, table
+from pairwright.sources.listings import CTE, OFFER_ID, catalog, offers, table
 from pairwright.streaming import runs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -122,15 +122,16 @@ def econ_breakdown(spark, sf_dir):
 
 @query(
     f"""{_SOLD}, f as ({_economics_sql()}) select c.c_mktsegment as segment, n.n_name as nation, count(*) as pairs, {S.rounded('sum(f.net_profit)', 2)} as net_profit
-    from f join orders o on o.o_orderkey = f.id join customer c on c.c_custkey = o.o_custkey join nation n on n.n_nationkey = c.c_nationkey group by rollup (c.c_mktsegment, n.n_name)"""
+    from f join (select {OFFER_ID} as id, l_orderkey from lineitem) l on l.id = f.id join orders o on o.o_orderkey = l.l_orderkey join customer c on c.c_custkey = o.o_custkey join nation n on n.n_nationkey = c.c_nationkey group by rollup (c.c_mktsegment, n.n_name)"""
 )
 def margin_rollup(spark, sf_dir):
-    """Beyond the reference: profit by segment and nation with subtotals."""
+    """Beyond the reference: profit of all order lines, as their offers make it, by segment and nation with subtotals."""
     f = econ_full(spark, sf_dir).select("id", "net_profit")
-    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), "o_custkey")
+    lines = table(spark, sf_dir, "lineitem").select(F.expr(OFFER_ID).alias("id"), "l_orderkey")
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
     customer = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_mktsegment").alias("segment"), "c_nationkey")
     nation = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("nation"))
-    joined = f.join(orders, "id").join(customer, "o_custkey").join(nation, "c_nationkey")
+    joined = f.join(lines, "id").join(orders, "l_orderkey").join(customer, "o_custkey").join(nation, "c_nationkey")
     return joined.rollup("segment", "nation").agg(F.count("*").alias("pairs"), M.rounded(F.sum("net_profit"), 2).alias("net_profit"))
 
 

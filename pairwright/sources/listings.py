@@ -38,17 +38,20 @@ select p.p_partkey as id, {_RUN} as run,
 from part p
 """
 
+#: An offer is what one supplier asks for one part: the least price and shipping of all its lines.
+OFFER_ID = "cast(l_partkey as bigint) * 100000000 + l_suppkey"
+
 OFFERS = f"""
-select l.l_orderkey as id, {_RUN} as run, p.p_partkey as part_id,
-  concat({pick(SPAM, 'l.l_orderkey')}, p.p_name, ' ', {_name('p.p_partkey + l.l_suppkey % 3 * 4')}, ' ', {pick(KINDS, 'p.p_size')}, ' ', {_MODEL},
+select l.id, {_RUN} as run, p.p_partkey as part_id,
+  concat({pick(SPAM, 'p.p_partkey + l.l_suppkey')}, p.p_name, ' ', {_name('p.p_partkey + l.l_suppkey % 3 * 4')}, ' ', {pick(KINDS, 'p.p_size')}, ' ', {_MODEL},
     {pick(PACKS, 'l.l_suppkey')}, ' ', cast(p.p_size as varchar(10)), 'oz ', lower(p.p_type)) as title,
-  l.l_extendedprice / l.l_quantity / 20 as price, l.l_tax * 100 as shipping,
+  l.price, l.shipping,
   concat('https://n.example.com/pic/', cast(p.p_partkey % 50 as varchar(10)), '.jpg') as image,
   {pick(CONDITIONS, 'l.l_suppkey')} as condition,
-  case when l.l_orderkey % 11 = 0 then '012345678905' end as gtin
-from (select *, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_tax) as nth from lineitem) l
+  case when l.id % 11 = 0 then '012345678905' end as gtin
+from (select {OFFER_ID} as id, l_partkey, l_suppkey, min(l_extendedprice / l_quantity) / 20 as price, min(l_tax) * 100 as shipping
+  from lineitem group by l_partkey, l_suppkey) l
 join part p on l.l_partkey = p.p_partkey
-where l.nth = 1
 """
 
 #: For DuckDB: the views as common table expressions.
@@ -64,5 +67,5 @@ def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def offers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = OFFERS.replace("from lineitem)", "from {lineitem})").replace("join part p", "join {part} p")
+    text = OFFERS.replace("from lineitem group", "from {lineitem} group").replace("join part p", "join {part} p")
     return spark.sql(text, part=table(spark, sf_dir, "part"), lineitem=table(spark, sf_dir, "lineitem"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairwright.llm import decontaminate, ego_join, html_extract, importance, language_id, line_dedup, mixture, ngram_join, pii, secret_scan, substring_dedup
+from pairwright.llm import decontaminate, ego_join, html_extract, importance, language_id, line_dedup, mixture, ngram_join, pii, ranked_search, secret_scan, substring_dedup
 from pairwright.llm.sql import ORACLES
 
 
@@ -73,6 +73,11 @@ def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_features", "weight", "score", "rank")
 
 
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """item_id, rank, doc_id, score: the ten best documents of each benchmark item."""
+    return ranked_search.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), k=10)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
         op1_ngram_jaccard_join,
@@ -86,6 +91,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op9_embedding_near_dedup,
         op10_pii,
         op12_importance_resampling,
+        op13_ranked_search,
     )
     return {f.__name__: f for f in every}
 

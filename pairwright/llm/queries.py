@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairwright.llm import decontaminate, ego_join, html_extract, importance, language_id, line_dedup, mixture, ngram_join, pii, ranked_search, secret_scan, substring_dedup
+from pairwright.llm import decontaminate, ego_join, html_extract, importance, language_id, line_dedup, mixture, ngram_join, pii, quality, ranked_search, secret_scan, substring_dedup
 from pairwright.llm.sql import ORACLES
 
 
@@ -67,6 +67,11 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.scan(_table(spark, sf_dir, "documents"))
 
 
+def op11_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score, predicted: quality as labels.quality marks it, predicted from a score of 0.3."""
+    return quality.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_features, weight, score, rank: 5% of the documents of 20 words or more, drawn towards the benchmark's texts."""
     done = importance.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
@@ -90,6 +95,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_mixture,
         op9_embedding_near_dedup,
         op10_pii,
+        op11_quality,
         op12_importance_resampling,
         op13_ranked_search,
     )

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pairwright.llm.common import forget, map_arrow, require, save, tune
+from pairwright.llm.common import arrow_lists, forget, lists, map_arrow, require, save, tune
 
 #: Terms of `[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+` once A-Z are lower-cased, in UTF-8.
 TERMS = re.compile(rb"[0-9a-z\x80-\xff]+")
@@ -36,16 +36,6 @@ ITEM_BYTES = 8 << 20
 FIRST, GROWTH = 4, 4
 
 
-def arrow_lists(values: np.ndarray, offsets: np.ndarray) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values))
-
-
-def lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(values, offsets) of a list column without nulls."""
-    off = column.offsets.to_numpy()
-    return column.flatten().to_numpy(zero_copy_only=False), (off - off[0]).astype(np.int64)
-
-
 def ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """The whole numbers from each start on, so many each."""
     to = np.cumsum(counts)

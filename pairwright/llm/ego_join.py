@@ -242,10 +242,8 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.98) -> DataFrame:
                     ["id", "links", "other"],
                 )
 
-    spark = vectors.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 4)
+    tune(vectors.sparkSession)  # batches end by bytes; a pair of runs is about a batch
     found = save(work.mapInArrow(search, "id long, links long, other long"))
-    tune(spark)
     comp = connected_components(found.where("other is not null").select(F.col("id").alias("a"), F.col("other").alias("b")))
     links = found.where("other is null").groupBy("id").agg(F.sum("links").alias("links"))
     known = classes.join(links, "id", "left").join(comp, "id", "left").select("label", "d1", "d2", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id"))

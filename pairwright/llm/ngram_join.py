@@ -385,19 +385,31 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     return grouped(docs, width, percent).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
 
 
+def _once(docs: DataFrame, repeated: DataFrame) -> DataFrame:
+    """docs, where of the rows of each (doc_id, t) of repeated one stays: the one with the smallest hash of all its columns. No other row is touched."""
+    i, t, row = free_name(docs, "id"), free_name(docs, "t"), free_name(docs, "row")
+    repeated = save(repeated.select(F.col("doc_id").alias(i), F.col("t").alias(t)))
+    if repeated.isEmpty():
+        return docs
+    same = (F.col("doc_id").cast("long") == F.col(i)) & (text_digest() == F.col(t))
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    hashed = [F.col(f"`{f.name}`") for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]  # Spark hashes no maps
+    one = docs.join(small(repeated), same).groupBy(i, t).agg(F.min_by(F.struct(*names), F.xxhash64(*hashed)).alias(row)).select(f"{row}.*")
+    return docs.join(small(repeated), same, "left_anti").unionByName(one)
+
+
 def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """docs without the near duplicates: of each component the row with the smallest doc_id stays, and every row that links with nothing.
 
     Rows are told apart by doc_id and text: of several rows with that smallest doc_id in one component one stays, while a
-    row of that doc_id in another component, or in none, is not touched. Rows with equal doc_id and text stay once. Rows
-    with a null doc_id stay, as nothing could name them. Null, empty and blank texts link with nothing and stay. Columns
+    row of that doc_id in another component, or in none, is not touched. Rows with equal doc_id and text stay once (the one
+    with the smallest hash of all columns). Rows with a null doc_id stay, as nothing could name them. Null, empty and blank texts link with nothing and stay. Columns
     keep their names and order, whatever they are. An empty table gives an empty result.
     """
     base = require(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
     found = save(grouped(base, width, percent).where("doc_id is not null"))
     keys = save(found.groupBy("doc_id", "t").agg(F.first("component").alias("component"), F.first("component_id").alias("component_id"), F.count("*").alias("k")))
-    if not keys.where("k > 1").isEmpty():
-        docs = docs.dropDuplicates(["doc_id", "text"])
+    docs = _once(docs, keys.where("k > 1").select("doc_id", "t"))
     linked_rows = keys.where("component is not null")
     # one doc_id several times in a component: the text with the smallest digest stays
     heads = linked_rows.where("doc_id = component_id")

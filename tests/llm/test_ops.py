@@ -117,6 +117,22 @@ def test_keep_one_tells_rows_apart_by_text(spark):
     assert len(kept) == 1
 
 
+def test_keep_one_leaves_null_ids_alone_and_chooses_by_a_fixed_order(spark):
+    a = "a b c d e f"
+    rows = [(None, a, "p"), (None, a, "q"), (1, "x y", "s"), (1, "x y", "r"), (1, "x y", "s"), (2, None, "t"), (2, None, "u")]
+    df = docs(spark, rows, ", note string")
+    got = [sorted(((x.doc_id, x.text, x.note) for x in ngram_join.keep_one(d).collect()), key=repr) for d in (df, df.repartition(3, "note"), df.orderBy(F.desc("note")))]
+    assert got[0] == got[1] == got[2]
+    assert [x for x in got[0] if x[0] is None] == [(None, a, "p"), (None, a, "q")] and [x[:2] for x in got[0] if x[0]] == [(1, "x y"), (2, None)]
+    assert ngram_join.keep_one(df.where("doc_id is null")).count() == 2
+
+
+def test_near_vectors_leaves_the_session_as_it_was(spark):
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    ego_join.near_vectors(spark.createDataFrame([(1, [1.0, 0.0], 1), (2, [1.0, 0.0], 1)], "vec_id long, embedding array<double>, label int")).count()
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
+
+
 def line_brute(rows, least):
     low = bytes.maketrans(common.UPPER.encode(), common.LOWER.encode())
     key = lambda s: s.strip(common.SPACE_CHARS).encode().translate(low)

@@ -1,16 +1,19 @@
 """Search and product pages as rows: result cards by tiers of selectors, what is no organic result, card fields, page counts.
 
-Side a keys cards by a ten-character id, side b by a listing number. All of it is Columns over the nodes of a page.
+Side a keys cards by a ten-character id, side b by a listing number. Pages are read in Arrow batches, once each; what follows are Columns.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import re
+from collections.abc import Iterable
+from urllib.parse import unquote_plus
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from pairwright.sources.nodes import below, closest, css, every, first, let, matched, page_nodes, raw_text, squeezed, text_of, within
+from pairwright.sources.nodes import Page, read_pages
 
 # Selectors, in the order in which they are tried.
 CARDS_A = (
@@ -94,15 +97,17 @@ PAGER_LINKS_B = ("ol.pagination__items a[href]", ".pagination a[href]", ".srp-co
 NEXT_B = '.pagination__next, a[aria-label*="next" i], button.pagination__next, [class*="pagination__next"]'
 NEXT_A = '.s-pagination-next, a[href*="page="][aria-label*="next" i], a[href*="page="][aria-label*="siguiente" i], button[class*="next"], [role="button"][aria-label*="next" i]'
 NEXT_WORDS = r"(?i)next|siguiente|suivant|weiter|prossimo|avançar"
+KEY, KEY_INSIDE, TARGETS = r"/(?:dp|gp/product|gp/aw/d|sspa/click)/([A-Z0-9]{10})(?:[/?&#]|$)", r"/(?:dp|gp/product)/([A-Z0-9]{10})", ("url", "redirect")
 CAPS, ENOUGH, PAGES_MOST = {"a": 240, "b": 600}, 2, 500
 
 
-def _n() -> Column:
-    return F.col("nodes")
+PRODUCT = T.StructType().add("id", "string").add("title", "string").add("price", "double").add("url", "string").add("image", "string").add("is_prime", "boolean").add("rating", "double").add("condition", "string")
+ROW = T.StructType([*PRODUCT.fields, T.StructField("reject", T.StringType())])
 
 
-def _t() -> Column:
-    return F.col("page_text")
+def _found(pattern: str, text: str, group: int = 1) -> str | None:
+    m = re.search(pattern, text)
+    return m[group] if m else None
 
 
 def _blank(c: Column) -> Column:
@@ -112,260 +117,274 @@ def _blank(c: Column) -> Column:
 def product_key(url: Column) -> Column:
     """F8: the ten-character id in a product URL, or in the target that a redirecting URL carries as a parameter; null if there is none."""
     u = F.coalesce(url, F.lit(""))
-    direct = _blank(F.regexp_extract(u, r"/(?:dp|gp/product|gp/aw/d|sspa/click)/([A-Z0-9]{10})(?:[/?&#]|$)", 1))
-    inner = F.coalesce(*[_blank(F.regexp_extract(u, rf"[?&]{name}=([^&#]*)", 1)) for name in ("url", "redirect")])
-    return F.coalesce(direct, _blank(F.regexp_extract(F.try_url_decode(F.replace(inner, F.lit("+"), F.lit(" "))), r"/(?:dp|gp/product)/([A-Z0-9]{10})", 1)))
+    direct = _blank(F.regexp_extract(u, KEY, 1))
+    inner = F.coalesce(*[_blank(F.regexp_extract(u, rf"[?&]{name}=([^&#]*)", 1)) for name in TARGETS])
+    return F.coalesce(direct, _blank(F.regexp_extract(F.try_url_decode(F.replace(inner, F.lit("+"), F.lit(" "))), KEY_INSIDE, 1)))
 
 
-def number_in(text: Column) -> Column:
-    """The first number of a text, null if there is none above 0."""
-    return let(_blank(F.regexp_extract(F.translate(text, ",", ""), r"\d+(?:\.\d{1,2})?", 0)).cast("double"), lambda v: F.when(v > 0, v))
+def _key(url: str) -> str | None:
+    """product_key of a link."""
+    inner = next((v for name in TARGETS if (v := _found(rf"[?&]{name}=([^&#]*)", url))), "")
+    return _found(KEY, url) or _found(KEY_INSIDE, unquote_plus(inner))
 
 
-def dollars(text: Column) -> Column:
-    """The first "$amount" of a text, null if it is not above 0."""
-    return let(F.translate(_blank(F.regexp_extract(text, r"\$\s?([\d,]*\d[\d,]*(?:\.\d+)?)", 1)), ",", "").cast("double"), lambda v: F.when(v > 0, v))
+def _above_0(text: str | None) -> float | None:
+    value = float(text.replace(",", "")) if text else 0.0
+    return value if value > 0 else None
 
 
-def low_price(text: Column) -> Column:
-    """The least dollar price of a text that names no other currency; 'C $15.00' is not a US price."""
+def number_in(text: str) -> float | None:
+    """The first number of a text, None if there is none above 0."""
+    return _above_0(_found(r"\d+(?:\.\d{1,2})?", text.replace(",", ""), 0))
+
 
-    def of(t: Column) -> Column:
-        plain = F.replace(t, F.lit("US $"), F.lit("$"))
-        found = F.transform(F.regexp_extract_all(plain, F.lit(r"(?<![A-Z] )(?<![A-Z])\$\s*(\d[\d,]*(?:\.\d+)?)"), F.lit(1)), lambda x: F.translate(x, ",", "").cast("double"))
-        return F.when(~t.rlike(FOREIGN), F.array_min(F.filter(found, lambda v: v > 0)))
+def dollars(text: str) -> float | None:
+    """The first "$amount" of a text, None if it is not above 0."""
+    return _above_0(_found(r"\$\s?([\d,]*\d[\d,]*(?:\.\d+)?)", text))
 
-    return let(text, of)
+
+def low_price(text: str) -> float | None:
+    """The least dollar price of a text that names no other currency; 'C $15.00' is not a US price."""
+    found = [] if re.search(FOREIGN, text) else re.findall(r"(?<![A-Z] )(?<![A-Z])\$\s*(\d[\d,]*(?:\.\d+)?)", text.replace("US $", "$"))
+    return min((v for x in found if (v := _above_0(x))), default=None)
 
 
-def image_url(img: Column) -> Column:
+def image_url(attrs: dict[str, str]) -> str | None:
     """The first web address among an image's sources: src, lazy sources, the first of a source set, the first of a table of sizes."""
+    lazy = [attrs.get(n) for n in ("data-src", "data-lazy-src", "data-original", "data-a-hires")] + [_found(r"^\s*([^\s,]+)", attrs.get(n, "")) for n in ("srcset", "data-srcset")]
+    lazy.append(_found("https?://[^\"'\\s]+", attrs.get("data-a-dynamic-image", ""), 0))
+    return next((u for u in (attrs.get("src"), next(filter(None, lazy), None)) if u and re.match("https?://", u)), None)
 
-    def of(a: Column) -> Column:
-        lazy = [_blank(a[n]) for n in ("data-src", "data-lazy-src", "data-original", "data-a-hires")] + [_blank(F.regexp_extract(a[n], r"^\s*([^\s,]+)", 1)) for n in ("srcset", "data-srcset")]
-        every_lazy = F.coalesce(*lazy, _blank(F.regexp_extract(a["data-a-dynamic-image"], "https?://[^\"'\\s]+", 0)))
-        return F.get(F.filter(F.array(a["src"], every_lazy), lambda u: F.coalesce(u.rlike("^https?://"), F.lit(False))), F.lit(0))
 
-    return let(img["attrs"], of)
+def _one(page: Page, selectors: Iterable[str], n: int) -> int | None:
+    """The first node at or below n that the first selector with any matches."""
+    return next((m for s in selectors if (m := page.first(s, n, own=True)) is not None), None)
 
 
-def _first_url(selectors: tuple[str, ...], inside: Column, larger: bool) -> Column:
-    url = image_url(F.coalesce(*[first(s, inside, _n()) for s in selectors]))
-    url = F.regexp_replace(url, r"/s-l(?:64|96|140|225)\.", "/s-l300.") if larger else url
-    return let(url, lambda u: F.when(~u.rlike(NO_IMAGE), u))
+def _image(page: Page, selectors: Iterable[str], n: int) -> str | None:
+    m = _one(page, selectors, n)
+    url = None if m is None else image_url(page.attrs[m])
+    return url if url and not re.search(NO_IMAGE, url) else None
 
 
 # ---------------------------------------------------------------- S5
 
 
-def not_organic(n: Column) -> Column:
+def not_organic(page: Page, n: int) -> bool:
     """An advert by its own or inner marks, link or leading word; a carousel by itself or its parent; a recommendation by itself, an ancestor or its id."""
-    nodes = _n()
-    link = css('a[href*="/sspa/click"]')
-    mark = css(AD_INSIDE)
-    advert = F.exists(below(n, nodes), lambda m: mark(m, nodes) | (link(m, nodes) & m["attrs"]["href"].rlike(AD_LINK))) | matched(AD_SELF, n, nodes) | F.substring(text_of(n, _t()), 1, 80).rlike(r"(?i)^sponsored(?:\s+ad)?\b")
-    carousel = matched(CAROUSEL, n, nodes) | F.coalesce(let(F.get(nodes, n["parent"]), lambda p: matched(CAROUSEL, p, nodes)), F.lit(False))
-    return advert | carousel | within(RECOMMENDED, n, nodes) | F.coalesce(n["attrs"]["id"].rlike(RECOMMENDED_ID), F.lit(False))
+    if page.matches(AD_SELF, n) or page.first(AD_INSIDE, n) is not None or re.match(r"(?i)sponsored(?:\s+ad)?\b", page.text(n)):
+        return True
+    if any(re.search(AD_LINK, page.attr(m, "href")) for m in page.every('a[href*="/sspa/click"]', n)):
+        return True
+    if page.matches(CAROUSEL, n) or page.parent[n] >= 0 and page.matches(CAROUSEL, page.parent[n]):
+        return True
+    return page.closest(RECOMMENDED, n) is not None or bool(re.search(RECOMMENDED_ID, page.attr(n, "id")))
 
 
 # ---------------------------------------------------------------- S3, S4
 
 
-def _candidates(selectors: tuple[str, ...], nodes: Column, key: Callable[[Column], Column], keep: Callable[[Column], Column] | None = None) -> Column:
-    """(key, place, node) of the nodes that match, in the order of the selectors and then of the page. One walk: a node's place is its first selector."""
-    tests = [css(s) for s in selectors]
+def _cards(page: Page, tiers: Iterable[Iterable[tuple[str | None, int]]]) -> dict[str, int]:
+    """The first node of each key, in the order of the tiers; a further tier is read only while there are fewer than ENOUGH."""
+    cards: dict[str, int] = {}
+    for k, tier in enumerate(tiers):
+        if k and len(cards) >= ENOUGH:
+            break
+        for key, n in tier:
+            if key:
+                cards.setdefault(key, n)
+    return cards
 
-    def placed(n: Column) -> Column:
-        place = F.when(tests[0](n, nodes), 0)
-        for k, test in enumerate(tests[1:], 1):
-            place = place.when(test(n, nodes), k)
-        return F.struct(place.alias("place"), n["position"].alias("at"), key(n).alias("key"), n.alias("node"))
 
-    found = F.filter(F.transform(nodes, placed), lambda c: c["place"].isNotNull() & c["key"].isNotNull())
-    if keep is not None:
-        found = F.filter(found, lambda c: let(c["node"], keep))
-    return F.array_sort(found, lambda x, y: F.when(x["place"] != y["place"], x["place"] - y["place"]).otherwise(x["at"] - y["at"]))
+def cards_a(page: Page) -> dict[str, int]:
+    """S3: the organic containers of all selector groups, first of each id; with fewer than two, product links' wrappers as well."""
+    scoped = bool(page.hits(SCOPE_KNOWN_A))
+    inside = lambda scope, n: not scoped or page.closest(scope, n) is not None
 
+    def contained():
+        for s in CARDS_A:
+            for n in page.hits(s):
+                key = page.attr(n, "data-asin")
+                if len(key) == 10 and inside(SCOPE_A, n) and page.first(LINKS_A, n) is not None and not not_organic(page, n):
+                    yield key, n
 
-def _once(cards: Column) -> Column:
-    """The first of each key."""
-    return F.filter(cards, lambda c, i: ~F.exists(F.slice(cards, F.lit(1), i), lambda b: b["key"] == c["key"]))
+    def wrapped(s: str):
+        for a in page.hits(s):
+            around = page.closest(WRAPS_A, a)
+            n = a if around is None else around
+            if inside(SCOPE_KNOWN_A, n):
+                yield _key(page.attr(a, "href")), n
 
+    return _cards(page, [contained(), *(wrapped(s) for s in ANCHORS_A)])
 
-def cards_a(pages: DataFrame) -> DataFrame:
-    """S3: pages (nodes, page_text) with cards: the organic containers of all selector groups, first of each id; with fewer than two, product links' wrappers as well."""
-    nodes = _n()
-    anywhere = F.exists(nodes, lambda n: matched(SCOPE_KNOWN_A, n, nodes))
-    pages = pages.withColumn("_scoped", anywhere)
-    own = lambda n: F.when(F.length(n["attrs"]["data-asin"]) == 10, n["attrs"]["data-asin"])
-    linked = lambda n: F.exists(below(n, nodes), lambda m: matched(LINKS_A, m, nodes))
-    keep = lambda n: (~F.col("_scoped") | within(SCOPE_A, n, nodes)) & linked(n) & ~not_organic(n)
-    pages = pages.withColumn("_found", _candidates(CARDS_A, nodes, own, keep)).withColumn("cards", _once(F.col("_found")))
-    for selector in ANCHORS_A:  # only while there are too few
-        anchors = every(selector, nodes, nodes)
-        made = F.transform(anchors, lambda a: F.struct(F.lit(0).alias("place"), a["position"].alias("at"), product_key(a["attrs"]["href"]).alias("key"), F.coalesce(closest(WRAPS_A, a, nodes), a).alias("node")))
-        made = F.filter(made, lambda c: c["key"].isNotNull() & (~F.col("_scoped") | within(SCOPE_KNOWN_A, c["node"], nodes)))
-        pages = pages.withColumn("_found", F.when(F.size("cards") < ENOUGH, F.concat("cards", made)).otherwise(F.col("cards"))).withColumn("cards", _once(F.col("_found")))
-    return pages.drop("_found", "_scoped")
 
-
-def cards_b(pages: DataFrame) -> DataFrame:
+def cards_b(page: Page) -> dict[str, int]:
     """Cards of the new layout; with fewer than two, of the old one as well; and then of any listing link."""
-    nodes = _n()
-    item = lambda c: _blank(F.regexp_extract(F.coalesce(c, F.lit("")), ITEM_B, 1))
-    link = lambda n: first(LINK_B, below(n, nodes), nodes)
-    pages = pages.withColumn("_found", _candidates(CARDS_B, nodes, lambda n: _blank(n["attrs"]["data-listingid"]), lambda n: link(n).isNotNull())).withColumn("cards", _once(F.col("_found")))
-    old = _candidates(OLD_CARDS_B, nodes, lambda n: item(link(n)["attrs"]["href"]))
-    anchors = every(LINK_B, nodes, nodes)
-    any_link = F.transform(anchors, lambda a: F.struct(F.lit(0).alias("place"), a["position"].alias("at"), item(a["attrs"]["href"]).alias("key"), F.coalesce(closest(WRAPS_B, a, nodes), F.get(nodes, a["parent"])).alias("node")))
-    for more in (old, F.filter(any_link, lambda c: c["key"].isNotNull())):
-        pages = pages.withColumn("_found", F.when(F.size("cards") < ENOUGH, F.concat("cards", more)).otherwise(F.col("cards"))).withColumn("cards", _once(F.col("_found")))
-    return pages.drop("_found")
-
-
-# ---------------------------------------------------------------- A23, S6, S7
-
+    item = lambda a: _found(ITEM_B, page.attr(a, "href"))
 
-def _price_inside(n: Column) -> Column:
-    """A23 below one node: hidden prices by selector, whole and fraction, data attributes, the text; nothing that is struck out."""
-    nodes, text = _n(), _t()
+    def around(a: int) -> int:
+        n = page.closest(WRAPS_B, a)
+        return page.parent[a] if n is None else n
 
-    def split(whole: Column) -> Column:
-        digits = _blank(F.regexp_replace(raw_text(whole, text), r"\D", "")).cast("int")
-        fraction = let(closest(".a-price", whole, nodes), lambda b: _blank(F.regexp_replace(raw_text(first(".a-price-fraction", below(b, nodes), nodes), text), r"\D", "")))
-        cents = let(fraction, lambda f: F.coalesce(F.when(F.length(f) == 1, f.cast("int") * 10).otherwise(f.cast("int")), F.lit(0)) / 100.0)
-        return let(digits, lambda d: F.when(d > 0, d + cents))
+    new = ((page.attr(n, "data-listingid"), n) for s in CARDS_B for n in page.hits(s) if page.first(LINK_B, n) is not None)
+    old = ((item(page.first(LINK_B, n)), n) for s in OLD_CARDS_B for n in page.hits(s))
+    return _cards(page, [new, old, ((item(a), around(a)) for a in page.hits(LINK_B))])
 
-    def of(live: Column) -> Column:
-        hidden = [number_in(raw_text(first(s, live, nodes), text)) for s in PRICE_A]
-        marked = let(first(", ".join(f"[{a}]" for a in PRICE_ATTRIBUTES), live, nodes)["attrs"], lambda a: number_in(F.coalesce(*[_blank(a[k]) for k in PRICE_ATTRIBUTES])))
-        struck = every(STRUCK, below(n, nodes), nodes)
-        left = F.aggregate(struck, raw_text(n, text), lambda t, m: let(_blank(raw_text(m, text)), lambda x: F.when(x.isNull(), t).otherwise(F.replace(t, x, F.lit(" ")))))
-        return F.coalesce(*hidden, let(first(".a-price-whole", live, nodes), split), marked, dollars(F.substring(left, 1, 800)))
 
-    return F.when(~within(STRUCK, n, nodes), let(F.filter(below(n, nodes), lambda m: ~within(STRUCK, m, nodes)), of))
+# ---------------------------------------------------------------- A23, S6, S7
 
 
-def card_price(n: Column) -> Column:
+def _price_inside(page: Page, n: int) -> float | None:
+    """A23 below one node: hidden prices by selector, whole and fraction, data attributes, the text; nothing that is struck out."""
+    if page.closest(STRUCK, n) is not None:
+        return None
+    live = lambda s: next((m for m in page.every(s, n) if page.closest(STRUCK, m) is None), None)
+    for s in PRICE_A:
+        if (v := number_in(page.raw(live(s)))) is not None:
+            return v
+    if (whole := live(".a-price-whole")) is not None:
+        digits, box = re.sub(r"\D", "", page.raw(whole)), page.closest(".a-price", whole)
+        cents = "" if box is None else re.sub(r"\D", "", page.raw(page.first(".a-price-fraction", box)))
+        if int(digits or 0):
+            return int(digits) + int(cents.ljust(2, "0") or 0) / 100.0
+    marked = live(", ".join(f"[{a}]" for a in PRICE_ATTRIBUTES))
+    if (v := number_in(page.attr(marked, *PRICE_ATTRIBUTES))) is not None:
+        return v
+    at, end = page.stretch(n)
+    left = []
+    for m in page.every(STRUCK, n):
+        start, stop = page.stretch(m)
+        left.append(page.raw(0)[at : max(at, start)])
+        at = max(at, stop)
+    return dollars(" ".join([*left, page.raw(0)[at:end]]))
+
+
+def card_price(page: Page, n: int) -> float | None:
     """The price inside a card, or else inside the result card around it."""
-    around = lambda: let(F.get(_n(), n["parent"]), lambda p: let(closest(CARD_A, p, _n()), _price_inside))
-    return F.coalesce(_price_inside(n), F.when(~matched(CARD_A, n, _n()), around()))
+    price = _price_inside(page, n)
+    if price is None and not page.matches(CARD_A, n) and (around := page.closest(CARD_A, n)) is not None:
+        price = _price_inside(page, around)
+    return price
 
 
-def _best_title(inside: Column, label: Column) -> Column:
+def best_title(page: Page, n: int, label: str) -> str:
     """The longest text of a title selector or the link's label; of equally long ones a heading's, then the first."""
-    nodes, text = _n(), _t()
-    tests = [css(s) for s in TITLE_A]
-    headed = css("h2, h2 span")
-
-    def candidate(m: Column) -> Column:
-        place = F.when(tests[0](m, nodes), 0)
-        for k, test in enumerate(tests[1:], 1):
-            place = place.when(test(m, nodes), k)
-        return let(place, lambda p: F.when(p.isNotNull(), let(text_of(m, text), lambda t: F.struct(F.when(~t.rlike(NO_TITLE), F.length(t)).alias("size"), headed(m, nodes).alias("headed"), (-p).alias("place"), (-m["position"]).alias("at"), t.alias("title")))))
-
-    named = let(label, lambda t: F.struct(F.length(t).alias("size"), F.lit(False).alias("headed"), F.lit(-99).alias("place"), F.lit(0).alias("at"), t.alias("title")))
-    return F.array_max(F.filter(F.concat(F.transform(inside, candidate), F.array(named)), lambda t: t["size"] > 0))["title"]
-
-
-def _row_a(c: Column) -> Column:
-    nodes, text = _n(), _t()
-    n = c["node"]
-
-    def of(inside: Column) -> Column:
-        return let(F.coalesce(*[first(s, inside, nodes) for s in ANCHOR_A]), lambda anchor: linked(inside, anchor))
-
-    def linked(inside: Column, anchor: Column) -> Column:
-        label = squeezed(F.coalesce(_blank(anchor["attrs"]["aria-label"]), anchor["attrs"]["title"]))
-        prime = F.exists(inside, lambda m: matched(PRIME_A, m, nodes)) | F.substring(raw_text(n, text), 1, 400).rlike(r"(?i)\bprime\b")
-        rating = _blank(F.regexp_extract(raw_text(first("span.a-icon-alt", inside, nodes), text), r"(\d+(?:\.\d+)?)\s*out of 5", 1)).cast("double")
-        return F.struct(
-            F.coalesce(_blank(n["attrs"]["data-asin"]), product_key(anchor["attrs"]["href"])).alias("id"), F.coalesce(_best_title(inside, label), text_of(anchor, text), F.lit("")).alias("title"), card_price(n).alias("price"),
-            _first_url(IMAGE_A, inside, False).alias("image"), prime.alias("is_prime"), rating.alias("rating"),
-            F.when(F.lower(raw_text(n, text)).rlike("used|refurbished|renewed"), "Used").otherwise("New").alias("condition"), anchor.isNull().alias("bare"),
-        )
-
-    return let(F.concat(F.array(n), below(n, nodes)), of)  # a wrapper may be the link itself
-
-
-def _row_b(c: Column) -> Column:
-    nodes, text = _n(), _t()
-    n = c["node"]
-
-    def of(inside: Column) -> Column:
-        return let(F.coalesce(*[first(s, inside, nodes) for s in ANCHOR_B]), lambda anchor: linked(inside, anchor))
-
-    def linked(inside: Column, anchor: Column) -> Column:
-        long = lambda s, least: let(text_of(first(s, inside, nodes), text), lambda t: F.when(F.length(t) > least, t))
-        raw = F.coalesce(*[long(s, 3) for s in TITLE_B], text_of(anchor, text), F.lit(""))
-        title = let(F.regexp_replace(raw, LIST_WORDS_B, ""), lambda t: F.when((F.length(t) < 4) | t.rlike("(?i)^shop on ebay$"), "").otherwise(t))
-        priced = [F.get(F.filter(F.transform(every(s, inside, nodes), lambda m: low_price(raw_text(m, text))), lambda v: v.isNotNull()), F.lit(0)) for s in PRICE_B]
-        condition = F.substring(F.coalesce(*[long(s, 1) for s in CONDITION_B], F.lit("")), 1, 60)
-        picture = _first_url(("picture source[srcset], picture source[data-srcset]",), inside, True)
-        return F.struct(
-            F.coalesce(_blank(n["attrs"]["data-listingid"]), _blank(F.regexp_extract(anchor["attrs"]["href"], ITEM_B, 1))).alias("id"), title.alias("title"), F.coalesce(*priced, low_price(F.substring(raw_text(n, text), 1, 800))).alias("price"),
-            F.coalesce(picture, _first_url(IMAGE_B, inside, True)).alias("image"), F.lit(None).cast("boolean").alias("is_prime"), F.lit(None).cast("double").alias("rating"), condition.alias("condition"), anchor.isNull().alias("bare"),
-        )
-
-    return let(F.concat(F.array(n), below(n, nodes)), of)
+    best, rank = label, (len(label), False)
+    for s in TITLE_A:
+        for m in page.every(s, n, own=True):
+            text = page.text(m)
+            mine = (len(text), page.matches("h2, h2 span", m))
+            if mine > rank and not re.search(NO_TITLE, text):
+                best, rank = text, mine
+    return best
+
+
+def _rating(page: Page, n: int | None) -> float | None:
+    found = _found(r"(\d+(?:\.\d+)?)\s*out of 5", page.raw(n))
+    return float(found) if found else None
+
+
+def _condition(text: str) -> str:
+    return "Used" if re.search("used|refurbished|renewed", text.lower()) else "New"
+
+
+def _row_a(page: Page, n: int) -> dict:
+    anchor = _one(page, ANCHOR_A, n)
+    key = page.attr(n, "data-asin") or _key(page.attr(anchor, "href"))
+    return {
+        "id": key if key and len(key) == 10 else None, "title": best_title(page, n, " ".join(page.attr(anchor, "aria-label", "title").split())) or page.text(anchor), "price": card_price(page, n),
+        "url": f"https://www.amazon.com/dp/{key}" if key else None, "image": _image(page, IMAGE_A, n), "is_prime": page.first(PRIME_A, n) is not None or bool(re.search(r"(?i)\bprime\b", page.raw(n))),
+        "rating": _rating(page, page.first("span.a-icon-alt", n)), "condition": _condition(page.raw(n)), "bare": anchor is None,
+    }
+
+
+def _row_b(page: Page, n: int) -> dict:
+    anchor = _one(page, ANCHOR_B, n)
+    long = lambda selectors, least: next((t for s in selectors if len(t := page.text(page.first(s, n, own=True))) > least), "")
+    title = re.sub(LIST_WORDS_B, "", long(TITLE_B, 3) or page.text(anchor))
+    priced = (v for s in PRICE_B for m in page.every(s, n) if (v := low_price(page.raw(m))) is not None)
+    key = page.attr(n, "data-listingid") or _found(ITEM_B, page.attr(anchor, "href"))
+    image = _image(page, ("picture source[srcset], picture source[data-srcset]",), n) or _image(page, IMAGE_B, n)
+    return {
+        "id": key, "title": "" if re.fullmatch("(?i)shop on ebay", title) else title, "price": next(priced, None) or low_price(page.raw(n)), "url": f"https://www.ebay.com/itm/{key}" if key else None,
+        "image": re.sub(r"/s-l(?:64|96|140|225)\.", "/s-l300.", image) if image else None, "is_prime": None, "rating": None, "condition": long(CONDITION_B, 1)[:60], "bare": anchor is None,
+    }
+
+
+def _rows(page: Page, site: str) -> list[dict]:
+    """The rows of a page, and after them what is none, with the reason."""
+    good: dict[str, dict] = {}
+    rest = []
+    for n in (cards_a if site == "a" else cards_b)(page).values():
+        r = (_row_a if site == "a" else _row_b)(page, n)
+        bare = r.pop("bare")
+        r["reject"] = "no-anchor" if bare else "bad-id" if not r["id"] else "no-title" if len(r["title"]) < 4 else "no-price" if r["price"] is None else None
+        if r["reject"]:
+            rest.append(r)
+        elif len(good) < CAPS[site]:
+            good.setdefault(r["id"], r)
+    return [*good.values(), *rest]
 
 
 def search_pages(pages: DataFrame, site: str, column: str = "html") -> DataFrame:
     """A row a card: the columns of pages but the HTML, position, id, title, price, url, image, is_prime, rating, condition, reject.
 
     reject is null, or why a card is no row: no-anchor, bad-id, no-title, no-price. Of an id the first row stays; a page gives CAPS rows at
-    most (a cap that the reference has). Cards that are no organic results give no row. Null and empty pages give none.
+    most (a limit of the page format). Cards that are no organic results give no row. Null and empty pages give none.
     """
-    names = [F.col(f"`{c}`") for c in pages.columns if c != column]
-    t = page_nodes(pages, column)
-    t = (cards_a if site == "a" else cards_b)(t)
-    head, ident = ("https://www.amazon.com/dp/", lambda r: F.length(r["id"]) == 10) if site == "a" else ("https://www.ebay.com/itm/", lambda r: r["id"].isNotNull())
-
-    def judged(r: Column) -> Column:
-        reject = F.when(r["bare"], "no-anchor").when(~F.coalesce(ident(r), F.lit(False)), "bad-id").when(F.length(r["title"]) < 4, "no-title").when(r["price"].isNull(), "no-price")
-        return F.struct(*[r[k].alias(k) for k in ("id", "title", "price")], F.concat(F.lit(head), r["id"]).alias("url"), *[r[k].alias(k) for k in ("image", "is_prime", "rating", "condition")], reject.alias("reject"))
-
-    t = t.withColumn("_rows", F.transform(F.transform("cards", _row_a if site == "a" else _row_b), judged))
-    t = t.withColumn("_good", F.filter("_rows", lambda r: r["reject"].isNull()))
-    good = F.col("_good")
-    t = t.withColumn("_good", F.slice(F.filter(good, lambda r, i: ~F.exists(F.slice(good, F.lit(1), i), lambda b: b["id"] == r["id"])), 1, CAPS[site]))
-    t = t.withColumn("_rows", F.concat("_good", F.filter("_rows", lambda r: r["reject"].isNotNull())))
+    t = read_pages(pages, column, None, "_rows", T.ArrayType(ROW), lambda page, _: _rows(page, site))
+    names = [F.col(f"`{c}`") for c in t.columns if c != "_rows"]
     return t.select(*names, F.posexplode("_rows").alias("position", "_row")).select(*names, "position", "_row.*")
 
 
+def _product(page: Page, url: str) -> dict | None:
+    key = (_found(r"(?i)^[a-z]+://[^/?#]+[^?#]*?/(?:dp|gp/product)/([A-Z0-9]{10})(?:[/?#]|$)", url) or "").upper()
+    title = page.text(page.first(TITLE_PRODUCT))
+    box = next((m for s in (BOX_PRODUCT, "body") if (m := page.first(s)) is not None), 0)
+    price = next((v for s in PRICE_PRODUCT if (v := number_in(page.raw(page.first(s)))) is not None), None) or dollars(page.raw(box))
+    if not key or len(title) < 4 or price is None:
+        return None
+    top = page.raw(0)[:4000].lower()
+    return {
+        "id": key, "title": title, "price": price, "url": f"https://www.amazon.com/dp/{key}", "image": _image(page, (IMAGE_PRODUCT,), 0), "is_prime": bool(re.search(r"\bprime\b", top) and re.search("free shipping|free delivery", top)),
+        "rating": _rating(page, page.first(RATING_PRODUCT)), "condition": _condition(page.raw(0)[:2000]),
+    }
+
+
 def product_pages(pages: DataFrame, column: str = "html", url: str = "url") -> DataFrame:
     """The columns of pages but the HTML, and a struct `product` (id, title, price, url, image, is_prime, rating, condition); null without id, title or price."""
-    names = [F.col(f"`{c}`") for c in pages.columns if c != column]
-    nodes, text = _n(), _t()
-    t = page_nodes(pages, column)
-    ident = _blank(F.upper(F.regexp_extract(F.coalesce(F.col(f"`{url}`"), F.lit("")), r"(?i)^[a-z]+://[^/?#]+[^?#]*?/(?:dp|gp/product)/([A-Z0-9]{10})(?:[/?#]|$)", 1)))
-    title = text_of(first(TITLE_PRODUCT, nodes, nodes), text)
-    box = F.coalesce(first(BOX_PRODUCT, nodes, nodes), first("body", nodes, nodes), F.get(nodes, F.lit(0)))
-    price = F.coalesce(*[number_in(raw_text(first(s, nodes, nodes), text)) for s in PRICE_PRODUCT], dollars(raw_text(box, text)))
-    top = F.lower(F.substring(text, 1, 4000))
-    prime = top.rlike(r"\bprime\b") & top.rlike("free shipping|free delivery")
-    rating = _blank(F.regexp_extract(raw_text(first(RATING_PRODUCT, nodes, nodes), text), r"(\d+(?:\.\d+)?)\s*out of 5", 1)).cast("double")
-    image = image_url(first(IMAGE_PRODUCT, nodes, nodes))
-    condition = F.when(F.lower(F.substring(text, 1, 2000)).rlike("used|refurbished|renewed"), "Used").otherwise("New")
-    t = t.withColumns({"_id": ident, "_title": title, "_price": price})
-    row = F.struct(
-        F.col("_id").alias("id"), F.col("_title").alias("title"), F.col("_price").alias("price"), F.concat(F.lit("https://www.amazon.com/dp/"), F.col("_id")).alias("url"),
-        let(image, lambda u: F.when(~u.rlike(NO_IMAGE), u)).alias("image"), prime.alias("is_prime"), rating.alias("rating"), condition.alias("condition"),
-    )
-    whole = F.col("_id").isNotNull() & (F.length("_title") >= 4) & F.col("_price").isNotNull()
-    return t.withColumn("product", F.when(F.coalesce(whole, F.lit(False)), row)).select(*names, "product")
+    return read_pages(pages, column, url, "product", PRODUCT, _product)
 
 
 # ---------------------------------------------------------------- S15
 
 
-def _page_numbers(texts: Column) -> Column:
-    n = F.transform(texts, lambda t: _blank(F.regexp_extract(F.trim(t), r"^(\d{1,9})", 1)).cast("int"))
-    return F.filter(n, lambda x: (x > 0) & (x <= PAGES_MOST))
+def _max_a(page: Page, url: str) -> int | None:
+    links = 'a[href*="page="], a[href*="ref=sr_pg_"]'
+    pager = page.first(".s-pagination-container")
+    inside = [] if pager is None else page.every(links, pager)
+    numbers = _numbers(page.text(m) for m in ([] if pager is None else page.every(links + ", span, div, li", pager)))
+    numbers = numbers or _numbers(_found(r"[?&]page=(\d+)", page.attr(m, "href")) for m in page.hits('a[href*="page="]'))
+    onward = bool(page.hits(NEXT_A)) or any(re.search(NEXT_WORDS, f"{page.text(m)} {page.attr(m, 'aria-label')}") for m in inside)
+    if numbers:
+        return max(numbers) + onward
+    own = _found(r"[?&]page=(\d{1,9})", url) if page.hits("[data-asin]") else None
+    return int(own) if own else None
+
+
+def _max_b(page: Page, _: str) -> int | None:
+    items = page.hits(PAGER_B)
+    if numbers := _numbers(page.text(m) for m in items):
+        return max(numbers) + any(re.search("(?i)next", f"{page.text(m)} {page.attr(m, 'aria-label')}") for m in items)
+    for s in PAGER_LINKS_B:
+        if numbers := _numbers(_found(r"(?i)(?:page\s*)?(\d{1,3})", page.attr(m, "aria-label") or page.text(m)) for m in page.hits(s)):
+            return max(numbers) + bool(page.hits(NEXT_B))
+    return None
 
 
-def _or(rest: Column) -> Callable[[Column], Column]:
-    return lambda found: F.when(F.size(found) > 0, found).otherwise(rest)
+def _numbers(texts: Iterable[str | None]) -> list[int]:
+    found = (_found(r"^\s*(\d{1,9})", t or "") for t in texts)
+    return [int(x) for x in found if x and 0 < int(x) <= PAGES_MOST]
 
 
 def max_pages(pages: DataFrame, site: str, column: str = "html", url: str = "url") -> DataFrame:
@@ -373,33 +392,7 @@ def max_pages(pages: DataFrame, site: str, column: str = "html", url: str = "url
 
     Side a: numbers in the pager, or else in links, or else of the page's own URL if it has results. Side b: numbers in the pager, or else in its links.
     """
-    names = [F.col(f"`{c}`") for c in pages.columns if c != column]
-    nodes, text = _n(), _t()
-    t = page_nodes(pages, column)
-    has = lambda s: F.exists(nodes, lambda n: matched(s, n, nodes))
-    texts = lambda s, inside: F.transform(every(s, inside, nodes), lambda m: text_of(m, text))
-    label = lambda m: F.coalesce(m["attrs"]["aria-label"], F.lit(""))
-    if site == "a":
-        inside = below(first(".s-pagination-container", nodes, nodes), nodes)
-        links = 'a[href*="page="], a[href*="ref=sr_pg_"]'
-        t = t.withColumn("_pager", F.coalesce(_page_numbers(texts(links + ", span, div, li", inside)), F.array().cast("array<int>")))
-        onward = F.coalesce(F.exists(every(links, inside, nodes), lambda m: F.concat_ws(" ", text_of(m, text), label(m)).rlike(NEXT_WORDS)), F.lit(False)) | has(NEXT_A)
-        linked = _page_numbers(F.transform(every('a[href*="page="]', nodes, nodes), lambda m: F.regexp_extract(m["attrs"]["href"], r"[?&]page=(\d+)", 1)))
-        numbers = F.when(F.size("_pager") > 0, F.col("_pager")).otherwise(linked)
-        own = F.when(has("[data-asin]"), _blank(F.regexp_extract(F.coalesce(F.col(f"`{url}`"), F.lit("")), r"[?&]page=(\d{1,9})", 1)).cast("int"))
-    else:
-        items = every(PAGER_B, nodes, nodes)
-        t = t.withColumn("_pager", _page_numbers(F.transform(items, lambda m: text_of(m, text))))
-        onward = F.exists(items, lambda m: F.concat_ws(" ", text_of(m, text), label(m)).rlike("(?i)next"))
-        from_label = lambda s: F.filter(F.transform(every(s, nodes, nodes), lambda m: _blank(F.regexp_extract(squeezed(F.coalesce(_blank(label(m)), text_of(m, text))), r"(?i)(?:page\s*)?(\d{1,3})", 1)).cast("int")), lambda x: (x > 0) & (x <= PAGES_MOST))
-        linked = F.array().cast("array<int>")
-        for s in reversed(PAGER_LINKS_B):
-            linked = let(from_label(s), _or(linked))
-        onward = F.when(F.size("_pager") > 0, onward).otherwise(has(NEXT_B))
-        numbers = F.when(F.size("_pager") > 0, F.col("_pager")).otherwise(linked)
-        own = F.lit(None).cast("int")
-    t = t.withColumn("_numbers", numbers).withColumn("_next", onward)
-    return t.withColumn("max_page", F.coalesce(F.array_max("_numbers") + F.col("_next").cast("int"), own)).select(*names, "max_page")
+    return read_pages(pages, column, url, "max_page", T.IntegerType(), _max_a if site == "a" else _max_b)
 
 
 def parse_counts(rows: DataFrame, *keys: str) -> DataFrame:

@@ -1,162 +1,147 @@
-"""Pages as arrays of typed nodes, read by one parse in Arrow batches, and CSS selectors as Columns over them.
+"""Pages as nodes in page order, CSS selectors over them, and the Arrow step that reads pages with them.
 
-A page's nodes stand in page order, so the nodes below one are the slice after it; what a node says is a stretch of the page's text.
-Everything after the parse is a Column expression without a shuffle.
+The nodes below one are the stretch after it, and what it says is a stretch of the page's text; a selector's nodes are found once a page.
 """
 
 from __future__ import annotations
 
+import functools
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DataType
 
 from pairwright.sources.captures import parse
 
-#: Ancestors that a node knows, the nearest ones.
-ANCESTORS = 64
-FIELDS = [
-    ("position", pa.int32()), ("last", pa.int32()), ("parent", pa.int32()), ("path", pa.list_(pa.int32())), ("tag", pa.string()), ("classes", pa.list_(pa.string())),
-    ("attrs", pa.map_(pa.string(), pa.string())), ("start", pa.int32()), ("end", pa.int32()),
-]
-NODES = "array<struct<position: int, last: int, parent: int, path: array<int>, tag: string, classes: array<string>, attrs: map<string, string>, start: int, end: int>>"
-Test = Callable[[Column, Column], Column]
-
-
-def flattened(page: str) -> tuple[list[dict], str]:
-    """The nodes of a page in page order and its text; scripts and styles have none."""
-    nodes: list[dict] = []
-    text: list[str] = []
-    length = 0
-    todo: list = [(parse(page), -1, [])]
-    while todo:
-        x, parent, path = todo.pop()
-        if isinstance(x, str):
-            text.append(x)
-            length += len(x)
-        elif isinstance(x, int):  # all below node x is done
-            nodes[x] |= {"last": len(nodes) - 1, "end": length}
-        else:
-            here = len(nodes)
-            nodes.append({"position": here, "parent": parent, "path": path, "tag": x.name, "classes": x.attrs.get("class", "").split(), "attrs": list(x.attrs.items()), "start": length})
-            below = [*path, here][-ANCESTORS:]
-            quiet = x.name in ("script", "style", "template")
-            todo.append((here, parent, path))
-            todo += [(c, here, below) for c in reversed(x.children) if not (quiet and isinstance(c, str))]
-    return nodes, "".join(text)
-
-
-def page_nodes(pages: DataFrame, column: str = "html") -> DataFrame:
-    """The columns of pages but the HTML, and nodes and page_text. A null page is an empty one."""
-    names = [c for c in pages.columns if c != column]
-    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in pages.schema.fields if f.name != column)
-    kind = pa.list_(pa.struct(FIELDS))
+_STEP = re.compile(r"""([a-z][a-z0-9]*)|\#([\w-]+)|\.([\w-]+)|\[([\w-]+)(?:([*^]?=)"([^"]*)"(\ i)?)?\]|:not\(([^()]+)\)""", re.X)
 
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(batch.num_rows):  # a page a batch: its nodes take many times its bytes
-                nodes, text = flattened(batch.column(len(names))[k].as_py() or "")
-                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(k, 1) for i in range(len(names))), pa.array([nodes], kind), pa.array([text])], [*names, "nodes", "page_text"])
-
-    return pages.select(*[F.col(f"`{n}`") for n in names], F.col(f"`{column}`")).mapInArrow(read, f"{fields}nodes {NODES}, page_text string")
-
-
-# ---------------------------------------------------------------- selectors
 
-_STEP = re.compile(r"""^([a-z][a-z0-9]*)|\#([\w-]+)|\.([\w-]+)|\[([\w-]+)(?:([*^]?=)"([^"]*)"(\ i)?)?\]|:not\(([^()]+)\)""", re.X)
-
-
-def _compound(selector: str) -> Callable[[Column], Column]:
+def _step(selector: str) -> Callable[[dict, str], bool]:
     """One step of a selector: tag, #id, .class, [attr], [attr="v"], [attr*="v" i], [attr^="v"], :not(step)."""
     found = list(_STEP.finditer(selector))
     if "".join(m[0] for m in found) != selector:
         raise ValueError(f"selector not understood: {selector}")
 
-    def test(n: Column) -> Column:
-        out = F.lit(True)
-        for tag, ident, name, attr, op, value, fold, no in (m.groups() for m in found):
-            v = n["attrs"][attr] if attr else None
-            if fold:
-                v, value = F.lower(v), value.lower()
-            if tag:
-                one = n["tag"] == tag
-            elif ident:
-                one = n["attrs"]["id"] == ident
-            elif name:
-                one = F.array_contains(n["classes"], name)
-            elif no:
-                one = ~_compound(no)(n)
+    def one(m: re.Match) -> Callable[[dict, str], bool]:
+        tag, ident, name, attr, op, value, fold, no = m.groups()
+        if tag:
+            return lambda a, t: t == tag
+        if ident:
+            return lambda a, t: a.get("id") == ident
+        if name:
+            return lambda a, t: name in a.get("class", "").split()
+        if no:
+            inner = _step(no)
+            return lambda a, t: not inner(a, t)
+        if not op:
+            return lambda a, t: attr in a
+        value, case = (value.lower(), str.lower) if fold else (value, str)
+        test = {"=": str.__eq__, "*=": str.__contains__, "^=": str.startswith}[op]
+        return lambda a, t: attr in a and test(case(a[attr]), value)
+
+    tests = [one(m) for m in found]
+    return lambda a, t: all(f(a, t) for f in tests)
+
+
+@functools.cache
+def _chains(selectors: str) -> list[list[Callable[[dict, str], bool]]]:
+    """Comma-separated selectors as steps; steps apart by spaces are ancestors."""
+    alone = re.findall(r'(?:\[(?:[^\]"]|"[^"]*")*\]|[^,\[])+', selectors)
+    return [[_step(s) for s in re.findall(r'(?:\[(?:[^\]"]|"[^"]*")*\]|[^\s\[])+', one.strip())] for one in alone]
+
+
+class Page:
+    """The nodes of a page by their place: tag, attrs, parent, last (the last node below), and the page's text without scripts and styles."""
+
+    def __init__(self, html: str | None):
+        self.tag, self.attrs, self.parent, self.last, self._start, self._end = [], [], [], [], [], []
+        self._hits: dict[str, list[int]] = {}
+        text, length = [], 0
+        todo: list = [(parse(html or ""), -1)]
+        while todo:
+            x, parent = todo.pop()
+            if isinstance(x, str):
+                text.append(x)
+                length += len(x)
+            elif isinstance(x, int):  # all below node x is done
+                self.last[x], self._end[x] = len(self.tag) - 1, length
             else:
-                one = v.isNotNull() if not op else v == value if op == "=" else v.contains(value) if op == "*=" else v.startswith(value)
-            out = out & F.coalesce(one, F.lit(False))
-        return out
-
-    return test
-
-
-def css(selectors: str) -> Test:
-    """(node, nodes) -> whether one of the comma-separated selectors matches; steps apart by spaces are ancestors."""
-    every = []
-    for one in re.findall(r'(?:\[(?:[^\]"]|"[^"]*")*\]|[^,\[])+', selectors):
-        every.append([_compound(s) for s in re.findall(r'(?:\[(?:[^\]"]|"[^"]*")*\]|[^\s\[])+', one.strip())])
-
-    def chain(steps: list, n: Column, nodes: Column) -> Column:
-        own = steps[-1](n)
-        return own if len(steps) == 1 else own & F.exists(n["path"], lambda p: let(F.get(nodes, p), lambda m: chain(steps[:-1], m, nodes)))
-
-    def test(n: Column, nodes: Column) -> Column:
-        out = chain(every[0], n, nodes)
-        for steps in every[1:]:
-            out = out | chain(steps, n, nodes)
-        return out
-
-    return test
-
-
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body of a value that is worked out once, however often body names it."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
-def matched(selectors: str, n: Column, nodes: Column) -> Column:
-    return css(selectors)(n, nodes)
-
-
-def below(n: Column, nodes: Column) -> Column:
-    """All nodes below n, in page order."""
-    return F.slice(nodes, n["position"] + 2, n["last"] - n["position"])
-
-
-def every(selectors: str, inside: Column, nodes: Column) -> Column:
-    test = css(selectors)
-    return F.filter(inside, lambda m: test(m, nodes))
-
-
-def first(selectors: str, inside: Column, nodes: Column) -> Column:
-    return F.get(every(selectors, inside, nodes), F.lit(0))
-
-
-def within(selectors: str, n: Column, nodes: Column) -> Column:
-    """Whether n or an ancestor of it matches."""
-    return F.exists(F.concat(n["path"], F.array(n["position"])), lambda p: let(F.get(nodes, p), lambda m: css(selectors)(m, nodes)))
-
-
-def closest(selectors: str, n: Column, nodes: Column) -> Column:
-    """n, if it matches, or the nearest ancestor that does, or null."""
-    test = css(selectors)
-    near = F.filter(F.concat(n["path"], F.array(n["position"])), lambda p: let(F.get(nodes, p), lambda m: test(m, nodes)))
-    return F.get(nodes, F.get(F.reverse(near), F.lit(0)))
-
-
-def raw_text(n: Column, text: Column) -> Column:
-    return let(n, lambda m: F.substring(text, m["start"] + 1, m["end"] - m["start"]))
-
-
-def squeezed(c: Column) -> Column:
-    return F.trim(F.regexp_replace(c, r"\s+", " "))
+                here = len(self.tag)
+                for to, value in ((self.tag, x.name), (self.attrs, x.attrs), (self.parent, parent), (self.last, here), (self._start, length), (self._end, length)):
+                    to.append(value)
+                quiet = x.name in ("script", "style", "template")
+                todo.append((here, parent))
+                todo += [(c, here) for c in reversed(x.children) if not (quiet and isinstance(c, str))]
+        self._text = "".join(text)
+
+    def raw(self, n: int | None) -> str:
+        return "" if n is None else self._text[self._start[n] : self._end[n]]
+
+    def text(self, n: int | None) -> str:
+        return " ".join(self.raw(n).split())
+
+    def stretch(self, n: int) -> tuple[int, int]:
+        """Where the text of a node begins and ends in the page's."""
+        return self._start[n], self._end[n]
+
+    def attr(self, n: int | None, *names: str) -> str:
+        """The first of these attributes that says something, or ''."""
+        return "" if n is None else next((v for k in names if (v := self.attrs[n].get(k))), "")
+
+    def hits(self, selectors: str) -> list[int]:
+        """The nodes that one of the selectors matches, in page order."""
+        if selectors not in self._hits:
+            found: set[int] = set()
+            for steps in _chains(selectors):
+                inside = [True] * len(self.tag)  # below a node that the steps before match
+                for k, step in enumerate(steps):
+                    own = [inside[i] and step(self.attrs[i], self.tag[i]) for i in range(len(self.tag))]
+                    if k < len(steps) - 1:
+                        inside = [False] * len(own)
+                        for i, p in enumerate(self.parent):
+                            inside[i] = p >= 0 and (inside[p] or own[p])
+                found.update(i for i, yes in enumerate(own) if yes)
+            self._hits[selectors] = sorted(found)
+        return self._hits[selectors]
+
+    def every(self, selectors: str, n: int = 0, own: bool = False) -> list[int]:
+        """The hits below a node, or at and below it."""
+        found = self.hits(selectors)
+        return found[bisect_left(found, n if own else n + 1) : bisect_right(found, self.last[n])]
+
+    def first(self, selectors: str, n: int = 0, own: bool = False) -> int | None:
+        return next(iter(self.every(selectors, n, own)), None)
+
+    def matches(self, selectors: str, n: int) -> bool:
+        found = self.hits(selectors)
+        at = bisect_left(found, n)
+        return at < len(found) and found[at] == n
+
+    def closest(self, selectors: str, n: int) -> int | None:
+        """The node, if it matches, or the nearest node around it that does."""
+        while n >= 0:
+            if self.matches(selectors, n):
+                return n
+            n = self.parent[n]
+        return None
+
+
+def read_pages(pages: DataFrame, column: str, url: str | None, name: str, kind: DataType, function: Callable[[Page, str], object]) -> DataFrame:
+    """The columns of pages but the HTML, and what function gives for each page (and its URL), as typed Arrow columns; a null page is an empty one."""
+    names = [c for c in pages.columns if c not in (column, name)]
+    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in pages.schema.fields if f.name in names)
+    arrow = to_arrow_type(kind)
+    used = [*[F.col(f"`{n}`") for n in names], F.col(f"`{column}`").alias("_html"), (F.col(f"`{url}`") if url else F.lit(None).cast("string")).alias("_url")]
 
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            html, urls = batch.column(len(names)), batch.column(len(names) + 1)
+            got = [function(Page(html[k].as_py()), urls[k].as_py() or "") for k in range(batch.num_rows)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(got, arrow)], [*names, name])
 
-def text_of(n: Column, text: Column) -> Column:
-    return squeezed(raw_text(n, text))
+    return pages.select(*used).mapInArrow(read, f"{fields}`{name}` {kind.simpleString()}")

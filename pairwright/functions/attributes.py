@@ -74,15 +74,24 @@ MODEL_BEST = r"^[a-z]{0,4}\d{1,6}[a-z]{0,3}(?:\d{0,3}[a-z]{0,3})?$|^[a-z]\d[a-z0
 MODEL_BEST_NOT = r"^(?:\d{3,}(?:gb|tb|mb)|\d{3,}|\d{1,2}(?:gb|tb|mb|w|v|hz|mm|cm|in|ft|oz|ml|l|kg|lb|k|pk|pack|pcs?|ct|count))$"
 
 # Brands, aliases.
-BRANDS_BOTH = (
-    "apple|samsung|logitech|logitech g|razer|corsair|anker|hyperx|steelseries|jbl|sony|bose|sennheiser|audio-technica|nintendo|microsoft|dell|hp|lenovo|asus|acer|msi|"
-    "gigabyte|evga|sapphire|xfx|crucial|sandisk|kingston|wd|seagate|lacie|stanley|yeti|hydro flask|nike|adidas|puma|new balance|under armour|vans|converse|lego|hasbro|"
-    "funko|dyson|shark|bissell|roborock|irobot|keurig|ninja|kitchenaid|cuisinart|instant pot|breville|philips|panasonic|sharp|tcl|hisense|vizio|lg|roku|amd|intel|nvidia|"
-    "gskill|noctua|be quiet|coolermaster|cooler master|tp-link|netgear|asrock|biostar|mattel|fisher price|canon|nikon|gopro|dji|fitbit|garmin|oxo|lodge|all-clad|calphalon|"
-    "pyrex|corningware|corelle"
-).split("|")
-BRANDS_PAIR = [*BRANDS_BOTH, "samsung evo", "little tykes", "cannon", "withings"]
-BRANDS_BEST = [*BRANDS_BOTH, "western digital", "brita", "cotopaxi", "sonos", "polk", "yamaha", "pioneer"]
+BRANDS_PAIR = (
+    "apple", "samsung", "logitech", "logitech g", "razer", "corsair", "anker", "hyperx", "steelseries", "jbl", "sony", "bose", "sennheiser", "audio-technica",
+    "nintendo", "microsoft", "dell", "hp", "lenovo", "asus", "acer", "msi", "gigabyte", "evga", "msi", "sapphire", "xfx", "crucial", "samsung evo",
+    "sandisk", "kingston", "wd", "seagate", "lacie", "stanley", "yeti", "hydro flask", "nike", "adidas", "puma", "new balance", "under armour", "vans", "converse",
+    "lego", "hasbro", "funko", "dyson", "shark", "bissell", "roborock", "irobot", "keurig", "ninja", "kitchenaid", "cuisinart", "instant pot", "breville",
+    "philips", "panasonic", "sharp", "tcl", "hisense", "vizio", "lg", "roku", "amd", "intel", "nvidia", "gskill", "noctua", "be quiet", "coolermaster", "cooler master",
+    "tp-link", "netgear", "asrock", "biostar", "mattel", "fisher price", "little tykes", "cannon", "canon", "nikon", "gopro", "dji", "fitbit", "garmin", "withings",
+    "oxo", "lodge", "all-clad", "calphalon", "pyrex", "corningware", "corelle",
+)
+BRANDS_BEST = (
+    "apple", "samsung", "logitech", "logitech g", "razer", "corsair", "anker", "hyperx", "steelseries", "jbl", "sony", "bose", "sennheiser", "audio-technica",
+    "nintendo", "microsoft", "dell", "hp", "lenovo", "asus", "acer", "msi", "gigabyte", "evga", "sapphire", "xfx", "crucial", "sandisk", "kingston",
+    "wd", "western digital", "seagate", "lacie", "stanley", "yeti", "hydro flask", "nike", "adidas", "puma", "new balance", "under armour", "vans", "converse",
+    "lego", "hasbro", "funko", "dyson", "shark", "bissell", "roborock", "irobot", "keurig", "ninja", "kitchenaid", "cuisinart", "instant pot", "breville",
+    "philips", "panasonic", "sharp", "tcl", "hisense", "vizio", "lg", "roku", "amd", "intel", "nvidia", "gskill", "noctua", "be quiet", "coolermaster", "cooler master",
+    "tp-link", "netgear", "asrock", "biostar", "mattel", "fisher price", "canon", "nikon", "gopro", "dji", "fitbit", "garmin",
+    "oxo", "lodge", "all-clad", "calphalon", "pyrex", "corningware", "corelle", "brita", "cotopaxi", "jbl", "sonos", "polk", "yamaha", "pioneer",
+)
 ALIASES_PAIR = {"wd": "western digital", "be quiet": "be quiet!", "coolermaster": "cooler master"}
 ALIASES_BEST = {"wd": "western digital", "be quiet": "be quiet!", "coolermaster": "cooler master", "logitech g": "logitech"}
 UNBRANDED = ("unbranded", "generic", "oem", "aftermarket", "no brand", "nobrand")

@@ -133,15 +133,17 @@ class Page:
 
 def read_pages(pages: DataFrame, column: str, url: str | None, name: str, kind: DataType, function: Callable[[Page, str], object]) -> DataFrame:
     """The columns of pages but the HTML, and what function gives for each page (and its URL), as typed Arrow columns; a null page is an empty one."""
-    names = [c for c in pages.columns if c not in (column, name)]
-    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in pages.schema.fields if f.name in names)
+    kept = [f for f in pages.schema.fields if f.name not in (column, name)]
+    n = len(kept)
+    # columns go by their number: any name may stand in pages
+    used = [*[F.col(f"`{f.name}`").alias(f"c{i}") for i, f in enumerate(kept)], F.col(f"`{column}`").alias("html"), (F.col(f"`{url}`") if url else F.lit(None).cast("string")).alias("url")]
+    fields = "".join(f"c{i} {f.dataType.simpleString()}, " for i, f in enumerate(kept))
     arrow = to_arrow_type(kind)
-    used = [*[F.col(f"`{n}`") for n in names], F.col(f"`{column}`").alias("_html"), (F.col(f"`{url}`") if url else F.lit(None).cast("string")).alias("_url")]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            html, urls = batch.column(len(names)), batch.column(len(names) + 1)
+            html, urls = batch.column(n), batch.column(n + 1)
             got = [function(Page(html[k].as_py()), urls[k].as_py() or "") for k in range(batch.num_rows)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(got, arrow)], [*names, name])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(got, arrow)], [*(f"c{i}" for i in range(n)), "found"])
 
-    return pages.select(*used).mapInArrow(read, f"{fields}`{name}` {kind.simpleString()}")
+    return pages.select(*used).mapInArrow(read, f"{fields}found {kind.simpleString()}").toDF(*(f.name for f in kept), name)

@@ -126,3 +126,11 @@ def test_product_key(spark):
     ]
     df = spark.createDataFrame(data, "u string, k string")
     assert [r["got"] for r in df.withColumn("got", D.product_key(df["u"])).collect()] == [k for _, k in data]
+
+
+def test_other_columns_and_empty_tables(spark):
+    df = spark.createDataFrame([(1, "x", main(card_a(A1), card_a(A2)), "u")], "`a.b` int, nodes string, html string, _url string")
+    got = D.search_pages(df, "a").orderBy("position").collect()
+    assert [(r["a.b"], r["nodes"], r["_url"], r["id"]) for r in got] == [(1, "x", "u", A1), (1, "x", "u", A2)]
+    none = spark.createDataFrame([], "url string, html string")
+    assert D.search_pages(none, "b").count() == D.product_pages(none).count() == D.max_pages(none, "a").count() == 0

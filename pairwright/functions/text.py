@@ -2,25 +2,32 @@
 
 from __future__ import annotations
 
+import re
+import sys
 import unicodedata
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def _accents() -> tuple[str, str]:
-    """Characters whose compatibility decomposition is one ASCII character and combining marks, and those characters."""
-    source, target = [], []
-    for code in (*range(0xA0, 0x250), *range(0x1E00, 0x1F00), *range(0xFF01, 0xFF5F)):
-        parts = unicodedata.normalize("NFKD", chr(code).lower())
-        base = [c for c in parts if not unicodedata.combining(c)]
-        if len(base) == 1 and base[0] < "\x80" and base[0].isalnum() and chr(code).lower() == chr(code):
-            source.append(chr(code))
-            target.append(base[0])
-    return "".join(source), "".join(target)
+def _decomposed() -> tuple[dict[str, str], dict[str, str]]:
+    """What becomes of a character above ASCII by compatibility decomposition without combining marks (U+0300 to U+036F),
+    if a letter or digit of ASCII is left or nothing at all: those that become one character or none, and all others, where
+    what is neither letter nor digit is a space. The rest are separators."""
+    short, long = {}, {}
+    for code in (*range(0x80, 0xD800), *range(0xE000, sys.maxunicode + 1)):
+        c = chr(code)
+        if c.lower() == c:
+            left = re.sub("[^a-z0-9]+", " ", re.sub("[\u0300-\u036f]", "", unicodedata.normalize("NFKD", c)))
+            if left != " ":
+                (short if len(left) < 2 else long)[c] = left
+    return short, long
 
 
-ACCENTED, PLAIN = _accents()
+_SHORT, MANY = _decomposed()
+#: For translate(): characters that have no place in PLAIN go.
+ACCENTED, PLAIN = "".join(sorted(_SHORT, key=lambda c: (not _SHORT[c], c))), "".join(_SHORT[c] for c in sorted(_SHORT) if _SHORT[c])
+ANY_OF_MANY = "[" + "".join(MANY) + "]"
 
 # Words that say nothing about a product.
 STOPWORDS = (
@@ -110,8 +117,12 @@ def squeeze(c: Column) -> Column:
 
 
 def fold_key(c: Column) -> Column:
-    """Lower case, accents off, all but a-z and 0-9 to one space; null gives ''."""
-    return F.trim(F.regexp_replace(F.translate(F.lower(text_or_empty(c)), ACCENTED, PLAIN), "[^a-z0-9]+", " "))
+    """Lower case, compatibility forms spelt out, accents off, all but a-z and 0-9 to one space; null gives ''."""
+    t = F.translate(F.lower(text_or_empty(c)), ACCENTED, PLAIN)
+    spelt = F.str_to_map(F.lit("|".join(f"{c}:{w}" for c, w in MANY.items())), F.lit(r"\|"), F.lit(":"))
+    # ligatures, fractions and the like become several characters; few texts have any
+    many = F.array_join(F.transform(F.regexp_extract_all(t, F.lit("(?s)."), F.lit(0)), lambda x: F.coalesce(F.try_element_at(spelt, x), x)), "")
+    return F.trim(F.regexp_replace(F.when(t.rlike(ANY_OF_MANY), many).otherwise(t), "[^a-z0-9]+", " "))
 
 
 def fold_lower(c: Column) -> Column:
@@ -135,11 +146,13 @@ def title_tokens(c: Column) -> Column:
     return F.array_except(long_tokens(plain), F.array(*[F.lit(w) for w in STOPWORDS]))
 
 
-def strip_spam(c: Column) -> Column:
-    """T5: marketing phrases, separators, dates, condition and filler words out, in this order. The result is in lower case."""
-    t = F.concat(F.lit(" "), F.replace(F.lower(text_or_empty(c)), F.lit(" "), F.lit(" ")), F.lit(" "))
+def strip_spam(c: Column, keep_case: bool = False) -> Column:
+    """T5: marketing phrases, separators, dates, condition and filler words out, in this order. The result is in lower
+    case, unless keep_case leaves the letters as they are."""
+    t = text_or_empty(c) if keep_case else F.lower(text_or_empty(c))
+    t = F.concat(F.lit(" "), F.replace(t, F.lit(" "), F.lit(" ")), F.lit(" "))
     for p in (*SPAM_PHRASES, *AFTER_PHRASES):
-        t = F.regexp_replace(t, p, " ")
+        t = F.regexp_replace(t, f"(?i){p}" if keep_case else p, " ")
     return squeeze(t)
 
 

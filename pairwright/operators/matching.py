@@ -13,7 +13,7 @@ from pairwright.functions import compare as C
 from pairwright.functions.money import rounded
 from pairwright.functions.similarity import blend, blend_with_numbers, jaccard, long_numbers, weighted_mean
 from pairwright.functions.text import LOW_VALUE_WORDS, fold_key, long_tokens, strip_attr_noise, strip_spam, title_tokens
-from pairwright.session import dropped, persisted
+from pairwright.session import dropped, persisted, spread, together
 
 
 def with_tokens(listings: DataFrame) -> DataFrame:
@@ -54,25 +54,59 @@ def candidate_pairs_by_token(a: DataFrame, b: DataFrame, floor: float = config.L
     return pairs.withColumn("sim", sim).where(F.col("sim") >= floor).select("a_id", "b_id", "sim")
 
 
-def greedy_pairs(edges: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
-    """One-to-one assignment within groups, the same as taking edges in `order` while both ends are free.
+def _taken_now(left: DataFrame, keys: Sequence[str], order: Sequence[Column], best: Sequence[str]) -> DataFrame:
+    """The edges that one round takes: those that are first at both ends, and whole blocks of ties.
 
-    Repeats until no edge is left: edges that are the first of both their ends are taken, and edges at taken ends go. Each
-    round is two windows and two anti-joins and leaves a table; an edge that is first overall is always taken, so rounds
-    end, after as many as the longest chain of edges that wait for one another has.
+    An edge is top at an end if none there is better by `best`. A block is a set of a and a set of b where every a has
+    just these b as its top edges and the other way round; in the order of ids the sequential choice joins the first a
+    with the first b, the second with the second, and so on, so all of that is taken at once.
     """
-    left, taken = persisted(edges), None
-    while True:
-        wa, wb = (Window.partitionBy(*keys, c).orderBy(*order) for c in ("a_id", "b_id"))
-        best = left.withColumn("_ra", F.row_number().over(wa)).withColumn("_rb", F.row_number().over(wb))
-        now = persisted(best.where("_ra = 1 and _rb = 1").drop("_ra", "_rb"))
-        if now.isEmpty():
-            return edges.limit(0) if taken is None else taken
-        # one table holds all that was taken, so that plans do not grow with the rounds
-        before, taken = taken, now if taken is None else persisted(taken.unionByName(now))
+    by = {s: Window.partitionBy(*keys, f"{s}_id") for s in "ab"}
+    rows = left
+    for s in "ab":
+        rows = rows.withColumn(f"_first_{s}", F.row_number().over(by[s].orderBy(*order)) == 1)
+        if best:
+            rows = rows.withColumn(f"_top_{s}", F.rank().over(by[s].orderBy(*[F.desc(c) for c in best])) == 1).withColumn(f"_n_{s}", F.count_if(f"_top_{s}").over(by[s]))
+    firsts = F.col("_first_a") & F.col("_first_b")
+    if not best:
+        return rows.where(firsts).select(*left.columns)
+    top = rows.where("_top_a and _top_b")
+    # what each end's top edges lead to: how many, digests of them, and whether all of them are top at the other end too
+    for s, o in (("b", "a"), ("a", "b")):
+        there, digest = F.count(F.lit(1)).over(by[s]), lambda *salt, s=s, o=o: F.bit_xor(F.xxhash64(F.col(f"{o}_id"), *salt)).over(by[s])
+        leads_to = F.struct(there.alias("n"), digest().alias("x"), digest(F.lit(1)).alias("y"))
+        top = top.withColumns({f"_all_{s}": there == F.col(f"_n_{s}"), f"_set_{s}": leads_to, f"_place_{o}": F.row_number().over(by[s].orderBy(f"{o}_id"))})
+    for s, o in (("a", "b"), ("b", "a")):
+        alike = F.min(f"_set_{o}").over(by[s]) == F.max(f"_set_{o}").over(by[s])
+        top = top.withColumn(f"_block_{s}", alike & F.min(f"_all_{o}").over(by[s]) & F.col(f"_all_{s}"))
+    block = F.col("_block_a") & F.col("_block_b") & (F.col("_place_a") == F.col("_place_b"))
+    return top.where(block | firsts).select(*left.columns)
+
+
+def greedy_rounds(edges: DataFrame, keys: Sequence[str], order: Sequence[Column], best: Sequence[str] = ()) -> tuple[DataFrame, int]:
+    """greedy_pairs and the number of rounds that it took."""
+    left, rounds = persisted(edges), []
+    while not left.isEmpty():
+        now = persisted(_taken_now(left, keys, order, best))
+        rounds.append(now)
         gone = left
         left = persisted(left.join(now.select(*keys, "a_id"), [*keys, "a_id"], "left_anti").join(now.select(*keys, "b_id"), [*keys, "b_id"], "left_anti"))
-        dropped(gone, *([before, now] if before is not None else []))
+        dropped(gone)
+    dropped(left)
+    return (together(rounds) if rounds else edges.limit(0)), len(rounds)
+
+
+def greedy_pairs(edges: DataFrame, keys: Sequence[str], order: Sequence[Column], best: Sequence[str] = ()) -> DataFrame:
+    """One-to-one assignment within groups, the same as taking edges in `order` while both ends are free.
+
+    best: if order is that of some columns, larger values first, then a_id, b_id, the names of these columns; equal edges
+    are then settled in blocks. Without it many equal edges take a round each.
+
+    Repeats until no edge is left: edges that are the first of both their ends are taken, blocks of ties as a whole, and
+    edges at taken ends go. An edge that is first overall is always taken, so rounds end, after as many as the longest
+    chain of edges that wait for one another has. A round writes what it takes and what is left, nothing of earlier ones.
+    """
+    return greedy_rounds(edges, keys, order, best)[0]
 
 
 def capped(pairs: DataFrame, keys: Sequence[str], order: Sequence[Column], most: int = config.MAX_PAIRS) -> DataFrame:
@@ -84,7 +118,7 @@ def capped(pairs: DataFrame, keys: Sequence[str], order: Sequence[Column], most:
 def score_features(listings: DataFrame, side: str) -> DataFrame:
     """What best_of_n compares of a listing: columns of the cleaned title."""
     clean = strip_spam(F.col("title"))
-    t = listings.withColumn("clean", clean)
+    t = spread(listings, "id").withColumn("clean", clean)
     text = F.col("clean") if side == "left" else F.left(F.col("clean"), F.lit(config.TITLE_PREFIX))
     return (
         t.withColumn("short_tokens", long_tokens(fold_key(text)))
@@ -164,20 +198,106 @@ def outcome(scored: DataFrame, keys: Sequence[str]) -> DataFrame:
     return scored.where("place = 1").select(*keys, "l_id", "r_id", "score", "accepted", code.alias("error_code"))
 
 
-def pair_features(listings: DataFrame, strict: bool = False) -> DataFrame:
-    """A20 and the token sets that score_pairs compares."""
-    return listings.withColumn("attrs", A.attributes(F.col("title"), F.col("condition"))).withColumn("words", long_tokens(strip_attr_noise(F.col("title")))).withColumn("tokens", title_tokens(F.col("title"))).withColumn("numbers", long_numbers(F.col("title")))
+def pair_features(listings: DataFrame) -> DataFrame:
+    """A20, the token sets and the image's file name that score_pairs compares: all that rests on one listing alone."""
+    t = spread(listings, "id").withColumn("image_name", C.image_name(F.col("image")))
+    return t.withColumn("attrs", A.attributes(F.col("title"), F.col("condition"))).withColumn("words", long_tokens(strip_attr_noise(F.col("title")))).withColumn("tokens", title_tokens(F.col("title"))).withColumn("numbers", long_numbers(F.col("title")))
+
+
+def _ordered_tokens(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """Both sides' keys, id, tokens, numbers and words: the tokens with the group's rarest first."""
+    sides = [t.select(*keys, "id", F.explode("tokens").alias("w")) for t in (a, b)]
+    often = sides[0].unionByName(sides[1]).groupBy(*keys, "w").agg(F.count(F.lit(1)).alias("n"))
+    out = []
+    for t, side in zip((a, b), sides, strict=True):
+        words = side.join(often, [*keys, "w"]).groupBy(*keys, "id").agg(F.array_sort(F.collect_list(F.struct("n", "w"))).alias("words"))
+        out.append(persisted(t.select(*keys, "id", "tokens", "numbers").join(words.withColumn("words", F.col("words.w")), [*keys, "id"])))
+    return out[0], out[1]
+
+
+def _quick(pairs: DataFrame) -> DataFrame:
+    return pairs.withColumn("quick", blend_with_numbers(F.col("a_tokens"), F.col("b_tokens"), F.col("a_numbers"), F.col("b_numbers")))
+
+
+def _best_by_quick(pairs: DataFrame, keys: Sequence[str], most: int) -> DataFrame:
+    """Each group's first pairs; tasks keep `most` rows of a group ahead of the shuffle."""
+    return capped(pairs, keys, [F.desc("quick"), F.col("a_id"), F.col("b_id")], most)
+
+
+def reachable_pairs(a: DataFrame, b: DataFrame, keys: Sequence[str], floor: float, most: int) -> DataFrame:
+    """The pairs that can be among each group's `most` best: keys, a_id, b_id, with what _quick compares, and least.
+
+    Pairs that share one of their two rarest tokens give a bound: the similarity of the `most`-th of them (floor, if
+    they are fewer). A title of n tokens reaches it only with a least number k of shared ones, as the other side has its
+    group's least length at best and every number counts; so a pair meets on one of the first n - k + 1 tokens of both,
+    rarest first. Titles whose numbers alone can reach the bound meet on these too.
+    """
+    a, b = _ordered_tokens(a, b, keys)
+    x, y = _sided(a, "a", keys), _sided(b, "b", keys)
+
+    def met(p: DataFrame, q: DataFrame, how: Sequence[str]) -> DataFrame:
+        ids = p.join(q, [*keys, *how]).select(*keys, "a_id", "b_id").distinct()
+        return ids.join(x.drop("a_words"), [*keys, "a_id"]).join(y.drop("b_words"), [*keys, "b_id"])
+
+    rare = lambda t, s: t.select(*keys, f"{s}_id", F.explode(F.slice(f"{s}_words", 1, 2)).alias("w"))
+    seeds = _best_by_quick(_quick(met(rare(x, "a"), rare(y, "b"), ["w"])).where(F.col("quick") >= floor).select(*keys, "a_id", "b_id", "quick"), keys, most)
+    least = seeds.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("quick").alias("q")).select(*keys, F.when(F.col("n") >= most, F.col("q")).alias("least"))
+    sizes = lambda t, s: t.groupBy(*keys).agg(F.min(F.size("tokens")).alias(f"{s}_shortest"), F.max(F.size("numbers")).alias(f"{s}_figures"))
+    bound = sizes(a, "a").join(sizes(b, "b"), list(keys)).join(least, list(keys), "left").withColumn("least", F.coalesce("least", F.lit(floor)))
+    bound = persisted(bound)  # a row for each group
+
+    def prefix(t: DataFrame, s: str, other: str, numbers: Column) -> DataFrame:
+        n, m = F.size(f"{s}_tokens"), F.col(f"{other}_shortest")
+
+        def most_with(k: Column) -> Column:
+            length = F.greatest(k, m)
+            return F.lit(0.5) * (k / (n + length - k)) + F.lit(0.5) * (k / F.least(n, length)) + F.lit(0.08) * numbers
+
+        # a little below, for the rounding of the bound
+        enough = F.filter(F.sequence(F.lit(0), n), lambda k: most_with(k) >= F.col("least") - 1e-9)
+        t = t.join(bound, list(keys)).withColumn("_k", F.get(enough, F.lit(0))).where("_k is not null")
+        return t.withColumn("_first", F.slice(f"{s}_words", F.lit(1), n - F.greatest(F.col("_k"), F.lit(1)) + 1))
+
+    p, q = prefix(x, "a", "b", F.size("a_numbers")), prefix(y, "b", "a", F.col("a_figures"))
+    first = lambda t, s: t.select(*keys, f"{s}_id", F.explode("_first").alias("w"))
+    figures = lambda t, s: t.where("_k = 0").select(*keys, f"{s}_id", F.explode(F.array_distinct(f"{s}_numbers")).alias("w"))
+    # a number is marked, as it is no token
+    mark = lambda t: t.withColumn("w", F.concat(F.lit("#"), "w"))
+    return met(first(p, "a").unionByName(mark(figures(p, "a"))), first(q, "b").unionByName(mark(figures(q, "b"))), ["w"]).join(bound.select(*keys, "least"), list(keys))
+
+
+def best_candidates(a: DataFrame, b: DataFrame, keys: Sequence[str], floor: float = config.PAIR_FLOOR, most: int = config.MAX_CANDIDATES) -> DataFrame:
+    """The `most` pairs of each group with the largest quick similarity of at least floor (above 0), equal ones by
+    a_id, b_id: keys, a_id, b_id, quick. The same as sorting all pairs of a group, most of which are never made.
+
+    a, b: keys, id, tokens, numbers (with_tokens); ids are unique within a group.
+    """
+    pairs = _quick(reachable_pairs(a, b, keys, floor, most))
+    return _best_by_quick(pairs.where(F.col("quick") >= F.greatest(F.lit(floor), F.col("least"))).select(*keys, "a_id", "b_id", "quick"), keys, most)
+
+
+def _held(semantic: Callable[[Column, Column], Column] | None, a: Column, b: Column) -> Column:
+    """What a provider says, held to 0 to 1; Jaccard where there is no provider or it says nothing."""
+    if semantic is None:
+        return jaccard(a, b)
+    v = semantic(a, b).cast("double")
+    odd = F.isnan(v) | (F.abs(v) == float("inf"))
+    return F.when(v.isNull(), jaccard(a, b)).when(odd, 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), v)))
 
 
-def score_pairs(a: DataFrame, b: DataFrame, keys: Sequence[str], floor: float = config.PAIR_FLOOR, semantic: Callable[[Column, Column], Column] | None = None, strict: bool = False) -> DataFrame:
+def score_pairs(a: DataFrame, b: DataFrame, keys: Sequence[str], floor: float = config.PAIR_FLOOR, semantic: Callable[[Column, Column], Column] | None = None, strict: bool = False, most: int | None = None) -> DataFrame:
     """Pairs by quick similarity, scored by seven signals, with conflicts and confidence.
 
-    a, b: keys, id, image and the columns of pair_features. semantic: a similarity of the two word arrays in place of
-    Jaccard (T13).
+    a, b: keys, id and the columns of pair_features. semantic: a similarity of the two word arrays in place of Jaccard
+    (T13), held to 0 to 1; NaN and infinite values count as 0, and where it gives null, Jaccard stands in. most: only so
+    many pairs of each group, the best by quick similarity (config.MAX_CANDIDATES).
     """
-    cols = ["id", "image", "attrs", "words", "tokens", "numbers"]
+    cols = ["id", "image_name", "attrs", "words", "tokens", "numbers"]
     x, y = (_sided(t.select(*keys, *cols), s, keys) for t, s in ((a, "a"), (b, "b")))
-    pairs = x.join(y, list(keys)).withColumn("quick", blend_with_numbers(F.col("a_tokens"), F.col("b_tokens"), F.col("a_numbers"), F.col("b_numbers"))).where(F.col("quick") >= floor)
+    if most is None:
+        pairs = _quick(x.join(y, list(keys))).where(F.col("quick") >= floor)
+    else:
+        pairs = best_candidates(a, b, keys, floor, most).join(x, [*keys, "a_id"]).join(y, [*keys, "b_id"])
     aa, bb = F.col("a_attrs"), F.col("b_attrs")
     # the offer's category counts unless it is general
     category = F.when(bb["category"] != "general", bb["category"]).otherwise(aa["category"])
@@ -185,7 +305,7 @@ def score_pairs(a: DataFrame, b: DataFrame, keys: Sequence[str], floor: float =
     same = C.attribute_matches(bb, aa, strict)
     pairs = pairs.withColumns({f"same_{k}": v for k, v in same.items()})
     same = {k: F.col(f"same_{k}") for k in same}
-    pairs = pairs.withColumn("conflicts", C.conflicts(same, F.col("category")))
+    pairs = pairs.withColumn("conflicts", C.conflicts(same, F.col("category"), aa, bb))
     relevant = {k: C.counts_for(k, F.col("category")) for k in same}
     known = sum((F.when(relevant[k] & same[k].isNotNull(), 1).otherwise(0) for k in same), F.lit(0))
     hits = sum((F.when(relevant[k] & F.coalesce(same[k], F.lit(False)), 1).otherwise(0) for k in same), F.lit(0))
@@ -193,8 +313,8 @@ def score_pairs(a: DataFrame, b: DataFrame, keys: Sequence[str], floor: float =
     signals = {
         "identifier": C.same_models(bb["models"], aa["models"]).cast("double"),
         "attributes": F.when(known > 0, hits / F.nullif(known, F.lit(0))),
-        "semantic": (semantic or jaccard)(F.col("b_words"), F.col("a_words")),
-        "image": C.image_score(F.col("b_image"), F.col("a_image")),
+        "semantic": _held(semantic, F.col("b_words"), F.col("a_words")),
+        "image": C.image_score(F.col("b_image_name"), F.col("a_image_name")),
         "brand": C.same_text(aa["brand"], bb["brand"]).cast("double"),
         "category": F.when(aa["category"] == bb["category"], 1.0).when(general, F.lit(None).cast("double")).otherwise(0.0),
         "title": F.col("quick"),
@@ -244,11 +364,13 @@ def score_pairs(a: DataFrame, b: DataFrame, keys: Sequence[str], floor: float =
     )
 
 
-def confident_pairs(scored: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """One-to-one by confidence band, then score; rejected pairs never."""
+def confident_pairs(scored: DataFrame, keys: Sequence[str], most: int | None = None) -> DataFrame:
+    """One-to-one by confidence band, then score; rejected pairs never. most: of each group so many, the best (config.MAX_PAIRS)."""
     rank = F.when(F.col("confidence") == "HIGH_CONFIDENCE", 3).when(F.col("confidence") == "POSSIBLE_MATCH", 2).otherwise(1)
     edges = scored.where("confidence <> 'REJECTED'").select(*keys, "a_id", "b_id", "score", "confidence", rank.alias("rank"))
-    return greedy_pairs(edges, keys, [F.desc("rank"), F.desc("score"), F.col("a_id"), F.col("b_id")])
+    order = [F.desc("rank"), F.desc("score"), F.col("a_id"), F.col("b_id")]
+    pairs = greedy_pairs(edges, keys, order, ["rank", "score"])
+    return pairs if most is None else capped(pairs, keys, order, most)
 
 
 def with_overrides(candidates: DataFrame, overrides: DataFrame, keys: Sequence[str]) -> DataFrame:

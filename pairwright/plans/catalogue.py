@@ -257,7 +257,7 @@ def _edges(spark, sf_dir) -> DataFrame:
 
 def _pairs(spark, sf_dir) -> DataFrame:
     order = [F.desc("sim"), F.col("a_id"), F.col("b_id")]
-    return matching.capped(matching.greedy_pairs(_edges(spark, sf_dir), ["run"], order), ["run"], order)
+    return matching.capped(matching.greedy_pairs(_edges(spark, sf_dir), ["run"], order, ["sim"]), ["run"], order)
 
 
 @query(f"{_TOKENED} select run, a_id, b_id, sim from edges")
@@ -324,6 +324,26 @@ def sort_by_product(spark, sf_dir):
     return _ranked(df, "key", False).drop("key")
 
 
+_SORT_KEYS = ("product", "offer", "buy", "sell", "fees", "profit", "margin")
+_SORTABLE = _PRICED.replace("c.title as product", "lower(c.title) as product, lower(o.title) as offer").replace(
+    "from pairs p", ", case when c.price > 0 then (o.price - o.price * 0.13::double - c.price) / c.price * 100 else 0 end as margin from pairs p"
+)
+
+
+@query(_GREEDY + _SORTABLE + " union all ".join(f" select '{k}' as sort_key, a_id, b_id, row_number() over (order by {k}{'' if k in ('product', 'offer') else ' desc'}, a_id, b_id) as place from priced" for k in _SORT_KEYS))
+def sort_keys(spark, sf_dir):
+    """O1: the table by each of its seven keys: texts without regard to case, ascending; numbers, the largest first."""
+    from pairwright.session import persisted
+
+    titles = offers(spark, sf_dir).select(F.col("id").alias("b_id"), F.lower("title").alias("offer"))
+    margin = F.when(F.col("buy") > 0, F.col("profit") / F.col("buy") * 100).otherwise(0.0)
+    df, out = persisted(_priced(spark, sf_dir).join(titles, "b_id").withColumn("margin", margin).withColumn("product", F.lower("product"))), None
+    for k in _SORT_KEYS:
+        part = _ranked(df.select("a_id", "b_id", k), k, k not in ("product", "offer")).select(F.lit(k).alias("sort_key"), "a_id", "b_id", "place")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 @query(f"{_GREEDY} select run, a_id, b_id, case when sim >= 0.90 then 'high' when sim >= 0.75 then 'possible' else 'low' end as label, floor(sim * 100 + 0.5) < 75 as review from pairs")
 def confidence_bands(spark, sf_dir):
     """F12, F13."""
@@ -420,10 +440,42 @@ def pair_score(spark, sf_dir):
 
 @query()
 def conflicts(spark, sf_dir):
-    """Known differences of each pair."""
+    """Known differences of each pair, with both sides' values."""
     return _pair_scores(spark, sf_dir).select("a_id", "b_id", F.inline("conflicts"))
 
 
+_NEAR = f"{_TOKENED.replace(f'where sim >= {config.LEGACY_FLOOR}', f'where sim >= {config.PAIR_FLOOR}')}"
+
+
+def _near(most: int) -> str:
+    return f"{_NEAR} select run, a_id, b_id, sim as quick, r as place from (select *, row_number() over (partition by run order by sim desc, a_id, b_id) as r from edges) where r <= {most}"
+
+
+def _best_candidates(spark, sf_dir, most: int) -> DataFrame:
+    found = matching.best_candidates(matching.with_tokens(catalog(spark, sf_dir)), matching.with_tokens(offers(spark, sf_dir)), ["run"], most=most)
+    return found.withColumn("place", F.row_number().over(Window.partitionBy("run").orderBy(F.desc("quick"), "a_id", "b_id")).cast("long"))
+
+
+@query(_near(config.MAX_CANDIDATES))
+def pair_candidates(spark, sf_dir):
+    """The 400 pairs of each run that the pair matcher looks at."""
+    return _best_candidates(spark, sf_dir, config.MAX_CANDIDATES)
+
+
+@query(_near(25))
+def pair_candidates_25(spark, sf_dir):
+    """J2 with a shorter list, which most runs exceed."""
+    return _best_candidates(spark, sf_dir, 25)
+
+
+@query()
+def pair_best(spark, sf_dir):
+    """J2, J4 with their limits: one-to-one pairs among each run's 400 candidates, 80 at most."""
+    c, o = (matching.pair_features(t) for t in (catalog(spark, sf_dir), offers(spark, sf_dir)))
+    scored = matching.score_pairs(c, o, ["run"], most=config.MAX_CANDIDATES)
+    return matching.confident_pairs(scored, ["run"], config.MAX_PAIRS).select("run", "a_id", "b_id", "score", "confidence")
+
+
 @query()
 def greedy_confident(spark, sf_dir):
     """J4."""

@@ -35,7 +35,10 @@ def squeeze(s: str) -> str:
 
 
 def fold_key(s: str) -> str:
-    return f"trim({rr(f'translate({low(s)}, {q(T.ACCENTED)}, {q(T.PLAIN)})', '[^a-z0-9]+')})"
+    t = f"translate({low(s)}, {q(T.ACCENTED)}, {q(T.PLAIN)})"
+    spelt = "MAP {" + ", ".join(f"{q(c)}: {q(w)}" for c, w in T.MANY.items()) + "}"
+    many = f"array_to_string(list_transform(string_split({t}, ''), lambda ch: coalesce({spelt}[ch], ch)), '')"
+    return f"trim({rr(f'(case when {rl(t, T.ANY_OF_MANY)} then {many} else {t} end)', '[^a-z0-9]+')})"
 
 
 def fold_variation(s: str) -> str:

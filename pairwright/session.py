@@ -42,3 +42,14 @@ def dropped(*tables: DataFrame) -> None:
             spark = df.sparkSession
             where = spark._jvm.org.apache.hadoop.fs.Path(path)
             where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def together(tables: list[DataFrame]) -> DataFrame:
+    """One scan over several tables of persisted(), all of one schema."""
+    return tables[0].sparkSession.read.schema(tables[0].schema).parquet(*[t._pairwright_path for t in tables])
+
+
+def spread(df: DataFrame, *by: str) -> DataFrame:
+    """df in spark.sql.shuffle.partitions parts by some columns, ahead of work that costs far more than its rows' bytes say
+    (dozens of patterns a title): adaptive execution would put small rows together in a few tasks."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)

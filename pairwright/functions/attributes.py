@@ -221,19 +221,19 @@ def models(title: Column, best_of_n: bool = False) -> Column:
 
 def brand(title: Column, best_of_n: bool = False) -> Column:
     """A11, and A12 with best_of_n (unbranded titles give null): the longest known brand, by its main name."""
-    t = fold_key(title)
     names, aliases = (BRANDS_BEST, ALIASES_BEST) if best_of_n else (BRANDS_PAIR, ALIASES_PAIR)
     keys = sorted({b.replace("-", " ") for b in names}, key=lambda b: (-len(b), b))
-    padded = F.concat(F.lit(" "), t, F.lit(" "))
     # an alternation finds the leftmost brand; the longest one is wanted, so each length is tried in turn
     by_length: dict[int, list[str]] = {}
     for k in keys:
         by_length.setdefault(len(k), []).append(k)
-    name = F.coalesce(*[found(padded, f" ({'|'.join(ks)}) ") for _, ks in sorted(by_length.items(), reverse=True)])
-    name = let(name, lambda n: F.coalesce(mapped(n, aliases), n))
-    if best_of_n:
-        name = F.when(~t.rlike("|".join(UNBRANDED)), name)
-    return name
+
+    def of(padded: Column) -> Column:
+        name = F.coalesce(*[found(padded, f" ({'|'.join(ks)}) ") for _, ks in sorted(by_length.items(), reverse=True)])
+        name = let(name, lambda n: F.coalesce(mapped(n, aliases), n))
+        return F.when(~F.trim(padded).rlike("|".join(UNBRANDED)), name) if best_of_n else name
+
+    return let(F.concat(F.lit(" "), fold_key(title), F.lit(" ")), of)
 
 
 def condition(title: Column) -> Column:
@@ -276,15 +276,18 @@ def capacity_ml(title: Column) -> Column:
 
 def category(title: Column, strict: bool = False) -> Column:
     """A18. strict leaves out the keywords that the reference's folding makes unreachable."""
-    t = F.concat(F.lit(" "), fold_key(title), F.lit(" "))
-    out = F.when(F.lit(False), F.lit(None).cast("string"))
-    for name, words in CATEGORIES:
-        use = [w for w in words if not (strict and w in STRICT_DEAD_KEYWORDS)]
-        hit = F.lit(False)
-        for w in use:
-            hit = hit | t.contains(w)
-        out = out.when(hit, F.lit(name))
-    return out.otherwise("general")
+
+    def of(t: Column) -> Column:
+        out = F.when(F.lit(False), F.lit(None).cast("string"))
+        for name, words in CATEGORIES:
+            use = [w for w in words if not (strict and w in STRICT_DEAD_KEYWORDS)]
+            hit = F.lit(False)
+            for w in use:
+                hit = hit | t.contains(w)
+            out = out.when(hit, F.lit(name))
+        return out.otherwise("general")
+
+    return let(F.concat(F.lit(" "), fold_key(title), F.lit(" ")), of)
 
 
 def variation_tokens(title: Column, *specifics: Column) -> Column:

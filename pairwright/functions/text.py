@@ -118,11 +118,11 @@ def squeeze(c: Column) -> Column:
 
 def fold_key(c: Column) -> Column:
     """Lower case, compatibility forms spelt out, accents off, all but a-z and 0-9 to one space; null gives ''."""
-    t = F.translate(F.lower(text_or_empty(c)), ACCENTED, PLAIN)
     spelt = F.str_to_map(F.lit("|".join(f"{c}:{w}" for c, w in MANY.items())), F.lit(r"\|"), F.lit(":"))
     # ligatures, fractions and the like become several characters; few texts have any
-    many = F.array_join(F.transform(F.regexp_extract_all(t, F.lit("(?s)."), F.lit(0)), lambda x: F.coalesce(F.try_element_at(spelt, x), x)), "")
-    return F.trim(F.regexp_replace(F.when(t.rlike(ANY_OF_MANY), many).otherwise(t), "[^a-z0-9]+", " "))
+    many = lambda t: F.array_join(F.transform(F.regexp_extract_all(t, F.lit("(?s)."), F.lit(0)), lambda x: F.coalesce(F.try_element_at(spelt, x), x)), "")
+    t = let(F.lower(text_or_empty(c)), lambda s: F.when(s.rlike(r"[^\x00-\x7f]"), let(F.translate(s, ACCENTED, PLAIN), lambda t: F.when(t.rlike(ANY_OF_MANY), many(t)).otherwise(t))).otherwise(s))
+    return F.trim(F.regexp_replace(t, "[^a-z0-9]+", " "))
 
 
 def fold_lower(c: Column) -> Column:

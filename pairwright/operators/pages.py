@@ -22,10 +22,12 @@ def first_of_each(rows: DataFrame, keys: Sequence[str], order: Sequence[Column])
     return rows.withColumn("_key", listing_key()).withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r", "_key")
 
 
-def merged(rows: DataFrame, keys: Sequence[str], order: Sequence[Column], most: int = MERGE_CAP) -> DataFrame:
-    """First of each id, rows without id all kept, the first `most` of a group (a cap that the reference has)."""
+def merged(rows: DataFrame, keys: Sequence[str], order: Sequence[Column], most: int | None = MERGE_CAP) -> DataFrame:
+    """First of each id, rows without id all kept, the first `most` of a group (a cap that the reference has; None: all)."""
     w, g = Window.partitionBy(*keys, "id").orderBy(*order), Window.partitionBy(*keys).orderBy(*order)
     kept = rows.withColumn("_r", F.row_number().over(w)).where(F.col("id").isNull() | (F.col("_r") == 1))
+    if most is None:
+        return kept.drop("_r")
     return kept.withColumn("position", F.row_number().over(g)).where(F.col("position") <= most).drop("_r")
 
 

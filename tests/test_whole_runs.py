@@ -1,8 +1,10 @@
 """Queries and operators on runs with far more listings than the test tables have."""
 
+import random
+
 import pytest
 
-from pairwright.operators import pages
+from pairwright.operators import matching, pages
 from pairwright.plans import catalogue
 
 
@@ -26,3 +28,53 @@ def test_merge_counts_all_rows_of_a_run(spark, tables):
     assert row["with_id"] == 1100 and row["rows"] == 1100 + sum((100000000 + s) % 10 == 0 for s in range(1100))
     capped = pages.merged(spark.range(1100).selectExpr("1 as g", "id", "id as page"), ["g"], ["page"])
     assert capped.count() == pages.MERGE_CAP
+
+
+def _sides(spark, seed):
+    """Titles of few words, many of them alike, on both sides of three runs."""
+    r = random.Random(seed)
+    title = lambda: " ".join(r.choice(["red", "blue", "mouse", "x100", "m2000", "cup", "777"]) for _ in range(r.randint(1, 4)))
+    rows = [[(g, i, title()) for i, g in enumerate(r.choices(range(3), k=n))] for n in (60, 140)]
+    return [spark.createDataFrame(x, "g int, id int, title string") for x in rows]
+
+
+@pytest.mark.parametrize("most", [1, 4, 80])
+def test_first_pairs_equal_the_capped_walk_over_all_pairs(spark, most):
+    a, b = _sides(spark, most)
+    edges = matching.candidate_pairs(matching.with_tokens(a), matching.with_tokens(b), ["g"]).collect()
+    want, used = [], {}
+    for e in sorted(edges, key=lambda e: (-e.sim, e.a_id, e.b_id)):
+        ends = used.setdefault(e.g, [])
+        if len(ends) < most and not any(e.a_id == x or e.b_id == y for x, y in ends):
+            ends.append((e.a_id, e.b_id))
+            want.append((e.g, e.a_id, e.b_id, e.sim))
+    got = [tuple(x) for x in matching.first_pairs(a, b, ["g"], most=most).collect()]
+    assert got and sorted(got) == sorted(want)
+
+
+@pytest.mark.parametrize("most", [3, 50])
+def test_candidates_of_equal_titles_equal_the_full_sort(spark, most):
+    a, b = _sides(spark, 7)
+    edges = sorted(matching.candidate_pairs(matching.with_tokens(a), matching.with_tokens(b), ["g"], 0.22).collect(), key=lambda e: (-e.sim, e.a_id, e.b_id))
+    want = [tuple(e) for g in range(3) for e in [e for e in edges if e.g == g][:most]]
+    assert sorted(tuple(x) for x in matching.best_candidates(a, b, ["g"], 0.22, most).collect()) == sorted(want)
+
+
+def test_classes_hold_the_least_ids_only(spark):
+    rows = spark.range(500).selectExpr("1 as g", "id", "if(id % 2 = 0, 'red mouse', 'the mouse red') as title")
+    [c] = matching.listing_classes(rows, ["g"], 5).collect()
+    assert (c.id, c.ids) == (0, [0, 1, 2, 3, 4])
+
+
+def test_alternatives_of_equal_titles_follow_each_price(spark):
+    left = spark.createDataFrame([(1, i, "green power bank stand", None, p) for i, p in enumerate((5.0, 50.0, 500.0))], "g int, id int, title string, gtin string, total_price double")
+    right = spark.createDataFrame([(1, i, "power bank blue case", p, None, i) for i, p in enumerate((490.0, 48.0, 4.0))], "g int, id int, title string, price double, quantity int, rank int")
+    scored = matching.best_of_n(left, right, ["g"])
+    rows = scored.orderBy("l_id", "place").collect()
+    # a title's candidates are found once; what is cheaper and near in price comes first for each listing
+    assert [r.r_id for r in rows if r.place == 1] == [2, 1, 0] and [r.matched for r in rows if r.place == 1] == [r.accepted for r in rows if r.place == 1]
+    shown = matching.alternatives(scored, ["g"]).collect()
+    for i in range(3):
+        rest = [r.r_id for r in rows if r.l_id == i and r.score >= 0.35 and not r.accepted]
+        assert [r.r_id for r in sorted(shown, key=lambda r: r.shown) if r.l_id == i] == rest
+        assert sorted(r.shown for r in shown if r.l_id == i) == list(range(1, len(rest) + 1))

@@ -3,9 +3,13 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
+from pairwright.functions import text as T
 from pairwright.operators import matching, pages
 from pairwright.plans import catalogue
+from pairwright.session import once_each
+from pairwright.sources import listings
 
 
 @pytest.fixture
@@ -78,3 +82,24 @@ def test_alternatives_of_equal_titles_follow_each_price(spark):
         rest = [r.r_id for r in rows if r.l_id == i and r.score >= 0.35 and not r.accepted]
         assert [r.r_id for r in sorted(shown, key=lambda r: r.shown) if r.l_id == i] == rest
         assert sorted(r.shown for r in shown if r.l_id == i) == list(range(1, len(rest) + 1))
+
+
+def test_equal_titles_are_read_once(spark, tables):
+    """A thousand suppliers of one part have 24 titles."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(t):
+        def add(batches):
+            for b in batches:
+                seen.add(b.num_rows)
+                yield b
+
+        return t.mapInArrow(add, t.schema).withColumn("cleaned", T.strip_spam(F.col("title")))
+
+    sf_dir = tables([(1, "red cup")], 1000)
+    o = listings.offers(spark, sf_dir).select("id", "title")
+    rows = once_each(o, ["title"], counted).collect()
+    assert len(rows) == 1000 and seen.value <= 24 and len({r.title for r in rows}) == seen.value
+    assert sorted(map(tuple, catalogue.strip_spam(spark, sf_dir).collect())) == sorted((r.id, r.cleaned) for r in rows)
+    nulls = spark.createDataFrame([(1, None), (2, None), (3, "a")], "id int, title string")
+    assert {r.id: r.cleaned for r in once_each(nulls, ["title"], lambda t: t.withColumn("cleaned", F.coalesce("title", F.lit("-")))).collect()} == {1: "-", 2: "-", 3: "a"}

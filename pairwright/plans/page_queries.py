@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairwright.plans.catalogue import query
+from pairwright.session import spread
 from pairwright.sources import discovery
 from pairwright.sources.listings import table
 
@@ -29,14 +30,15 @@ _CARD_B = """concat(case when p_partkey div 20 % 2 = 0 then concat('<li class="s
 '<img alt="" src="data:image/gif" data-src="https://i.ebayimg.com/', k, '/s-l140.jpg"></li>')"""
 
 
-def _part(spark, sf_dir: str, digits: str) -> DataFrame:
-    p = table(spark, sf_dir, "part")
+def _part(spark, sf_dir: str, digits: str, size: int = 1) -> DataFrame:
+    """Parts and the page of `size` parts that each stands on; those of a page are in one task, ahead of rendering and reading."""
+    p = spread(table(spark, sf_dir, "part").withColumn("page", F.floor(F.col("p_partkey") / size)), "page")
     return p.withColumns({"k": F.expr(digits), "t": F.expr("concat('Item ', p_name)"), "p": F.expr("cast(cast(p_retailprice as decimal(12, 2)) as string)")})
 
 
-def _results(parts: DataFrame, card: str, size: int) -> DataFrame:
-    """Pages of `size` cards in the order of p_partkey."""
-    cards = parts.select(F.floor(F.col("p_partkey") / size).alias("page"), F.struct("p_partkey", F.expr(card).alias("card")).alias("c"))
+def _results(parts: DataFrame, card: str) -> DataFrame:
+    """Pages of cards in the order of p_partkey."""
+    cards = parts.select("page", F.struct("p_partkey", F.expr(card).alias("card")).alias("c"))
     joined = F.array_join(F.transform(F.array_sort(F.collect_list("c")), lambda c: c["card"]), "")
     return cards.groupBy("page").agg(F.concat(F.lit('<html><body><div class="s-main-slot"><ul>'), joined, F.lit("</ul></div></body></html>")).alias("html"))
 
@@ -48,7 +50,7 @@ _PARTS = "select *, 'Item ' || p_name as t, cast(cast(p_retailprice as decimal(1
     case when p_partkey % 8 = 5 then 'no-price' end as reject from ({_PARTS}) where p_partkey % 8 not in (2, 7)""")
 def search_cards_a(spark, sf_dir):
     """Parts as result pages of side a, read back: six layouts of cards, two kinds of adverts that go, five forms of prices."""
-    pages = _results(_part(spark, sf_dir, "concat('B', lpad(cast(p_partkey as string), 9, '0'))"), _CARD_A, 20)
+    pages = _results(_part(spark, sf_dir, "concat('B', lpad(cast(p_partkey as string), 9, '0'))", 20), _CARD_A)
     return discovery.search_pages(pages, "a").select("page", "id", "title", "price", "is_prime", "rating", "reject")
 
 
@@ -56,7 +58,7 @@ def search_cards_a(spark, sf_dir):
     'https://i.ebayimg.com/' || cast(100000000000 + p_partkey as varchar) || '/s-l300.jpg' as image, case p_partkey % 5 when 0 then 'no-title' when 2 then 'no-price' end as reject from ({_PARTS})""")
 def search_cards_b(spark, sf_dir):
     """Parts as result pages of side b, every other page in the old layout."""
-    pages = _results(_part(spark, sf_dir, "cast(100000000000 + p_partkey as string)"), _CARD_B, 20)
+    pages = _results(_part(spark, sf_dir, "cast(100000000000 + p_partkey as string)", 20), _CARD_B)
     return discovery.search_pages(pages, "b").select("page", "id", "title", "price", "image", "reject")
 
 
@@ -92,7 +94,7 @@ when 3 then '<div data-asin="B000000001"></div>' when 4 then concat('<a href="/s
 @query("""select o_orderkey, cast(case o_orderkey % 6 when 0 then n when 1 then n + 1 when 2 then n when 3 then 77 when 4 then n + 1 end as integer) as max_page from (select o_orderkey, 3 + o_custkey % 40 as n from orders)""")
 def page_counts(spark, sf_dir):
     """A page of six forms for each order."""
-    o = table(spark, sf_dir, "orders").select("o_orderkey", F.expr("3 + o_custkey % 40").alias("n"))
+    o = spread(table(spark, sf_dir, "orders").select("o_orderkey", F.expr("3 + o_custkey % 40").alias("n")), "o_orderkey")
     pages = o.select("o_orderkey", F.lit("https://www.amazon.com/s?k=x&page=77").alias("url"), F.expr(_PAGER).alias("html"))
     return discovery.max_pages(pages, "a").select("o_orderkey", "max_page")
 

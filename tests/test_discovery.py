@@ -2,7 +2,9 @@
 
 import pytest
 
+from pairwright.plans import page_queries
 from pairwright.sources import discovery as D
+from pairwright.sources.nodes import Page
 
 
 def card_a(ident, title="Steel Water Bottle 32oz Insulated", price='<span class="a-price"><span class="a-offscreen">$12.50</span></span>', attrs='data-component-type="s-search-result"', more=""):
@@ -134,3 +136,29 @@ def test_other_columns_and_empty_tables(spark):
     assert [(r["a.b"], r["nodes"], r["_url"], r["id"]) for r in got] == [(1, "x", "u", A1), (1, "x", "u", A2)]
     none = spark.createDataFrame([], "url string, html string")
     assert D.search_pages(none, "b").count() == D.product_pages(none).count() == D.max_pages(none, "a").count() == 0
+
+
+def test_pages_of_a_small_file_are_read_in_many_tasks(spark, tmp_path):
+    rows = [(k, "red cup", 7, 100.0 + k) for k in range(400)]
+    spark.createDataFrame(rows, "p_partkey long, p_name string, p_size int, p_retailprice double").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    for q in (page_queries.product_pages, page_queries.search_cards_a, page_queries.search_cards_b):
+        assert q(spark, str(tmp_path)).rdd.getNumPartitions() == 4
+    assert page_queries.card_counts(spark, str(tmp_path)).agg({"scanned": "sum"}).first()[0] == 300
+
+
+def test_selectors_look_only_at_nodes_with_their_mark():
+    html = "<ul id='l'>" + "<li class='a b'><i x='1'><b class='a'></b></i></li>" * 50 + "</ul><p class='c'><b class='a' id='z'></b></p>"
+    page = Page(html)
+    looked = []
+
+    class Seen(list):
+        def __getitem__(self, n):
+            looked.append(n)
+            return list.__getitem__(self, n)
+
+    page.attrs = Seen(page.attrs)
+    assert len(page.hits(".a")) == 101 and len(page.hits("li .a")) == 50 and len(page.hits("ul li i[x='1'] b, p".replace("'", '"'))) == 51
+    looked.clear()
+    [z] = page.hits("p .a#z")
+    assert page.tag[z] == "b" and len(looked) == 2 and page.hits("ul p b") == [] and page.hits("div") == []
+    assert [page.tag[n] for n in page.hits(":not(li)")].count("li") == 0 and len(page.hits(":not(li)")) == len(page.tag) - 50

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MERGE_CAP = 1000
+#: Rows that one task sorts, about, where the number of rows is known.
+TASK_ROWS = 500_000
 
 
 def listing_key() -> Column:
@@ -16,16 +18,25 @@ def listing_key() -> Column:
     return F.coalesce(blank("id"), blank("url"), F.concat_ws(":", F.coalesce("site", F.lit("")), F.coalesce("title", F.lit("")), F.coalesce(F.col("price").cast("string"), F.lit(""))))
 
 
-def first_of_each(rows: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
-    """Of the rows with one listing key, the first by `order`, within groups by keys."""
+def dealt(rows: DataFrame, known: int | None, *by: str) -> DataFrame:
+    """rows by some columns over as many tasks as `known` rows take, so that no task's memory grows with the table; as they are if it is None."""
+    if known is None:
+        return rows
+    return rows.repartition(max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-known // TASK_ROWS)), *by)
+
+
+def first_of_each(rows: DataFrame, keys: Sequence[str], order: Sequence[Column], known: int | None = None) -> DataFrame:
+    """Of the rows with one listing key, the first by `order`, within groups by keys. known: about how many rows there are, if that is known."""
     w = Window.partitionBy(*keys, "_key").orderBy(*order)
-    return rows.withColumn("_key", listing_key()).withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r", "_key")
+    rows = dealt(rows.withColumn("_key", listing_key()), known, *keys, "_key")
+    return rows.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r", "_key")
 
 
-def merged(rows: DataFrame, keys: Sequence[str], order: Sequence[Column], most: int | None = MERGE_CAP) -> DataFrame:
-    """First of each id, rows without id all kept, the first `most` of a group (a cap that the reference has; None: all)."""
+def merged(rows: DataFrame, keys: Sequence[str], order: Sequence[Column], most: int | None = MERGE_CAP, known: int | None = None) -> DataFrame:
+    """First of each id, rows without id all kept, the first `most` of a group (a cap that the reference has; None: all).
+    known: about how many rows there are, if that is known."""
     w, g = Window.partitionBy(*keys, "id").orderBy(*order), Window.partitionBy(*keys).orderBy(*order)
-    kept = rows.withColumn("_r", F.row_number().over(w)).where(F.col("id").isNull() | (F.col("_r") == 1))
+    kept = dealt(rows, known, *keys, "id").withColumn("_r", F.row_number().over(w)).where(F.col("id").isNull() | (F.col("_r") == 1))
     if most is None:
         return kept.drop("_r")
     return kept.withColumn("position", F.row_number().over(g)).where(F.col("position") <= most).drop("_r")

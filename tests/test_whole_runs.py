@@ -1,6 +1,9 @@
 """Queries and operators on runs with far more listings than the test tables have."""
 
+import math
 import random
+import re
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -103,3 +106,29 @@ def test_equal_titles_are_read_once(spark, tables):
     assert sorted(map(tuple, catalogue.strip_spam(spark, sf_dir).collect())) == sorted((r.id, r.cleaned) for r in rows)
     nulls = spark.createDataFrame([(1, None), (2, None), (3, "a")], "id int, title string")
     assert {r.id: r.cleaned for r in once_each(nulls, ["title"], lambda t: t.withColumn("cleaned", F.coalesce("title", F.lit("-")))).collect()} == {1: "-", 2: "-", 3: "a"}
+
+
+def test_tokens_of_equal_titles_are_listed_once(spark, tables, monkeypatch):
+    folder = tables([(8400 * k, "red cup") for k in range(1, 4)], 240)
+    made = []
+    monkeypatch.setattr(catalogue, "spread", lambda df, *by: made.append((df.count(), df.columns)) or df)
+    got = {r["id"]: r["picked"] for r in catalogue.token_rank_top6(spark, folder).collect()}
+    titles = {r["id"]: r["title"] for r in listings.offers(spark, folder).collect()}
+    assert len(got) == 720 and got.keys() == titles.keys() and made[0][0] == len(set(titles.values())) < 400
+    # against each title by itself: the six best words, by length, digits and the offers that hold them
+    words = {i: list(dict.fromkeys(w for w in t.split() if len(w) > 1)) for i, t in titles.items()}
+    often = Counter(w for ws in words.values() for w in ws)
+    value = lambda w: (0.5 + 0.5 * min(len(w), 12) / 12 + (0.25 if re.search("[0-9]", w) else 0)) * (0.6 + 0.4 / math.log(1 + often[w]))
+    for i, t in titles.items():
+        best = sorted(words[i], key=lambda w: (-round(value(w), 9), t.split().index(w)))[:6]
+        assert got[i] == " ".join(sorted(best, key=t.split().index))
+
+
+def test_tasks_that_sort_pages_grow_with_the_rows(spark, tables, monkeypatch):
+    folder = tables([(1, "red cup"), (2, "blue cup")], 300)
+    monkeypatch.setattr(pages, "TASK_ROWS", 100)
+    rows = catalogue._repeated(spark, folder)
+    first = pages.first_of_each(rows, ["run"], ["page", "id"], catalogue._repeated_rows(spark, folder))
+    assert first.rdd.getNumPartitions() == 9 and first.count() == pages.first_of_each(rows, ["run"], ["page", "id"]).count()
+    merged = pages.merged(rows, ["run"], ["page", "id"], None, catalogue._repeated_rows(spark, folder))
+    assert merged.rdd.getNumPartitions() == 9 and merged.count() == pages.merged(rows, ["run"], ["page", "id"], None).count()

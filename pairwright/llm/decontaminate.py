@@ -45,6 +45,8 @@ CLEAR, LOOSE, ANSWERED = 0.75, 0.5, 0.8
 #: Words of context on both sides of a passage in which the subsequence is sought.
 MARGIN = 16
 ROWS = 256
+#: Rows that are multiplied at once, as a matrix over the terms that they hold.
+FEW = 64
 #: Contexts whose words are marked at once, and partial sums that one task adds up.
 CONTEXTS, SUMS = 1024, 64
 #: Words whose meetings with the pieces are listed at once: of several documents, or a stretch of a longer one. Stretches
@@ -164,16 +166,22 @@ def answer_of(text: str, w: np.ndarray) -> np.ndarray:
     return w[-max(1, len(w) // 4) :]
 
 
-def common_subsequence(a: list, b: list) -> int:
-    """Length of the longest common subsequence, by the bits of one integer for a (Hyyro 2004)."""
+def places_of(a: list) -> dict:
+    """The places of each word of a, as the bits of one integer."""
     places: dict = {}
     for i, x in enumerate(a):
         places[x] = places.get(x, 0) | 1 << i
+    return places
+
+
+def common_subsequence(a: list, b: list, places: dict | None = None) -> int:
+    """Length of the longest common subsequence, by the bits of one integer for a (Hyyro 2004); words that a lacks change nothing."""
     full = (1 << len(a)) - 1
     v = full
-    for x in b:
-        u = v & places.get(x, 0)
-        v = ((v + u) | (v - u)) & full
+    for p in map((places_of(a) if places is None else places).get, b):
+        if p:
+            u = v & p
+            v = ((v + u) | (v - u)) & full
     return len(a) - v.bit_count()
 
 
@@ -306,17 +314,31 @@ def relevant(docs: DataFrame, blocks: list[Items]) -> DataFrame:
     return map_arrow(docs.select("doc_id", F.col("text").cast("binary").alias("text")), one, "block int, doc_id long, norm double, terms array<int>, values array<float>, pieces array<int>, context array<long>")
 
 
+def dense(off: np.ndarray, terms: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The terms that sparse rows hold, and the rows as a matrix over these alone."""
+    kinds, at = np.unique(terms, return_inverse=True)
+    x = np.zeros((len(off) - 1, len(kinds)), np.float32)
+    x[np.repeat(np.arange(len(off) - 1), np.diff(off)), at] = values
+    return kinds, x
+
+
 def images(off: np.ndarray, terms: np.ndarray, values: np.ndarray, w: np.ndarray) -> np.ndarray:
-    """Products of sparse rows, none of them empty, with w."""
-    return np.add.reduceat(w[terms] * values[:, None], off[:-1], axis=0)
+    """Products of sparse rows with w."""
+    out = np.empty((len(off) - 1, w.shape[1]), w.dtype)
+    for k in range(0, len(out), FEW):
+        some = off[k : k + FEW + 1]
+        kinds, x = dense(some - some[0], terms[some[0] : some[-1]], values[some[0] : some[-1]])
+        out[k : k + FEW] = x.astype(w.dtype, copy=False) @ w[kinds]
+    return out
 
 
 def gram(off: np.ndarray, terms: np.ndarray, values: np.ndarray, w: np.ndarray, total: np.ndarray) -> None:
-    """Adds A'(A w) of sparse rows, none of them empty, to total."""
-    each = np.repeat(images(off, terms, values, w), np.diff(off), axis=0) * values[:, None]
-    order = np.argsort(terms, kind="stable")
-    kinds, first = np.unique(terms[order], return_index=True)
-    total[kinds] += np.add.reduceat(each[order], first, axis=0)
+    """Adds A'(A w) of sparse rows to total, FEW rows at once: these share most of their terms."""
+    for k in range(0, len(off) - 1, FEW):
+        some = off[k : k + FEW + 1]
+        kinds, x = dense(some - some[0], terms[some[0] : some[-1]], values[some[0] : some[-1]])
+        x = x.astype(w.dtype, copy=False)
+        total[kinds] += x.T @ (x @ w[kinds])
 
 
 def _lists(batch, *names):
@@ -388,7 +410,7 @@ def matches(rows: DataFrame, items: Items, space: np.ndarray) -> DataFrame:
         full = np.flatnonzero(np.diff(off))
         if len(full) == 0:
             return None
-        latent = np.add.reduceat(space[terms] * values[:, None], off[:-1][full], axis=0)
+        latent = images(off[np.append(full, len(off) - 1)], terms, values, space)
         rest = np.sqrt(np.maximum(0, 1 - (latent**2).sum(1)))
         cut, (piece,) = _lists(batch, "pieces")
         norm = batch.column(batch.schema.get_field_index("norm")).to_numpy()[full]
@@ -397,19 +419,21 @@ def matches(rows: DataFrame, items: Items, space: np.ndarray) -> DataFrame:
         cosine = product / np.maximum(np.linalg.norm(latent, axis=1)[r] * np.linalg.norm(near, axis=1)[c], 1e-9)
         may = product + rest[r] * left[c] + SLACK >= least[c] / norm[r]
         r, c, cosine = r[may], c[may], cosine[may]
-        docs, context = batch.column(0).to_pylist(), batch.column(batch.schema.get_field_index("context"))
+        docs, (starts, (context,)) = batch.column(0).to_pylist(), _lists(batch, "context")
+        starts = starts - starts[0]
         found: dict[tuple, tuple] = {}
         contexts: dict[int, list] = {}
+        places = {j: places_of(texts[j]) for j in set(c.tolist())}
         for i, j, near_by in zip(r.tolist(), c.tolist(), cosine.tolist(), strict=True):
             row = int(full[i])
             if row not in contexts:
-                contexts[row] = context[row].as_py()
+                contexts[row] = context[starts[row] : starts[row + 1]].tolist()
             here, text = contexts[row], texts[j]
             if len(text) < SHORT:
                 if any(here[k : k + len(text)] == text for k in range(len(here))):
                     found[docs[row], ids[j]] = (1.0, near_by, True)
                 continue
-            share = common_subsequence(text, here) / len(text)
+            share = common_subsequence(text, here, places[j]) / len(text)
             if share < LOOSE:
                 continue
             answered = common_subsequence(answers[j], here) >= ANSWERED * len(answers[j])

@@ -688,3 +688,22 @@ def test_words_match_split():
         for x, y in zip(w, h[at[i] : at[i + 1]].tolist(), strict=True):
             assert seen.setdefault(x.lower(), y) == y
     assert len(set(seen.values())) == len(seen)
+
+
+def test_images_and_gram_are_products_of_the_rows_over_their_own_terms():
+    r = np.random.default_rng(3)
+    rows = [np.sort(r.choice(5000, r.integers(1, 40), replace=False)) for _ in range(3 * decontaminate.FEW + 5)]
+    off, terms = np.cumsum([0, *map(len, rows)]), np.concatenate(rows)
+    values, w = r.random(len(terms)).astype(np.float32), r.normal(size=(5000, 7)).astype(np.float32)
+    a = np.zeros((len(rows), 5000), np.float32)
+    a[np.repeat(np.arange(len(rows)), np.diff(off)), terms] = values
+    total = np.ones((5000, 7))
+    decontaminate.gram(off, terms, values, w, total)
+    assert np.allclose(decontaminate.images(off, terms, values, w), a @ w, atol=1e-4) and np.allclose(total, 1 + a.T @ (a @ w), atol=1e-3)
+    # no matrix over all rows or all terms is made
+    assert all(decontaminate.dense(np.array([0, len(t)]), t, np.ones(len(t)))[1].shape == (1, len(t)) for t in rows[:5])
+
+
+def test_words_that_a_piece_lacks_are_passed_over():
+    places = decontaminate.places_of([5, 7, 5])
+    assert places == {5: 0b101, 7: 0b010} and decontaminate.common_subsequence([5, 7, 5], [1, 5, 2, 3, 5], places) == 2

@@ -7,7 +7,8 @@ so far, a map of the listings among them, and a map of the events already seen,
 Rows are held until an event or the end of a plan releases them (settle); a stage that is silent for TIMEOUT_S fails, by the next event's time or by a
 timer once the watermark has passed.
 
-The same processor runs over a stream and over a table. A run's events are taken in the order of ts and seq within a
+The same steps run over a stream (or a table that goes on from a state), with the state in Spark's store, and over a table, whose
+runs are read in order, one at a time. A run's events are taken in the order of ts and seq within a
 micro-batch, and batches as they come, so any cut of the same order gives the same rows.
 """
 
@@ -16,9 +17,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 from datetime import datetime
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import StructType
+
+from pairwright.session import spread
 
 # Limits, and codes by stage and reason.
 TIMEOUT_S, HELD_MOST, PAGES, PAGES_MOST, ERRORS_MOST, BROADER_MOST, WAIT_MS, QUERY_MOST, BRACKETS = 60, 1000, 5, 20, 4, 2, 800, 250, 4
@@ -28,6 +34,9 @@ CODES = {
     "right:no-results": "NO_AMAZON_RESULTS", "right:parse-failed": "NO_AMAZON_RESULTS", "right:closed": "NO_AMAZON_RESULTS", "right:id-invalid": "ASIN_INVALID",
 }
 
+#: Rows of a table's runs that are handed on at once.
+OUT_ROWS = 2000
+
 LISTING = "struct<id: string, url: string, title: string, price: double>"
 EVENT = f"run string, seq long, ts timestamp, kind string, token string, tab long, item string, query string, page int, items array<{LISTING}>, error string, queries array<string>, pages int"
 STATE = (
@@ -422,6 +431,37 @@ class Analyse(StatefulProcessor):
         self._keep(s)
 
 
+def _in_order(batches, schema: pa.Schema, until: int | None, snapshot: bool) -> Iterator[pa.RecordBatch]:
+    """The rows of a part of a table, in the order of run, at and seq; one run's state is in memory at a time."""
+    run, s, shelf, seen, out = None, None, None, set(), []
+
+    def ready(least: int):
+        if len(out) >= least:
+            columns = zip(*out, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+            out.clear()
+
+    def once(seq) -> bool:
+        known = seq in seen
+        seen.add(seq)
+        return known
+
+    def ended():
+        if s is not None:
+            out.extend(steps(run, s, shelf, once, [], until, snapshot))
+
+    for batch in batches:
+        for e in batch.to_pylist():
+            if s is None or e["run"] != run:
+                ended()
+                run, s, shelf = e["run"], fresh(), Shelf()
+                seen.clear()
+            out.extend(steps(run, s, shelf, once, [e], None, snapshot))
+            yield from ready(OUT_ROWS)
+    ended()
+    yield from ready(1)
+
+
 def analysed(events: DataFrame, until: datetime | None = None, initial: DataFrame | None = None, snapshot: bool = False) -> DataFrame:
     """A row (OUTPUT) for each event of each run, and for each timeout; `released` holds the rows of a run that settles.
 
@@ -430,7 +470,12 @@ def analysed(events: DataFrame, until: datetime | None = None, initial: DataFram
     Null kinds, unknown kinds, events of an older token and repeated seq give no change; an empty table gives no rows.
     """
     by = None if until is None else int(until.timestamp() * 1_000_000)
-    grouped = events.withColumn("at", F.unix_micros("ts")).select("run", "seq", "ts", "at", "kind", "token", "tab", "item", "query", "page", "items", "error", "queries", "pages").groupBy("run")
+    rows = events.withColumn("at", F.unix_micros("ts")).select("run", "seq", "ts", "at", "kind", "token", "tab", "item", "query", "page", "items", "error", "queries", "pages")
+    if not events.isStreaming and initial is None:  # nothing of a run is kept, so it needs no store: its events are read in order
+        rows = spread(rows, "run").sortWithinPartitions("run", "at", "seq")
+        schema = to_arrow_schema(StructType.fromDDL(OUTPUT))
+        return rows.drop("ts").mapInArrow(lambda batches: _in_order(batches, schema, by, snapshot), OUTPUT)
+    grouped = rows.groupBy("run")
     _ = events.sparkSession.streams.active  # executors look for the coordinator of state stores, which a session without a stream has not started yet
     start = None if initial is None else repaired(initial).groupBy("run")
     return grouped.transformWithState(Analyse(by, snapshot, events.isStreaming), OUTPUT, "append", "EventTime" if events.isStreaming else "None", start)

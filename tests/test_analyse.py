@@ -206,3 +206,13 @@ def test_query_plan(spark):
     built = search.built_query(spark.createDataFrame([("Sony WH-1000XM4 Wireless Noise Canceling Headphones Black", "Sony", None, "WH-1000XM4", None)], "title string, brand string, mpn string, model string, gtin string"))
     plan = A.plan_of(built).first().queries
     assert plan[0] == "Sony WH-1000XM4 Wireless Noise Canceling Headphones Black" and len(plan) >= 2
+
+
+def test_a_table_needs_no_state_store(spark):
+    """Runs of a table are read in order; events sent twice and a silent end count as over a stream."""
+    first = SCENARIOS[next(iter(SCENARIOS))]
+    df = A.analysed(table(spark, first + first), until=T0 + dt.timedelta(hours=1))
+    assert "TransformWithState" not in df._jdf.queryExecution().executedPlan().toString()
+    once = A.analysed(table(spark, first), until=T0 + dt.timedelta(hours=1)).collect()
+    accepted = lambda rows: [tuple(r) for r in rows if r.accepted]
+    assert once and len(df.collect()) == len(once) and accepted(df.collect()) == accepted(once)

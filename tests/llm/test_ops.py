@@ -99,6 +99,54 @@ def test_large_blocks_are_cut_without_losing_links(spark, monkeypatch):
     assert got == near_brute(rows, 3, 90)
 
 
+@pytest.mark.parametrize("shingles", [1 << 21, 900])
+@pytest.mark.parametrize("sides", [1, 2])
+def test_a_family_gives_a_spanning_forest_not_its_pairs(spark, monkeypatch, sides, shingles):
+    """40 copies that all link, 20 of another family and 6 near the threshold, in 3 blocks: rows, not pairs, leave the search."""
+    monkeypatch.setattr(ngram_join, "TASK_SHINGLES", shingles)
+    r = np.random.default_rng(3)
+    base, other = (r.integers(1, 1 << 62, 100).astype(np.uint64) for _ in range(2))
+    sets = [np.concatenate([base[:98], r.integers(1, 1 << 62, 2).astype(np.uint64)]) for _ in range(40)]
+    sets += [np.concatenate([other[:98], r.integers(1, 1 << 62, 2).astype(np.uint64)]) for _ in range(20)]
+    sets += [np.concatenate([base[:90], r.integers(1, 1 << 62, 10).astype(np.uint64)]) for _ in range(6)]
+    side = lambda i: i % 2 if sides == 2 else 0
+    rows = [(1, block, 0, side(i), i, 100, 10**6, i) for block in range(3) for i in range(len(sets))]
+    members = spark.createDataFrame(rows, "task long, block long, part long, home int, id long, n long, reach long, comp long")
+    sigs = spark.createDataFrame([(1, i, bytearray(ngram_join.signature(s))) for i, s in enumerate(sets)], "at long, sig_id long, sig binary")
+    found = ngram_join.link_blocks(members, sigs, 90)
+    assert 60 <= found.count() <= members.count()
+    hits = ngram_join.by_size(found)
+    every = spark.createDataFrame([(i, s.view(np.int64).tolist()) for i, s in enumerate(sets)], "set_id long, set array<long>")
+    own = hits.select(F.col("task").alias("at"), F.col("id").alias("set_id")).distinct().join(every, "set_id").select("at", "set_id", "set")
+    links = [(x.a, x.b) for x in ngram_join.spanning_links(hits, own, 90).collect()]
+    true = {(i, j) for j in range(len(sets)) for i in range(j) if side(i) != side(j) or sides == 1 if 100 * len(np.intersect1d(sets[i], sets[j])) >= 90 * len(np.union1d(sets[i], sets[j]))}
+    assert set(links) <= true and len(true) > 400
+    assert len(links) == 58 if shingles > 900 else len(links) <= hits.count()
+    u, v = Sets(range(len(sets))), Sets(range(len(sets)))
+    for a, b in links:
+        u.join(a, b)
+    for a, b in true:
+        v.join(a, b)
+    assert [u.find(i) for i in range(len(sets))] == [v.find(i) for i in range(len(sets))]
+
+
+def test_exact_check_in_pieces_equals_brute_force(spark, monkeypatch):
+    """Small parts, small tasks and a memory of few pairs leave components as they are."""
+    monkeypatch.setattr(ngram_join, "PART", 5)
+    monkeypatch.setattr(ngram_join, "TASK_SHINGLES", 300)
+    monkeypatch.setattr(ngram_join, "SEEN", 3)
+    r, rows = random.Random(8), []
+    for f in range(2):
+        base = prose(r, 80).split()
+        for d in range(40):
+            w = list(base)
+            for k in range(r.choice((0, 1, 2, 3, 6))):
+                w[(7 * d + 11 * k) % 80] = f"e{d % 7}{k}"
+            rows.append((100 * f + d, " ".join(w)))
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in ngram_join.near_duplicates(docs(spark, rows), 3, 90).collect()}
+    assert got == near_brute(rows, 3, 90)
+
+
 def test_keep_one_and_edge_tables(spark):
     df = docs(spark, [(3, "a b c d e f"), (1, "A b c d e f"), (1, "A b c d e f"), (5, ""), (6, ""), (None, "a b c d e f")], "").withColumn("n", F.lit(1)).withColumn("key", F.lit("x"))
     kept = ngram_join.keep_one(df)

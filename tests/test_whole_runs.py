@@ -132,3 +132,15 @@ def test_tasks_that_sort_pages_grow_with_the_rows(spark, tables, monkeypatch):
     assert first.rdd.getNumPartitions() == 9 and first.count() == pages.first_of_each(rows, ["run"], ["page", "id"]).count()
     merged = pages.merged(rows, ["run"], ["page", "id"], None, catalogue._repeated_rows(spark, folder))
     assert merged.rdd.getNumPartitions() == 9 and merged.count() == pages.merged(rows, ["run"], ["page", "id"], None).count()
+
+
+def test_prices_are_read_for_the_paired_offers_alone(spark, tables):
+    """Offers of some ids are those of all offers; the lines of the others are neither grouped nor shuffled."""
+    where = tables([(p, "red bolt") for p in range(4)], 3)
+    every = listings.offers(spark, where)
+    only = every.where("id % 2 = 0").select("id")
+    got = listings.offers(spark, where, only)
+    rows = lambda t: sorted(map(str, t.collect()))
+    assert rows(got) == rows(every.where("id % 2 = 0")) and rows(listings.offers(spark, where, only.limit(0))) == []
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Aggregate") < plan.index("LeftSemi")
